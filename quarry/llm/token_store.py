@@ -57,7 +57,7 @@ class Encoder:
     before go to the library together, a newline after each.
     """
 
-    def __init__(self, path: str, known: int = 800_000):
+    def __init__(self, path: str, known: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -114,6 +114,12 @@ class Encoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a Python worker: what a task has met helps the next."""
+    return Encoder(path)
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of chunks: where the rolling hash of the last 16 ids allows one, LEAST to MOST ids after the last."""
     n = len(ids)
@@ -156,7 +162,7 @@ def _rows(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Chunk rows (each name once a task, as far as it remembers) and recipe rows."""
 
     def make() -> object:
-        encoder, seen = Encoder(tokenizer), set()
+        encoder, seen = encoder_of(tokenizer), set()
 
         def f(row: tuple) -> Iterator[tuple]:
             doc_id, text = row
