@@ -1,10 +1,8 @@
-"""Named queries over the driver's tables, and DuckDB SQL that says the same."""
+"""All named queries: importing the modules below registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans import evaluation, eventlog, grouping, listings, relational, scoring, searching  # noqa: F401
+from quarry.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
