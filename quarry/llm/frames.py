@@ -87,6 +87,11 @@ def carried(df: DataFrame, keep: Iterable[str], produced: Iterable[str]) -> list
     return [F.col(f"`{c}`") for c in keep if c.lower() not in own]
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Arrow batches are cut by bytes: ten thousand long texts at once would not fit an executor's overhead."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], Iterable[tuple]]], flush_rows: int = 2048, flush_bytes: int = 8 << 20, weigh: int | None = None) -> DataFrame:
     """Flat-map rows in Arrow batches. `make` runs once a task and returns the function of a row.
 
@@ -95,6 +100,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], It
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,7 +62,7 @@ def simhash(data: bytes, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, print (the 64 bits as a signed long)."""
-    return map_rows(docs.select("doc_id", whole_text("text").cast("binary")), "doc_id long, print long", lambda: lambda row: ((row[0], simhash(row[1], width, seed)),))
+    return map_rows(docs.select("doc_id", whole_text("text")), "doc_id long, print long", lambda: lambda row: ((row[0], simhash(row[1].encode(), width, seed)),))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:

@@ -17,9 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarry.llm.frames import map_rows
+from quarry.llm.frames import map_rows, whole_text
 
 # fixed values of the format: tags, compressions, field sizes by type
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, CHANNELS, STRIP_ROWS, STRIP_SIZE = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -318,8 +317,12 @@ def tiff_of(payload: bytes) -> bytes:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (a TIFF that holds the whole text's UTF-8 bytes, padded); null text is empty."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return map_rows(rows, "doc_id long, n_bytes long, media binary", lambda: lambda r: ((r[0], len(r[1]), tiff_of(payload_of(r[1]))),), weigh=2)
+
+    def f(row: tuple) -> Iterator[tuple]:
+        data = row[1].encode()
+        yield row[0], len(data), tiff_of(payload_of(data))
+
+    return map_rows(docs.select("doc_id", whole_text("text")), "doc_id long, n_bytes long, media binary", lambda: f, weigh=2)
 
 
 PAGES = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, page int, pages int, width int, height int, channels int, compression int, predictor int, tiled boolean, samples binary, error string"
