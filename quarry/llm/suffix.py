@@ -6,10 +6,10 @@ h bytes at p and p + h, so names are equal where the bytes are. Positions leave
 1. Names of `gram` bytes. A window of `length` bytes is represented by the gram in it whose name is smallest (the
    leftmost of equals), its anchor; equal windows have equal anchors at the same place inside. Spark counts the anchors'
    names; where one occurs once, no window it represents repeats, and all of them leave.
-2. Windows with one anchor form a block. Blocks are named over all their bytes; if all blocks of a gram have one name,
-   each of their windows repeats, and they are settled.
-3. The other windows get the name of all `length` bytes, paired from those of shorter ones, and Spark counts pairs of
-   gram name and window name.
+2. Windows with one anchor form a block. Blocks are named over all their bytes; where a gram and a block name occur
+   together more than once, each of the block's windows repeats, and it is settled.
+3. For grams with more than one block name, the windows of one block of each name get the name of all `length` bytes,
+   paired from those of shorter ones, and Spark counts pairs of gram name and window name.
 
 Each round moves fixed-size rows, counted before they are shuffled where equal ones meet, so a passage that a third of
 all documents share is no heavier than any other.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import Stored, map_rows, stored, whole_text
+from quarry.llm.frames import Stored, map_rows, small_batches, stored, whole_text
 
 BUFFER = 1 << 17  # bytes named at once
 _PLACE = np.uint64((1 << 18) - 1)
@@ -136,7 +136,7 @@ class Anchors:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int, named: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, tag, data) to blocks: gram, block, or with `named` gram, doc_id, tag, low, high."""
+    """Rows (doc_id, tag, data) to blocks: gram, block, or with `named` gram, block, doc_id, tag, low, high."""
     for b in batches:
         ids, tags = b.column(0), b.column(1)
         anchors, texts = Anchors(length, gram), b.column(2)
@@ -145,43 +145,49 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int, named: bo
             for grams, block, text, low, high in anchors.blocks():
                 if named:
                     take = pa.array(text)
-                    yield pa.RecordBatch.from_arrays([pa.array(grams), ids.take(take), tags.take(take), pa.array(low), pa.array(high)], names=["gram", "doc_id", "tag", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(block), ids.take(take), tags.take(take), pa.array(low), pa.array(high)], names=["gram", "block", "doc_id", "tag", "low", "high"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(block)], names=["gram", "block"])
 
         for k in range(b.num_rows):
-            anchors.add(k, texts[k].as_py())
+            anchors.add(k, texts[k].as_py().encode())
             if anchors.held >= 4 * BUFFER:
                 yield from flush()
         yield from flush()
 
 
-def repeats(docs: DataFrame, length: int = 200, gram: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 200, gram: int = 150) -> DataFrame:
     """doc_id, tag, low, high: runs of places where a string of `length` bytes starts that starts elsewhere too."""
-    base = docs.select("doc_id", F.xxhash64(whole_text("text")).alias("tag"), whole_text("text").cast("binary").alias("data")).where(F.octet_length("data") >= length)
+    base = docs.select("doc_id", F.xxhash64(whole_text("text")).alias("tag"), whole_text("text").alias("data")).where(F.octet_length("data") >= length)
+    place = ["doc_id", "tag", "low", "high"]
+    small_batches(docs.sparkSession)
     counted = base.mapInArrow(lambda it: _blocks(it, length, gram, False), "gram long, block long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("a"), F.max("block").alias("b"))
     grams = Stored(counted.where(F.col("n") > 1).select("gram", (F.col("a") == F.col("b")).alias("settled")), "grams")
-    named = base.mapInArrow(lambda it: _blocks(it, length, gram, True), "gram long, doc_id long, tag long, low long, high long")
+    named = base.mapInArrow(lambda it: _blocks(it, length, gram, True), "gram long, block long, doc_id long, tag long, low long, high long")
     left = Stored(named.join(grams.df, "gram"), "left")
     grams.drop()
-    settled = left.df.where("settled").select("doc_id", "tag", "low", "high")
-    open_ = left.df.where("NOT settled").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("low", "high", "gram")).alias("blocks"))
-    texts = base.join(open_, base.doc_id.eqNullSafe(open_.doc_id) & (base.tag == open_.tag)).select(base.doc_id, base.tag, "data", F.col("blocks.low").alias("lows"), F.col("blocks.high").alias("highs"), F.col("blocks.gram").alias("grams"))
-    windows = Stored(texts.mapInArrow(lambda it: _windows(it, length), "gram long, name long, doc_id long, tag long, low long"), "windows")
+    settled = left.df.where("settled").select(*place)
+    mixed = left.df.where("NOT settled").drop("settled")
+    each = Stored(mixed.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("one")), "blocks")
+    copied = mixed.join(each.df.where(F.col("n") > 1).select("gram", "block"), ["gram", "block"]).select(*place)
+    ones = each.df.select("gram", "one.*", (F.col("n") == 1).alias("single")).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("low", "high", "gram", "single")).alias("blocks"))
+    texts = base.join(ones, base.doc_id.eqNullSafe(ones.doc_id) & (base.tag == ones.tag)).select(base.doc_id, base.tag, "data", *(F.col(f"blocks.{c}").alias(f"{c}s") for c in ("low", "high", "gram", "single")))
+    # equal rows both give the windows of a block they share; such a block is not single, and a single window that meets it repeats
+    windows = Stored(texts.mapInArrow(lambda it: _windows(it, length), "gram long, name long, single boolean, doc_id long, tag long, low long"), "windows")
     twice = windows.df.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram", "name")
-    found = windows.df.join(twice, ["gram", "name"]).select("doc_id", "tag", "low", F.col("low").alias("high"))
-    found = stored(found, "found")
+    found = stored(windows.df.where("single").join(twice, ["gram", "name"]).select("doc_id", "tag", "low", F.col("low").alias("high")), "found")
     windows.drop()
-    return settled.unionByName(found)
+    return settled.unionByName(copied).unionByName(found)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """For each text with its open blocks: the names of their windows."""
     for b in batches:
         for k in range(b.num_rows):
-            doc_id, tag, data, lows, highs, grams = (b.column(c)[k].as_py() for c in range(6))
+            doc_id, tag, text, lows, highs, grams, singles = (b.column(c)[k].as_py() for c in range(7))
+            data = text.encode()
             order = np.argsort(lows, kind="stable")
-            low, high, gram = np.array(lows)[order], np.array(highs)[order], np.array(grams, np.int64)[order]
+            low, high, gram, single = np.array(lows)[order], np.array(highs)[order], np.array(grams, np.int64)[order], np.array(singles, bool)[order]
             at = 0
             while at < len(low):  # runs of blocks that fit a buffer
                 end = at + 1
@@ -192,7 +198,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 size = high[at:end] - low[at:end] + 1
                 start = np.repeat(low[at:end] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gram[at:end], size)), pa.array(names[start - low[at]].view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, tag, np.int64)), pa.array(start)], names=["gram", "name", "doc_id", "tag", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gram[at:end], size)), pa.array(names[start - low[at]].view(np.int64)), pa.array(np.repeat(single[at:end], size)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, tag, np.int64)), pa.array(start)], names=["gram", "name", "single", "doc_id", "tag", "low"])
                 at = end
 
 
@@ -207,14 +213,15 @@ def runs_of(lows: list[int], highs: list[int], length: int) -> list[tuple[int, i
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 150) -> DataFrame:
     """doc_id, data (bytes kept), spans (removed ranges: start, end), n_bytes, one row per row of docs."""
     found = repeats(docs, length, gram).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    base = docs.select("doc_id", F.xxhash64(whole_text("text")).alias("tag"), whole_text("text").cast("binary").alias("data"))
+    base = docs.select("doc_id", F.xxhash64(whole_text("text")).alias("tag"), whole_text("text").alias("data"))
     joined = base.join(found, base.doc_id.eqNullSafe(found.doc_id) & (base.tag == found.tag), "left").select(base.doc_id, "data", F.col("runs.low").alias("lows"), F.col("runs.high").alias("highs"))
 
     def f(row: tuple) -> Iterator[tuple]:
-        doc_id, data, lows, highs = row
+        doc_id, text, lows, highs = row
+        data = text.encode()
         spans = runs_of(lows or [], highs or [], length)
         kept, at = [], 0
         for s, e in spans:
