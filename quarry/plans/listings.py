@@ -151,7 +151,7 @@ def replica_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replica_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C20, C21, C22 over part names set in full-width, look-alike and leet letters."""
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
-    text = F.concat_ws(" ", "p_name", F.when(k == 0, "ｒｅｐｌｉｃａ").when(k == 1, "r3plica").when(k == 2, "реplica").otherwise("genuine"))
+    text = F.concat_ws(" ", "p_name", F.when(k == 0, "ｒｅｐｌｉｃａ").when(k == 1, "r3plica").when(k == 2, "rерlica").otherwise("genuine"))
     return p.select("p_partkey", udfs.folded(text).alias("folded"), udfs.replica(text).alias("replica"))
 
 
