@@ -164,7 +164,9 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 150) -> DataFrame:
     counted = base.mapInArrow(lambda it: _blocks(it, length, gram, False), "gram long, block long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("a"), F.max("block").alias("b"))
     grams = Stored(counted.where(F.col("n") > 1).select("gram", (F.col("a") == F.col("b")).alias("settled")), "grams")
     named = base.mapInArrow(lambda it: _blocks(it, length, gram, True), "gram long, block long, doc_id long, tag long, low long, high long")
-    left = Stored(named.join(grams.df, "gram"), "left")
+    # names are kept only where they are needed again
+    open_only = lambda c: F.when(~F.col("settled"), F.col(c)).alias(c)
+    left = Stored(named.join(grams.df, "gram").select("settled", open_only("gram"), open_only("block"), *place), "left")
     grams.drop()
     settled = left.df.where("settled").select(*place)
     mixed = left.df.where("NOT settled").drop("settled")
