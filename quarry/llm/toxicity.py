@@ -20,10 +20,11 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import map_rows, whole_text
+from quarry.llm.frames import map_rows, small_batches, whole_text
 
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"\s")
@@ -177,14 +178,13 @@ class Scorer:
 
 def score_column(text: Column, machine: Machine) -> Column:
     """The score as a column, so that a filter keeps all other columns where they are."""
-    import pandas as pd
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(machine)
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype=float)
 
-    return F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(scores, "double")(text)
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -200,6 +200,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **how: object) -> DataFrame:
     """The rows of docs whose score is below one half, all columns as they are."""
+    small_batches(docs.sparkSession)
     return docs.where(score_column(whole_text("text"), train(docs, labels, **how)) < 0.5)
 
 
