@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import evaluation, eventlog, grouping, listings, relational, scoring, searching  # noqa: F401
+from quarry.plans import campaigns, evaluation, eventlog, grouping, listings, relational, scoring, searching  # noqa: F401
 from quarry.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
