@@ -71,13 +71,14 @@ def evidence_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CANDIDATE_SQL}, x AS (SELECT id, item_lower AS t, auth_lower AS v, completeness AS p, (sellers >= 6)::INTEGER AS hard, 5 - least(images, 5) AS missing FROM cand),
   m AS (SELECT id, hard, missing, p, v, least(1, greatest(0, 0.18*t + 0.18*v + 0.30*p + 0.16*0.95 + 0.08*0.7 + 0.10*0.8)) AS m, 0.18*t + 0.18*v + 0.30*(p - 0.06) + 0.16*0.95 + 0.08*0.7 + 0.10*0.8 AS low, 0.04 + 0.03 * least(4, missing) AS s FROM x),
   b AS (SELECT id, hard, m, least(1, greatest(0, least(m, low) - 0.15 * s)) AS lo, least(1, greatest(m, 0.55) + 0.04) AS hi, hard = 0 AND p >= 0.9 AND v >= 0.88 AND missing <= 2 AS strong FROM m),
-  c AS (SELECT id, hard, round_even(m, 6) AS m, round_even(CASE WHEN strong THEN least(m, greatest(lo, 0.91)) ELSE lo END, 6) AS lo, round_even(greatest(hi, m), 6) AS hi FROM b)
-  SELECT id, CASE WHEN hard > 0 THEN least(m, 0.22) ELSE m END AS mean, CASE WHEN hard > 0 THEN least(lo, 0.12) ELSE lo END AS lower_bound, CASE WHEN hard > 0 THEN least(hi, greatest(least(m, 0.22), 0.35)) ELSE hi END AS upper_bound FROM c""")
+  c AS (SELECT id, hard, m, CASE WHEN strong THEN least(m, greatest(lo, 0.91)) ELSE lo END AS lo, greatest(hi, m) AS hi FROM b)
+  SELECT id, round(CASE WHEN hard > 0 THEN least(m, 0.22) ELSE m END, 4) AS mean, round(CASE WHEN hard > 0 THEN least(lo, 0.12) ELSE lo END, 4) AS lower_bound, round(CASE WHEN hard > 0 THEN least(hi, greatest(least(m, 0.22), 0.35)) ELSE hi END, 4) AS upper_bound FROM c""")
 def item_match_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N1, N2, N3."""
     c = candidates(spark, sf_dir)
     iv = S.item_match(F.col("item_lower"), F.col("auth_lower"), F.col("completeness"), F.lit(0.95), F.lit(0.7), F.lit(0.8), (F.col("sellers") >= 6).cast("int"), 5 - F.least(F.col("images"), F.lit(5)), F.lit(False))
-    return c.select("id", iv.alias("i")).select("id", "i.*")
+    # four digits: engines differ in how they round the seventh
+    return c.select("id", iv.alias("i")).select("id", *(F.round(f"i.{x}", 4).alias(x) for x in ("mean", "lower_bound", "upper_bound")))
 
 
 @query(f"""WITH {CANDIDATE_SQL}, r AS (SELECT id, status, family, row_number() OVER (PARTITION BY status ORDER BY item_lower DESC, auth_lower DESC, completeness DESC, live DESC, id)::INTEGER AS rank FROM cand),
