@@ -72,7 +72,7 @@ def evidence_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
   m AS (SELECT id, hard, missing, p, v, least(1, greatest(0, 0.18*t + 0.18*v + 0.30*p + 0.16*0.95 + 0.08*0.7 + 0.10*0.8)) AS m, 0.18*t + 0.18*v + 0.30*(p - 0.06) + 0.16*0.95 + 0.08*0.7 + 0.10*0.8 AS low, 0.04 + 0.03 * least(4, missing) AS s FROM x),
   b AS (SELECT id, hard, m, least(1, greatest(0, least(m, low) - 0.15 * s)) AS lo, least(1, greatest(m, 0.55) + 0.04) AS hi, hard = 0 AND p >= 0.9 AND v >= 0.88 AND missing <= 2 AS strong FROM m),
   c AS (SELECT id, hard, m, CASE WHEN strong THEN least(m, greatest(lo, 0.91)) ELSE lo END AS lo, greatest(hi, m) AS hi FROM b)
-  SELECT id, round(CASE WHEN hard > 0 THEN least(m, 0.22) ELSE m END, 4) AS mean, round(CASE WHEN hard > 0 THEN least(lo, 0.12) ELSE lo END, 4) AS lower_bound, round(CASE WHEN hard > 0 THEN least(hi, greatest(least(m, 0.22), 0.35)) ELSE hi END, 4) AS upper_bound FROM c""")
+  SELECT id, round(round(CASE WHEN hard > 0 THEN least(m, 0.22) ELSE m END, 6), 4) AS mean, round(round(CASE WHEN hard > 0 THEN least(lo, 0.12) ELSE lo END, 6), 4) AS lower_bound, round(round(CASE WHEN hard > 0 THEN least(hi, greatest(least(m, 0.22), 0.35)) ELSE hi END, 6), 4) AS upper_bound FROM c""")
 def item_match_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N1, N2, N3."""
     c = candidates(spark, sf_dir)
