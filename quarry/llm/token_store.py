@@ -22,10 +22,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import delete_path, free_shuffles, map_rows, whole_text
+from quarry.llm.frames import delete_path, free_shuffles, map_rows, small_batches, whole_text
 from quarry.llm.ranges import with_running_start
 
 END = 0
@@ -33,6 +34,7 @@ LEAST, MOST, MASK = 128, 2048, np.uint64((1 << 9) - 1 << 40)  # a cut every 512
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ANY_GAP, _RARE_GAP = re.compile(r"\s"), re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD = ("  ", "\n ", "\n\n", " \n", "\t", "\r", "\x0b", "\x0c", "\x01")
+_MARKS = (".", ",", ";", ":", "!", "?")
 _GAPS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 # fixed value: the pattern by which this family of byte-level tokenizers splits a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +59,7 @@ class Encoder:
     before go to the library together, a newline after each.
     """
 
-    def __init__(self, path: str, known: int = 500_000):
+    def __init__(self, path: str, known: int = 1_200_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -66,12 +68,11 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PATTERN)
-        self.pieces: dict[str, bytes] = {}
         self.splits: dict[str, bytes] = {}
         (self.newline,) = self._whole("\n").tolist()
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
     def _learn(self, splits: list[str]) -> dict[str, bytes]:
         """Ids of splits; those with white space other than a leading space go to the library one by one."""
@@ -90,28 +91,63 @@ class Encoder:
             self.splits.update(out)
         return out
 
+    def _parts(self, piece: str) -> list[str]:
+        """The splits of a piece; words, also with one mark after them, need no pattern."""
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():
+            return [piece]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.pattern.findall(piece)
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the tokenizer works on apart."""
+        splits = self.splits
+        out = list(map(splits.get, pieces))
+        open_ = [k for k, ids in enumerate(out) if ids is None]
+        if open_:
+            parts = [self._parts(pieces[k]) if pieces[k] else [] for k in open_]
+            missing = list(dict.fromkeys(x for own in parts for x in own if x not in splits))
+            fresh = self._learn(missing) if missing else {}
+            for k, own in zip(open_, parts, strict=True):
+                out[k] = b"".join([splits[x] if x in splits else fresh[x] for x in own])
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 16-bit integers."""
+        """Ids of one text as little-endian 16-bit integers."""
         if any(s in text for s in self.special):
             return self._whole(text).tobytes()
-        if not text:
-            return b""
-        if any(x in text for x in _ODD) or not text.isascii() and _RARE_GAP.search(text):
-            pieces = _CUT.split(text)
-        else:  # white space is single spaces and newlines: spaces lead pieces, newlines stand alone
-            pieces = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
-        known = self.pieces
-        out = list(map(known.get, pieces))
-        if None in out:
-            new = {p: self.pattern.findall(p) for p, ids in zip(pieces, out, strict=True) if ids is None}
-            splits = self.splits
-            missing = list(dict.fromkeys(x for own in new.values() for x in own if x not in splits))
-            fresh = self._learn(missing) if missing else {}
-            made = {p: b"".join([splits[x] if x in splits else fresh[x] for x in own]) for p, own in new.items()}
-            if len(known) + len(made) <= self.limit:
-                known.update(made)
-            out = [made[p] if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
-        return b"".join(out)
+        return b"".join(self.look_up(_CUT.split(text))) if text else b""
+
+    def _is_plain(self, text: str) -> bool:
+        """White space is single spaces and newlines only, and nothing stands for a special id."""
+        return not (any(x in text for x in _ODD) or (not text.isascii() and _RARE_GAP.search(text)) or any(s in text for s in self.special))
+
+    def encode_many(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text. Pieces are cut, and equal ones found, in Arrow; each is looked up once."""
+        rows = texts.to_pylist()
+        plain = np.array([self._is_plain(t) for t in rows], bool)
+        out: list[bytes] = [b""] * len(rows)
+        for k in np.nonzero(~plain)[0]:
+            out[k] = self.encode(rows[k])
+        if not plain.any():
+            return out
+        # spaces lead pieces, newlines stand alone
+        marked = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(plain)), "\n", "\x01\n\x01"), " ", "\x01 ")
+        cut = pc.split_pattern(marked, "\x01")
+        coded = cut.flatten().dictionary_encode()
+        found = self.look_up(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), "<u2")
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 2
+        first = np.cumsum(size, dtype=np.int32) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n, dtype=np.int32)
+        ids = flat[np.repeat(first[at] - ends + n, n) + np.arange(len(n) and ends[-1], dtype=np.int32)]
+        edges = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        for k, s, e in zip(np.nonzero(plain)[0], edges[:-1], edges[1:], strict=True):
+            out[k] = ids[s:e].tobytes()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -161,40 +197,34 @@ ROWS = "kind string, key binary, doc_id long, n long, root binary, payload binar
 def _rows(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Chunk rows (each name once a task, as far as it remembers) and recipe rows."""
 
-    def make() -> object:
+    def of(doc_id: int | None, data: bytes, seen: set[bytes]) -> Iterator[tuple]:
+        names, last = [], 0
+        for c in cuts(np.frombuffer(data, "<u2")):
+            payload = data[2 * last : 2 * c]
+            name = name_of(payload)
+            names.append(name)
+            if name not in seen:
+                if len(seen) < 200_000:
+                    seen.add(name)
+                yield "chunk", name, None, c - last, None, payload
+            last = c
+        root = merkle_root(names)
+        yield "recipe", root + (doc_id or 0).to_bytes(8, "big", signed=True), doc_id, last, root, b"".join(names)
+
+    end = END.to_bytes(2, "little")
+    kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = encoder_of(tokenizer), set()
+        for b in batches:
+            if b.num_rows:
+                encoded = encoder.encode_many(b.column(1))
+                rows = [r for i, data in zip(b.column(0).to_pylist(), encoded, strict=True) for r in of(i, data + end, seen)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        def f(row: tuple) -> Iterator[tuple]:
-            doc_id, text = row
-            data = encoder.encode(text) + END.to_bytes(2, "little")
-            names, last = [], 0
-            for c in cuts(np.frombuffer(data, "<u2")):
-                payload = data[2 * last : 2 * c]
-                name = name_of(payload)
-                names.append(name)
-                if name not in seen:
-                    if len(seen) < 200_000:
-                        seen.add(name)
-                    yield "chunk", name, None, c - last, None, payload
-                last = c
-            root = merkle_root(names)
-            yield "recipe", root + (doc_id or 0).to_bytes(8, "big", signed=True), doc_id, last, root, b"".join(names)
-
-        return f
-
-    return map_rows(docs.select("doc_id", whole_text("text")), ROWS, make, weigh=5)
-
-
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows, each chunk name once; recipes all."""
-    last = None
-    for b in batches:
-        take = []
-        for kind, key in zip(b.column("kind").to_pylist(), b.column("key").to_pylist(), strict=True):
-            take.append(kind == "recipe" or key != last)
-            if kind == "chunk":
-                last = key
-        yield b.filter(pa.array(take))
+    small_batches(docs.sparkSession, "8m")
+    return docs.select("doc_id", whole_text("text")).mapInArrow(run, ROWS)
 
 
 class TokenStore:
@@ -215,7 +245,9 @@ class TokenStore:
     def write(cls, docs: DataFrame, path: str, tokenizer: str) -> TokenStore:
         spark = docs.sparkSession
         rows = _rows(docs, tokenizer).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-        rows = rows.sortWithinPartitions("kind", "key").mapInArrow(_once, ROWS)
+        # of equal chunks, which lie in one partition by now, one stays
+        first = Window.partitionBy("kind", "key").orderBy("n")
+        rows = rows.withColumn("_n", F.row_number().over(first)).where((F.col("kind") == "recipe") | (F.col("_n") == 1)).drop("_n")
         rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
         free_shuffles(spark)
         if spark.read.schema(f"{ROWS}").parquet(f"{path}/rows").limit(1).count():
