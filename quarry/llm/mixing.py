@@ -4,7 +4,7 @@ Documents hang on a tree domain - language - source. A token budget goes down th
 child gets no more than its tokens times `max_epochs`, and what it cannot take goes to its siblings by their weights
 first, then to the siblings of its ancestors. A leaf with budget b and s tokens gives b // s whole epochs, then the
 longest prefix, in an order seeded by the epoch, whose tokens fit the rest. The prefix is found from sums over bins of
-the order, so that no task sees a whole leaf.
+the order, as many as the root of the leaf's rows, so that no task sees a whole leaf.
 
 A token here is a run of characters other than space, tab and line breaks.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from quarry.llm.frames import stored, whole_text
 
 LEVELS = ("domain", "lang", "source")
 MOST_LEAVES = 200_000
-BIN_ROWS = 4096
+BIN_ROWS = 1 << 20
 
 
 @dataclass
@@ -119,7 +120,7 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column) -> DataFrame:
     sizes = {(r[0], r[1], r[2]): r["n"] for r in stats}
     total = sum(sizes.values())
     given = budgets(sizes, mix, mix.budget if mix.budget is not None else int(mix.share * total))
-    plan = [(*k, given[k] // sizes[k] if sizes[k] else 0, given[k] % sizes[k] if sizes[k] else 0, -(-r["rows"] // BIN_ROWS)) for r in stats for k in [(r[0], r[1], r[2])]]
+    plan = [(*k, given[k] // sizes[k] if sizes[k] else 0, given[k] % sizes[k] if sizes[k] else 0, max(isqrt(r["rows"]) + 1, -(-r["rows"] // BIN_ROWS))) for r in stats for k in [(r[0], r[1], r[2])]]
     plan = spark.createDataFrame(plan, "domain string, _lang string, _source string, _whole int, _rest long, _bins long")
     ordered = small.join(F.broadcast(plan), keys)  # at most MOST_LEAVES rows
     ordered = ordered.withColumn("_h", _order(mix.seed, F.col("_whole"))).withColumn("_bin", _bin(F.col("_h"), F.col("_bins")))
