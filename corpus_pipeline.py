@@ -2,7 +2,7 @@
 
 1. toxicity: documents scored one half or higher go.
 2. line_dedup: lines that a smaller doc_id holds go; n_chars is counted anew.
-3. simhash: of each group of near-duplicates one document stays.
+3. simhash: of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles one stays; no pair is missed.
 4. mixing: documents are taken up to each leaf's token budget, none twice.
 5. pieces: texts become piece ids with merge-dropout.
 
@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, mixing, pieces, simhash, toxicity
+from quarry.llm import line_dedup, mixing, near_copies, pieces, toxicity
 from quarry.llm.frames import shared_dir
 from quarry.llm.queries import MIX, domain_of_source, table, tokenizer_file
 
@@ -33,7 +33,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, width=4, radius=4).select(*COLUMNS)
+    return near_copies.keep_one(docs, width=5).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
