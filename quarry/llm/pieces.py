@@ -1,9 +1,10 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
-Candidate merges wait in an agenda by the model's scores. When one comes up, a hash keyed by the seed, a variant
-number, its place and the merged piece decides whether it is skipped; a skipped candidate never comes back. With
-dropout 0 the result is the model's own segmentation. A document takes its words through a cycle of variants that its
-id and the seed fix, so that the same word is cut in different ways, and a word is worked out once per variant.
+Candidate merges wait in an agenda by the model's scores. When one comes up, a hash keyed by the seed, the document,
+the word's place in it, its place in the word and the merged piece decides whether it is skipped; a skipped candidate
+never comes back. With dropout 0 the result is the model's own segmentation. Every occurrence of a word has hashes of
+its own. What is kept is work, not results of hashes: a state of a unit is the set of merges skipped so far, with the
+merges that then come up; all hashes of an occurrence are compared in numpy, and its first skip leads to the next state.
 
 Defined results: null or empty text has no ids. Text is restored exactly: what the vocabulary lacks, and the mark that
 stands for a space inside pieces, go through byte pieces. Rows with null or repeated ids are encoded like others; any
@@ -17,7 +18,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import cycle, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from quarry.llm.frames import map_rows, small_batches, whole_text
 MARK = "▁"
 _LITERAL = "\0" + MARK  # a mark in the text itself; never part of a piece
 _M64 = (1 << 64) - 1
-VARIANTS, CYCLE, SHORT = 3, 31, 48
+SHORT, LONGEST = 48, 256
 _ODD = ("  ", " \n", "\x01", MARK)
 _WORD = re.compile(r" *[^ \n]+| *\n| +")
 
@@ -42,8 +43,30 @@ def _hash(*parts: int) -> int:
     return x
 
 
+def _key(at: int, merged: int) -> int:
+    return (at * 0xD1B54A32D192ED03 + merged) & _M64
+
+
+def _hash_on(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """`_hash` with one part more, for arrays of 64-bit integers."""
+    x = (x ^ part) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _low(base: np.ndarray, key: np.ndarray, limit: int) -> np.ndarray:
+    """`_skipped` for arrays."""
+    x = (base ^ key) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) < np.uint64(limit)
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of `size` places from `first`: the places, and the run that each belongs to."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size - first, size), owner
+
+
 def _skipped(base: int, at: int, merged: int, limit: int) -> bool:
-    x = ((base ^ (at * 0xD1B54A32D192ED03 + merged)) * 0xBF58476D1CE4E5B9) & _M64
+    x = ((base ^ _key(at, merged)) * 0xBF58476D1CE4E5B9) & _M64
     return ((x ^ (x >> 31)) * 0x94D049BB133111EB) & _M64 < limit
 
 
@@ -85,9 +108,29 @@ class Pieces:
                 last = k
         return [*out, symbols[last:]]
 
-    def word(self, symbols: list[str], variant: int, limit: int, seed: int) -> list[int]:
+    def word(self, symbols: list[str], base: int, limit: int) -> list[int]:
         """Ids of one unit. A merge is skipped where its hash is below `limit` of 2^64."""
-        return (self._short if len(symbols) <= SHORT else self._long)(symbols, _hash(seed, variant), limit)
+        return (self._short if len(symbols) <= SHORT else self._long)(symbols, base, limit)
+
+    def trace(self, symbols: list[str], skipped: set[int]) -> tuple[list[int], list[int]]:
+        """Keys of the merges made, in turn, where those in `skipped` are left out, and the ids."""
+        rank, n, keys = self.rank.get, len(symbols), []
+        live: list[str] = list(symbols)
+        at, none = list(range(n)), len(self.score)
+        agenda = [rank(a + b, none) for a, b in pairwise(live)]
+        while agenda and (m := min(agenda)) != none:
+            k = agenda.index(m)
+            if (key := _key(at[k], m)) in skipped:
+                agenda[k] = none
+                continue
+            keys.append(key)
+            live[k] += live.pop(k + 1)
+            del at[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = rank(live[k] + live[k + 1], none)
+            if k:
+                agenda[k - 1] = rank(live[k - 1] + live[k], none)
+        return keys, self._ids(live)
 
     def _ids(self, live: list[str]) -> list[int]:
         out = []
@@ -150,15 +193,54 @@ class Pieces:
         return self._ids([s for s in live if s is not None])
 
 
+class States:
+    """States of units: the merges that come up after the last one skipped, and the ids if none of them is skipped."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.roots: dict[str, int] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.next: dict[int, int] = {}
+        self.unit: list[str] = []
+        self.above = array("q")
+        self.keys, self.key_ends, self.ids, self.id_ends = array("Q"), array("q", [0]), array("H"), array("q", [0])
+
+    def _add(self, unit: str, above: int, skipped: set[int], done: int) -> int:
+        keys, ids = self.pieces.trace(list(unit), skipped)
+        self.unit.append(unit)
+        self.above.append(above)
+        self.keys.extend(keys[done:])
+        self.key_ends.append(len(self.keys))
+        self.ids.extend(ids)
+        self.id_ends.append(len(self.ids))
+        return len(self.unit) - 1
+
+    def root(self, unit: str) -> int:
+        if (k := self.roots.get(unit)) is None:
+            k = self.roots[unit] = self._add(unit, -1, set(), 0)
+        return k
+
+    def after(self, state: int, skip: int) -> int:
+        """The state after the merge at place `skip` of this one's is skipped."""
+        if (k := self.next.get(state << 16 | skip)) is None:
+            edge, skipped, done, at = state << 16 | skip, set(), 0, state << 16 | skip
+            while at >= 0:
+                one, place = at >> 16, at & 0xFFFF
+                skipped.add(self.keys[self.key_ends[one] + place])
+                done += place
+                at = self.above[one]
+            k = self.next[edge] = self._add(self.unit[state], edge, skipped, done)
+        return k
+
+
 class DropoutEncoder:
-    """Encodes texts; the ids of words met before are kept by variant."""
+    """Encodes texts; states of units met before are kept."""
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 11, known: int = 400_000):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 11, known: int = 150_000):
         self.pieces, self.seed = Pieces(path), seed
         self.limit = int(dropout * 2**64)
-        self.variants = VARIANTS if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.most = known
+        self.states = States(self.pieces)
 
     def _units(self, word: str) -> list[str]:
         """A word with its marks, cut where no merge can join the neighbours; letters are left together."""
@@ -169,46 +251,51 @@ class DropoutEncoder:
             return [word[:-1], word[-1]]
         return ["".join(u) for u in self.pieces.units(list(word))] if word else []
 
-    def look_up(self, words: list[str], variant: int) -> list[bytes]:
-        """Ids (16-bit integers) of words whose spaces are marks."""
-        known = self.known[variant]
-        out = list(map(known.get, words))
-        for k, ids in enumerate(out):
-            if ids is None:
-                made = b""
-                for unit in self._units(words[k]) if words[k] else ():
-                    if (own := known.get(unit)) is None:
-                        own = array("H", self.pieces.word(list(unit), variant, self.limit, self.seed)).tobytes()
-                        if len(known) < self.most and len(unit) < 64:
-                            known[unit] = own
-                    made += own
-                out[k] = made
-        return out
-
-    def turns(self, doc_id: int) -> list[int]:
-        """The cycle of variants through which a document takes its words."""
-        x = _hash(self.seed, doc_id)
-        return [(x >> k & 0xFFFFFF) % self.variants for k in range(CYCLE)]
+    def _roots(self, word: str) -> tuple[int, ...]:
+        """States of a word's units; -1 - k for unit k if it is too long to be kept."""
+        if (own := self.states.words.get(word)) is None:
+            units = self._units(word) if word else []
+            own = tuple(self.states.root(u) if len(u) <= LONGEST else -1 - k for k, u in enumerate(units))
+            if len(word) <= LONGEST:
+                self.states.words[word] = own
+        return own
 
     def encode(self, text: str, doc_id: int) -> bytes:
         """Ids of one text of any kind as 16-bit integers."""
-        if not text:
-            return b""
-        out, turns = b"", cycle(self.turns(doc_id))
-        for w, v in zip(_WORD.findall(" " + text), turns, strict=False):  # the model puts a space first
+        out = array("H")
+        for place, w in enumerate(_WORD.findall(" " + text) if text else ()):  # the model puts a space first
             if MARK in w:
                 body = w.lstrip(" ")
-                symbols = [MARK] * (len(w) - len(body)) + [_LITERAL if c == MARK else c for c in body]
-                out += b"".join(array("H", self.pieces.word(u, v, self.limit, self.seed)).tobytes() for u in self.pieces.units(symbols))
+                units = self.pieces.units([MARK] * (len(w) - len(body)) + [_LITERAL if c == MARK else c for c in body])
             else:
-                out += self.look_up([w.replace(" ", MARK)], v)[0]
-        return out
+                units = map(list, self._units(w.replace(" ", MARK)))
+            for k, unit in enumerate(units):
+                out.extend(self.pieces.word(unit, _hash(self.seed, doc_id, place, k), self.limit))
+        return out.tobytes()
+
+    def _settle(self, state: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The last state of each occurrence."""
+        state, active = state.copy(), np.nonzero(state >= 0)[0]
+        while self.limit and len(active):
+            used, code = np.unique(state[active], return_inverse=True)
+            ends = np.frombuffer(self.states.key_ends, np.int64)
+            first, size = ends[used], ends[used + 1] - ends[used]
+            place, owner = _spans(np.zeros(len(active), np.int64), size[code])
+            low = np.nonzero(_low(base[active][owner], np.frombuffer(self.states.keys, np.uint64)[first[code][owner] + place], self.limit))[0]
+            del ends  # an array that is looked at cannot grow
+            low = low[np.concatenate([[True], owner[low][1:] != owner[low][:-1]])] if len(low) else low
+            active = active[owner[low]]
+            edges, code = np.unique(state[active] << 16 | place[low], return_inverse=True)
+            state[active] = np.array([self.states.after(e >> 16, e & 0xFFFF) for e in edges.tolist()], np.int64)[code]
+        return state
 
     def encode_many(self, texts: pa.StringArray, doc_ids: list[int]) -> list[np.ndarray]:
-        """Ids of each text. Words are cut, and equal ones found, in Arrow; each is looked up once a variant."""
+        """Ids of each text. Words are cut, and equal ones found, in Arrow; hashes are those of `encode`."""
+        if len(self.states.unit) > self.most:
+            self.states = States(self.pieces)
         rows = texts.to_pylist()
         plain = np.array([bool(t) and not (t[0] == " " or any(x in t for x in _ODD)) for t in rows], bool)
-        out = [np.frombuffer(b"" if p else self.encode(t, i), np.uint16) for t, i, p in zip(rows, doc_ids, plain, strict=True)]
+        out = [np.frombuffer(b"" if p else self.encode(t or "", i), np.uint16) for t, i, p in zip(rows, doc_ids, plain, strict=True)]
         own = np.nonzero(plain)[0]
         if not len(own):
             return out
@@ -216,26 +303,41 @@ class DropoutEncoder:
         cut = pc.split_pattern(pc.replace_substring(marked, " ", "\x01" + MARK), "\x01")
         coded = cut.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        edges = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        count = np.diff(edges)
-        cycles = np.array([self.turns(doc_ids[k]) for k in own], np.int32)
-        place = np.arange(len(at)) - np.repeat(edges[:-1], count)
-        code = at * self.variants + cycles[np.repeat(np.arange(len(own)), count), place % CYCLE]
-        used, code = np.unique(code, return_inverse=True)
-        found: list[bytes] = [b""] * len(used)
-        for v in range(self.variants):
-            mine = np.nonzero(used % self.variants == v)[0].tolist()
-            for k, ids in zip(mine, self.look_up([words[w] for w in (used[mine] // self.variants).tolist()], v), strict=True):
-                found[k] = ids
-        flat = np.frombuffer(b"".join(found), np.uint16)
-        size = np.fromiter(map(len, found), np.int32, len(found)) // 2
-        first = np.cumsum(size, dtype=np.int32) - size
-        n = size[code]
-        ends = np.cumsum(n, dtype=np.int32)
-        ids = flat[np.repeat(first[code] - ends + n, n) + np.arange(len(n) and ends[-1], dtype=np.int32)]
-        bounds = np.concatenate([[0], ends])[edges]
+        edges = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        roots = [self._roots(w) for w in words]
+        size = np.fromiter(map(len, roots), np.int64, len(roots))
+        first, flat = np.cumsum(size) - size, np.array([r for own in roots for r in own], np.int64)
+        filled = np.concatenate([[0], np.cumsum(size[at] > 0)])  # the empty words between line ends have no place
+        start = np.array([_hash(self.seed, doc_ids[k]) for k in own], np.uint64)
+        ends = np.zeros(len(at) + 1, np.int64)
+        made: list[np.ndarray] = []
+        owner = np.repeat(np.arange(len(own)), np.diff(edges))
+        for k in range(0, len(at), 1 << 16):
+            word, text = at[k : k + (1 << 16)], owner[k : k + (1 << 16)]
+            place = filled[k : k + len(word)] - filled[edges[text]]
+            spot, of = _spans(first[word], size[word])
+            nth = spot - first[word][of]
+            base = _hash_on(_hash_on(start[text], place.astype(np.uint64))[of], nth.astype(np.uint64))
+            state = self._settle(flat[spot], base)
+            loose = {j: self.pieces.word(list(self._units(words[word[of[j]]])[nth[j]]), int(base[j]), self.limit) for j in np.nonzero(state < 0)[0].tolist()}
+            if len(state):
+                tails, kept = np.frombuffer(self.states.id_ends, np.int64), np.frombuffer(self.states.ids, np.uint16)
+                good = np.maximum(state, 0)
+                n = np.where(state < 0, 0, tails[good + 1] - tails[good])
+                ids = kept[_spans(tails[good], n)[0]]
+                del tails, kept
+                if loose:
+                    cuts, n = np.cumsum(n), n.copy()
+                    ids = np.concatenate([x for j, prev in zip([*loose, None], [0, *(cuts[j] for j in loose)], strict=True) for x in ((ids[prev : cuts[j]], np.array(loose[j], np.uint16)) if j is not None else (ids[prev:],))])
+                    for j, x in loose.items():
+                        n[j] = len(x)
+                made.append(ids)
+                ends[k + 1 : k + 1 + len(word)] = np.bincount(of, n, len(word)).astype(np.int64)
+        ends = np.cumsum(ends)
+        whole = np.concatenate(made) if made else np.zeros(0, np.uint16)
+        bounds = ends[edges]
         for k, s, e in zip(own, bounds[:-1], bounds[1:], strict=True):
-            out[k] = ids[s:e]
+            out[k] = whole[s:e]
         return out
 
 
@@ -261,7 +363,7 @@ def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: in
                 held = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())) if as_array else pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), held], names=["doc_id", "ids"])
 
-    small_batches(docs.sparkSession, "8m")
+    small_batches(docs.sparkSession, "2m")
     return docs.select("doc_id", whole_text("text")).mapInArrow(run, f"doc_id long, ids {'array<int>' if as_array else 'binary'}")
 
 
