@@ -6,8 +6,8 @@ one top node (equal chosen fields) only. Below it they are sorted by Gray rank;
 shared bits are factored into a mask and a value, and runs of nodes form upper nodes in the same way. Two nodes are
 compared from the top: differences on bits that both share add up on the way down, and a pair of whole groups is left
 as soon as the sum passes r. Pairs of groups already linked to one component are left too, so that a dense group costs
-no work for all its pairs. A top node with very many fingerprints is cut along the Gray order, and each pair of cuts
-is a task of its own.
+no work for all its pairs. A top node with very many fingerprints is cut along the Gray order into as many chunks as
+its size asks for, and each pair of chunks that may hold a link is a task of its own.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.frames import Stored
+from quarry.llm.ranges import with_running_start
 
 LEAF, FAN = 32, 16
+KEY = ["choice", "field"]
 
 
 def _find(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -190,7 +192,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         u, v = (np.concatenate(z).view(np.int64) for z in zip(*pairs, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    kind = np.dtype([("choice", "i4"), ("field", "i8"), ("low", "i4"), ("high", "i4"), ("side", "i4"), ("print", "u8")])
+    kind = np.dtype([("choice", "i4"), ("field", "i8"), ("low", "i8"), ("high", "i8"), ("side", "i4"), ("print", "u8")])
 
     def groups(rows: np.ndarray) -> np.ndarray:
         change = np.zeros(len(rows), bool)
@@ -214,6 +216,25 @@ def _link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         yield out([links(held[0])])
 
 
+def _cut_rows(rows: DataFrame, radius: int, cut: int) -> DataFrame:
+    """Rows of large top nodes by pair of chunks (low, high). A chunk is a run of at most `cut` rows in Gray order.
+
+    A chunk is a node as those of `GrayIndex` are: pairs of chunks whose shared bits differ in more than `radius` places
+    are left before any row is copied.
+    """
+    numbered = with_running_start(rows.withColumn("one", F.lit(1).cast("long")), [*KEY, "rank"], "one", "place")
+    placed = Stored(numbered.select(*KEY, "print", "rank", F.floor(F.col("place") / cut).alias("chunk")), "chunks").df
+    nodes = placed.groupBy(*KEY, "chunk").agg(F.bit_and("print").alias("same"), F.bit_or("print").alias("some"))
+    nodes = Stored(nodes.select(*KEY, "chunk", "same", F.bitwise_not(F.col("same").bitwiseXOR(F.col("some"))).alias("mask")), "nodes").df
+    left, right = (nodes.select(*KEY, *(F.col(c).alias(c + end) for c in ("chunk", "same", "mask"))) for end in ("_l", "_r"))
+    apart = F.bit_count(F.col("same_l").bitwiseXOR(F.col("same_r")).bitwiseAND(F.col("mask_l")).bitwiseAND(F.col("mask_r")))
+    pairs = left.join(right, KEY).where((F.col("chunk_l") <= F.col("chunk_r")) & (apart <= radius))
+    pairs = Stored(pairs.select(*KEY, F.col("chunk_l").alias("low"), F.col("chunk_r").alias("high")), "chunk-pairs").df
+    first = placed.withColumnRenamed("chunk", "low").join(pairs, [*KEY, "low"]).withColumn("side", F.lit(0))
+    second = placed.withColumnRenamed("chunk", "high").join(pairs.where(F.col("low") < F.col("high")), [*KEY, "high"]).withColumn("side", F.lit(1))
+    return first.unionByName(second).select(*KEY, "print", "rank", "low", "high", "side")
+
+
 def hamming_links(prints: DataFrame, radius: int = 4, cut: int = 16384) -> DataFrame:
     """prints(print long, without repeats) to links (u, v) whose connected components are those of all links."""
     n = prints.count()
@@ -221,20 +242,11 @@ def hamming_links(prints: DataFrame, radius: int = 4, cut: int = 16384) -> DataF
     rows = prints.select("print", F.explode(F.array(*choices)).alias("c")).select("print", "c.*")
     turned = F.expr("(print << first) | CASE WHEN first = 0 THEN 0L ELSE (print >>> (64 - first)) END")
     rows = rows.withColumn("rank", gray_rank(turned)).drop("first")
-    key = ["choice", "field"]
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    large = Stored(sizes.where(F.col("n") > cut), "large")
+    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    large = Stored(sizes.where(F.col("n") > cut).select(*KEY), "large")
+    whole = rows.select(*KEY, "print", "rank", *(F.lit(0).cast("long").alias(c) for c in ("low", "high")), F.lit(0).alias("side"))
     if large.df.limit(1).count():
-        hot = rows.join(large.df, key)
-        share = hot.groupBy(*key).agg(F.max("n").alias("n"), F.percentile_approx("rank", [i / 64 for i in range(1, 64)], 10000).alias("cuts"))
-        cuts = Stored(share.withColumn("cuts", F.expr("array_distinct(filter(transform(sequence(1, cast(ceil(n / %d) as int)), i -> cuts[cast(i * 64 / (cast(ceil(n / %d) as int) + 1) as int) - 1]), c -> c is not null))" % (cut, cut))), "cuts")
-        rows = rows.join(cuts.df.drop("n"), key, "left")
-        mine = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("rank"))), F.lit(0))
-        rows = rows.withColumn("chunk", F.when(F.col("cuts").isNull(), 0).otherwise(mine)).withColumn("chunks", F.when(F.col("cuts").isNull(), 1).otherwise(F.size("cuts") + 1))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.select(*key, "print", "rank", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"))
-    else:
-        rows = rows.select(*key, "print", "rank", *(F.lit(0).alias(c) for c in ("low", "high", "side")))
-    task = [*key, "low", "high"]
-    rows = rows.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), *task).sortWithinPartitions(*task, "side", "rank")
-    return rows.select(*task, "side", "print").mapInArrow(lambda it: _link_batches(it, radius), "u long, v long")
+        whole = whole.join(large.df, KEY, "left_anti").unionByName(_cut_rows(rows.join(large.df, KEY, "left_semi"), radius, cut))
+    task = [*KEY, "low", "high"]
+    whole = whole.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), *task).sortWithinPartitions(*task, "side", "rank")
+    return whole.select(*task, "side", "print").mapInArrow(lambda it: _link_batches(it, radius), "u long, v long")

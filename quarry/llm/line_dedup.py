@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import SPACE, Stored, ascii_lower, carried, stored, whole_text
+from quarry.llm.frames import SPACE, Stored, ascii_lower, carried, delete_path, shared_dir, stored, whole_text
 
 HASH = ["h1", "h2"]
 
@@ -26,7 +26,10 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs. `unseen` is the merge anti-join, `add` appends a run and compacts full levels."""
+    """The levelled runs. `flag` is the merge join with all of them, `add` appends a run and compacts full levels.
+
+    A run is an external table: its files lie in the shared folder, whatever the warehouse setting is.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout, self.levels = spark, fanout, {}
@@ -45,9 +48,16 @@ class LineRuns:
 
     def _write(self, hashes: DataFrame) -> str:
         name = f"quarry_run_{uuid.uuid4().hex}"
-        hashes.repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).format("parquet").saveAsTable(name)
+        hashes.repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).format("parquet").option("path", self._path(name)).saveAsTable(name)
         return name
 
+    def _path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{name}"
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(self.spark, self._path(name))
+
     def add(self, hashes: DataFrame) -> None:
         self.levels.setdefault(0, []).append(self._write(hashes.select(*HASH)))
         level = 0
@@ -58,12 +68,12 @@ class LineRuns:
             self.levels.setdefault(level + 1, []).append(self._write(merged))
             self.levels[level] = []
             for name in full:
-                self.spark.sql(f"DROP TABLE {name}")
+                self._drop(name)
             level += 1
 
     def close(self) -> None:
         for name in self.runs():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._drop(name)
         self.levels = {}
 
 

@@ -1,10 +1,16 @@
 """Near copies by the Jaccard similarity of word shingles: every pair at 4/5 or more is found, and its sets are compared.
 
-A text is the set of its shingles of `width` words (XXH64 hashes). In any order that holds for all texts, two sets of
-Jaccard 4/5 share a shingle among the first n - ceil(4n/5) + 1 of each, so texts meet on those only. Common shingles
-come last in that order; which are listed as common decides the work, never the result. Groups of texts at one shingle
-up to `SMALL` give all their pairs. From larger ones each text is first compared with two of its group; then all pairs
-whose texts are not in one component yet are compared.
+A text is the set of its shingles of `width` words (XXH64 hashes). First the Gray-order index of `hamming` links texts
+whose SimHash fingerprints over that set are within `radius` bits. Fingerprints that near miss many pairs at 4/5, so a
+prefix filter finds the rest: in any order that holds for all texts, two sets of Jaccard 4/5 share a shingle among the
+first n - ceil(4n/5) + 1 of each, and texts meet on those only. Common shingles come last in that order; which are
+listed as common decides the work, never the result. Groups of texts at one shingle up to `SMALL` give all their pairs.
+From larger ones each text is first compared with two of its group; then all pairs whose texts are not in one component
+yet are compared.
+
+No pair is linked unseen. A pair already in one component is left. For others odd sketches are compared: a set's
+shingles fall on a power of two of bits, and a bit says whether an odd number did. Two sketches cannot differ in more
+bits than the sets differ in shingles, so what is dropped here is never a link. What remains has its sets compared.
 
 Defined results: texts without words are copies of each other; fewer words than a shingle make one shingle.
 """
@@ -20,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.frames import small_batches, stored, whole_text
+from quarry.llm.frames import Stored, small_batches, stored, whole_text
+from quarry.llm.hamming import hamming_links
 from quarry.llm.simhash import word_slabs
 
 SMALL, COMMON = 32, 100_000
@@ -53,6 +60,30 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * len(both))
 
 
+def set_print(own: np.ndarray) -> int:
+    """SimHash of a set: a bit is 1 if it is in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(own), 1 << 16):
+        ones += np.unpackbits(own[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big", signed=True)
+
+
+def odd_sketch(own: np.ndarray) -> bytes:
+    """One bit for each place of 2^k >= n: whether an odd number of shingles falls there."""
+    m = 1 << max(6, (len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ; the longer is folded to the other's length. Never more than the sets differ in."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts hold, ascending, and about how often."""
 
@@ -79,17 +110,21 @@ def in_order(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def _postings(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, digest of every row, and for each digest of a batch the shingles h at place `at` of n on which it meets others."""
+    """doc_id, digest, number of shingles n of every row, its sketch and fingerprint with a digest's first row of a batch;
+    and for each digest of a batch the shingles h at place `at` of n on which it meets others."""
     common = _common(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, digests, hs, sizes, seen, at, size = b.column(0).to_pylist(), [], [], [], {}, [], []
+            docs, digests, hs, own_n, seen, at, size, sketches, prints = b.column(0).to_pylist(), [], [], [], {}, [], [], [], []
             for t in b.column(1).to_pylist():
                 own = shingles(t.encode(), width)
                 digests.append(d := set_digest(own))
-                if d not in seen and len(own):
-                    first = in_order(own, common)[: len(own) - -(-4 * len(own) // 5) + 1]
+                own_n.append(len(own))
+                sketches.append(None if d in seen else odd_sketch(own))
+                prints.append(None if d in seen else set_print(own))
+                if d not in seen:
+                    first = in_order(own, common)[: len(own) - -(-4 * len(own) // 5) + 1] if len(own) else own
                     seen[d] = len(first)
                     hs.append(first)
                     at.append(np.arange(len(first), dtype=np.int32))
@@ -98,11 +133,12 @@ def _postings(docs: DataFrame, width: int) -> DataFrame:
             none = np.zeros(n, np.int32)
             keyed = np.repeat(np.array(list(seen), np.int64), np.array(list(seen.values()), np.int64))
             cols = [pa.array(docs + [None] * m, pa.int64()), pa.array(np.concatenate([np.array(digests, np.int64), keyed]))]
-            cols += [pa.array(np.concatenate([np.zeros(n, np.int64), *(h.view(np.int64) for h in hs)])), pa.array(np.concatenate([none, *at])), pa.array(np.concatenate([none, *size]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "h", "at", "n"])
+            cols += [pa.array(np.concatenate([np.zeros(n, np.int64), *(h.view(np.int64) for h in hs)])), pa.array(np.concatenate([none, *at])), pa.array(np.concatenate([np.array(own_n, np.int32), *size]))]
+            cols += [pa.array(sketches + [None] * m, pa.binary()), pa.array(prints + [None] * m, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "h", "at", "n", "sketch", "print"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", whole_text("text")).mapInArrow(run, "doc_id long, digest long, h long, at int, n int")
+    return docs.select("doc_id", whole_text("text")).mapInArrow(run, "doc_id long, digest long, h long, at int, n int, sketch binary, print long")
 
 
 def _near(at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -188,6 +224,34 @@ def _pairs(rows: DataFrame, whole: bool, small: int) -> DataFrame:
     return met.mapInArrow(lambda it: _meet(it, whole, small), "again boolean, h long, a long, b long, at long, n long")
 
 
+def _possible(pairs: DataFrame, each: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Of pairs (a, b) those not in one component of `roots` yet whose sketches allow a Jaccard of 4/5."""
+    if roots is not None:
+        left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
+        named = pairs.join(left, "a", "left").join(right, "b", "left")
+        pairs = named.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, x, y = ((b.column(2).to_numpy() + b.column(3).to_numpy()).tolist(), *(b.column(k).to_pylist() for k in (4, 5)))
+            ok = [9 * apart(u, v) <= size for u, v, size in zip(x, y, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (each.select(F.col("digest").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").where(9 * F.least("a_n", "b_n") >= 4 * (F.col("a_n") + F.col("b_n")))
+    return both.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(check, "a long, b long")
+
+
+def _printed(each: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of digests with equal fingerprints, by their smallest, or fingerprints within `radius` bits."""
+    heads = stored(each.groupBy("print").agg(F.min("digest").alias("head")), "heads")
+    equal = each.join(heads, "print").where(F.col("digest") > F.col("head")).select(F.col("head").alias("a"), F.col("digest").alias("b"))
+    links = hamming_links(heads.select("print"), radius)
+    for c in ("u", "v"):
+        links = links.join(heads.select(F.col("print").alias(c), F.col("head").alias(f"{c}_head")), c)
+    return equal.unionByName(links.select(F.least("u_head", "v_head").alias("a"), F.greatest("u_head", "v_head").alias("b")).distinct())
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, each: DataFrame, width: int) -> DataFrame:
     """Of pairs (a, b) those whose sets are similar, as u, v."""
 
@@ -203,29 +267,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, each: DataFrame, width: int) ->
 
     needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
     texts = docs.select("doc_id", whole_text("text").alias("text")).join(each.join(needed, "digest").select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    own = stored(texts.select("text").mapInArrow(sets, "digest long, own binary").groupBy("digest").agg(F.first("own").alias("own")), "sets")
-    both = pairs.join(own.select(F.col("digest").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("digest").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "u long, v long")
+    own = Stored(texts.select("text").mapInArrow(sets, "digest long, own binary").groupBy("digest").agg(F.first("own").alias("own")), "sets")
+    left, right = (own.df.select(F.col("digest").alias(c), F.col("own").alias(f"{c}_own")) for c in ("a", "b"))
+    links = Stored(pairs.join(left, "a").join(right, "b").select("a", "b", "a_own", "b_own").mapInArrow(check, "u long, v long"), "links")
+    own.drop()
+    return links.df
 
 
-def near_copies(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, small: int = SMALL, radius: int = 4) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs of Jaccard 4/5 or more); doc_id must not be null."""
     small_batches(docs.sparkSession)
     made = stored(_postings(docs, width), "postings")
-    prints = made.where(F.col("doc_id").isNotNull()).select("doc_id", "digest")
-    each = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("least")), "distinct")
-    rows = made.where(F.col("doc_id").isNull()).select("h", "digest", "at", "n", F.lit(0).cast("long").alias("root"))
-    met = stored(_pairs(rows, False, small), "met")
-    pairs = stored(met.where(~F.col("again")).select("a", "b").distinct(), "pairs")
-    links = stored(_verified(pairs, docs, each, width), "links")
+    rows = made.where(F.col("doc_id").isNotNull())
+    prints = rows.select("doc_id", "digest")
+    each = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"), F.first("print", True).alias("print")), "distinct")
+    links = _verified(stored(_possible(_printed(each, radius), each), "printed"), docs, each, width)
+    roots = stored(components(links), "roots")
+    met = Stored(_pairs(made.where(F.col("doc_id").isNull()).select("h", "digest", "at", "n", F.lit(0).cast("long").alias("root")), False, small), "met")
+    pairs = Stored(met.df.where(~F.col("again")).select("a", "b").distinct(), "pairs")
+    links = links.unionByName(_verified(stored(_possible(pairs.df, each, roots), "possible"), docs, each, width))
     roots = stored(components(links), "roots")
-    large = met.where("again").select("h", F.col("a").alias("digest"), "at", "n")
+    large = met.df.where("again").select("h", F.col("a").alias("digest"), "at", "n")
     if large.limit(1).count():
         named = large.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        more = _pairs(named, True, small).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = stored(more, "pairs")
-        links = stored(links.unionByName(_verified(more, docs, each, width)), "links")
+        more = _pairs(named, True, small).select("a", "b").distinct().join(pairs.df, ["a", "b"], "left_anti")
+        links = links.unionByName(_verified(stored(_possible(more, each), "possible"), docs, each, width))
         roots = stored(components(links), "roots")
+    met.drop()
+    pairs.drop()
     named = each.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")

@@ -1,32 +1,43 @@
 """Sharding over fixed virtual slots, in DataFrame operations only.
 
 A record's virtual slot is a hash of its id and text over a fixed number of slots. Bytes and rows are summed by slot,
-the slots are dealt to shards so that bytes come out near equal, and the map is kept under a version. Rebalancing
-edits the map: only slots that have to move change their shard. The map has `SLOTS` rows at any input size.
+the slots are dealt to shards so that bytes come out near equal, and the map is stored under a version; rows are placed
+from the map as it is read back. Rebalancing edits the map: only slots that have to move change their shard. The map
+has `SLOTS` rows at any input size.
 
-Defined results: null text has no bytes; null ids and repeated rows are records as any other; an empty table gives
-an empty result. Columns other than the id are left out.
+Defined results: null text has no bytes; null ids are records as any other; equal rows are dealt evenly over slots from
+the one their hash names, so that a row repeated without end still leaves shards near equal; an empty table gives an
+empty result. Columns other than the id are left out.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import stored, whole_text
+from quarry.llm.frames import shared_dir, stored, whole_text
 
 SLOTS = 4096
 MAP_SCHEMA = "version int, slot int, shard int, rows long, bytes long"
 
 
 def records(docs: DataFrame, slots: int = SLOTS, overhead: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, vslot and how many equal records there are: equal rows meet before any shuffle."""
+    """doc_id, size, text_crc32, tag, vslot and how many equal records lie there.
+
+    Equal rows meet before any shuffle; their count is then split evenly over as many slots as there are copies, all
+    slots at most.
+    """
     text = whole_text("text")
     rows = docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("tag"))
-    rows = rows.groupBy("doc_id", "size", "text_crc32", "tag").agg(F.count(F.lit(1)).alias("copies"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(slots)).cast("int"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32", "tag").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.least("n", F.lit(slots))
+    rows = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    copies = F.floor(F.col("n") / F.col("parts")) + F.when(F.col("part") < F.col("n") % F.col("parts"), 1).otherwise(0)
+    vslot = F.pmod(F.xxhash64("doc_id", "tag") % slots + F.col("part"), F.lit(slots)).cast("int")
+    return rows.select("doc_id", "size", "text_crc32", "tag", copies.alias("copies"), vslot.alias("vslot"))
 
 
 def slot_totals(recs: DataFrame) -> DataFrame:
@@ -85,29 +96,31 @@ class SlotMap:
     def save(self, spark: SparkSession, path: str) -> None:
         self.frame(spark).write.mode("overwrite").parquet(f"{path}/version={self.version}")
 
+    @staticmethod
+    def stored_frame(spark: SparkSession, path: str, version: int) -> DataFrame:
+        return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
-        rows = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}").collect()
+        rows = cls.stored_frame(spark, path, version).collect()
         return cls({r["slot"]: r["shard"] for r in rows}, 1 + max(r["shard"] for r in rows), version, {r["slot"]: (r["rows"], r["bytes"]) for r in rows if r["rows"]})
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (place in the shard, gapless from 0) and vslot, one row per row of docs.
 
-    Places come from running counts inside each virtual slot plus the slot's start in its shard, so that no task sees
-    more than a virtual slot.
+    The map is written below `maps` (default: a new folder beside other intermediate tables) as version 0. Places come
+    from running counts inside each virtual slot plus the slot's start in its shard, so that no task sees more than a
+    virtual slot.
     """
     spark = docs.sparkSession
+    maps = maps or f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}"
     recs = stored(records(docs, slots), "records")
-    slot_map = SlotMap.build(slot_totals(recs), shards, slots)
-    starts, at = [], [0] * shards
-    for s in range(slots):
-        h = slot_map.shard[s]
-        starts.append((s, h, at[h]))
-        at[h] += slot_map.totals.get(s, (0, 0))[0]
-    placed = recs.join(F.broadcast(spark.createDataFrame(starts, "vslot int, shard int, first long")), "vslot")  # `slots` rows
-    from pyspark.sql import Window
-
+    SlotMap.build(slot_totals(recs), shards, slots).save(spark, maps)
+    stored_map = SlotMap.stored_frame(spark, maps, 0)
+    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # `slots` rows in all
+    starts = stored_map.select(F.col("slot").alias("vslot"), "shard", "rows").withColumn("first", F.sum("rows").over(before) - F.col("rows"))
+    placed = recs.join(F.broadcast(starts.drop("rows")), "vslot")  # `slots` rows
     w = Window.partitionBy("vslot").orderBy("doc_id", "tag", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("place", F.col("first") + F.sum("copies").over(w) - F.col("copies"))
     placed = placed.withColumn("slot", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("copies") - 1)))

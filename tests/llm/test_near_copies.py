@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -65,3 +66,13 @@ def test_the_stage_drops_a_copy_with_one_word_changed(spark, sf_dir):
     want = {i for i, c in brute([(5, " ".join(words)), (7, " ".join(changed)), (9, " ".join(far))]).items() if i == c}
     assert sorted((r.doc_id is None, r.doc_id) for r in left) == sorted([(True, None), *((False, i) for i in want)])
     assert 7 not in want
+
+
+def test_sketches_never_part_a_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 60, 70, 500, 5000):
+        for _ in range(20):
+            both = rng.integers(0, 2**63, n, dtype=np.uint64)
+            a = np.unique(np.concatenate([both, rng.integers(0, 2**63, int(rng.integers(0, n)), dtype=np.uint64)]))
+            b = np.unique(np.concatenate([both, rng.integers(0, 2**63, int(rng.integers(0, 3 * n)), dtype=np.uint64)]))
+            assert near_copies.apart(near_copies.odd_sketch(a), near_copies.odd_sketch(b)) <= len(np.setxor1d(a, b))

@@ -131,12 +131,13 @@ def test_gray_index_finds_every_component(shape):
     assert got == want
 
 
-def test_large_groups_are_cut_without_losing_links(spark):
+@pytest.mark.parametrize("cut", [4, 40])
+def test_large_groups_are_cut_without_losing_links(spark, cut):
     rng = random.Random(8)
     base = 0x1234_5678_9ABC_DEF0
     prints = list({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(500)})
     frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "print long")
-    links = hamming.hamming_links(frame, 4, cut=40)
+    links = hamming.hamming_links(frame, 4, cut=cut)
     got = {r.node % 2**64: r.root for r in components(links).collect()}
     label = {p: p for p in prints}
     for _ in prints:
@@ -305,3 +306,34 @@ def test_native_operators_run_no_python(docs):
 def test_scan_reads_only_what_it_needs(spark, sf_dir):
     frame = sharding.records(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shards_stay_even_when_a_third_of_rows_are_equal(spark):
+    rng = random.Random(4)
+    frame = spark.createDataFrame([(i, "t" * rng.randint(0, 200)) for i in range(2000)] + [(7, "hot row " * 6)] * 1000, "doc_id long, text string")
+    out = sharding.shard_documents(frame, shards=6).collect()
+    load, places = Counter(), defaultdict(list)
+    for r in out:
+        load[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert len(out) == 3000 and max(load.values()) < 1.05 * min(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_rows_are_placed_by_the_stored_map(spark, docs, tmp_path):
+    out = sharding.shard_documents(docs, shards=5, maps=str(tmp_path)).collect()
+    first = sharding.SlotMap.load(spark, str(tmp_path), 0)
+    assert all(first.shard[r.vslot] == r.shard for r in out)
+    grown = first.rebalanced(sharding.slot_totals(sharding.records(docs)), 6)
+    grown.save(spark, str(tmp_path))
+    again = sharding.SlotMap.load(spark, str(tmp_path), 1)
+    assert again.shard == grown.shard and again.shards == 6
+    assert {again.shard[s] for s in first.shard if again.shard[s] != first.shard[s] and first.totals.get(s)} <= {5, *range(5)}
+
+
+def test_line_runs_do_not_use_the_warehouse(spark, docs):
+    runs = line_dedup.LineRuns(spark)
+    runs.add(line_dedup._lines(docs, 10).select("h1", "h2").distinct())
+    where = spark.sql(f"DESCRIBE EXTENDED {runs.runs()[0]}").where("col_name = 'Location'").first().data_type
+    runs.close()
+    assert spark.conf.get("spark.checkpoint.dir") in where
