@@ -3,8 +3,8 @@
 Candidate merges wait in an agenda by the model's scores. When one comes up, a hash keyed by the seed, the document,
 the word's place in it, its place in the word and the merged piece decides whether it is skipped; a skipped candidate
 never comes back. With dropout 0 the result is the model's own segmentation. Every occurrence of a word has hashes of
-its own. What is kept is work, not results of hashes: a state of a unit is the set of merges skipped so far, with the
-merges that then come up; all hashes of an occurrence are compared in numpy, and its first skip leads to the next state.
+its own and an agenda of its own: numpy works through the agendas of thousands of words of one length at once, and
+nothing is kept from one batch to the next but the vocabulary.
 
 Defined results: null or empty text has no ids. Text is restored exactly: what the vocabulary lacks, and the mark that
 stands for a space inside pieces, go through byte pieces. Rows with null or repeated ids are encoded like others; any
@@ -30,7 +30,8 @@ from quarry.llm.frames import map_rows, small_batches, whole_text
 MARK = "▁"
 _LITERAL = "\0" + MARK  # a mark in the text itself; never part of a piece
 _M64 = (1 << 64) - 1
-SHORT, LONGEST = 48, 256
+SHORT, LONGEST, ROWS = 48, 32, 8192
+_NONE = np.int32(2**31 - 1)
 _ODD = ("  ", " \n", "\x01", MARK)
 _WORD = re.compile(r" *[^ \n]+| *\n| +")
 
@@ -43,8 +44,11 @@ def _hash(*parts: int) -> int:
     return x
 
 
+_PLACE = 0xD1B54A32D192ED03
+
+
 def _key(at: int, merged: int) -> int:
-    return (at * 0xD1B54A32D192ED03 + merged) & _M64
+    return (at * _PLACE + merged) & _M64
 
 
 def _hash_on(x: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -59,12 +63,6 @@ def _low(base: np.ndarray, key: np.ndarray, limit: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) < np.uint64(limit)
 
 
-def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of `size` places from `first`: the places, and the run that each belongs to."""
-    owner = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size - first, size), owner
-
-
 def _skipped(base: int, at: int, merged: int, limit: int) -> bool:
     x = ((base ^ _key(at, merged)) * 0xBF58476D1CE4E5B9) & _M64
     return ((x ^ (x >> 31)) * 0x94D049BB133111EB) & _M64 < limit
@@ -94,44 +92,13 @@ class Pieces:
                 self.raw.append(piece.replace(MARK, " ").encode())
         if len(self.bytes_at) != 256:
             raise ValueError("the model has no byte pieces")
-        #: neighbours inside some piece; no merge joins any others
-        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         order = {x: k for k, x in enumerate(sorted(set(self.score)))}
         self.rank = {p: order[self.score[i]] for p, i in self.ids.items()}
 
-    def units(self, symbols: list[str]) -> list[list[str]]:
-        """The word cut where no merge can join the neighbours."""
-        out, last = [], 0
-        for k in range(1, len(symbols)):
-            if symbols[k - 1][-1] + symbols[k][0] not in self.joined:
-                out.append(symbols[last:k])
-                last = k
-        return [*out, symbols[last:]]
-
     def word(self, symbols: list[str], base: int, limit: int) -> list[int]:
         """Ids of one unit. A merge is skipped where its hash is below `limit` of 2^64."""
         return (self._short if len(symbols) <= SHORT else self._long)(symbols, base, limit)
 
-    def trace(self, symbols: list[str], skipped: set[int]) -> tuple[list[int], list[int]]:
-        """Keys of the merges made, in turn, where those in `skipped` are left out, and the ids."""
-        rank, n, keys = self.rank.get, len(symbols), []
-        live: list[str] = list(symbols)
-        at, none = list(range(n)), len(self.score)
-        agenda = [rank(a + b, none) for a, b in pairwise(live)]
-        while agenda and (m := min(agenda)) != none:
-            k = agenda.index(m)
-            if (key := _key(at[k], m)) in skipped:
-                agenda[k] = none
-                continue
-            keys.append(key)
-            live[k] += live.pop(k + 1)
-            del at[k + 1], agenda[k]
-            if k < len(agenda):
-                agenda[k] = rank(live[k] + live[k + 1], none)
-            if k:
-                agenda[k - 1] = rank(live[k - 1] + live[k], none)
-        return keys, self._ids(live)
-
     def _ids(self, live: list[str]) -> list[int]:
         out = []
         for s in live:
@@ -193,106 +160,120 @@ class Pieces:
         return self._ids([s for s in live if s is not None])
 
 
-class States:
-    """States of units: the merges that come up after the last one skipped, and the ids if none of them is skipped."""
+class Table:
+    """What two neighbouring pieces merge into, for arrays of ids: an open table over pairs of ids."""
+
+    BITS = 20
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self.roots: dict[str, int] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.next: dict[int, int] = {}
-        self.unit: list[str] = []
-        self.above = array("q")
-        self.keys, self.key_ends, self.ids, self.id_ends = array("Q"), array("q", [0]), array("H"), array("q", [0])
-
-    def _add(self, unit: str, above: int, skipped: set[int], done: int) -> int:
-        keys, ids = self.pieces.trace(list(unit), skipped)
-        self.unit.append(unit)
-        self.above.append(above)
-        self.keys.extend(keys[done:])
-        self.key_ends.append(len(self.keys))
-        self.ids.extend(ids)
-        self.id_ends.append(len(self.ids))
-        return len(self.unit) - 1
-
-    def root(self, unit: str) -> int:
-        if (k := self.roots.get(unit)) is None:
-            k = self.roots[unit] = self._add(unit, -1, set(), 0)
-        return k
-
-    def after(self, state: int, skip: int) -> int:
-        """The state after the merge at place `skip` of this one's is skipped."""
-        if (k := self.next.get(state << 16 | skip)) is None:
-            edge, skipped, done, at = state << 16 | skip, set(), 0, state << 16 | skip
-            while at >= 0:
-                one, place = at >> 16, at & 0xFFFF
-                skipped.add(self.keys[self.key_ends[one] + place])
-                done += place
-                at = self.above[one]
-            k = self.next[edge] = self._add(self.unit[state], edge, skipped, done)
-        return k
+        ids = pieces.ids
+        split = [(ids[p[:k]], ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        if len(split) * 3 > 1 << self.BITS or len(pieces.score) > 1 << 16:
+            raise ValueError("the vocabulary is too large for the table")
+        left, right, into = (np.array(x, np.int64) for x in zip(*split, strict=True))
+        self.keys, self.into = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, -1, np.int32)
+        key = left << 16 | right
+        at = self._place(key)
+        while len(key):  # of those that want one place the first has it, the others move on
+            free = self.keys[at] < 0
+            _, first = np.unique(at, return_index=True)
+            mine = np.zeros(len(key), bool)
+            mine[first] = True
+            mine &= free
+            self.keys[at[mine]], self.into[at[mine]] = key[mine], into[mine]
+            key, into, at = key[~mine], into[~mine], (at[~mine] + 1) & ((1 << self.BITS) - 1)
+        #: rank by id; the last stands for no piece
+        self.rank = np.full(len(pieces.score) + 1, _NONE, np.int32)
+        self.rank[list(ids.values())] = [pieces.rank[p] for p in ids]
+        #: id of a character that is a piece, else -1
+        self.chars = np.full(0x110000, -1, np.int32)
+        one = {ord(p): i for p, i in ids.items() if len(p) == 1}
+        self.chars[list(one)] = list(one.values())
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of the piece that the two make, or -1."""
+        key = left.astype(np.int64) << 16 | right
+        at = self._place(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.into[at], np.int32(-1))
+        on = np.nonzero((found != key) & (found >= 0))[0]
+        while len(on):
+            at[on] = (at[on] + 1) & ((1 << self.BITS) - 1)
+            found = self.keys[at[on]]
+            hit = found == key[on]
+            out[on[hit]] = self.into[at[on[hit]]]
+            on = on[~hit & (found >= 0)]
+        return out
+
+    def agenda(self, symbols: np.ndarray, base: np.ndarray, limit: int) -> np.ndarray:
+        """Words of one length as rows of ids: the ids that are left at their first places, -1 elsewhere."""
+        n, width = symbols.shape
+        out = np.empty_like(symbols)
+        if width == 1:
+            return symbols
+        sym, rank = symbols.copy(), np.full((n, width), _NONE, np.int32)
+        rank[:, :-1] = self.rank[self.merged(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())].reshape(n, -1)
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
+        row = np.arange(n)
+        while True:
+            k = rank.argmin(axis=1)
+            start = np.arange(len(row)) * width
+            m = rank.reshape(-1)[start + k]
+            live = m != _NONE
+            left = np.count_nonzero(live)
+            if left < 0.75 * len(row) or not left:
+                out[row[~live]] = sym[~live]
+                sym, rank, after, before, row, base, k, m = (x[live] for x in (sym, rank, after, before, row, base, k, m))
+                if not len(row):
+                    return out
+                start = np.arange(len(row)) * width
+                on = np.arange(len(row))
+            else:
+                on = np.nonzero(live)[0]
+            k, m = k[on], m[on]
+            start = start[on]
+            flat_sym, flat_rank, flat_after, flat_before = (x.reshape(-1) for x in (sym, rank, after, before))
+            if limit:
+                skip = _low(base[on], k.astype(np.uint64) * np.uint64(_PLACE) + m.astype(np.uint64), limit)
+                flat_rank[(start + k)[skip]] = _NONE
+                k, start = k[~skip], start[~skip]
+            at = start + k
+            gone = start + flat_after[at]
+            made = flat_sym[at] = self.merged(flat_sym[at], flat_sym[gone])
+            flat_sym[gone], flat_rank[gone], flat_rank[at] = -1, _NONE, _NONE
+            then = flat_after[at] = flat_after[gone]
+            more = then < width
+            right = (start + then)[more]
+            flat_before[right] = k[more]
+            flat_rank[at[more]] = self.rank[self.merged(made[more], flat_sym[right])]
+            past = flat_before[at]
+            more = past >= 0
+            left_at = (start + past)[more]
+            flat_rank[left_at] = self.rank[self.merged(flat_sym[left_at], made[more])]
 
 
 class DropoutEncoder:
-    """Encodes texts; states of units met before are kept."""
+    """Encodes texts."""
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 11, known: int = 150_000):
-        self.pieces, self.seed = Pieces(path), seed
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 11):
+        self.pieces, self.table, self.seed = pieces_of(path), table_of(path), seed
         self.limit = int(dropout * 2**64)
-        self.most = known
-        self.states = States(self.pieces)
-
-    def _units(self, word: str) -> list[str]:
-        """A word with its marks, cut where no merge can join the neighbours; letters are left together."""
-        body = word[1:] if word[0] == MARK else word
-        if body.isalpha():
-            return [word]
-        if body[:-1].isalpha() and body[-2:] not in self.pieces.joined:
-            return [word[:-1], word[-1]]
-        return ["".join(u) for u in self.pieces.units(list(word))] if word else []
-
-    def _roots(self, word: str) -> tuple[int, ...]:
-        """States of a word's units; -1 - k for unit k if it is too long to be kept."""
-        if (own := self.states.words.get(word)) is None:
-            units = self._units(word) if word else []
-            own = tuple(self.states.root(u) if len(u) <= LONGEST else -1 - k for k, u in enumerate(units))
-            if len(word) <= LONGEST:
-                self.states.words[word] = own
-        return own
 
     def encode(self, text: str, doc_id: int) -> bytes:
-        """Ids of one text of any kind as 16-bit integers."""
+        """Ids of one text of any kind as 16-bit integers, word by word."""
         out = array("H")
         for place, w in enumerate(_WORD.findall(" " + text) if text else ()):  # the model puts a space first
-            if MARK in w:
-                body = w.lstrip(" ")
-                units = self.pieces.units([MARK] * (len(w) - len(body)) + [_LITERAL if c == MARK else c for c in body])
-            else:
-                units = map(list, self._units(w.replace(" ", MARK)))
-            for k, unit in enumerate(units):
-                out.extend(self.pieces.word(unit, _hash(self.seed, doc_id, place, k), self.limit))
+            body = w.lstrip(" ")
+            symbols = [MARK] * (len(w) - len(body)) + [_LITERAL if c == MARK else c for c in body]
+            out.extend(self.pieces.word(symbols, _hash(self.seed, doc_id, place), self.limit))
         return out.tobytes()
 
-    def _settle(self, state: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """The last state of each occurrence."""
-        state, active = state.copy(), np.nonzero(state >= 0)[0]
-        while self.limit and len(active):
-            used, code = np.unique(state[active], return_inverse=True)
-            ends = np.frombuffer(self.states.key_ends, np.int64)
-            first, size = ends[used], ends[used + 1] - ends[used]
-            place, owner = _spans(np.zeros(len(active), np.int64), size[code])
-            low = np.nonzero(_low(base[active][owner], np.frombuffer(self.states.keys, np.uint64)[first[code][owner] + place], self.limit))[0]
-            del ends  # an array that is looked at cannot grow
-            low = low[np.concatenate([[True], owner[low][1:] != owner[low][:-1]])] if len(low) else low
-            active = active[owner[low]]
-            edges, code = np.unique(state[active] << 16 | place[low], return_inverse=True)
-            state[active] = np.array([self.states.after(e >> 16, e & 0xFFFF) for e in edges.tolist()], np.int64)[code]
-        return state
-
     def encode_many(self, texts: pa.StringArray, doc_ids: list[int]) -> list[np.ndarray]:
         """Ids of each text. Words are cut, and equal ones found, in Arrow; hashes are those of `encode`."""
-        if len(self.states.unit) > self.most:
-            self.states = States(self.pieces)
         rows = texts.to_pylist()
         plain = np.array([bool(t) and not (t[0] == " " or any(x in t for x in _ODD)) for t in rows], bool)
         out = [np.frombuffer(b"" if p else self.encode(t or "", i), np.uint16) for t, i, p in zip(rows, doc_ids, plain, strict=True)]
@@ -302,65 +283,76 @@ class DropoutEncoder:
         marked = pc.replace_substring(pc.binary_join_element_wise(MARK, texts.filter(pa.array(plain)), ""), "\n", "\x01\n\x01")
         cut = pc.split_pattern(pc.replace_substring(marked, " ", "\x01" + MARK), "\x01")
         coded = cut.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         edges = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
-        roots = [self._roots(w) for w in words]
-        size = np.fromiter(map(len, roots), np.int64, len(roots))
-        first, flat = np.cumsum(size) - size, np.array([r for own in roots for r in own], np.int64)
-        filled = np.concatenate([[0], np.cumsum(size[at] > 0)])  # the empty words between line ends have no place
-        start = np.array([_hash(self.seed, doc_ids[k]) for k in own], np.uint64)
-        ends = np.zeros(len(at) + 1, np.int64)
-        made: list[np.ndarray] = []
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(size) - size
+        symbols = self.table.chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        size[np.unique(np.repeat(np.arange(len(words)), size)[symbols < 0])] = LONGEST + 1  # a character without a piece: one by one
+        # the empty words between line ends have no place
+        filled = np.concatenate([[0], np.cumsum(size[word] > 0)])
         owner = np.repeat(np.arange(len(own)), np.diff(edges))
-        for k in range(0, len(at), 1 << 16):
-            word, text = at[k : k + (1 << 16)], owner[k : k + (1 << 16)]
-            place = filled[k : k + len(word)] - filled[edges[text]]
-            spot, of = _spans(first[word], size[word])
-            nth = spot - first[word][of]
-            base = _hash_on(_hash_on(start[text], place.astype(np.uint64))[of], nth.astype(np.uint64))
-            state = self._settle(flat[spot], base)
-            loose = {j: self.pieces.word(list(self._units(words[word[of[j]]])[nth[j]]), int(base[j]), self.limit) for j in np.nonzero(state < 0)[0].tolist()}
-            if len(state):
-                tails, kept = np.frombuffer(self.states.id_ends, np.int64), np.frombuffer(self.states.ids, np.uint16)
-                good = np.maximum(state, 0)
-                n = np.where(state < 0, 0, tails[good + 1] - tails[good])
-                ids = kept[_spans(tails[good], n)[0]]
-                del tails, kept
-                if loose:
-                    cuts, n = np.cumsum(n), n.copy()
-                    ids = np.concatenate([x for j, prev in zip([*loose, None], [0, *(cuts[j] for j in loose)], strict=True) for x in ((ids[prev : cuts[j]], np.array(loose[j], np.uint16)) if j is not None else (ids[prev:],))])
-                    for j, x in loose.items():
-                        n[j] = len(x)
-                made.append(ids)
-                ends[k + 1 : k + 1 + len(word)] = np.bincount(of, n, len(word)).astype(np.int64)
-        ends = np.cumsum(ends)
-        whole = np.concatenate(made) if made else np.zeros(0, np.uint16)
-        bounds = ends[edges]
-        for k, s, e in zip(own, bounds[:-1], bounds[1:], strict=True):
-            out[k] = whole[s:e]
+        start = np.array([_hash(self.seed, doc_ids[k]) for k in own], np.uint64)
+        base = _hash_on(start[owner], (filled[:-1] - filled[edges[owner]]).astype(np.uint64))
+        made, counts = self._words(words, word, first, size, symbols, base)
+        ends = np.concatenate([[0], np.cumsum(counts)])[edges]
+        for k, s, e in zip(own, ends[:-1], ends[1:], strict=True):
+            out[k] = made[s:e]
         return out
 
-
-@lru_cache(maxsize=1)
-def encoder_of(path: str, dropout: float, seed: int) -> DropoutEncoder:
-    """One encoder a Python worker: words a task has met help the next."""
-    return DropoutEncoder(path, dropout, seed)
+    def _words(self, words: list[str], word: np.ndarray, first: np.ndarray, size: np.ndarray, symbols: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all occurrences one after the other, and how many each has."""
+        counts, done = np.zeros(len(word), np.int64), []
+        width = size[word]
+        order = np.argsort(width, kind="stable")
+        bounds = np.searchsorted(width[order], np.arange(LONGEST + 2))
+        for w in range(1, LONGEST + 1):
+            for s in range(bounds[w], bounds[w + 1], ROWS):
+                at = order[s : min(s + ROWS, bounds[w + 1])]
+                ids = self.table.agenda(symbols[first[word[at]][:, None] + np.arange(w)], base[at], self.limit)
+                there = ids >= 0
+                counts[at] = there.sum(axis=1)
+                done.append((at, ids[there].astype(np.uint16)))
+        for j in order[bounds[LONGEST + 1] :].tolist():
+            ids = np.array(self.pieces.word(list(words[word[j]]), int(base[j]), self.limit), np.uint16)
+            counts[j] = len(ids)
+            done.append((np.array([j]), ids))
+        begins = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint16)
+        for at, ids in done:
+            n = counts[at]
+            out[np.arange(len(ids)) + np.repeat(begins[at] - (np.cumsum(n) - n), n)] = ids
+        return out, counts
 
 
 @lru_cache(maxsize=1)
 def pieces_of(path: str) -> Pieces:
+    """One vocabulary a Python worker; its size is the model's."""
     return Pieces(path)
 
 
+@lru_cache(maxsize=1)
+def table_of(path: str) -> Table:
+    return Table(pieces_of(path))
+
+
+def _encoded(encoder: DropoutEncoder, b: pa.RecordBatch) -> list[np.ndarray]:
+    return encoder.encode_many(b.column(1), [i or 0 for i in b.column(0).to_pylist()])
+
+
 def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 11, as_array: bool = False) -> DataFrame:
     """doc_id, ids: 16-bit little-endian integers in a binary column, or an array of int."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(model, dropout, seed)
+        encoder = DropoutEncoder(model, dropout, seed)
         for b in batches:
             if b.num_rows:
-                ids = encoder.encode_many(b.column(1), [i or 0 for i in b.column(0).to_pylist()])
-                held = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())) if as_array else pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())
+                ids = _encoded(encoder, b)
+                if as_array:
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                else:
+                    held = pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), held], names=["doc_id", "ids"])
 
     small_batches(docs.sparkSession, "2m")
@@ -371,15 +363,26 @@ def decode(ids: np.ndarray, raw: list[bytes]) -> str:
     return b"".join([raw[i] for i in ids.tolist()])[1:].decode()
 
 
-def decode_documents(encoded: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, text from doc_id, ids (binary); with `keep_ids` the ids as well."""
+def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
+    """doc_id, text from doc_id, ids (binary)."""
 
     def make() -> object:
         raw = pieces_of(model).raw
+        return lambda row: ((row[0], decode(np.frombuffer(row[1], "<u2"), raw)),)
+
+    return map_rows(encoded.select("doc_id", "ids"), "doc_id long, text string", make, weigh=1)
+
 
-        def f(row: tuple) -> Iterator[tuple]:
-            yield row[0], decode(np.frombuffer(row[1], "<u2"), raw), *row[1 : 1 + keep_ids]
+def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 11) -> DataFrame:
+    """doc_id, ids (binary) and the text decoded from those ids, in one pass through Python."""
 
-        return f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = DropoutEncoder(model, dropout, seed)
+        for b in batches:
+            if b.num_rows:
+                ids = [x.astype("<u2").tobytes() for x in _encoded(encoder, b)]
+                texts = [decode(np.frombuffer(x, "<u2"), encoder.pieces.raw) for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return map_rows(encoded.select("doc_id", "ids"), "doc_id long, text string" + ", ids binary" * keep_ids, make, weigh=1)
+    small_batches(docs.sparkSession, "2m")
+    return docs.select("doc_id", whole_text("text")).mapInArrow(run, "doc_id long, ids binary, text string")

@@ -56,8 +56,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (ids as little-endian 16-bit integers), text_sha256 of the decoded text."""
     model = tokenizer_file("piece_bpe_32k.model")
-    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), model, dropout=0.1, seed=11)
-    decoded = pieces.decode_documents(encoded, model, keep_ids=True)
+    decoded = pieces.round_trip(table(spark, sf_dir, "documents"), model, dropout=0.1, seed=11)
     return decoded.select("doc_id", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
 
 
