@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: named entities; ampersand last
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+from quarry.functions import udfs
+
 # fixed values: formats of dates, the first that fits counts
 DATES = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MMM dd, yyyy", "dd MMM yyyy"]
 # fixed values: words for availability
@@ -15,9 +15,9 @@ AVAILABLE = {
     "SOLD": "SOLD", "SOLDOUT": "SOLD", "OUTOFSTOCK": "SOLD", "HTTPS://SCHEMA.ORG/SOLDOUT": "SOLD", "HTTPS://SCHEMA.ORG/OUTOFSTOCK": "SOLD",
     "RESERVED": "RESERVED", "PENDING": "RESERVED", "REMOVED": "REMOVED", "DISCONTINUED": "REMOVED", "UNKNOWN": "UNKNOWN",
 }
-SOLD_WORDS = "sold|ended|売り切れ |売却済|落札済|판매완료|已售|vendu|venduto|продано"
+SOLD_WORDS = "sold|ended|売り切れ|売却済|落札済|판매완료|已售|vendu|venduto|продано"
 RESERVED_WORDS = "reserved|取引中|예약|réservé|riservato"
-SOLD_MARKS = r"(?i)\bsold\b|this listing has ended|no longer available|売り切れ |売却済|落札済|판매완료|판매 완료|已售|卖完|\bvendu\b|\bvenduto\b|продано|sold out"
+SOLD_MARKS = r"(?i)\bsold\b|this listing has ended|no longer available|売り切れ|売却済|落札済|판매완료|판매 완료|已售|卖完|\bvendu\b|\bvenduto\b|продано|sold out"
 RESERVED_MARKS = r"(?i)\breserved\b|取引中|仮押さえ|예약|réservé|riservato"
 SCHEMA_STATE = r"(?i)schema\.org/(InStock|OutOfStock|SoldOut|LimitedAvailability|OnlineOnly|PreOrder|Discontinued|InStoreOnly)"
 SOFT_ERRORS = ["404 not found", "page not found", "404 - not found", "not found", "410 gone", "no longer available", "this listing has ended", "sorry, this page"]
@@ -28,10 +28,8 @@ LEAST_CHARS = 300
 
 def strip_html(html: Column) -> Column:
     """Tags become spaces, entities characters, runs of white space one space."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", " ")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    text = udfs.unescaped(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85]+", " "))
 
 
 def visible_body(html: Column) -> Column:
@@ -135,18 +133,71 @@ def http_outcome(status: Column, body: Column) -> Column:
     )
 
 
-def document_class(url: Column, html: Column) -> Column:
-    """Error page, product or index: by phrases, then by the URL's shape, then by the payload."""
-    path = F.lower(F.regexp_extract(url, r"^[a-z]+://[^/]+([^?#]*)", 1))
-    body = F.coalesce(html, F.lit(""))
+# fixed values: paths of products and of lists of them
+PRODUCT_PATH = r"(?i)/(?:products?|listing|listings|items?|itm|c/goods)/[^/]+/?(?:\.json)?$"
+IN_COLLECTION = r"(?i)/collections/[^/]+/products/[^/]+/?(?:\.json)?$"
+INDEX_PATHS = ["/collections/", "/category/", "/categories/", "/search", "/catalog", "/designers/"]
+
+
+def is_index_url(url: Column) -> Column:
+    """The URL itself names a feed, collection, search or sitemap."""
+    path = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)), "/+$", "")
+    named = F.lower(url).contains("sitemap") | path.endswith("products.json") | path.contains("/search")
+    return named | (~path.rlike(IN_COLLECTION) & (path.contains("/collections/") | path.contains("/category/") | path.contains("/categories/")))
+
+
+def is_product_url(url: Column, prefixes: list[str]) -> Column:
+    path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
+    listed = F.lit(False)
+    for p in prefixes:
+        listed = listed | path.contains(p)
+    return ~is_index_url(url) & (listed | path.rlike(IN_COLLECTION) | path.rlike(PRODUCT_PATH))
+
+
+def json_blocks(html: Column) -> Column:
+    """All JSON-LD blocks as an array of JSON texts: lists and graphs are taken apart."""
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    many = lambda j: F.from_json(j, "array<string>", {"mode": "PERMISSIVE"})
+    graph = lambda j: F.get_json_object(j, "$.@graph")
+    one = lambda j: F.when(F.trim(j).startswith("["), many(j)).when(graph(j).startswith("["), many(graph(j))).otherwise(F.array(F.trim(j)))
+    return F.filter(F.flatten(F.transform(scripts, one)), lambda j: F.coalesce(j.startswith("{"), F.lit(False)))
+
+
+def block_types(block: Column) -> Column:
+    """Lower-cased types of a JSON-LD block; one or several."""
+    raw = F.get_json_object(block, "$.@type")
+    return F.transform(F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array_compact(F.array(raw))), F.lower)
+
+
+def payload_class(html: Column) -> Column:
+    """product or index by a JSON body or by JSON-LD types, an index before a product; null if neither says."""
+    body = F.trim(F.coalesce(html, F.lit("")))
+    json = body.startswith("{")
+    feed = F.when(json & F.get_json_object(body, "$.products").startswith("["), "index").when(json & F.get_json_object(body, "$.product").startswith("{"), "product")
+    blocks = json_blocks(body)
+    types = F.flatten(F.transform(F.when((F.size(blocks) == 0) & json, F.array(body)).otherwise(blocks), block_types))
+    index = F.exists(types, lambda t: t.rlike("itemlist|collectionpage|searchresultspage|offercatalog"))
+    product = F.exists(types, lambda t: t.endswith("product") & ~t.contains("productgroup"))
+    return F.coalesce(feed, F.when(F.coalesce(index, F.lit(False)), "index").when(F.coalesce(product, F.lit(False)), "product"))
+
+
+def feed_class(html: Column) -> Column:
+    body = F.trim(F.coalesce(html, F.lit("")))
+    return F.when(body.startswith("{"), F.when(F.get_json_object(body, "$.products").startswith("["), "index").when(F.get_json_object(body, "$.product").startswith("{"), "product"))
+
+
+def document_class(url: Column, html: Column, prefixes: list[str]) -> Column:
+    """product, index or other: error pages first, then the URL's shape unless the body is plainly a feed, then the body, then the path."""
+    body, path = F.coalesce(html, F.lit("")), F.lower(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1))
+    by_path = F.lit(False)
+    for p in INDEX_PATHS:
+        by_path = by_path | path.contains(p)
     return (
         F.when(is_soft_error(body), "other")
-        .when(path.rlike(r"/(itm|items|listing|products?|p|auction)/[a-z0-9_-]+/?$"), "product")
-        .when(path.rlike(r"/(collections?|search|category|catalog|shop)(/|$)") | path.rlike(r"\.xml$"), "index")
+        .when(is_index_url(url), F.when(feed_class(body) == "product", "product").otherwise("index"))
+        .when(is_product_url(url, prefixes), F.when(feed_class(body) == "index", "index").otherwise("product"))
         .when(F.lower(F.substring(F.ltrim(body), 1, 400)).rlike("<urlset|<sitemapindex"), "index")
-        .when(body.rlike('"@type"\\s*:\\s*"ItemList"'), "index")
-        .when(body.rlike('"@type"\\s*:\\s*"Product"'), "product")
-        .otherwise("other")
+        .otherwise(F.coalesce(payload_class(body), F.when(by_path, "index").otherwise("other")))
     )
 
 
@@ -164,5 +215,5 @@ def extract_listing(html: Column) -> Column:
 
 def retry_after(value: Column, now: Column, most: int = 60) -> Column:
     """Seconds to wait, from seconds or an HTTP date, 0 to `most`."""
-    seconds = F.coalesce(value.try_cast("double"), F.unix_timestamp(F.try_to_timestamp(value, F.lit("EEE, dd MMM yyyy HH:mm:ss zzz"))) - F.unix_timestamp(now))
+    seconds = F.coalesce(value.try_cast("double"), F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(value, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss zzz"))) - F.unix_timestamp(now))
     return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), seconds))

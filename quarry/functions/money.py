@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SYMBOLS = [("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("円", "JPY"), ("₩", "KRW"), ("₹", "INR")]
 CODES = "USD|EUR|GBP|JPY|KRW|CNY|AUD|CAD|CHF|SEK|NOK|DKK|HKD|TWD|SGD"
 WHOLE = ["JPY", "KRW", "CNY"]
+# fixed value: what an amount looks like
 AMOUNT = r"(?<!\w)(?:USD|EUR|GBP|JPY|KRW|CNY|\$|€|£|¥|₩)?\s*([0-9]{1,3}(?:[.,][0-9]{3})*(?:[.,][0-9]{1,2})|[0-9]+(?:[.,][0-9]{1,2})?)"
 
 
@@ -62,10 +63,20 @@ def size(text: Column) -> Column:
     return F.coalesce(*made, F.struct(t.alias("marked"), none.alias("system"), none.alias("converted")))
 
 
+# fixed values: how prices are shown
+SIGNS = {"JPY": "¥", "EUR": "€", "USD": "$"}
+
+
 def shown_price(value: Column, code: Column) -> Column:
-    """Price for people: no decimals where the currency has none."""
-    whole = F.format_string("%s %s", code, F.format_number(value, 0))
-    return F.when(value.isNull(), None).when(code.isin(WHOLE), whole).otherwise(F.format_string("%s %s", code, F.format_number(value, 2)))
+    """A price for people: without trailing zeros, its sign or code before it, thousands set apart in yen only."""
+    plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(18,4)").cast("string"), "0+$", ""), r"\.$", "")
+    yen = F.concat(F.lit("¥"), F.format_number(F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("long"), 0))
+    text = F.when(code == "JPY", yen).when(code == "EUR", F.concat(F.lit("€"), plain)).when(code == "USD", F.concat(F.lit("$"), plain)).when(F.coalesce(code, F.lit("")) != "", F.concat_ws(" ", code, plain)).otherwise(plain)
+    return F.when(value.isNotNull(), text).otherwise(F.nullif(code, F.lit("")))
+
+
+def shown_size(marked: Column) -> Column:
+    return F.when(marked != "", F.concat(F.lit("Size "), marked))
 
 
 def weighted_mean(pairs: list[tuple[float, Column]]) -> Column:

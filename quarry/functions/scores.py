@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.money import weighted_mean
 from quarry.functions.text import clamp
+from quarry.functions.vectors import hash_similarity, histogram_similarity
 
 
 def interval(mean: Column, lower: Column, upper: Column) -> Column:
@@ -103,19 +104,24 @@ def part_score(strong: Column, confidence: Column) -> Column:
     return F.when(strong, F.lit(0.95)).otherwise(F.greatest(F.lit(0.35), F.least(F.lit(0.55), confidence)))
 
 
+#: Weights of the parts of item match.
+ITEM = {"text": 0.18, "visual": 0.18, "parts": 0.30, "geometry": 0.16, "material": 0.08, "cross": 0.10}
+
+
 def item_match(text: Column, visual: Column, parts: Column, geometry: Column, material: Column, cross: Column, hard: Column, missing: Column, cited: Column) -> Column:
-    """Weighted components with a lower bound that lifts on strong identity; hard contradictions cap it."""
-    w = [0.18, 0.18, 0.30, 0.16, 0.08, 0.10]
-    values = [text, visual, parts, geometry, material, cross]
-    mean = clamp(sum((k * v for k, v in zip(w, values, strict=True)), F.lit(0.0)))
-    floors = [text, visual, parts - 0.06, geometry, material, cross]
-    low = sum((k * v for k, v in zip(w, floors, strict=True)), F.lit(0.0))
+    """From intervals (parts: a plain mean). The lower bound weighs the parts' lower bounds and lifts on strong identity.
+
+    Hard contradictions cap the interval instead.
+    """
+    whole = {"text": text, "visual": visual, "geometry": geometry, "material": material, "cross": cross}
+    weigh = lambda bound, own: sum((ITEM[k] * v[bound] for k, v in whole.items()), ITEM["parts"] * own)
+    mean = clamp(weigh("mean", parts))
     spread = 0.04 + 0.03 * F.least(F.lit(4), missing)
-    lower = clamp(F.least(mean, low) - 0.15 * spread)
-    upper = clamp(F.greatest(mean, F.lit(0.55)) + 0.04)
-    strong = (hard == 0) & (parts >= 0.9) & (geometry >= 0.9) & ((visual >= 0.88) | cited) & (missing <= 2)
+    lower = F.least(mean, clamp(F.least(mean, weigh("lower_bound", F.greatest(F.lit(0.0), parts - 0.06))) - 0.15 * spread))
+    upper = F.greatest(mean, clamp(F.greatest(mean, F.lit(0.55)) + 0.04))
+    strong = (parts >= 0.9) & (geometry["mean"] >= 0.9) & ((visual["mean"] >= 0.88) | cited) & (missing <= 2) & (hard == 0)
     lower = F.when(strong, F.least(mean, F.greatest(lower, F.lit(0.91)))).otherwise(lower)
-    return hard_penalty(interval(mean, lower, F.greatest(upper, mean)), hard)
+    return hard_penalty(interval(mean, lower, upper), hard)
 
 
 #: Weights of the parts of authenticity.
@@ -130,11 +136,6 @@ def authenticity_mean(parts: dict[str, Column], hard: Column, completeness: Colu
     return F.when(hard > 0, F.least(base, F.lit(0.22))).otherwise(base)
 
 
-def provenance_score(text: Column, words: list[str]) -> Column:
-    hits = sum((F.lower(text).contains(w).cast("int") for w in words), F.lit(0))
-    return F.least(F.lit(0.62), 0.3 + 0.08 * hits)
-
-
 def public_label(calibrated: Column, hard: Column, completeness: Column, lower: Column) -> Column:
     return (
         F.when(~calibrated, "INCOMPLETE").when(hard > 0, "CONTRADICTORY").when(completeness < 0.5, "INCOMPLETE")
@@ -201,6 +202,16 @@ def present_availability(stored: Column, checked: Column, now: Column, ttl: int
     return F.when(checked.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(checked) > ttl), "UNKNOWN").otherwise(stored)
 
 
+def cheap_visual(own_hash: Column, other_hash: Column, own_colours: Column, other_colours: Column) -> Column:
+    """Similarity of two photographs by hash and colour alone."""
+    return 0.6 * F.greatest(F.lit(0.0), hash_similarity(own_hash, other_hash)) + 0.4 * histogram_similarity(own_colours, other_colours)
+
+
+def scorer(embedding: Column, cheap: Column) -> Column:
+    """Which of two similarities counts and its name: the embedding's where there is one."""
+    return F.when(embedding.isNotNull(), F.struct(embedding.alias("score"), F.lit("embedding").alias("scorer"))).otherwise(F.struct(cheap.alias("score"), F.lit("cheap").alias("scorer")))
+
+
 def image_quality(resolution: Column, sharpness: Column, compression: Column, occlusion: Column, lighting: Column, subject: Column, background: Column, text: Column, parts: Column, unique: Column) -> Column:
     base = 0.20 * resolution + 0.15 * sharpness + 0.10 * compression + 0.10 * (1 - occlusion) + 0.10 * lighting + 0.15 * subject + 0.10 * background + 0.05 * text + 0.05 * parts
     return clamp(base + F.when(unique, 0.12).otherwise(0.0))

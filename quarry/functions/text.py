@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: words that never identify an item
@@ -31,22 +31,46 @@ def is_instruction(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ").rlike(INSTRUCTION)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of a-z and 0-9, two characters or more, no stop words; years in both lengths. In text order."""
+def without_instructions(text: Column) -> Column:
+    """The text with instruction spans blanked where it addresses a machine; only texts with their rare words are searched."""
     plain = F.coalesce(text, F.lit(""))
-    cut = plain
+    cut, low = plain, F.lower(plain)
     for span in INSTRUCTION_SPANS:
         cut = F.regexp_replace(cut, span, " ")
-    kept = F.when(is_instruction(plain), cut).otherwise(plain)
-    found = F.regexp_extract_all(F.lower(kept), F.lit("[a-z0-9]+"), F.lit(0))
-    found = F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOP))
+    rare = low.contains("ignore") | (low.contains("mark") & low.contains("authentic"))
+    return F.when(rare, F.when(is_instruction(plain), cut).otherwise(plain)).otherwise(plain)
+
+
+def is_short_year(t: Column) -> Column:
+    return (F.length(t) == 2) & (t >= "00") & (t <= "30") & (F.translate(t, "0123456789", "") == "")
+
+
+def is_long_year(t: Column) -> Column:
+    return (F.length(t) == 4) & t.startswith("20")
+
 
-    def both(t: Column) -> Column:
-        short = t.rlike("^[0-9]{2}$") & (t <= "30")
-        long = (F.length(t) == 4) & t.startswith("20")
-        return F.when(short, F.array(t, F.concat(F.lit("20"), t))).when(long, F.array(t, F.substring(t, 3, 2))).otherwise(F.array(t))
+def with_year(t: Column) -> Column:
+    """The token, and a year in its other length."""
+    return F.when(is_short_year(t), F.array(t, F.concat(F.lit("20"), t))).when(is_long_year(t), F.array(t, F.substring(t, 3, 2))).otherwise(F.array(t))
 
-    return F.flatten(F.transform(found, both))
+
+def raw_tokens(text: Column) -> Column:
+    return F.split(F.lower(without_instructions(text)), "[^a-z0-9]+")
+
+
+def is_term(t: Column) -> Column:
+    return (F.length(t) > 1) & ~t.isin(STOP)
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of a-z and 0-9, two characters or more, no stop words; years in both lengths. In text order."""
+    return F.flatten(F.transform(F.filter(raw_tokens(text), is_term), with_year))
+
+
+def token_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """`keys` and term, a row for each of `tokens`: taken apart first, so that words are tested in generated code."""
+    rows = df.select(*keys, F.explode(raw_tokens(F.col(text))).alias("t")).where(is_term(F.col("t")))
+    return rows.select(*keys, F.explode(with_year(F.col("t"))).alias("term"))
 
 
 def title_tokens(text: Column) -> Column:
@@ -105,16 +129,37 @@ def normal_code(code: Column) -> Column:
     return F.upper(F.regexp_replace(code, r"[\s\-._/]+", ""))
 
 
-def code_verdict(code: Column) -> Column:
-    """What a product code looks like once normalised."""
-    c = normal_code(code)
+# fixed value: what is a size and no product code
+SIZE_CODE = r"(?i)^(?:eu\s*([3-5][0-9](?:\.[0-9])?)|us\s*([4-9]|1[0-6])(?:\.[0-9])?|uk\s*([3-9]|1[0-5])(?:\.[0-9])?|([3-5][0-9](?:\.[0-9])?)|(2[2-9](?:\.[0-9])?|3[0-2](?:\.[0-9])?)\s*cm|(2[2-9][0-9]|3[0-9]{2})\s*mm)$"
+
+
+def is_size_code(code: Column) -> Column:
+    compact = F.regexp_replace(F.lower(F.trim(code)), r"\s+", " ")
+    return F.replace(compact, F.lit(" "), F.lit("")).rlike(SIZE_CODE) | compact.rlike(SIZE_CODE)
+
+
+def code_verdict(code: Column, in_region: Column, structured: Column, consistent: Column) -> Column:
+    """Why a product code is not taken, or ok: sizes stay sizes, and a code needs a place it was read at or a structured source."""
+    plain = normal_code(code)
     return (
-        F.when(F.length(c) < 5, "too_short")
-        .when(c.rlike(r"^(EU|US|UK|IT|FR)?[0-9]{1,2}(\.5)?$"), "size")
-        .when(~c.rlike("[0-9]"), "no_digit")
-        .when(c.rlike("^(19|20)[0-9]{2}$"), "year")
-        .otherwise("code")
-    )
+        F.when(plain == "", "empty").when(is_size_code(code) | is_size_code(plain), "size_code").when(~(in_region | structured), "needs_region_or_structured_source")
+        .when(~consistent & ~in_region, "inconsistent").when(F.length(plain) < 4, "too_short").otherwise("ok")
+    )
+
+
+# fixed values: words of a catalogue query that say nothing, and what others are sold as
+CATALOGUE_STOP = ["a", "an", "and", "brand", "des", "for", "in", "item", "no", "of", "on", "or", "s", "ss", "such", "the", "to", "type", "with", "x", "yes"]
+SYNONYMS = {
+    "pump": ["pump", "pumps", "パンプス", "ハイヒール"], "pumps": ["pump", "pumps", "パンプス", "ハイヒール"], "tee": ["tee", "tees", "tshirt", "tシャツ", "カットソー"], "tshirt": ["tee", "tees", "tshirt", "tシャツ", "カットソー"],
+    "shirt": ["shirt", "shirts", "シャツ"], "shirts": ["shirt", "shirts", "シャツ"],
+}
+
+
+def catalogue_terms(folded: Column) -> Column:
+    """Distinct words of a folded query with what they are also sold as, in order."""
+    words = F.filter(F.split(F.translate(folded, "×✕/", "   "), r"(?U)[^\w]+"), lambda w: (F.length(w) > 1) & ~w.isin(CATALOGUE_STOP))
+    table = F.create_map(*(x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.array(w)))))
 
 
 # fixed values of the token classes

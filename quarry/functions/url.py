@@ -33,21 +33,39 @@ def is_url(value: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Lower-cased host without port; empty if there is none."""
+    """Lower-cased host without user and port; empty if there is none."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, PARTS, 2)), "^.*@", ""), ":[0-9]*$", "")
 
 
+def _decoded(part: Column) -> Column:
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def _encoded(part: Column) -> Column:
+    """Form encoding that keeps letters, digits and _ . - ~ only."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-cased scheme and host, no default port, trailing slash, fragment or tracking; parameters sorted."""
-    scheme = F.lower(F.regexp_extract(url, PARTS, 1))
-    place = F.lower(F.regexp_extract(url, PARTS, 2))
-    place = F.when(scheme == "http", F.regexp_replace(place, ":80$", "")).when(scheme == "https", F.regexp_replace(place, ":443$", "")).otherwise(place)
-    path = F.regexp_replace(F.regexp_extract(url, PARTS, 3), "/+$", "")
-    pairs = F.split(F.regexp_extract(url, PARTS, 4), "&")
-    kept = F.array_sort(F.filter(pairs, lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING)))
-    query = F.array_join(kept, "&")
+    """Lower-cased scheme (https if none is given) and host without user, no default port, fragment or tracking.
+
+    A path ends without slash but for the root; parameters are decoded, sorted and encoded again, empty ones keep "=".
+    Text without host stays as it is, trimmed.
+    """
+    plain = F.trim(url)
+    full = F.when(plain.startswith("//"), F.concat(F.lit("https:"), plain)).otherwise(plain)
+    scheme, name = F.lower(F.regexp_extract(full, PARTS, 1)), host(full)
+    port = F.nullif(F.regexp_extract(F.regexp_extract(full, PARTS, 2), ":([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    usual = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
+    place = F.when(port.isNull() | usual, name).otherwise(F.concat(name, F.lit(":"), port.cast("string")))
+    path = F.regexp_replace(F.regexp_extract(full, PARTS, 3), ";[^/]*$", "")
+    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
+    pieces = F.filter(F.split(F.regexp_extract(full, PARTS, 4), "&"), lambda p: p != "")
+    pairs = F.transform(pieces, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(p.contains("="), F.substr(p, F.locate("=", p) + 1)).otherwise("")).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     tidy = F.concat(scheme, F.lit("://"), place, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(url.rlike(PARTS), tidy).otherwise(F.trim(url))
+    return F.when(full.rlike(PARTS) & (name != ""), tidy).otherwise(plain)
 
 
 def listing_id(url: Column) -> Column:
@@ -67,5 +85,11 @@ def is_malicious(url: Column) -> Column:
     return ~F.coalesce(url.rlike("(?i)^https?://"), F.lit(False)) | (host(url) == "") | is_private_address(host(url))
 
 
+def is_refused(url: Column, resolved: Column) -> Column:
+    """Whether a fetch of the URL is refused: no web address, a user in it, or a private address, of its own or among `resolved`."""
+    user = F.regexp_extract(url, PARTS, 2).contains("@")
+    return is_malicious(url) | user | F.coalesce(F.exists(resolved, is_private_address), F.lit(False))
+
+
 def work_key(source: Column, kind: Column, target: Column) -> Column:
     return F.sha2(F.concat_ws("|", source, kind, canonical_url(target)), 256)

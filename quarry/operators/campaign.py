@@ -84,9 +84,36 @@ def publish(decisions: DataFrame) -> DataFrame:
     return ranking.diversify(parts[0].unionByName(parts[1]).unionByName(parts[2]), "bucket", "family")
 
 
-def terminal_status(fetched: Column, candidates: Column, queries: Column, searched: Column, failed: Column) -> Column:
-    """COMPLETE needs something searched; failures and blocks never count as an empty answer."""
-    return F.when(queries == 0, "NO_QUERIES").when((searched == 0) & (failed > 0), "FAILED_SOURCES").when(candidates > 0, F.when(failed > 0, "PARTIAL").otherwise("COMPLETE")).when((fetched > 0) & (failed == 0), "COMPLETE_NO_MATCH").otherwise("PARTIAL")
+# fixed values: outcomes of a source that leave the search open
+UNRESOLVED = ["NETWORK_FAILED", "PARSER_FAILED", "RATE_LIMITED", "SOURCE_UNAVAILABLE", "UNMEASURABLE", "NOT_ATTEMPTED"]
+
+
+def terminal_status(proposed: Column, pages: Column, candidates: Column, queries: Column, saturated: Column, outcomes: Column) -> Column:
+    """COMPLETE is a claim of coverage: it needs queries, something fetched or found, and an answer of every source, unless enough was found."""
+    open_ = F.coalesce(F.exists(outcomes, lambda o: o.isin(UNRESOLVED)), F.lit(False))
+    return (
+        F.when((proposed != "COMPLETE") | saturated, proposed).when(F.coalesce(queries <= 0, F.lit(False)), "BLOCKED")
+        .when((pages <= 0) & (candidates <= 0), "BLOCKED").when(open_, "PARTIAL").otherwise(proposed)
+    )
+
+
+def score_pairs(scores: DataFrame) -> DataFrame:
+    """scores(candidate_id, kind, seq, fine, score) to candidate_id, item_match, match_fine, authenticity, utility, remembered.
+
+    Of item matches the last fine one counts, else the first broad one; of the other kinds the last. `remembered` is the
+    match that an index may keep: a fine one.
+    """
+    kind = F.col("kind")
+    last = lambda c, name: F.max_by("score", F.when(c, F.col("seq"))).alias(name)
+    match = kind == "ITEM_MATCH"
+    rows = scores.groupBy("candidate_id").agg(last(match & F.col("fine"), "remembered"), F.min_by("score", F.when(match & ~F.col("fine"), F.col("seq"))).alias("_broad"), last(kind == "AUTHENTICITY_CONFIDENCE", "authenticity"), last(kind == "LISTING_UTILITY", "utility"), F.coalesce(F.bool_or(match & F.col("fine")), F.lit(False)).alias("match_fine"))
+    return rows.select("candidate_id", F.coalesce("remembered", "_broad").alias("item_match"), "match_fine", "authenticity", "utility", "remembered")
+
+
+def exhaustion(runs: DataFrame, search: str) -> DataFrame:
+    """What a search went through: counts, and its families and languages in order."""
+    names = lambda c: F.sort_array(F.collect_set(c))
+    return runs.groupBy(search).agg(F.count(F.lit(1)).alias("runs"), F.sum("pages").alias("pages"), F.count_if(F.col("outcome").isin(UNRESOLVED)).alias("unresolved"), names("family").alias("families"), names("language").alias("languages"))
 
 
 def questions(rows: DataFrame) -> DataFrame:

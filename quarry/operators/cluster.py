@@ -55,23 +55,60 @@ def cluster_key(adapter: Column, listing: Column, url: Column) -> Column:
     return F.when(listing.isNotNull() & (listing != ""), F.concat_ws(":", adapter, listing)).otherwise(F.concat_ws(":", F.lit("url"), url))
 
 
-def near_title_pairs(rows: DataFrame, key: str, title: str, threshold: float = 0.9) -> DataFrame:
-    """(a, b, similarity), a < b: titles whose word sets overlap by `threshold`.
+def word_classes(rows: DataFrame, key: str, title: str, *more: str) -> DataFrame:
+    """id, class, words and the columns in `more`: titles with the same set of words share a class. Titles without words leave."""
+    sets = rows.select(F.col(key).alias("id"), *more, F.array_sort(T.title_tokens(F.col(title))).alias("words")).where(F.size("words") > 0)
+    return sets.withColumn("class", F.sha2(F.array_join("words", " "), 256))
 
-    Only the rarest words of a title can carry a pair: with n words, two sets that reach the threshold share one of the
-    first n - ceil(threshold * n) + 1 in the order of rarity. Pairs meet on those words, then they are measured.
+
+def near_classes(classes: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """classes(class, words), each class once, to (x, y, similarity), x < y: word sets that overlap by `threshold`.
+
+    Only the rarest words of a set can carry a pair: with n words, two sets that reach the threshold share one of the
+    first n - ceil(threshold * n) + 1 in the order of rarity. Classes meet on those words, then they are measured.
     """
-    sets = rows.select(F.col(key).alias("id"), T.title_tokens(F.col(title)).alias("words")).where(F.size("words") > 0)
-    each = sets.select("id", F.explode("words").alias("word"))
+    each = classes.select("class", F.explode("words").alias("word"))
     weight = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(weight, "word").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda s: s["word"]).alias("words"))
+    ranked = each.join(weight, "word").groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda s: s["word"]).alias("words"))
     prefix = F.size("words") - F.ceil(F.lit(threshold) * F.size("words")).cast("int") + 1
-    blocks = ranked.select("id", "words", F.explode(F.slice("words", F.lit(1), prefix)).alias("word"))
-    a, b = blocks.alias("x"), blocks.alias("y")
-    met = a.join(b, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & (F.size("x.words") <= F.size("y.words") / threshold) & (F.size("y.words") <= F.size("x.words") / threshold))
-    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.words").alias("u"), F.col("y.words").alias("v"))
-    scored = pairs.select("a", "b", T.jaccard(F.col("u"), F.col("v")).alias("similarity")).where(F.col("similarity") >= threshold)
-    return scored.distinct()
+    blocks = ranked.select("class", F.size("words").alias("n"), F.explode(F.slice("words", F.lit(1), prefix)).alias("word"))
+    a, b = (blocks.select("word", F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
+    met = a.join(b, "word").where((F.col("x") < F.col("y")) & (F.col("n_x") * threshold <= F.col("n_y")) & (F.col("n_y") * threshold <= F.col("n_x"))).select("x", "y").distinct()
+    for c in "xy":
+        met = met.join(ranked.select(F.col("class").alias(c), F.col("words").alias(f"words_{c}")), c)
+    return met.select("x", "y", T.jaccard(F.col("words_x"), F.col("words_y")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def near_title_pairs(rows: DataFrame, key: str, title: str, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, similarity), a < b, between the smallest ids of classes; members (id, head) of all titles.
+
+    Titles with equal word sets are one class, so that a title which a third of the rows share costs no pairs.
+    """
+    named = word_classes(rows, key, title)
+    heads = named.groupBy("class").agg(F.min("id").alias("head"), F.first("words").alias("words"))
+    near = near_classes(heads.select("class", "words"), threshold)
+    for c in "xy":
+        near = near.join(heads.select(F.col("class").alias(c), F.col("head").alias(f"head_{c}")), c)
+    pairs = near.select(F.least("head_x", "head_y").alias("a"), F.greatest("head_x", "head_y").alias("b"), "similarity")
+    return pairs, named.join(heads.select("class", "head"), "class").select("id", "head")
+
+
+def title_edges(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """rows(id, listing, title) to edges (a, b) whose components are those of all near-equal titles with compatible listings.
+
+    Two known, different listings are no edge; an unknown one goes with any. One row stands for each class and listing,
+    so edges grow with the rows and not with their pairs.
+    """
+    named = word_classes(rows, "id", "title", "listing")
+    heads = named.groupBy("class", "listing").agg(F.min("id").alias("head"))
+    same = named.join(heads, (named["class"] == heads["class"]) & named["listing"].eqNullSafe(heads["listing"])).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    classes = named.groupBy("class").agg(F.first("words").alias("words"))
+    near = near_classes(classes, threshold).select("x", "y")
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(classes.select(F.col("class").alias("x"), F.col("class").alias("y")))
+    left, right = (heads.select(F.col("class").alias(c), F.col("listing").alias(f"listing_{c}"), F.col("head").alias(f"head_{c}")) for c in "xy")
+    unknown = both.join(left.where(F.col("listing_x").isNull()), "x").join(right, "y").select(F.col("head_x").alias("a"), F.col("head_y").alias("b"))
+    known = both.where(F.col("x") < F.col("y")).join(left, "x").join(right.withColumn("listing_x", F.col("listing_y")), ["y", "listing_x"]).select(F.col("head_x").alias("a"), F.col("head_y").alias("b"))
+    return same.unionByName(unknown).unionByName(known).where(F.col("a") != F.col("b")).distinct()
 
 
 def cluster_listings(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -86,14 +123,18 @@ def cluster_listings(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     unknown = fam.where(F.col("listing").isNull()).groupBy("family").agg(F.min("id").alias("anchor"))
     by_family = fam.join(first, [fam.family == first.family, fam.listing.eqNullSafe(first.listing)]).select(fam.id.alias("a"), F.col("head").alias("b"))
     bridge = first.join(unknown, "family").select(F.col("head").alias("a"), F.col("anchor").alias("b"))
-    titles = near_title_pairs(rows, "id", "title", threshold)
-    own = rows.select("id", "listing")
-    known = titles.join(own.select(F.col("id").alias("a"), F.col("listing").alias("la")), "a").join(own.select(F.col("id").alias("b"), F.col("listing").alias("lb")), "b")
-    by_title = known.where(F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") == F.col("lb"))).select("a", "b")
-    linked = components(by_key.unionByName(by_family).unionByName(bridge).unionByName(by_title))
+    linked = components(by_key.unionByName(by_family).unionByName(bridge).unionByName(title_edges(rows, threshold)))
     return rows.select("id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
+def savings(rows: DataFrame, clustered: DataFrame) -> DataFrame:
+    """One row: candidates, clusters, duplicates removed and their share."""
+    n = clustered.agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("cluster").alias("clusters"))
+    keys = rows.agg(F.count_distinct("key").alias("keys"))
+    out = n.join(F.broadcast(keys)).select("candidates", "keys", "clusters", (F.col("candidates") - F.col("clusters")).alias("removed"))  # one row
+    return out.withColumn("share", F.round(F.try_divide("removed", "candidates"), 6))
+
+
 def representatives(rows: DataFrame, cluster: str, score: list[str], key: str) -> DataFrame:
     """The row of each cluster that scores highest, later columns deciding ties."""
     return rows.groupBy(cluster).agg(F.max_by(key, F.struct(*score, key)).alias("representative"), F.count(F.lit(1)).alias("members"))

@@ -2,43 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.functions import vectors as V
 
 
 def postings(listings: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """listing_key, field, term, tf from text columns; counts meet before the shuffle."""
     rows = None
     for field, column in fields.items():
-        part = listings.select(F.col(key).alias("listing_key"), F.lit(field).alias("field"), F.explode(T.tokens(F.col(column))).alias("term"))
+        part = T.token_rows(listings.select(F.col(key).alias("listing_key"), F.lit(field).alias("field"), F.col(column).alias("_text")), ["listing_key", "field"], "_text")
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("listing_key", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def text_scores(posted: DataFrame, terms: list[str]) -> DataFrame:
-    """listing_key, term_score over the query's terms; a short list of terms is pushed to the scan."""
-    return posted.where(F.col("term").isin(list(dict.fromkeys(terms)))).groupBy("listing_key").agg(F.sum("tf").alias("term_score"))
+def text_search(posted: DataFrame, asked: DataFrame, limit: int = 50) -> DataFrame:
+    """posted(listing_key, term, tf), asked(query_id, term), each term once: query_id, listing_key, term_score, the first `limit` a query."""
+    scores = posted.join(asked, "term").groupBy("query_id", "listing_key").agg(F.sum("tf").cast("long").alias("term_score"))
+    return best_of(scores, "query_id", limit, F.desc("term_score"), F.col("listing_key"))
+
+
+def best_of(rows: DataFrame, by: str, limit: int, *order: Column) -> DataFrame:
+    """The first `limit` rows of each `by`; Spark cuts groups before and after the shuffle."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+def _packed(vectors: DataFrame, key: str, vector: str, more: list[str], rows: int, name: str) -> DataFrame:
+    """Up to `rows` rows as one: width, and in binary columns ids, vectors and the columns in `more` as doubles (null: NaN)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                width = pc.list_value_length(part.column(1)).to_numpy()
+                for w in np.unique(width).tolist():
+                    own = part.filter(pa.array(width == w))
+                    flat = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    extra = np.array([own.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(more))], np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), *(pa.array([x.tobytes()]) for x in (own.column(0).to_numpy().astype(np.int64), flat, extra))], names=[f"{name}_{c}" for c in ("width", "ids", "vectors", "more")])
+
+    good = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()))
+    return good.select(F.col(key).cast("long"), F.col(vector).cast("array<double>"), *(F.col(c).cast("double") for c in more)).mapInArrow(pack, f"{name}_width int, {name}_ids binary, {name}_vectors binary, {name}_more binary")
+
+
+@dataclass
+class Block:
+    """Queries `q` and vectors `c` (ids) with their cosines to six digits; `q_more` and `c_more` hold a row for each further column."""
 
+    q: np.ndarray
+    c: np.ndarray
+    cos: np.ndarray
+    q_more: np.ndarray
+    c_more: np.ndarray
 
-def text_search(posted: DataFrame, terms: list[str], limit: int = 50) -> DataFrame:
-    return text_scores(posted, terms).orderBy(F.desc("term_score"), "listing_key").limit(limit)
 
+def cosine_blocks(queries: DataFrame, vectors: DataFrame, key: str, vector: str, score: Callable[[Block], pa.RecordBatch], schema: str, q_more: tuple[str, ...] = (), c_more: tuple[str, ...] = (), rows: int = 2048, most_queries: int = 50_000) -> DataFrame:
+    """Every query against every vector in blocks: `score` says what leaves a pair of blocks.
 
-def vector_search(vectors: DataFrame, query: Column, limit: int = 50, least: float = 0.0, digits: int = 6) -> DataFrame:
-    """listing_key, descriptor_score: the largest cosine of a listing's descriptors, `least` at least."""
-    scored = vectors.select("listing_key", F.round(V.cosine(F.col("descriptor"), query), digits).alias("s"))
-    best = scored.groupBy("listing_key").agg(F.max("s").alias("descriptor_score"))
-    return best.where(F.col("descriptor_score") >= least).orderBy(F.desc("descriptor_score"), "listing_key").limit(limit)
+    Vectors of other lengths, and null ones, do not meet. Blocks of queries are broadcast up to `most_queries` rows, else
+    blocks meet in a shuffle, so that no task holds more than two blocks at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w, qi, qv, qm, ci, cv, cm in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q, c = (np.frombuffer(x, np.float64).reshape(-1, w) for x in (qv, cv))
+                scale = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((c * c).sum(axis=1))[None, :]
+                cos = np.where(scale == 0, 0.0, (q @ c.T) / np.where(scale == 0, 1.0, scale))
+                more = (np.frombuffer(x, np.float64).reshape(-1, n) if x else np.zeros((0, n)) for x, n in ((qm, len(q)), (cm, len(c))))
+                yield score(Block(np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64), np.round(cos, 6), *more))
+
+    asked, every = _packed(queries, key, vector, list(q_more), rows, "q"), _packed(vectors, key, vector, list(c_more), rows, "c")
+    few = queries.limit(most_queries + 1).count() <= most_queries
+    met = every.join(F.broadcast(asked) if few else asked, F.col("q_width") == F.col("c_width"))
+    if not few:
+        met = met.repartition(F.xxhash64("q_ids"), F.xxhash64("c_ids"))
+    return met.select("q_width", "q_ids", "q_vectors", "q_more", "c_ids", "c_vectors", "c_more").mapInArrow(run, schema)
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, limit: int = 50, least: float = 0.0) -> DataFrame:
+    """query_id, listing_key, descriptor_score: the `limit` listings of largest cosine, `least` at least, for each query.
+
+    Blocks leave their own best, so that what is shuffled is `limit` rows a query and block.
+    """
+
+    def best(b: Block) -> pa.RecordBatch:
+        cos = np.where(b.cos >= least, b.cos, -np.inf)
+        if len(b.c) > limit:
+            cut = np.partition(cos, len(b.c) - limit, axis=1)[:, len(b.c) - limit]
+            i, j = np.nonzero((cos >= cut[:, None]) & np.isfinite(cos))
+        else:
+            i, j = np.nonzero(np.isfinite(cos))
+        return pa.RecordBatch.from_arrays([pa.array(b.q[i]), pa.array(b.c[j]), pa.array(cos[i, j])], names=["query_id", "listing_key", "s"])
+
+    found = cosine_blocks(queries, vectors, key, vector, best, "query_id long, listing_key long, s double")
+    scores = found.groupBy("query_id", "listing_key").agg(F.max("s").alias("descriptor_score"))
+    return best_of(scores, "query_id", limit, F.desc("descriptor_score"), F.col("listing_key"))
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame) -> DataFrame:
-    """Text hits with their vector scores, and vector hits that text did not find; by both scores, then key."""
-    left = text_hits.join(vector_hits, "listing_key", "left").select("listing_key", "term_score", F.coalesce("descriptor_score", F.lit(0.0)).alias("descriptor_score"))
-    rest = vector_hits.join(text_hits, "listing_key", "left_anti").select("listing_key", F.lit(0).cast("long").alias("term_score"), "descriptor_score")
-    return left.unionByName(rest).orderBy(F.desc("term_score"), F.desc("descriptor_score"), "listing_key")
+    """Both lanes by query and listing: text hits with their vector scores, and vector hits that text did not find."""
+    met = text_hits.join(vector_hits, ["query_id", "listing_key"], "full")
+    return met.select("query_id", "listing_key", F.coalesce("term_score", F.lit(0).cast("long")).alias("term_score"), F.coalesce("descriptor_score", F.lit(0.0)).alias("descriptor_score"))
 
 
 def newest(rows: DataFrame, keys: list[str], at: str, *ties: str) -> DataFrame:
@@ -65,8 +138,14 @@ def insert_once(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
+# fixed values: marks of what must not leave a campaign
+PRIVATE_MARKS = ["/Users/", "/home/", "file://", "put_private", "user_upload", "\\\\"]
+
+
 def refused(rows: DataFrame, public: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows fit for the index with their public columns only, and those that carry markup or private paths."""
-    payload = F.lower(F.to_json(F.struct(*public)))
-    private = payload.rlike(r"<html|<script|/users/|/home/|\\\\users\\\\")
+    """Rows fit for the index with their public columns only, and those whose payload as JSON holds private paths or markup."""
+    payload = F.to_json(F.struct(*public))
+    private = F.lower(payload).contains("<html") | F.lower(payload).contains("<script")
+    for mark in PRIVATE_MARKS:
+        private = private | payload.contains(mark)
     return rows.where(~private).select(*public), rows.where(private)

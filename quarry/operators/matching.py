@@ -34,14 +34,15 @@ VIEW_ORDER = ["lateral", "medial", "front", "back", "top", "sole", "label", "det
 
 
 def view_pairs(references: DataFrame, candidates: DataFrame, budget: int = 9) -> DataFrame:
-    """Pairs of the same candidate's views with reference views, equal views first, at most `budget` a candidate.
+    """Pairs of a candidate's views with the reference views of its own search, equal views first, at most `budget` a candidate.
 
-    references(reference_id, ref_view, ...) are the few photographs of one search; candidates(candidate_id, image_id, view, ...).
+    references(search_id, reference_id, ref_view, ...) are the few photographs of a search; candidates(search_id,
+    candidate_id, image_id, view, ...).
     """
     order = F.array(*(F.lit(v) for v in VIEW_ORDER))
     at = lambda c: F.when(F.array_position(order, F.col(c)) == 0, 99).otherwise(F.array_position(order, F.col(c)))
-    met = candidates.crossJoin(references)
-    w = Window.partitionBy("candidate_id").orderBy(F.when(F.col("view") == F.col("ref_view"), 0).otherwise(1), at("ref_view"), at("view"), "reference_id", "image_id")
+    met = candidates.join(references, "search_id")
+    w = Window.partitionBy("search_id", "candidate_id").orderBy(F.when(F.col("view") == F.col("ref_view"), 0).otherwise(1), at("ref_view"), at("view"), "reference_id", "image_id")
     return met.withColumn("pair", F.row_number().over(w)).where(F.col("pair") <= budget)
 
 
@@ -61,24 +62,33 @@ def construction_across(pairs: DataFrame) -> DataFrame:
 
 
 def stock_photo_gap(descriptors: DataFrame, spread: float = 0.45) -> DataFrame:
-    """candidate_id, gap: whether photographs of one view differ more in smoothness than one camera would make them."""
-    each = descriptors.groupBy("candidate_id", "view").agg((F.max("smoothness") - F.min("smoothness")).alias("d"))
-    return each.groupBy("candidate_id").agg(F.bool_or(F.col("d") > spread).alias("gap"))
+    """candidate_id, gap: whether photographs of one view differ more in smoothness than one camera would make them; graphics do not count."""
+    each = descriptors.where(F.col("view").cast("string") != "graphic").groupBy("candidate_id", "view").agg((F.max("smoothness") - F.min("smoothness")).alias("d"))
+    flagged = each.groupBy("candidate_id").agg(F.bool_or(F.col("d") > spread).alias("gap"))
+    return descriptors.select("candidate_id").distinct().join(flagged, "candidate_id", "left").select("candidate_id", F.coalesce("gap", F.lit(False)).alias("gap"))
 
 
-def gallery_colour(descriptors: DataFrame) -> DataFrame:
-    """candidate_id, colour_spread: the largest colour distance between two of its photographs (a gallery is short)."""
-    whole = descriptors.groupBy("candidate_id").agg(F.collect_list("rgb").alias("g"))
-    pairs = F.flatten(F.transform("g", lambda a: F.transform("g", lambda b: S.colour_distance(a, b))))
-    return whole.select("candidate_id", F.array_max(pairs).alias("colour_spread"))
+def gallery_consistency(descriptors: DataFrame, footwear: bool = True) -> DataFrame:
+    """candidate_id, colour_spread, score, contradictions: how well the photographs of one listing agree.
 
-
-def item_contradictions() -> Column:
-    """Codes from columns geometry, colour_contradiction, label_differs, category, listed_category; hard ones start with hard."""
-    return F.array_compact(F.array(
-        F.when(F.col("geometry") < 0.35, "hard:construction"), F.when(F.col("colour_contradiction") == "hard", "hard:colour"), F.when(F.col("colour_contradiction") == "soft", "soft:colour"),
-        F.when(F.col("listed_category").isNotNull() & (F.col("listed_category") != F.col("category")), "hard:category"), F.when(F.col("label_differs"), "soft:label"), F.when(F.col("geometry").between(0.35, 0.6), "soft:construction"),
-    ))
+    descriptors(candidate_id, view, eyelet_count, panel_count, label_hash, rgb, smoothness). Colours of side views, or of
+    all but labels if there are none, are compared pair by pair; equal colours are one, and a gallery is short.
+    """
+    side = F.col("eyelet_count") >= 3
+    shape = (F.col("eyelet_count") >= 2) & (F.col("panel_count") >= 2)
+    apart = lambda c: F.max(F.when(shape, F.col(c))) - F.min(F.when(shape, F.col(c)))
+    sums = descriptors.groupBy("candidate_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(side).alias("sides"), F.count_if(F.col("label_hash").isNull()).alias("plain"), F.collect_set(F.when(side, F.col("rgb"))).alias("side_colours"), F.collect_set(F.when(F.col("label_hash").isNull(), F.col("rgb"))).alias("plain_colours"),
+        F.count_if(shape).alias("shapes"), apart("eyelet_count").alias("eyelets"), apart("panel_count").alias("panels"),
+    ).join(stock_photo_gap(descriptors), "candidate_id")
+    colours, shown = F.when(F.col("sides") > 0, F.col("side_colours")).otherwise(F.col("plain_colours")), F.when(F.col("sides") > 0, F.col("sides")).otherwise(F.col("plain"))
+    rows = sums.withColumn("g", colours).withColumn("colour_spread", F.coalesce(F.array_max(F.flatten(F.transform("g", lambda a: F.transform("g", lambda b: S.colour_distance(a, b))))), F.lit(0.0)))
+    eyelets, panels = (F.lit(footwear) & (F.col("shapes") >= 2) & (F.col(c) >= 2) for c in ("eyelets", "panels"))
+    base = F.when(shown < 2, F.lit(0.78)).otherwise(F.greatest(F.lit(0.2), 1 - 2.4 * F.col("colour_spread")))
+    capped = F.least(base, F.when(eyelets | panels, 0.25), F.when(F.col("gap"), 0.4))
+    single = F.col("n") < 2
+    found = F.array_compact(F.array(F.when(eyelets, "gallery-eyelet-incompatible"), F.when(panels, "gallery-panel-incompatible"), F.when(F.col("gap"), "stock-photo-smoothness-gap")))
+    return rows.select("candidate_id", "colour_spread", F.when(single, 0.55).otherwise(capped).alias("score"), F.when(single, F.array().cast("array<string>")).otherwise(found).alias("contradictions"))
 
 
 def compare_parts(spec: DataFrame, parts: DataFrame) -> DataFrame:
@@ -90,27 +100,40 @@ def compare_parts(spec: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def unify_references(images: DataFrame, distance: int = 12, colour: float = 0.18) -> DataFrame:
-    """images(image_id, hash, histogram) to image_id, cluster, size, confidence, place: near in hash and in colour.
+    """images(search_id, image_id, hash, histogram) to search_id, image_id, cluster, size, confidence, place: near in hash and in colour.
 
-    The photographs of one search are a handful; pairs are of those only.
+    Only photographs of one search meet, a handful each; image ids differ between searches. Equal photographs are one
+    before they meet, so that a search with a photograph repeated without end costs no pairs for it.
     """
-    a = images.select(F.col("image_id").alias("a"), F.col("hash").alias("ha"), F.col("histogram").alias("ca"))
-    b = images.select(F.col("image_id").alias("b"), F.col("hash").alias("hb"), F.col("histogram").alias("cb"))
-    near = (V.hex_distance(F.col("ha"), F.col("hb")) <= distance) & (1 - V.histogram_similarity(F.col("ca"), F.col("cb")) < colour)
-    linked = components(a.join(b, F.col("a") < F.col("b")).where(near).select("a", "b"))
-    rows = images.select("image_id").join(linked.withColumnRenamed("node", "image_id"), "image_id", "left").select("image_id", F.coalesce("component", "image_id").alias("cluster"))
-    size = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    placed = size.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "cluster")))
-    return rows.join(placed, "cluster").select("image_id", "cluster", "size", F.least(F.lit(0.9), 0.4 + 0.15 * F.col("size")).alias("confidence"), "place")
+    heads = images.groupBy("search_id", "hash", "histogram").agg(F.min("image_id").alias("head"))
+    a, b = (heads.select("search_id", F.col("head").alias(x), F.col("hash").alias(f"hash_{x}"), F.col("histogram").alias(f"colour_{x}")) for x in "ab")
+    near = (V.hex_distance(F.col("hash_a"), F.col("hash_b")) <= distance) & (1 - V.histogram_similarity(F.col("colour_a"), F.col("colour_b")) < colour)
+    linked = components(a.join(b, "search_id").where(F.col("a") < F.col("b")).where(near).select("a", "b"))
+    named = heads.join(linked.withColumnRenamed("node", "head"), "head", "left").withColumn("cluster", F.coalesce("component", "head"))
+    rows = images.join(named.select("search_id", "hash", "histogram", "cluster"), ["search_id", "hash", "histogram"]).select("search_id", "image_id", "cluster")
+    size = rows.groupBy("search_id", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    placed = size.withColumn("place", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("size"), "cluster")))
+    return rows.join(placed, ["search_id", "cluster"]).select("search_id", "image_id", "cluster", "size", F.least(F.lit(0.9), 0.4 + 0.15 * F.col("size")).alias("confidence"), "place")
+
+
+def hypothesis_kinds(hypotheses: DataFrame) -> DataFrame:
+    """search_id, brand, model, category, members: hypotheses of a search that say the same are one kind."""
+    return hypotheses.groupBy("search_id", "brand", "model", "category").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members"))
 
 
 def hypothesis_graph(hypotheses: DataFrame) -> DataFrame:
-    """Edges a < b between the hypotheses of a search: competing, sharing a brand, or unrelated ones left out."""
-    keep = ["search_id", "id", "brand", "model", "category"]
-    a, b = (hypotheses.select("search_id", *(F.col(c).alias(f"{side}_{c}") for c in keep[1:])) for side in "ab")
-    met = a.join(b, "search_id").where(F.col("a_id") < F.col("b_id"))
-    kind = F.when((F.col("a_brand") == F.col("b_brand")) & (F.col("a_model") == F.col("b_model")), "same_item").when(F.col("a_brand") == F.col("b_brand"), "same_brand").when(F.col("a_category") == F.col("b_category"), "competes")
-    return met.select("search_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), kind.alias("kind")).where(F.col("kind").isNotNull())
+    """Edges a <= b between kinds of hypotheses of a search (by their smallest ids) and how many pairs of hypotheses each stands for.
+
+    same_item, same_brand, or competes (other brand, same category); unrelated kinds have none. Kinds meet on brand or
+    category only, and a kind with itself counts its own pairs, so equal hypotheses cost no pairs.
+    """
+    kinds = hypothesis_kinds(hypotheses)
+    own = kinds.where(F.col("members") > 1).select("search_id", F.col("head").alias("a"), F.col("head").alias("b"), F.lit("same_item").alias("kind"), (F.col("members") * (F.col("members") - 1) / 2).cast("long").alias("pairs"))
+    a, b = (kinds.select("search_id", *(F.col(c).alias(f"{x}_{c}") for c in ("head", "brand", "model", "category", "members"))) for x in "ab")
+    brand = a.join(b, (a["search_id"] == b["search_id"]) & (F.col("a_brand") == F.col("b_brand")) & (F.col("a_head") < F.col("b_head"))).select(a["search_id"], "a_head", "b_head", F.when(F.col("a_model") == F.col("b_model"), "same_item").otherwise("same_brand").alias("kind"), "a_members", "b_members")
+    rival = a.join(b, (a["search_id"] == b["search_id"]) & (F.col("a_category") == F.col("b_category")) & (F.col("a_brand") != F.col("b_brand")) & (F.col("a_head") < F.col("b_head"))).select(a["search_id"], "a_head", "b_head", F.lit("competes").alias("kind"), "a_members", "b_members")
+    met = brand.unionByName(rival)
+    return own.unionByName(met.select("search_id", F.col("a_head").alias("a"), F.col("b_head").alias("b"), "kind", (F.col("a_members") * F.col("b_members")).alias("pairs")))
 
 
 def ratio_matches(left: np.ndarray, right: np.ndarray, ratio: float = 0.8) -> np.ndarray:
@@ -154,32 +177,27 @@ def correspondences(matches: DataFrame) -> DataFrame:
     return matches.groupBy("pair_id").applyInPandas(fit, "pair_id long, matches long, inliers long, ratio double, mirrored boolean")
 
 
-# fixed values: words that speak for an item's history
-PROVENANCE = ["receipt", "invoice", "proof of purchase", "certificate", "dust bag", "original box", "boutique", "purchased"]
-
-
-def source_score(account_days: Column, off_platform: Column, malicious: Column) -> Column:
-    """Young accounts and payment elsewhere count against a source; badges are noted only."""
-    return T.clamp(0.6 - F.when(account_days < 7, 0.2).otherwise(0.0) - F.when(off_platform, 0.3).otherwise(0.0) - F.when(malicious, 0.4).otherwise(0.0))
-
-
-def originality_score(families: Column, images: Column, stolen: Column, stock: Column) -> Column:
-    """Own photographs: families over images, less for reused or stock ones."""
-    return F.when(stolen, F.lit(0.1)).when(stock, F.lit(0.3)).otherwise(T.clamp(0.4 + 0.6 * families / F.greatest(images, F.lit(1))))
+def established(items: Column, shown: Column) -> Column:
+    """Claims that the category can show at all."""
+    return F.filter(items, lambda i: F.array_contains(shown, i))
 
 
-def label_score(visible: Column, code_matches: Column) -> Column:
-    """A code that reads the same speaks for it; one that cannot be read is no contradiction."""
-    return F.when(~visible, F.lit(None).cast("double")).when(code_matches.isNull(), F.lit(0.5)).when(code_matches, F.lit(0.9)).otherwise(0.2)
+#: Spread of each part of item match, as an interval around its mean.
+SPREADS = {"text": 0.05, "visual": 0.08, "geometry": 0.06, "material": 0.10, "cross": 0.08}
 
 
-def established(items: Column, shown: Column) -> Column:
-    """Claims that the category can show at all."""
-    return F.filter(items, lambda i: F.array_contains(shown, i))
+def advice(listing_text: Column, support: Column, contradictions: Column, missing: Column) -> Column:
+    """Notes of a critic that never promotes: what the evidence holds, and that instructions in a listing are data."""
+    return F.array_compact(F.array(
+        F.lit("adjudicator=local_deterministic"), F.lit("output=advisory"), F.when(T.is_instruction(listing_text), "instruction-like listing text treated as data"),
+        F.when(F.size(contradictions) > 0, "contradictions_present"), F.when(F.size(missing) > 0, "missing_evidence_present"), F.when(F.size(support) > 0, "support_cited"),
+    ))
 
 
 def match_evidence(rows: DataFrame) -> DataFrame:
     """The interval of candidates with component columns text, visual, parts, geometry, material, cross, similarity, inliers, ratio, hard, missing."""
     visual = S.blended_visual(F.col("visual"), F.col("similarity"))
     geometry = S.with_correspondence(F.col("geometry"), F.col("inliers"), F.col("ratio"))
-    return rows.withColumn("item_match", S.item_match(F.col("text"), visual, F.col("parts"), geometry, F.col("material"), F.col("cross"), F.col("hard"), F.col("missing"), F.col("inliers") >= 10))
+    part = {"text": F.col("text"), "visual": visual, "geometry": geometry, "material": F.col("material"), "cross": F.col("cross")}
+    iv = {k: S.spread_interval(v, F.lit(SPREADS[k])) for k, v in part.items()}
+    return rows.withColumn("item_match", S.item_match(iv["text"], iv["visual"], F.col("parts"), iv["geometry"], iv["material"], iv["cross"], F.col("hard"), F.col("missing"), F.col("inliers") >= 10))

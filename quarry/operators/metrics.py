@@ -37,21 +37,22 @@ def precision_recall(pairs: DataFrame, truth: str, predicted: str, labels: list[
     return each.select("label", F.round(F.try_divide("hit", "pred"), 6).alias("precision"), F.round(F.try_divide("hit", "truth"), 6).alias("recall"), F.col("truth").alias("support"))
 
 
-def calibration_bins(pairs: DataFrame, score: str, positive: str, width: float = 0.1) -> DataFrame:
-    """bin, n, mean_score, share: bins [lo, hi), the last closed; empty bins stay with null means."""
+def calibration_bins(pairs: DataFrame, score: str, positive: str, width: float = 0.1, weight: str | None = None) -> DataFrame:
+    """bin, n, mean_score, share: bins [lo, hi), the last closed; empty bins stay with null means. A row counts `weight` times."""
+    k = F.col(weight) if weight else F.lit(1)
     n = round(1 / width)
     at = F.least(F.floor(F.col(score) * n), F.lit(n - 1)).cast("int")
-    bins = pairs.where(F.col(score).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("mean_score"), F.round(F.avg(F.when(F.col(positive), 1.0).otherwise(0.0)), 6).alias("share"))
+    bins = pairs.where(F.col(score).isNotNull()).groupBy(at.alias("bin")).agg(F.sum(k).alias("n"), F.round(F.sum(F.col(score) * k) / F.sum(k), 6).alias("mean_score"), F.round(F.sum(F.when(F.col(positive), k).otherwise(0)) / F.sum(k), 6).alias("share"))
     grid = pairs.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
     return grid.join(bins, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_score", "share")
 
 
-def threshold_sweep(pairs: DataFrame, score: str, positive: str, low: int = 40, high: int = 99) -> DataFrame:
+def threshold_sweep(pairs: DataFrame, score: str, positive: str, low: int = 40, high: int = 99, weight: str | None = None) -> DataFrame:
     """threshold in hundredths, tpr, fpr. Scores are counted by hundredth once; a running sum over at most 102 rows follows."""
-    s, p = F.col(score), F.col(positive)
+    s, p, k = F.col(score), F.col(positive), F.col(weight) if weight else F.lit(1)
     # the highest threshold a score reaches; rounding first keeps 0.57 * 100 from falling below 57
     reach = F.greatest(F.lit(-1), F.least(F.lit(100), F.floor(F.round(s * 100, 9)))).cast("int")
-    counts = pairs.where(s.isNotNull()).groupBy(reach.alias("reach")).agg(F.count_if(p).alias("pos"), F.count_if(~p).alias("neg"))
+    counts = pairs.where(s.isNotNull()).groupBy(reach.alias("reach")).agg(F.sum(F.when(p, k).otherwise(0)).alias("pos"), F.sum(F.when(p, 0).otherwise(k)).alias("neg"))
     grid = pairs.sparkSession.range(-1, 101).select(F.col("id").cast("int").alias("reach"))
     w = Window.orderBy(F.desc("reach")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = grid.join(F.broadcast(counts), "reach", "left").na.fill(0, ["pos", "neg"]).select("reach", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(Window.partitionBy(F.lit(1))).alias("all_pos"), F.sum("neg").over(Window.partitionBy(F.lit(1))).alias("all_neg"))
@@ -63,6 +64,26 @@ def choose_threshold(swept: DataFrame, most_fpr: float = 0.05) -> DataFrame:
     return swept.where(F.col("fpr") <= most_fpr).orderBy(F.desc("tpr"), "threshold").limit(1)
 
 
+def false_real(pairs: DataFrame, item: str, truth: str, predicted: str) -> DataFrame:
+    """One row: how many were published as real that are not, over all and over those not real, and the ids in order. The ids of errors are few or the engine is not in use."""
+    wrong = (F.col(predicted) == "real") & (F.col(truth) != "real")
+    sums = pairs.agg(F.count_if(wrong).alias("count"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) != "real").alias("n_not_real"), F.sort_array(F.collect_list(F.when(wrong, F.col(item)))).alias("ids"))
+    return sums.select("count", "n", "n_not_real", F.round(F.try_divide("count", "n"), 6).alias("rate_among_all"), F.round(F.try_divide("count", "n_not_real"), 6).alias("rate_among_not_real"), "ids")
+
+
+def operational(runs: DataFrame) -> DataFrame:
+    """runs(campaign, seconds, images, fetches, cache_hits) as one row: totals, seconds a campaign, images a second, share of reads from a cache."""
+    sums = runs.agg(F.count_distinct("campaign").alias("campaigns"), F.sum("seconds").alias("seconds"), F.sum("images").alias("images"), F.sum("fetches").alias("fetches"), F.sum("cache_hits").alias("hits"))
+    part = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return sums.select("campaigns", F.round("seconds", 6).alias("seconds"), "images", "fetches", part(F.col("seconds"), F.col("campaigns")).alias("seconds_per_campaign"), part(F.col("images"), F.col("seconds")).alias("images_per_second"), part(F.col("hits"), F.col("hits") + F.col("fetches")).alias("cache_hit_rate"))
+
+
+def assigned_split(items: DataFrame, handle: str, target: str, first: int = 5) -> DataFrame:
+    """split of each handle: the target is held out, the first others by name calibrate, the rest are held out."""
+    few = items.where(F.col(handle) != target).select(handle).distinct().orderBy(handle).limit(first).withColumn("_c", F.lit(True))
+    return items.join(F.broadcast(few), handle, "left").withColumn("split", F.when(F.col("_c"), "calibration").otherwise("held_out")).drop("_c")  # `first` rows
+
+
 def calibrated(rows: DataFrame, raw: str, bins: list[tuple[float, float, float, float]] | None) -> DataFrame:
     """cal_mean, spread, calibrated from bins (lo, hi, cal_mean, spread), lo inclusive; without a table or a bin the raw mean and a wide spread."""
     x, out = F.col(raw), F.struct(F.col(raw).cast("double").alias("cal_mean"), F.lit(0.22 if bins is None else 0.16).alias("spread"), F.lit(False).alias("calibrated"))

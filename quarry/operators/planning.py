@@ -112,12 +112,46 @@ def already_run(queries: DataFrame, sources: DataFrame, ran: DataFrame) -> DataF
     return keyed.join(ran.select("key"), "key", "left_anti")
 
 
-def skip_reason(enabled: Column, blocked_until: Column, now: Column, languages: Column, language: Column, covered: Column) -> Column:
-    """Why a source is not asked, or null; in this order."""
-    return (
-        F.when(~enabled, "disabled").when(blocked_until.isNotNull() & (blocked_until > now), "circuit_open")
-        .when(~F.array_contains(languages, language), "unanswerable_language").when(covered, "already_covered")
-    )
+def coverage_reason(rows: DataFrame) -> DataFrame:
+    """outcome and detail for each source that is not asked; both null for those that are. The first reason counts.
+
+    rows: known, selected, enabled, include_disabled, needs_credential, admission, languages and asked (arrays), general,
+    health (what a source's record forbids, or null), unavailable (outcome or null), budget_left.
+    """
+    opted = ~F.col("include_disabled")
+    fits = (F.size("asked") == 0) | (F.size("languages") == 0) | F.arrays_overlap("asked", "languages") | F.array_contains("languages", "en") | F.col("general")
+    reasons = [
+        (~F.col("known"), F.lit("UNMEASURABLE"), "manifest lookup failed"), (~F.col("selected"), F.lit("NOT_ATTEMPTED"), "family not selected"), (opted & ~F.col("enabled"), F.lit("BLOCKED_BY_POLICY"), "source disabled"), (opted & F.col("needs_credential"), F.lit("AUTH_REQUIRED"), "operator credential required"),
+        (F.col("admission") == "BLOCKED", F.lit("BLOCKED_BY_POLICY"), "source admission blocked"), (~fits, F.lit("NOT_ATTEMPTED"), "language mismatch"), (F.col("health").isNotNull(), F.col("health"), "health forbids planning"), (F.col("unavailable").isNotNull(), F.col("unavailable"), "adapter unavailable"), (~F.col("budget_left"), F.lit("UNMEASURABLE"), "source budget exhausted"),
+    ]
+    first = F.coalesce(*(F.when(c, F.struct(outcome.alias("outcome"), F.lit(detail).alias("detail"))) for c, outcome, detail in reasons))
+    return rows.withColumn("_r", first).select(*rows.columns, F.col("_r.outcome").alias("outcome"), F.col("_r.detail").alias("detail"))
+
+
+# fixed values: which sources can be asked in a language
+ADMITTED_SOURCES = {
+    "en": ["searxng", "wikipedia", "marginalia", "internet_archive", "openverse", "ebay_browse_api", "therealreal", "rebag", "byronesque", "heroine"], "ja": ["komehyo", "kind", "wikipedia_ja"], "ko": ["wikipedia_ko"], "zh": ["wikipedia_zh"], "fr": ["wikipedia_fr"], "it": ["wikipedia_it"], "ru": ["wikipedia_ru"],
+}
+
+
+def admitted_sources(language: Column) -> Column:
+    """Sources of a language in order; none for one that is not known."""
+    table = F.create_map(*(x for k, v in ADMITTED_SOURCES.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)))))
+    return F.coalesce(F.try_element_at(table, language), F.array().cast("array<string>"))
+
+
+def source_forms(language: Column, brand: Column, model: Column, condition: Column, category: Column, most: int = 4) -> Column:
+    """Structs of source and text: how a query is put to the first `most` sources of its language. Without brand and model there is none."""
+    say = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p != "", F.lit(False))), " ")
+    core = F.trim(say(brand, model))
+
+    def form(source: Column) -> Column:
+        shop = source.isin("komehyo", "kind") & F.coalesce(condition != "", F.lit(False))
+        text = F.when(source.startswith("wikipedia") | (source == "ebay_browse_api"), core).when(shop, say(core, condition)).otherwise(F.trim(say(core, category, condition)))
+        return F.struct(source.alias("source"), text.alias("text"))
+
+    forms = F.transform(F.slice(admitted_sources(language), 1, most), form)
+    return F.when(core != "", forms).otherwise(F.slice(forms, 1, 0))
 
 
 def robots_rules(body: str | None, agent: str = "*") -> list[tuple[str, bool]]:
@@ -169,6 +203,12 @@ def update_belief(beliefs: DataFrame, news: DataFrame) -> DataFrame:
     )
 
 
+def translate(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows(term, language, ...) with translated and confidence from terms(term, language, translated), a short table; null if it has none."""
+    known = terms.select(F.lower("term").alias("_term"), F.col("language").alias("_language"), "translated", F.lit(0.8).alias("confidence"))
+    return rows.join(F.broadcast(known), (F.lower("term") == F.col("_term")) & (F.col("language") == F.col("_language")), "left").drop("_term", "_language")  # a row for each known term and language
+
+
 def evidence_gaps(wanted: list[str], seen: Column, most: int = 8) -> Column:
     """Views still to ask for, in order of priority."""
     return F.slice(F.array_except(F.array(*(F.lit(w) for w in wanted)), seen), 1, most)

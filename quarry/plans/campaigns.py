@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import images as I
 from quarry.functions import scores as S
 from quarry.operators import campaign, matching, planning
 from quarry.plans.registry import query, table
@@ -28,7 +27,7 @@ def normalised_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("listing_id", "canonical_url", "title", F.col("price").cast("double").alias("price"), "currency", F.col("size.system").alias("size_system"), "availability", "candidate_id")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f = candidates(spark, sf_dir), F.lit(False)
     iv = lambda low: F.struct(F.greatest(F.col(low), F.lit(0.0)).alias("mean"), F.col(low).alias("lower_bound"), F.lit(1.0).alias("upper_bound"))
     rows = c.select(
@@ -50,7 +49,7 @@ JUDGED_SQL = f"""{CANDIDATE_SQL},
 @query(f"WITH {JUDGED_SQL} SELECT id AS candidate_id, bucket, label FROM b")
 def judged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged end to end under one policy."""
-    return _judged(spark, sf_dir).select("candidate_id", "bucket", "label")
+    return judged(spark, sf_dir).select("candidate_id", "bucket", "label")
 
 
 @query(f"""WITH {JUDGED_SQL},
@@ -59,24 +58,31 @@ def judged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id AS candidate_id, bucket, rank, row_number() OVER (PARTITION BY bucket ORDER BY again, rank)::INTEGER AS place FROM n""")
 def published_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9, H10, G1, G2, G8, O4."""
-    return campaign.publish(_judged(spark, sf_dir)).select("candidate_id", "bucket", "rank", "place")
+    return campaign.publish(judged(spark, sf_dir)).select("candidate_id", "bucket", "rank", "place")
 
 
-@query(f"WITH {JUDGED_SQL} SELECT count(*) FILTER (bucket = 'REAL') AS judged_real, 0::BIGINT AS replayed_real, count(*) AS n FROM b")
+@query(f"""WITH {CANDIDATE_SQL}, k AS (SELECT *, id % 7 <> 0 AS fresh FROM cand WHERE id % 3 <> 0)
+  SELECT id AS candidate_id, CASE WHEN id % 7 = 0 THEN 'UNKNOWN' WHEN live THEN 'LIVE' ELSE 'SOLD' END AS availability, least(item_lower, 0.9) AS lower_bound,
+    CASE WHEN live AND NOT scam AND sellers < 6 AND sellers < 7 AND least(item_lower, 0.9) >= 0.45 THEN 'POSSIBLY_REAL' ELSE 'HIDDEN' END AS bucket FROM k""")
 def replayed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored intervals judged again, never raised; unscreened ones are never real."""
-    judged = _judged(spark, sf_dir)
-    again = campaign.judge(judged.drop("bucket", "vetoes", "reasons", "label", "policy_version").withColumn("screened", F.lit(False)))
-    real = lambda df, name: df.agg(F.count_if(F.col("bucket") == "REAL").alias(name), F.count(F.lit(1)).alias("n"))
-    return real(judged, "judged_real").join(real(again, "replayed_real"), "n").select("judged_real", "replayed_real", "n")
-
-
-@query("""WITH h AS (SELECT p_brand AS search_id, p_partkey AS id, lower(p_brand) AS brand, p_name AS model, p_type AS category FROM part), j AS (SELECT a.search_id, a.id AS a, b.id AS b, a.brand = b.brand AS sb, a.model = b.model AS sm, a.category = b.category AS sc FROM h a JOIN h b ON a.search_id = b.search_id AND a.id < b.id)
+    """Hits of the index whose URL is new, with states that go stale, judged on stored intervals that never rise; unscreened, so none is real."""
+    c = candidates(spark, sf_dir)
+    now, url = F.to_timestamp(F.lit("2024-01-02 00:00:00")), F.concat(F.lit("https://x.example/"), F.col("id").cast("string"))
+    listings = c.select(F.col("id").alias("listing_key"), url.alias("canonical_url"), F.when(F.col("live"), "LIVE").otherwise("SOLD").alias("availability"), (now - F.when(F.col("id") % 7 == 0, F.expr("INTERVAL 6 HOURS 1 SECOND")).otherwise(F.expr("INTERVAL 6 HOURS"))).alias("last_checked_at"))
+    known = listings.where(F.col("listing_key") % 3 == 0).select("canonical_url")
+    hits = campaign.consult(c.select(F.col("id").alias("listing_key")), listings, known, now)
+    iv = lambda low: F.struct(F.greatest(low, F.lit(0.0)).alias("mean"), low.alias("lower_bound"), F.lit(1.0).alias("upper_bound"))
+    stored = campaign.never_raised(iv(F.lit(0.9)), iv(F.col("item_lower")))
+    evidence = c.select(F.col("id").alias("listing_key"), F.col("id").alias("candidate_id"), stored.alias("item_match"), iv(F.lit(0.95)).alias("authenticity"), F.lit(True).alias("calibrated"), F.lit(0.9).alias("completeness"), "live", F.lit(True).alias("verified"), F.lit(0).alias("hard_item"), (F.col("sellers") >= 7).cast("int").alias("hard_auth"), "scam", (F.col("sellers") >= 6).alias("stolen"), *(F.lit(x).alias(n) for n, x in (("malicious", False), ("replica", False), ("link", True))))
+    return campaign.replay(hits, evidence).select("candidate_id", "availability", "item_match.lower_bound", "bucket")
+
+
+@query("""WITH h AS (SELECT p_brand AS search_id, p_partkey AS id, lower(p_brand) AS brand, p_name AS model, p_type AS category FROM part), j AS (SELECT a.search_id, a.brand = b.brand AS sb, a.model = b.model AS sm, a.category = b.category AS sc FROM h a JOIN h b ON a.search_id = b.search_id AND a.id < b.id)
   SELECT search_id, kind, count(*) AS n FROM (SELECT search_id, CASE WHEN sb AND sm THEN 'same_item' WHEN sb THEN 'same_brand' WHEN sc THEN 'competes' END AS kind FROM j) WHERE kind IS NOT NULL GROUP BY ALL""")
 def hypothesis_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E13."""
+    """Pairs of hypotheses of a search by kind, counted from kinds and not by pairing hypotheses."""
     h = table(spark, sf_dir, "part").select(F.col("p_brand").alias("search_id"), F.col("p_partkey").alias("id"), F.lower("p_brand").alias("brand"), F.col("p_name").alias("model"), F.col("p_type").alias("category"))
-    return matching.hypothesis_graph(h).groupBy("search_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return matching.hypothesis_graph(h).groupBy("search_id", "kind").agg(F.sum("pairs").alias("n"))
 
 
 @query("""WITH q AS (SELECT p_brand AS search_id, p_partkey AS id, p_retailprice / 2503 AS posterior, lower(p_brand || ' ' || p_name) AS text FROM part),
@@ -122,19 +128,3 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 6
     urls = table(spark, sf_dir, "pages").select("page_id", F.when(k == 2, "http://10.0.0.1/en").otherwise(F.col("url")).alias("url"), (k != 0).alias("enabled"), (k == 1).alias("blocked"), F.array(F.lit("/en"), F.lit("/fr")).alias("prefixes"), F.when(k == 3, None).when(k == 4, "User-agent: *\nDisallow: /fr\n").otherwise("User-agent: *\nDisallow: /fr\nAllow: /fr/\n").alias("robots"))
     return planning.admission(urls).select("page_id", "outcome")
-
-
-@query()
-def requests_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User text to competing hypotheses."""
-    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("search_id"), F.concat_ws(" ", F.lower("p_brand"), "p_name", F.lit("leather boots 97")).alias("text"))
-    return planning.seed_portfolio(r)
-
-
-@query()
-def image_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2, S3, S4 over vectors read as grey images of 8 by 8."""
-    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
-    shade = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 0.5) * 255))).cast("long")), 2, "0")), "")
-    rows = e.select("vec_id", F.unhex(shade).alias("data"), F.lit(8).alias("w"), F.lit(8).alias("h"))
-    return rows.select("vec_id", I.hash_of("data", "w", "h").alias("phash"), I.histogram_of("data", "w", "h").alias("histogram"), I.statistics_of("data", "w", "h").alias("s")).select("vec_id", "phash", "histogram", "s.*")

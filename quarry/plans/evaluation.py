@@ -2,28 +2,65 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import vectors as V
-from quarry.operators import metrics
+from quarry.operators import index, metrics
 from quarry.plans.registry import query, table
 
-#: Pairs of a gallery of one vector a label (the smallest id) with every vector.
+#: Every vector whose id can be divided by 20 against all other vectors.
 PAIRS_SQL = """
   e AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
-  g AS (SELECT vec_id AS item, e AS ge, label AS glabel FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
-  pairs AS (SELECT e.vec_id AS query, item, e.label AS qlabel, round(list_dot_product(e.e, ge) / (sqrt(list_dot_product(e.e, e.e)) * sqrt(list_dot_product(ge, ge))), 6) AS score, e.label = glabel AS correct FROM e, g WHERE e.vec_id <> item)
+  pairs AS (SELECT a.vec_id AS query, b.vec_id AS item, a.label AS qlabel, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS score, a.label = b.label AS correct FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 """
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector against the gallery, which has one vector a label and is small by that."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
-    g = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "e"), "vec_id").alias("g")).select(F.col("label").alias("glabel"), F.col("g.vec_id").alias("item"), F.col("g.e").alias("ge"))
-    gallery = g.agg(F.collect_list(F.struct("item", "ge", "glabel")).alias("gallery"))
-    met = e.join(F.broadcast(gallery)).select(F.col("vec_id").alias("query"), F.col("label").alias("qlabel"), "e", F.inline("gallery")).where(F.col("query") != F.col("item"))
-    return met.select("query", "item", "qlabel", F.round(V.cosine(F.col("e"), F.col("ge")), 6).alias("score"), (F.col("qlabel") == F.col("glabel")).alias("correct"))
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return e.where(F.col("vec_id") % 20 == 0), e
+
+
+def counted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correct, score (six digits), n: pairs of same and of different label, counted inside the blocks."""
+
+    def count(b: index.Block) -> pa.RecordBatch:
+        keep = b.q[:, None] != b.c[None, :]
+        same = b.q_more[0][:, None] == b.c_more[0][None, :]
+        code, n = np.unique(np.round(b.cos[keep] * 1e6).astype(np.int64) * 2 + same[keep], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code & 1 == 1), pa.array(code >> 1), pa.array(n.astype(np.int64))], names=["correct", "millionths", "n"])
+
+    asked, every = _asked(spark, sf_dir)
+    counts = index.cosine_blocks(asked, every, "vec_id", "embedding", count, "correct boolean, millionths long, n long", ("label",), ("label",)).groupBy("correct", "millionths").agg(F.sum("n").alias("n"))
+    return counts.select("correct", (F.col("millionths") / 1e6).alias("score"), "n")
+
+
+def first_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, qlabel, rank: place of the nearest other vector of the same label, by score, then id; null if there is none.
+
+    Two passes over the blocks, the best correct partner of each query, then how many stand before it: no pair is kept.
+    """
+
+    def best(b: index.Block) -> pa.RecordBatch:
+        ok = (b.q[:, None] != b.c[None, :]) & (b.q_more[0][:, None] == b.c_more[0][None, :])
+        cos = np.where(ok, b.cos, -np.inf)
+        top = cos.max(axis=1)
+        item = np.where(ok & (cos == top[:, None]), b.c[None, :], np.iinfo(np.int64).max).min(axis=1)
+        some = np.isfinite(top)
+        return pa.RecordBatch.from_arrays([pa.array(b.q[some]), pa.array(top[some]), pa.array(item[some])], names=["query", "score", "item"])
+
+    def ahead(b: index.Block) -> pa.RecordBatch:
+        top, item = b.q_more
+        before = (b.cos > top[:, None]) | ((b.cos == top[:, None]) & (b.c[None, :] < item[:, None]))
+        return pa.RecordBatch.from_arrays([pa.array(b.q), pa.array((before & (b.q[:, None] != b.c[None, :])).sum(axis=1))], names=["query", "before"])
+
+    asked, every = _asked(spark, sf_dir)
+    found = index.cosine_blocks(asked, every, "vec_id", "embedding", best, "query long, score double, item long", ("label",), ("label",))
+    first = found.groupBy("query").agg(F.max(F.struct("score", (-F.col("item")).alias("item"))).alias("b")).select(F.col("query").alias("vec_id"), F.col("b.score").alias("top"), (-F.col("b.item")).alias("item"))
+    counts = index.cosine_blocks(asked.join(first, "vec_id"), every, "vec_id", "embedding", ahead, "query long, before long", ("top", "item"))
+    ranks = counts.groupBy("query").agg((F.sum("before") + 1).alias("rank"))
+    return asked.select(F.col("vec_id").alias("query"), F.col("label").alias("qlabel")).join(ranks, "query", "left").select("query", "qlabel", "rank")
 
 
 RANKS_SQL = f"{PAIRS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS n FROM pairs), ranks AS (SELECT query, any_value(qlabel) AS qlabel, min(CASE WHEN correct THEN n END) AS rank FROM n GROUP BY 1)"
@@ -31,10 +68,8 @@ RANKS_SQL = f"{PAIRS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY query
 
 @query(f"WITH {RANKS_SQL} SELECT qlabel, count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INTEGER), 6) AS recall_1, round(avg((coalesce(rank, 99) <= 5)::INTEGER), 6) AS recall_5, round(avg((coalesce(rank, 99) <= 10)::INTEGER), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) FILTER (rank IS NULL) AS missing FROM ranks GROUP BY ROLLUP (qlabel)")
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By label and over all."""
-    p = pairs(spark, sf_dir)
-    ranks = metrics.ranks_of(p, "query", "item", "score", "correct").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query"), F.col("label").alias("qlabel")), "query")
-    return metrics.retrieval(ranks, "qlabel")
+    """By label and over all, each query against all other vectors."""
+    return metrics.retrieval(first_correct(spark, sf_dir), "qlabel")
 
 
 LABELLED_SQL = "p AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS truth, CASE WHEN length(text) > 400 THEN 'good' ELSE 'bad' END AS predicted FROM labels JOIN documents USING (doc_id))"
@@ -60,7 +95,7 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS_SQL}, b AS (SELECT least(floor(score * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(correct::INTEGER), 6) AS share FROM pairs WHERE score >= 0 GROUP BY 1) SELECT r.bin::INTEGER AS bin, coalesce(n, 0) AS n, mean_score, share FROM range(10) r(bin) LEFT JOIN b ON b.bin = r.bin")
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ten bins, the last closed, empty ones kept."""
-    return metrics.calibration_bins(pairs(spark, sf_dir).where(F.col("score") >= 0), "score", "correct")
+    return metrics.calibration_bins(counted_pairs(spark, sf_dir).where(F.col("score") >= 0), "score", "correct", weight="n")
 
 
 SWEEP_SQL = f"{PAIRS_SQL}, t AS (SELECT unnest(range(40, 100))::INTEGER AS threshold), s AS (SELECT threshold, round(count(*) FILTER (correct AND round(score * 100, 9) >= threshold) / nullif(count(*) FILTER (correct), 0), 6) AS tpr, round(count(*) FILTER (NOT correct AND round(score * 100, 9) >= threshold) / nullif(count(*) FILTER (NOT correct), 0), 6) AS fpr FROM t, pairs GROUP BY 1)"
@@ -69,7 +104,7 @@ SWEEP_SQL = f"{PAIRS_SQL}, t AS (SELECT unnest(range(40, 100))::INTEGER AS thres
 @query(f"WITH {SWEEP_SQL} SELECT * FROM s")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sixty thresholds from one pass over the pairs."""
-    return metrics.threshold_sweep(pairs(spark, sf_dir), "score", "correct")
+    return metrics.threshold_sweep(counted_pairs(spark, sf_dir), "score", "correct", weight="n")
 
 
 @query(f"WITH {SWEEP_SQL} SELECT * FROM s WHERE fpr <= 0.05 ORDER BY tpr DESC, threshold LIMIT 1")
@@ -78,16 +113,49 @@ def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.choose_threshold(threshold_sweep(spark, sf_dir))
 
 
+def _two_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, item, score, n: the two nearest other vectors of each query."""
+    asked, every = _asked(spark, sf_dir)
+    hits = index.vector_search(asked, every, "vec_id", "embedding", limit=3, least=-2.0).where(F.col("query_id") != F.col("listing_key"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("descriptor_score"), "listing_key")
+    return hits.select(F.col("query_id").alias("query"), F.col("listing_key").alias("item"), F.col("descriptor_score").alias("score"), F.row_number().over(w).alias("n")).where(F.col("n") <= 2)
+
+
 @query(f"WITH {PAIRS_SQL} SELECT query, max(score) AS best, arg_max(item, (score, -item)) AS item FROM pairs GROUP BY 1")
 def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E9, F4, H11."""
-    return pairs(spark, sf_dir).groupBy("query").agg(F.max("score").alias("best"), F.max_by("item", F.struct("score", -F.col("item"))).alias("item"))
+    return _two_best(spark, sf_dir).where(F.col("n") == 1).select("query", F.col("score").alias("best"), "item")
 
 
 @query(f"WITH {PAIRS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item)::INTEGER AS n FROM pairs) SELECT query, max(score) FILTER (n = 1) AS first, max(score) FILTER (n = 2) AS second, max(score) FILTER (n = 2) < 0.8 * max(score) FILTER (n = 1) AS distinct_match FROM n WHERE n <= 2 GROUP BY 1")
 def ratio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A match counts if the second best is far behind."""
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    two = pairs(spark, sf_dir).withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2)
-    one = two.groupBy("query").agg(F.max(F.when(F.col("n") == 1, F.col("score"))).alias("first"), F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second"))
+    n, score = F.col("n"), F.col("score")
+    one = _two_best(spark, sf_dir).groupBy("query").agg(F.max(F.when(n == 1, score)).alias("first"), F.max(F.when(n == 2, score)).alias("second"))
     return one.withColumn("distinct_match", F.col("second") < 0.8 * F.col("first"))
+
+
+VERDICT_SQL = f"""WITH {PAIRS_SQL}, side AS (SELECT *, CASE WHEN query % 40 = 0 THEN 'calibration' ELSE 'held_out' END AS split FROM pairs),
+  t AS (SELECT unnest(range(40, 100))::INTEGER AS threshold),
+  s AS (SELECT split, threshold, round(count(*) FILTER (correct AND round(score * 100, 9) >= threshold) / nullif(count(*) FILTER (correct), 0), 6) AS tpr, round(count(*) FILTER (NOT correct AND round(score * 100, 9) >= threshold) / nullif(count(*) FILTER (NOT correct), 0), 6) AS fpr FROM t, side GROUP BY ALL),
+  c AS (SELECT * FROM s WHERE split = 'calibration' AND fpr <= 0.05 ORDER BY tpr DESC, threshold LIMIT 1)
+  SELECT c.threshold, c.tpr AS calibration_tpr, c.fpr AS calibration_fpr, h.tpr AS held_tpr, h.fpr AS held_fpr, h.fpr <= 0.05 AS holds FROM c JOIN s h ON h.split = 'held_out' AND h.threshold = c.threshold"""
+
+
+@query(VERDICT_SQL)
+def threshold_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q7: the threshold chosen on one half of the queries, judged on the other."""
+
+    def count(b: index.Block) -> pa.RecordBatch:
+        keep = b.q[:, None] != b.c[None, :]
+        same = b.q_more[0][:, None] == b.c_more[0][None, :]
+        half = np.broadcast_to((b.q % 40 == 0)[:, None], keep.shape)
+        code, n = np.unique((np.round(b.cos[keep] * 1e6).astype(np.int64) * 2 + same[keep]) * 2 + half[keep], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code & 1 == 1), pa.array(code >> 1 & 1 == 1), pa.array(code >> 2), pa.array(n.astype(np.int64))], names=["calibration", "correct", "millionths", "n"])
+
+    asked, every = _asked(spark, sf_dir)
+    counts = index.cosine_blocks(asked, every, "vec_id", "embedding", count, "calibration boolean, correct boolean, millionths long, n long", ("label",), ("label",))
+    counts = counts.groupBy("calibration", "correct", "millionths").agg(F.sum("n").alias("n")).withColumn("score", F.col("millionths") / 1e6)
+    fitted = metrics.choose_threshold(metrics.threshold_sweep(counts.where("calibration"), "score", "correct", weight="n"))
+    held = metrics.threshold_sweep(counts.where(~F.col("calibration")), "score", "correct", weight="n").select("threshold", F.col("tpr").alias("held_tpr"), F.col("fpr").alias("held_fpr"))
+    return fitted.withColumnsRenamed({"tpr": "calibration_tpr", "fpr": "calibration_fpr"}).join(held, "threshold").withColumn("holds", F.col("held_fpr") <= 0.05)

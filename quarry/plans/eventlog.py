@@ -62,7 +62,7 @@ def breaker_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 2) AS used, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 2) > 2000 AS refused FROM events")
 def budget_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refused where the sum passes the ceiling."""
+    """P13 over one dimension: refused where the sum passes the ceiling."""
     rows = E.budget(_events(spark, sf_dir), "user_id", ORDER, "value", 2000.0)
     return rows.select("event_id", F.round("used", 2).alias("used"), (F.round("used", 2) > 2000).alias("refused"))
 
@@ -77,14 +77,14 @@ def liveness_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, (props->>'k')::INTEGER AS k, sha256('{\"k\":' || (props->>'k') || '}') AS digest FROM events")
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The payload read and named by its canonical form."""
+    """A1: the payload read and named by its form."""
     k = F.get_json_object("props", "$.k")
     return _events(spark, sf_dir).select("event_id", k.cast("int").alias("k"), F.sha2(F.concat(F.lit('{"k":'), k, F.lit("}")), 256).alias("digest"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P9."""
+    """Hourly counts."""
     return E.tumbling(_events(spark, sf_dir), "ts", "1 hour", F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -118,10 +118,3 @@ def conversation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G6, G7 over conversations."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce(F.lag("role").over(w) == F.col("role"), F.lit(False)).alias("repeats"))
-
-
-@query("SELECT count(*) AS n FROM events WHERE FALSE")
-def broken_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests written and checked again; none breaks."""
-    columns = ["event_id", "event_type", "value"]
-    return E.broken_seals(E.seal(_events(spark, sf_dir), columns), columns).agg(F.count(F.lit(1)).alias("n"))

@@ -5,49 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import url as U
 from quarry.operators import cluster
+from quarry.plans.listings import CANONICAL_SQL
 from quarry.plans.registry import query, table
 
-#: Words of titles: set(doc_id, w).
+#: Titles of pages as classes of equal word sets, and pairs of classes by their smallest pages.
 TITLE_SQL = """
-  tw AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(substr(text, 1, 80), '[A-Za-z0-9぀-ヿ一-鿿가-힯]+'), lambda x: lower(x))) AS w FROM documents),
-  te AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM tw),
-  tp AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS u, count(*) AS k FROM te a JOIN te b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
-  pairs AS (SELECT a, b, round(k / u, 6) AS similarity FROM tp WHERE k / u >= 0.9)
+  tw AS (SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[A-Za-z0-9぀-ヿ一-鿿가-힯]+'), lambda x: lower(x)))) AS w FROM pages),
+  tc AS (SELECT w, min(page_id) AS head FROM tw WHERE len(w) > 0 GROUP BY 1),
+  pairs AS (SELECT a.head AS a, b.head AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM tc a JOIN tc b ON a.head < b.head)
 """
 
 
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"))
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as listings: key by host and listing id, the advertisement as the image family."""
+    p, u = table(spark, sf_dir, "pages"), F.col("url")
+    ad = F.nullif(F.regexp_extract("html", r"(?is)<div class=\"ad\">(.*?)</div>", 1), F.lit(""))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return p.select(F.col("page_id").alias("id"), cluster.cluster_key(U.host(u), U.listing_id(u), U.canonical_url(u)).alias("key"), F.sha2(ad, 256).alias("family"), U.listing_id(u).alias("listing"), title.alias("title"))
 
 
-@query(f"WITH {TITLE_SQL} SELECT * FROM pairs")
+LISTING_SQL = f"""{CANONICAL_SQL},
+  li AS (SELECT page_id AS id, CASE WHEN regexp_matches(url, '[?&]id=[0-9]+') THEN regexp_extract(url, '[?&]id=([0-9]+)', 1) END AS listing, CASE WHEN regexp_matches(url, '[?&]id=[0-9]+') THEN host || ':' || regexp_extract(url, '[?&]id=([0-9]+)', 1) ELSE 'url:' || canonical_url END AS key,
+    nullif(regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1), '') AS family, w FROM canon JOIN pages USING (page_id, url) JOIN tw USING (page_id)),
+  ed AS (SELECT a.id AS a, b.id AS b FROM li a JOIN li b ON a.id <> b.id AND (a.key = b.key OR ((a.listing IS NULL OR b.listing IS NULL OR a.listing = b.listing) AND (a.family = b.family OR (len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.9)))))
+"""
+
+
+@query(f"WITH {TITLE_SQL} SELECT tc.head, count(*) AS members, (SELECT count(*) FROM pairs WHERE similarity >= 0.9 AND tc.head IN (a, b)) AS links FROM tw JOIN tc USING (w) GROUP BY ALL")
 def near_dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title pairs at 0.9, met on their rarest words only."""
-    pairs = cluster.near_title_pairs(_titles(spark, sf_dir), "doc_id", "title", 0.9)
-    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Classes of titles with their members and how many other classes are near, met on rare words only."""
+    pairs, members = cluster.near_title_pairs(_listings(spark, sf_dir), "id", "title", 0.9)
+    ends = pairs.select(F.col("a").alias("head")).unionByName(pairs.select(F.col("b").alias("head"))).groupBy("head").agg(F.count(F.lit(1)).alias("links"))
+    return members.groupBy("head").agg(F.count(F.lit(1)).alias("members")).join(ends, "head", "left").select("head", "members", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-@query(f"""WITH RECURSIVE {TITLE_SQL},
-  ed AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-  reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM reach r JOIN ed e ON e.a = r.seen)
+@query(f"""WITH RECURSIVE {TITLE_SQL}, {LISTING_SQL},
+  reach AS (SELECT page_id AS node, page_id AS seen FROM pages UNION SELECT r.node, e.b FROM reach r JOIN ed e ON e.a = r.seen)
   SELECT node AS id, min(seen) AS cluster FROM reach GROUP BY 1""")
 def cluster_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings by key, image family and title, as connected components."""
-    rows = _titles(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("key"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("listing"), "title")
-    return cluster.cluster_listings(rows, 0.9)
+    """K1, K2, K3: pages as listings by key, image family and title, as connected components; different listings part."""
+    return cluster.cluster_listings(_listings(spark, sf_dir), 0.9)
+
 
+@query(f"""WITH RECURSIVE {TITLE_SQL}, {LISTING_SQL},
+  reach AS (SELECT page_id AS node, page_id AS seen FROM pages UNION SELECT r.node, e.b FROM reach r JOIN ed e ON e.a = r.seen),
+  c AS (SELECT node AS id, min(seen) AS cluster FROM reach GROUP BY 1)
+  SELECT count(*) AS candidates, (SELECT count(DISTINCT key) FROM li) AS keys, count(DISTINCT cluster) AS clusters, count(*) - count(DISTINCT cluster) AS removed, round((count(*) - count(DISTINCT cluster)) / count(*), 6) AS share FROM c""")
+def cluster_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what clustering saves."""
+    rows = _listings(spark, sf_dir)
+    return cluster.savings(rows, cluster.cluster_listings(rows, 0.9))
 
-@query("""WITH RECURSIVE f AS (SELECT substr(text, 1, 12) AS d, min(conv_id) AS head FROM conversations GROUP BY 1),
-  ed AS (SELECT DISTINCT conv_id AS a, head AS b FROM conversations c JOIN f ON f.d = substr(c.text, 1, 12) WHERE conv_id <> head),
+
+@query("""WITH RECURSIVE f AS (SELECT text AS d, min(conv_id) AS head FROM conversations GROUP BY 1),
+  ed AS (SELECT DISTINCT conv_id AS a, head AS b FROM conversations c JOIN f ON f.d = c.text WHERE conv_id <> head),
   both_ways AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
   reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen)
-  SELECT node, min(seen) AS component FROM reach GROUP BY 1""")
+  SELECT c.conv_id AS node, coalesce(min(seen), c.conv_id) AS component FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN reach r ON r.node = c.conv_id GROUP BY c.conv_id""")
 def render_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5, K6: cases (conversations) that share a digest (of the opening of a turn), as components."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.sha2(F.substring("text", 1, 12), 256).alias("digest"))
+    """K6: cases (conversations) that share the digest of a whole turn, as components."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.sha2("text", 256).alias("digest"))
     heads = rows.groupBy("digest").agg(F.min("conv_id").alias("b"))
-    return cluster.components(rows.join(heads, "digest").select(F.col("conv_id").alias("a"), "b"))
+    linked = cluster.components(rows.join(heads, "digest").select(F.col("conv_id").alias("a"), "b"))
+    return rows.select(F.col("conv_id").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 @query("SELECT l_partkey AS family, count(DISTINCT l_suppkey) AS sellers, count(DISTINCT l_suppkey) >= 2 AS reused, count(DISTINCT l_suppkey) >= 3 AS stock_photo FROM lineitem GROUP BY 1")
@@ -90,10 +112,3 @@ def not_attempted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned but not run, as an anti join."""
     run = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.03)).select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey").join(run, "p_partkey", "left_anti")
-
-
-@query()
-def near_dup_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy in order of the turn, inside one conversation."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return cluster.greedy_distinct(c, "conv_id", "text", "turn", 0.86).select("conv_id", "turn")

@@ -9,16 +9,17 @@ from quarry.functions import html as H
 from quarry.functions import money as M
 from quarry.functions import url as U
 from quarry.functions import udfs
-from quarry.operators import index
+from quarry.operators import index, planning
 from quarry.plans.registry import query, table
 
 TRACKING_SQL = ", ".join(f"'{x}'" for x in U.TRACKING)
 CANONICAL_SQL = f"""
-  p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)\\??([^#]*)', ['s', 'h', 'p', 'q']) AS x FROM pages),
-  k AS (SELECT page_id, url, x, array_to_string(list_sort(list_filter(string_split(x.q, '&'), lambda v: v <> '' AND lower(split_part(v, '=', 1)) NOT IN ({TRACKING_SQL}))), '&') AS q FROM p),
-  canon AS (SELECT page_id, url, lower(x.h) AS host, lower(x.s) || '://' || lower(x.h) || regexp_replace(x.p, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM k)
+  p AS (SELECT page_id, url, regexp_extract(trim(url), '^([A-Za-z]+)://([^/?#]*)([^?#]*)\\??([^#]*)', ['s', 'h', 'p', 'q']) AS x FROM pages),
+  k AS (SELECT page_id, url, x, list_transform(list_filter(string_split(x.q, '&'), lambda v: v <> ''), lambda v: {{'k': url_decode(replace(split_part(v, '=', 1), '+', ' ')), 'v': CASE WHEN contains(v, '=') THEN url_decode(replace(substr(v, instr(v, '=') + 1), '+', ' ')) ELSE '' END}}) AS kv FROM p),
+  w AS (SELECT page_id, url, x, regexp_replace(lower(x.h), '^.*@', '') AS host, array_to_string(list_transform(list_sort(list_filter(kv, lambda i: lower(i.k) NOT IN ({TRACKING_SQL}))), lambda i: replace(url_encode(i.k), '%20', '+') || '=' || replace(url_encode(i.v), '%20', '+')), '&') AS q FROM k),
+  canon AS (SELECT page_id, url, host, lower(x.s) || '://' || host || CASE WHEN x.p IN ('', '/') THEN '/' ELSE regexp_replace(x.p, '/+$', '') END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM w)
 """
-STRIP_SQL = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\\s ]+', ' ', 'g'))"
+STRIP_SQL = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\\s ]+', ' ', 'g'))"
 VISIBLE_SQL = "regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g')"
 
 
@@ -33,6 +34,21 @@ def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", U.canonical_url(u).alias("canonical_url"), U.host(u).alias("host"), U.listing_id(u).alias("listing_id"), U.work_key(F.lit("feed"), F.lit("page"), u).alias("work_key"))
 
 
+#: What is made of each kind of odd URL, and what must come of it by the rules.
+ODD_URLS = [
+    ("HTTPS://X.Example", "https://x.example/"), ("http://user:secret@x.example:80/a/", "http://x.example/a"), ("https://x.example:8443//", "https://x.example:8443"), ("//x.example/a;v=1?b", "https://x.example/a?b="),
+    ("https://x.example/a?q=a%20b&UTM_SOURCE=z&c=~*", "https://x.example/a?c=~%2A&q=a+b"), (" x.example/a/ ", "x.example/a/"), ("https://x.example/a?z=1&a=2&a=1&ref=9#top", "https://x.example/a?a=1&a=2&z=1"), ("https://x.example/%7Ea/?n=%C3%A9", "https://x.example/%7Ea?n=%C3%A9"),
+]
+
+
+@query("SELECT page_id, list_extract([" + ", ".join(f"'{w}'" for _, w in ODD_URLS) + "], (page_id % 8 + 1)::BIGINT) AS canonical_url, page_id % 8 <> 5 AS url_shaped FROM pages")
+def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root paths, user names, ports, blanks, empty values, encodings; the expected texts are written out."""
+    made = F.element_at(F.array(*(F.lit(u) for u, _ in ODD_URLS)), (F.col("page_id") % 8 + 1).cast("int"))
+    shaped = U.is_url(F.when(made.startswith("//"), F.concat(F.lit("https:"), made)).otherwise(made))
+    return _pages(spark, sf_dir).select("page_id", U.canonical_url(made).alias("canonical_url"), shaped.alias("url_shaped"))
+
+
 @query(f"SELECT page_id, {STRIP_SQL} AS stripped, length({VISIBLE_SQL}) AS visible_chars FROM pages")
 def strip_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C15, C33."""
@@ -137,25 +153,54 @@ def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.replace_children(e, new, "user_id").select("event_id", "user_id")
 
 
-@query("""SELECT source, count(*) AS n FROM documents WHERE regexp_matches(lower(text), '\\breplicas?\\b|\\bcounterfeits?\\b|\\bcopy\\s+of\\b|\\binspired\\s+by\\b') GROUP BY 1
-  UNION ALL SELECT 'all', count(*) FROM documents""")
-def replica_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C21 in part: plain phrases by built-ins; the full detector folds Unicode in Arrow batches (see replica_folded)."""
-    d = table(spark, sf_dir, "documents")
-    hit = F.lower("text").rlike(r"\breplicas?\b|\bcounterfeits?\b|\bcopy\s+of\b|\binspired\s+by\b")
-    counted = d.where(hit).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return counted.unionByName(d.agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("source"), "n"))
+#: What is put behind a part's name, whether it says replica, and its folded form.
+CLAIMS = [
+    ("ｒｅｐｌｉｃａ", True, "replica"), ("r3pl1ca", True, "r3pl1ca"), ("rерlica", True, "replica"), ("genuine leather", False, "genuine leather"), ("faux fur", False, "faux fur"), ("faux bag", True, "faux bag"), ("non–authentic", True, "non–authentic"), ("not 100% real", True, "not 100% real"),
+    ("in original box", False, "in original box"), ("r e p 1 1 c a", True, "r e p 1 1 c a"), ("ΝOT AUTHENTIC", True, "not authentic"), ("copy of the original receipt", False, "copy of the original receipt"), ("LJR batch", True, "ljr batch"), ("1：1 pair", True, "1:1 pair"), ("re\u200bplica", True, "replica"), ("spare reply 11", False, "spare reply 11"),
+]
 
 
-@query()
+@query("SELECT p_partkey, list_extract([" + ", ".join(str(x).lower() for _, x, _ in CLAIMS) + "], (p_partkey % 16 + 1)::BIGINT) AS replica, lower(p_name) || ' ' || list_extract([" + ", ".join(f"'{x}'" for _, _, x in CLAIMS) + "], (p_partkey % 16 + 1)::BIGINT) AS folded FROM part")
 def replica_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C20, C21, C22 over part names set in full-width, look-alike and leet letters."""
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
-    text = F.concat_ws(" ", "p_name", F.when(k == 0, "ｒｅｐｌｉｃａ").when(k == 1, "r3plica").when(k == 2, "rерlica").otherwise("genuine"))
-    return p.select("p_partkey", udfs.folded(text).alias("folded"), udfs.replica(text).alias("replica"))
+    """Part names with claims in full-width, look-alike, leet, spaced and negated forms; expectations are written out."""
+    text = F.concat_ws(" ", "p_name", F.element_at(F.array(*(F.lit(c) for c, _, _ in CLAIMS)), (F.col("p_partkey") % 16 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", udfs.replica(text).alias("replica"), udfs.folded(text).alias("folded"))
 
 
 @query()
+def replica_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C21 over whole documents, by source; tests hold the detector against its rules on fixtures."""
+    d = table(spark, sf_dir, "documents").select("source", udfs.replica("text").alias("replica"))
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("replica").alias("replicas"))
+
+
+NAMES = ["Tokyo", "shizuka", "Dix Max"]
+
+
+@query("SELECT p_partkey, list_extract(['トクヨ', 'シズカ', 'ヂ・ マ・'], (p_partkey % 3 + 1)::BIGINT) AS katakana, list_extract(['훠씨차', '혜삐홰가', '도하 자하'], (p_partkey % 3 + 1)::BIGINT) AS hangul, list_extract(['Токио', 'Схизука', 'Дикс Макс'], (p_partkey % 3 + 1)::BIGINT) AS cyrillic, NULL::VARCHAR AS chinese FROM part")
 def transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C30."""
-    return table(spark, sf_dir, "part").select("p_partkey", udfs.cyrillic("p_name").alias("cyrillic"), udfs.katakana("p_name").alias("katakana"))
+    """Names in other scripts; expectations are written out by the rules."""
+    name = F.element_at(F.array(*(F.lit(n) for n in NAMES)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    said = lambda code: udfs.transliterated(name, F.lit(code))
+    return table(spark, sf_dir, "part").select("p_partkey", said("ja").alias("katakana"), said("ko").alias("hangul"), said("ru").alias("cyrillic"), said("zh").alias("chinese"))
+
+
+#: Terms with their translations: a table that is joined, broadcast as it has a row for each term and language.
+TERMS = [("leather", "ja", "レザー"), ("leather", "fr", "cuir"), ("suede", "fr", "daim"), ("canvas", "it", "tela"), ("leather", "ru", "кожа"), ("suede", "ko", "스웨이드")]
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'cuir' WHEN 1 THEN 'daim' END AS translated, CASE WHEN p_partkey % 3 < 2 THEN 0.8 END::DOUBLE AS confidence FROM part")
+def translated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms looked up by language; without an entry there is no translation."""
+    asked = F.element_at(F.array(F.lit("Leather"), F.lit("suede"), F.lit("velvet")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", asked.alias("term"), F.lit("fr").alias("language"))
+    return planning.translate(rows, spark.createDataFrame(TERMS, "term string, language string, translated string")).select("p_partkey", "translated", "confidence")
+
+
+ENTITIES = "Caf&#233; &euro;9 &#x20AC;&nbsp;8 &copy;&amp;amp; <b>x</b>&lt;y&gt;"
+
+
+@query("SELECT p_partkey, p_name || ' Café €9 € 8 ©&amp; x <y>' AS stripped FROM part")
+def unescaped_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named and numeric entities, once; tags gone, blanks joined."""
+    return table(spark, sf_dir, "part").select("p_partkey", H.strip_html(F.concat("p_name", F.lit("&nbsp;" + ENTITIES))).alias("stripped"))

@@ -68,15 +68,17 @@ def evidence_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("user_id", iv.alias("i")).select("user_id", *(F.round(f"i.{c}", 4).alias(c) for c in ("mean", "lower_bound", "upper_bound")))
 
 
-@query(f"""WITH {CANDIDATE_SQL}, x AS (SELECT id, item_lower * 0.97713 AS t, auth_lower * 0.97739 AS v, completeness AS p, (sellers >= 6)::INTEGER AS hard, 5 - least(images, 5) AS missing FROM cand),
-  m AS (SELECT id, hard, missing, p, v, least(1, greatest(0, 0.18*t + 0.18*v + 0.30*p + 0.16*0.95 + 0.08*0.7 + 0.10*0.8)) AS m, 0.18*t + 0.18*v + 0.30*(p - 0.06) + 0.16*0.95 + 0.08*0.7 + 0.10*0.8 AS low, 0.04 + 0.03 * least(4, missing) AS s FROM x),
-  b AS (SELECT id, hard, m, least(1, greatest(0, least(m, low) - 0.15 * s)) AS lo, least(1, greatest(m, 0.55) + 0.04) AS hi, hard = 0 AND p >= 0.9 AND v >= 0.88 AND missing <= 2 AS strong FROM m),
-  c AS (SELECT id, hard, m, CASE WHEN strong THEN least(m, greatest(lo, 0.91)) ELSE lo END AS lo, greatest(hi, m) AS hi FROM b)
+@query(f"""WITH {CANDIDATE_SQL}, x AS (SELECT id, greatest(0, item_lower) * 0.97713 AS t, greatest(0, auth_lower) * 0.97739 AS v, completeness AS p, (sellers >= 6)::INTEGER AS hard, 5 - least(images, 5) AS missing FROM cand),
+  m AS (SELECT id, hard, missing, p, v, 0.18*t + 0.18*v + 0.30*p + 0.16*0.95 + 0.08*0.7 + 0.10*0.8 AS m, 0.18*(t - 0.031) + 0.18*v*0.91 + 0.30*(p - 0.06) + 0.16*0.88 + 0.08*0.55 + 0.10*0.7 AS low, 0.04 + 0.03 * least(4, missing) AS s FROM x),
+  b AS (SELECT id, hard, m, least(m, least(1, greatest(0, least(m, low) - 0.15 * s))) AS lo, greatest(m, least(1, greatest(m, 0.55) + 0.04)) AS hi, hard = 0 AND p >= 0.9 AND v >= 0.88 AND missing <= 2 AS strong FROM m),
+  c AS (SELECT id, hard, m, CASE WHEN strong THEN least(m, greatest(lo, 0.91)) ELSE lo END AS lo, hi FROM b)
   SELECT id, round(round(CASE WHEN hard > 0 THEN least(m, 0.22) ELSE m END, 6), 4) AS mean, round(round(CASE WHEN hard > 0 THEN least(lo, 0.12) ELSE lo END, 6), 4) AS lower_bound, round(round(CASE WHEN hard > 0 THEN least(hi, greatest(least(m, 0.22), 0.35)) ELSE hi END, 6), 4) AS upper_bound FROM c""")
 def item_match_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N1, N2, N3."""
+    """The lower bound comes from the parts' own lower bounds."""
     c = candidates(spark, sf_dir)
-    iv = S.item_match(F.col("item_lower") * 0.97713, F.col("auth_lower") * 0.97739, F.col("completeness"), F.lit(0.95), F.lit(0.7), F.lit(0.8), (F.col("sellers") >= 6).cast("int"), 5 - F.least(F.col("images"), F.lit(5)), F.lit(False))
+    part = lambda mean, low: F.struct(mean.alias("mean"), low.alias("lower_bound"), F.lit(1.0).alias("upper_bound"))
+    t, v = F.greatest(F.lit(0.0), "item_lower") * 0.97713, F.greatest(F.lit(0.0), "auth_lower") * 0.97739
+    iv = S.item_match(part(t, t - 0.031), part(v, v * 0.91), F.col("completeness"), part(F.lit(0.95), F.lit(0.88)), part(F.lit(0.7), F.lit(0.55)), part(F.lit(0.8), F.lit(0.7)), (F.col("sellers") >= 6).cast("int"), 5 - F.least(F.col("images"), F.lit(5)), F.lit(False))
     # four digits: engines differ in how they round the seventh
     return c.select("id", iv.alias("i")).select("id", *(F.round(f"i.{x}", 4).alias(x) for x in ("mean", "lower_bound", "upper_bound")))
 

@@ -55,10 +55,73 @@ def expand(rows: DataFrame, queries: list[list[str]], seen: DataFrame, per_index
     return placed.select("url", "member", "score", F.coalesce("_r", F.when(F.col("_n") > per_index, "index_cap")).alias("drop_reason"))
 
 
+#: Most pages and promotions of a catalogue walk, for a source and for a campaign.
+CAPS = {"pages_per_source": 64, "pages_per_campaign": 80, "promote_per_source": 24, "promote_per_campaign": 48}
+
+
+def walk(pages: DataFrame, members_of: DataFrame, queries: list[list[str]], seen: DataFrame, disallowed: list[str], hosts: list[str], caps: dict[str, int] | None = None) -> DataFrame:
+    """A catalogue walk over stored feed pages: url, source_id, score and drop_reason of every member; null reasons are promoted.
+
+    pages(source_id, page, n_members) in order of page; members_of(source_id, page, url, haystack). A walk ends at its first
+    empty page and at the caps on pages, of a source and of the campaign in order of source. Reasons in order: page not
+    walked, other host, disallowed path, seen before, no hit, cap of the source, cap of the campaign. Promotion goes by
+    score, then url.
+    """
+    from pyspark.sql import Window
+
+    caps = CAPS | (caps or {})
+    by_source = Window.partitionBy("source_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = pages.withColumn("_empty", F.max((F.col("n_members") == 0).cast("int")).over(by_source)).withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("page")))
+    open_ = open_.where((F.col("_empty") == 0) & (F.col("_n") <= caps["pages_per_source"]))
+    walked = open_.orderBy("source_id", "page").limit(caps["pages_per_campaign"]).select("source_id", "page", F.lit(True).alias("_walked"))  # a top-k of pages
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1)
+    barred = path.startswith("/search")
+    for p in disallowed:
+        barred = barred | path.startswith(p)
+    rows = members_of.join(F.broadcast(walked), ["source_id", "page"], "left").join(seen.select("url", F.lit(True).alias("_seen")).distinct(), "url", "left").withColumn("score", T.match_score(queries, F.col("haystack")))
+    other = ~U.host(F.col("url")).isin(hosts) if hosts else F.lit(False)
+    reason = F.when(F.col("_walked").isNull(), "page_cap").when(other, "off_host").when(barred, "disallowed").when(F.col("_seen"), "already_seen").when(F.col("score") == 0, "no_query_hit")
+    marked = rows.withColumn("_r", reason).withColumn("_k", F.row_number().over(Window.partitionBy("source_id", F.col("_r").isNull()).orderBy(F.desc("score"), "url")))
+    fit = F.col("_r").isNull() & (F.col("_k") <= caps["promote_per_source"])
+    first = marked.where(fit).orderBy(F.desc("score"), "url").limit(caps["promote_per_campaign"]).select("source_id", "url", F.lit(True).alias("_first"))
+    out = marked.join(F.broadcast(first), ["source_id", "url"], "left")  # at most the campaign's promotions
+    return out.select("source_id", "url", "score", F.coalesce("_r", F.when(F.col("_k") > caps["promote_per_source"], "source_cap"), F.when(F.col("_first").isNull(), "campaign_cap")).alias("drop_reason"))
+
+
+def ledger(walked: DataFrame) -> DataFrame:
+    """drop_reason (null: promoted), n."""
+    return walked.groupBy("drop_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ingest(products: DataFrame, described: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """products(url, title, images) with described(image, descriptor): listings with the descriptors of their first images, and counts of what was skipped.
+
+    A product without images, or none of whose first `most` images could be described, is skipped and counted; images
+    meet their descriptors by equality, so one failure stops nothing.
+    """
+    first = products.select("url", "title", F.size("images").alias("n"), F.posexplode_outer(F.slice("images", 1, most)).alias("at", "image"))
+    found = first.join(described, "image", "left").groupBy("url", "title", "n").agg(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("at", "descriptor"))), lambda s: s["descriptor"])).alias("descriptors"))
+    state = F.when(F.col("n") <= 0, "no_image").when(F.size("descriptors") == 0, "no_descriptor").otherwise("put")
+    rows = found.withColumn("state", state)
+    return rows.where(F.col("state") == "put").select("url", "title", "descriptors"), rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cached(pages: DataFrame, cache: DataFrame) -> DataFrame:
+    """pages(url, body, status) with body from cache(canonical_url, etag, cached_body) where the server said that nothing changed; origin says which."""
+    keyed = pages.withColumn("canonical_url", U.canonical_url(F.col("url"))).join(cache, "canonical_url", "left")
+    same = (F.col("status") == 304) & F.col("cached_body").isNotNull()
+    return keyed.select("url", "canonical_url", F.when(same, F.col("cached_body")).otherwise(F.col("body")).alias("body"), F.when(same, "cache").when(F.col("body").isNotNull(), "page").otherwise("none").alias("origin"))
+
+
+def ocr_rows(raw: DataFrame) -> DataFrame:
+    """Recognised words with confidence from 0 to 1; negative confidences are layout, not words."""
+    return raw.where((F.col("conf") >= 0) & (F.trim("text") != "")).withColumn("text", F.trim("text")).withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("conf") / 100)))
+
+
 def ocr_table(spark: SparkSession, path: str) -> DataFrame:
     """text and confidence (0 to 1) from tables of recognised words; negative confidences are layout, not words."""
     raw = spark.read.csv(path, sep="\t", header=True, schema="level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string", quote="")
-    return raw.where((F.col("conf") >= 0) & (F.trim("text") != "")).select("left", "top", "width", "height", F.trim("text").alias("text"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("conf") / 100)).alias("confidence"))
+    return ocr_rows(raw).select("left", "top", "width", "height", "text", "confidence")
 
 
 def objects(spark: SparkSession, path: str) -> DataFrame:

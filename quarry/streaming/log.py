@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from quarry.sources.sinks import overwrite_partitions
 
 
 def read(spark: SparkSession, path: str, schema: StructType, files: int = 16) -> DataFrame:
@@ -22,21 +24,26 @@ def append_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert_log(events: DataFrame, path: str, checkpoint: str, key: str, at: str) -> StreamingQuery:
-    """The newest row of each key, rewritten batch by batch under the batch's number."""
-    spark = events.sparkSession
+def upsert_log(events: DataFrame, path: str, checkpoint: str, key: str, at: str, buckets: int = 64) -> StreamingQuery:
+    """The newest row of each key, in folders by a hash of the key; a batch rewrites the folders that it touches.
 
-    def batch(rows: DataFrame, number: int) -> None:
-        old = f"{path}/v={number - 1}"
-        try:
-            before = spark.read.parquet(old)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    A batch that runs again after a failure finds its own rows there and changes nothing, whatever its number is.
+    """
+    spark = events.sparkSession
+    kept = StructType([*events.schema.fields, StructField("bucket", IntegerType())])
+
+    def batch(rows: DataFrame, number: int) -> None:  # noqa: ARG001
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # `buckets` rows at most
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            before = spark.read.schema(kept).parquet(path).where(F.col("bucket").isin(touched))
+        else:
             before = rows.limit(0)
-        both = before.unionByName(rows)
-        rest = [c for c in rows.columns if c != key]
-        both.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("r")).select(key, "r.*").write.mode("overwrite").parquet(f"{path}/v={number}")
+        rest = [c for c in events.columns if c != key]
+        newest = before.unionByName(rows).groupBy("bucket", key).agg(F.max_by(F.struct(*rest), at).alias("r")).select(key, "r.*", "bucket")
+        overwrite_partitions(newest, path, "bucket")
+        rows.unpersist()
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -13,8 +13,8 @@ from quarry.operators import campaign, matching, planning
 
 
 def test_view_pairs_keep_to_their_budget(spark):
-    refs = spark.createDataFrame([(f"r{i}", v) for i, v in enumerate(["lateral", "front", "sole", "label"])], "reference_id string, ref_view string")
-    cand = spark.createDataFrame([("c", f"i{i}", v) for i, v in enumerate(["front", "lateral", "top", "sole"])], "candidate_id string, image_id string, view string")
+    refs = spark.createDataFrame([(s, f"{s}{i}", v) for s in (1, 2) for i, v in enumerate(["lateral", "front", "sole", "label"])], "search_id int, reference_id string, ref_view string")
+    cand = spark.createDataFrame([(1, "c", f"i{i}", v) for i, v in enumerate(["front", "lateral", "top", "sole"])], "search_id int, candidate_id string, image_id string, view string")
     rows = matching.view_pairs(refs, cand).orderBy("pair").collect()
     assert len(rows) == 9 and [(r.ref_view, r.view) for r in rows[:3]] == [("lateral", "lateral"), ("front", "front"), ("sole", "sole")]
 
@@ -28,9 +28,9 @@ def test_worst_pair_decides(spark):
 
 
 def test_references_unify(spark):
-    rows = [("a", "0" * 16, [1.0, 0.0]), ("b", "0" * 13 + "f" * 3, [0.9, 0.1]), ("c", "0" * 16, [0.0, 1.0]), ("d", "f" * 16, [1.0, 0.0])]
-    out = {r.image_id: (r.cluster, r["size"], r.place) for r in matching.unify_references(spark.createDataFrame(rows, "image_id string, hash string, histogram array<double>")).collect()}
-    assert out == {"a": ("a", 2, 1), "b": ("a", 2, 1), "c": ("c", 1, 2), "d": ("d", 1, 3)}
+    rows = [(1, "a", "0" * 16, [1.0, 0.0]), (1, "b", "0" * 13 + "f" * 3, [0.9, 0.1]), (1, "c", "0" * 16, [0.0, 1.0]), (1, "d", "f" * 16, [1.0, 0.0]), (1, "e", "0" * 16, [1.0, 0.0]), (2, "x", "0" * 16, [1.0, 0.0])]
+    out = {r.image_id: (r.cluster, r["size"], r.place) for r in matching.unify_references(spark.createDataFrame(rows, "search_id int, image_id string, hash string, histogram array<double>")).collect()}
+    assert out == {"a": ("a", 3, 1), "b": ("a", 3, 1), "e": ("a", 3, 1), "c": ("c", 1, 2), "d": ("d", 1, 3), "x": ("x", 1, 1)}
 
 
 def test_correspondence_finds_a_mirrored_turn(spark):
@@ -49,8 +49,10 @@ def test_parts_and_galleries(spark):
     spec = spark.createDataFrame([("shoe", "sole", True), ("shoe", "lace", False)], "category string, part string, critical boolean")
     parts = spark.createDataFrame([("c", "shoe", "lace", True, 0.2), ("d", "shoe", "sole", False, 0.5)], "candidate_id string, category string, part string, strong boolean, confidence double")
     assert {r.candidate_id: (r.parts_mean, r.critical_missing) for r in matching.compare_parts(spec, parts).collect()} == {"c": (0.95, 1), "d": (0.5, 0)}
-    g = spark.createDataFrame([("c", [0.0, 0.0, 0.0]), ("c", [255.0, 255.0, 255.0]), ("d", [1.0, 1.0, 1.0])], "candidate_id string, rgb array<double>")
-    assert {r.candidate_id: round(r.colour_spread, 2) for r in matching.gallery_colour(g).collect()} == {"c": 1.0, "d": 0.0}
+    shade = lambda k, view, x, e: (k, view, e, 2, None, [x, x, x], 0.5)
+    g = spark.createDataFrame([shade("c", "lateral", 0.0, 6), shade("c", "front", 255.0, 3), shade("d", "front", 1.0, 0), shade("e", "top", 9.0, 0), shade("e", "top", 9.0, 0)], "candidate_id string, view string, eyelet_count int, panel_count int, label_hash string, rgb array<double>, smoothness double")
+    got = {r.candidate_id: (round(r.colour_spread, 2), round(r.score, 2), r.contradictions) for r in matching.gallery_consistency(g).collect()}
+    assert got == {"c": (1.0, 0.2, ["gallery-eyelet-incompatible"]), "d": (0.0, 0.55, []), "e": (0.0, 1.0, [])}
 
 
 def test_cheap_signals(spark):
@@ -124,8 +126,10 @@ def test_consult_and_status(spark):
     hits = spark.createDataFrame([("k",), ("m",)], "listing_key string")
     known = spark.createDataFrame([], "canonical_url string")
     assert {r.listing_key: r.availability for r in campaign.consult(hits, listings, known, F.lit(now)).collect()} == {"k": "UNKNOWN", "m": "LIVE"}
-    s = lambda *x: spark.range(1).select(campaign.terminal_status(*(F.lit(v) for v in x))).first()[0]
-    assert [s(5, 2, 3, 1, 0), s(5, 0, 3, 1, 0), s(0, 0, 3, 0, 2), s(5, 2, 3, 1, 1), s(0, 0, 0, 0, 0)] == ["COMPLETE", "COMPLETE_NO_MATCH", "FAILED_SOURCES", "PARTIAL", "NO_QUERIES"]
+    outs = lambda *x: F.array(*(F.lit(o) for o in x))
+    s = lambda said, pages, n, queries, enough, outcomes: spark.range(1).select(campaign.terminal_status(*(F.lit(v) for v in (said, pages, n, queries, enough)), outcomes)).first()[0]
+    cases = [("COMPLETE", 5, 2, 3, False, outs("SEARCHED_NO_MATCH")), ("CANCELLED", 0, 0, 0, False, outs()), ("COMPLETE", 5, 2, 0, False, outs()), ("COMPLETE", 0, 0, 3, False, outs()), ("COMPLETE", 5, 0, 3, False, outs("PARSER_FAILED")), ("COMPLETE", 0, 0, 0, True, outs("PARSER_FAILED"))]
+    assert [s(*c) for c in cases] == ["COMPLETE", "CANCELLED", "BLOCKED", "BLOCKED", "PARTIAL", "COMPLETE"]
 
 
 def test_image_kernels(spark):

@@ -109,8 +109,11 @@ def test_intervals(spark):
     assert tuple(g) == (0.7, 0.5, 0.95)
     h = one(spark, i=S.hard_penalty(S.interval(f(0.9), f(0.8), f(0.95)), F.lit(1)))
     assert tuple(h) == (0.22, 0.12, 0.35)
-    m = one(spark, i=S.item_match(f(1), f(1), f(1), f(1), f(1), f(1), F.lit(0), F.lit(0), F.lit(False)))
-    assert (m.mean, m.upper_bound) == (1.0, 1.0) and m.lower_bound >= 0.91
+    iv = lambda mean, low: S.interval(f(mean), f(low), f(1))
+    m = one(spark, i=S.item_match(iv(1, 0.5), iv(1, 0.5), f(1), iv(1, 0.5), iv(1, 0.5), iv(1, 0.5), F.lit(0), F.lit(0), F.lit(False)))
+    assert tuple(m) == (1.0, 0.91, 1.0)
+    m = one(spark, i=S.item_match(iv(0.5, 0.2), iv(0.5, 0.2), f(0.5), iv(0.5, 0.2), iv(0.5, 0.2), iv(0.5, 0.2), F.lit(0), F.lit(2), F.lit(False)))
+    assert m.lower_bound == round(0.7 * 0.2 + 0.3 * 0.44 - 0.15 * 0.1, 6)
 
 
 def test_gates_fail_closed(spark):
@@ -126,5 +129,5 @@ def test_says_replica(text, want):
 
 
 def test_unicode_udfs(spark):
-    rows = spark.createDataFrame([("Kamakura", '{"b": 1, "a": "é"}'), (None, None)], "w string, j string").select(udfs.katakana("w").alias("k"), udfs.cyrillic("w").alias("c"), udfs.canonical("j").alias("j")).collect()
-    assert rows[0] == Row(k="カマクラ", c="камакура", j='{"a":"\\u00e9","b":1}') and rows[1] == Row(k=None, c=None, j=None)
+    rows = spark.createDataFrame([("Kamakura", '{"b": 1, "a": "é"}'), (None, None)], "w string, j string").select(udfs.transliterated("w", F.lit("ja")).alias("k"), udfs.transliterated("w", F.lit("ru")).alias("c"), udfs.canonical("j").alias("j")).collect()
+    assert rows[0] == Row(k="カマクラ", c="Камакура", j='{"a":"\\u00e9","b":1}') and rows[1] == Row(k=None, c=None, j=None)

@@ -7,18 +7,20 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import cluster, events, index, metrics, ranking
+from quarry.functions import records
+from quarry.operators import cluster, events, index, metrics, ranking, warm
 from quarry.sources import feeds, sinks
 from quarry.streaming import log
 
 
 def test_hybrid_keeps_both_lanes(spark):
-    text = spark.createDataFrame([("a", 3), ("b", 1)], "listing_key string, term_score long")
-    vec = spark.createDataFrame([("b", 0.9), ("c", 0.5)], "listing_key string, descriptor_score double")
-    assert [tuple(r) for r in index.hybrid(text, vec).collect()] == [("a", 3, 0.0), ("b", 1, 0.9), ("c", 0, 0.5)]
+    text = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "b", 4)], "query_id int, listing_key string, term_score long")
+    vec = spark.createDataFrame([(1, "b", 0.9), (1, "c", 0.5)], "query_id int, listing_key string, descriptor_score double")
+    assert sorted(tuple(r) for r in index.hybrid(text, vec).collect()) == [(1, "a", 3, 0.0), (1, "b", 1, 0.9), (1, "c", 0, 0.5), (2, "b", 4, 0.0)]
 
 
 def test_upserts(spark):
@@ -37,8 +39,19 @@ def test_near_titles_equal_all_pairs(spark, threshold):
     rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(120)]
     sets = {i: {w.lower() for w in t.split()} for i, t in rows}
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
-    got = cluster.near_title_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t", threshold)
-    assert {(r.a, r.b) for r in got.collect()} == want
+    pairs, members = cluster.near_title_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t", threshold)
+    head = {r.id: r.head for r in members.collect()}
+    assert set(head) == {i for i in sets if sets[i]} and all(sets[i] == sets[h] and h <= i for i, h in head.items())
+    linked = {(r.a, r.b) for r in pairs.collect()}
+    got = {(a, b) for a, b in itertools.combinations(sorted(head), 2) if head[a] == head[b] or tuple(sorted((head[a], head[b]))) in linked}
+    assert got == want
+
+
+def test_titles_that_a_third_of_rows_share_cost_no_pairs(spark):
+    rows = [(i, None if i % 2 else str(i % 5), "one hot title of all") for i in range(1000)] + [(i, None, f"own title {i} {i * 7}") for i in range(1000, 3000)]
+    frame = spark.createDataFrame(rows, "id long, listing string, title string")
+    assert cluster.near_title_pairs(frame, "id", "title")[0].count() == 0
+    assert cluster.title_edges(frame).count() < 3 * len(rows)
 
 
 def test_clusters_respect_known_ids(spark):
@@ -96,10 +109,10 @@ def test_events(spark):
     assert [r.n for r in events.numbered(e, "u", ["ts"], after=4).collect()] == [5, 6]
     used = events.budget(e.withColumn("one", F.lit(1)), "u", ["ts"], "one", 3).orderBy("ts").collect()
     assert [r.refused for r in used] == [False] * 3 + [True] * 3
-    sealed = events.seal(e, ["id", "o"])
-    assert events.broken_seals(sealed, ["id", "o"]).count() == 0 and events.broken_seals(sealed.withColumn("o", F.lit("x")), ["id", "o"]).count() == 6
+    sealed = records.sealed(e, ["id", "o"])
+    assert records.broken(sealed, ["id", "o"]).count() == 0 and records.broken(sealed.withColumn("o", F.lit("x")), ["id", "o"]).count() == 6
     moves = spark.createDataFrame([("d", 1, "incoming"), ("d", 2, "verified"), ("d", 3, "incoming")], "d string, n int, zone string")
-    assert [(r.came_from, r.zone) for r in events.illegal_moves(moves, "d", "zone", ["n"], events.ZONE_MOVES).collect()] == [("verified", "incoming")]
+    assert [(r.came_from, r.zone) for r in events.illegal_moves(moves, "d", "zone", ["n"], [tuple(m.split(">")) for m in records.MOVES]).collect()] == [("verified", "incoming")]
 
 
 def test_frontier(spark):
@@ -133,7 +146,8 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.s, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
     assert sinks.purge(spark, path, "s", "a") and not sinks.purge(spark, path, "s", "zz")
     assert [r.s for r in spark.read.parquet(path).collect()] == ["b"]
-    sinks.put_objects(spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"x"),)], "content binary"), str(tmp_path / "o"))
+    for _ in range(2):
+        sinks.put_objects(spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"x"),)], "content binary"), str(tmp_path / "o"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
     m = spark.sql("SELECT map('a', 1, 'b', 2) AS o, map('b', 3) AS n").select(sinks.merged_maps("o", "n").alias("m")).first().m
     assert m == {"a": 1, "b": 3}
@@ -158,5 +172,80 @@ def test_streams(spark, tmp_path):
     log.append_log(log.token_buckets(read(), "user", "ts", 1 / 120, 2.0), str(tmp_path / "k"), str(tmp_path / "km")).awaitTermination()
     assert [r.allowed for r in spark.read.parquet(str(tmp_path / "k")).orderBy("ts").collect()] == [True, True, True, False, True]
     log.upsert_log(read(), str(tmp_path / "u"), str(tmp_path / "um"), "user", "seq").awaitTermination()
+    spark.createDataFrame([("u", 9, t, "ok", 1.0), ("v", 1, t, "ok", 1.0)], kind).coalesce(1).write.mode("append").parquet(src)
+    log.upsert_log(read(), str(tmp_path / "u"), str(tmp_path / "um"), "user", "seq").awaitTermination()
+    assert sorted((r.user, r.seq) for r in spark.read.parquet(str(tmp_path / "u")).collect()) == [("u", 9), ("v", 1)]
     log.append_log(log.windowed(read(), "ts", "2 minutes", "1 minute", "user", "value"), str(tmp_path / "w"), str(tmp_path / "wm")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "w")).count() >= 1
+
+
+def test_states_are_the_twenty_five():
+    moves = events.legal_moves()
+    assert len(events.STATES) == 25 and sum(not f for f in events.STATES.values()) == 5 and len(moves) == len(set(moves))
+    assert ("CREATED", "BLOCKED") not in moves and ("REPLANNING", "PARTIAL") not in moves and ("RANKING", "PARTIAL") in moves and {t for s, t in moves if s == "CREATED"} == {"VALIDATING_INPUT", "CANCELLED", "FAILED"}
+
+
+def test_budget_holds_until_committed_or_released(spark):
+    rows = [(1, "reserve", 1, {"pages": 3.0}), (2, "reserve", 2, {"pages": 2.0}), (3, "reserve", 3, {"pages": 1.0}), (4, "release", 1, None), (5, "release", 1, None), (6, "reserve", 4, {"pages": 3.0, "bytes": 9.0}), (7, "commit", 2, None), (8, "release", 2, None), (9, "reserve", 5, {"bytes": 1e9})]
+    moves = spark.createDataFrame([("c", *r) for r in rows], "campaign string, seq int, move string, reservation int, amounts map<string, double>")
+    got = [r.verdict for r in events.budget_ledger(moves, {"pages": 5.0}).orderBy("seq").collect()]
+    assert got == ["ok", "ok", "pages", "ok", "closed", "ok", "ok", "closed", "ok"]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_exploration_never_takes_what_is_held(spark, seed):
+    rng = random.Random(seed)
+    sources, pages = ["a", "b", "c"], 9
+    rows = [("c", n, rng.choice(sources), rng.random() < 0.05) for n in range(40)]
+    got = {r.seq: r.taken for r in events.exploration(spark.createDataFrame(rows, "campaign string, seq int, source string, finished boolean"), sources, pages).collect()}
+    taken, done = dict.fromkeys(sources, 0), set()
+    for _, n, s, end in rows:
+        if end:
+            done.add(s)
+            want = False
+        else:
+            left, held = pages - sum(taken.values()), sum(max(0, 2 - taken[o]) for o in sources if o != s and o not in done)
+            want = left > 0 and (taken[s] < 2 or left > held)
+            taken[s] += want
+        assert got[n] == want
+    assert sum(taken.values()) <= pages
+
+
+def test_paces(spark):
+    calls = spark.createDataFrame([("h", 0.0, 60), ("h", 0.5, 60), ("h", 1.2, 60), ("h", 1.3, 100)], "host string, at double, bytes long")
+    assert [round(r.wait, 6) for r in events.bandwidth(calls, 100).orderBy("at").collect()] == [0.0, 0.2, 0.0, 0.6]
+    assert [round(r.wait, 6) for r in events.token_bucket(calls, 1.0, 2.0).orderBy("at").collect()] == [1.0, 1.5, 1.8, 2.7]
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_vector_blocks_equal_all_pairs(spark, monkeypatch, many):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1, (90, 8)), 3)
+    x[10:50] = x[10]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [1.0, 2.0]), (202, [0.0] * 8)]
+    frame = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
+    got = {(r.query_id, r.listing_key, round(r.descriptor_score, 6)) for r in index.vector_search(frame.where("k % 9 = 0"), frame, "k", "v", limit=5).collect()}
+    want = set()
+    for i, a in rows:
+        if i % 9 or a is None or len(a) != 8:
+            continue
+        s = [(-round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) if any(a) and any(b) else 0.0, 6), j) for j, b in rows if b is not None and len(b) == 8]
+        want |= {(i, j, -c + 0.0) for c, j in sorted(p for p in s if p[0] <= 0)[:5]}
+    assert got == want
+    if many:
+        monkeypatch.setattr(index, "cosine_blocks", lambda *a, f=index.cosine_blocks, **k: f(*a, **k | {"rows": 7, "most_queries": 1}))
+        again = index.vector_search(frame.where("k % 9 = 0"), frame, "k", "v", limit=5)
+        assert {(r.query_id, r.listing_key, round(r.descriptor_score, 6)) for r in again.collect()} == want
+
+
+def test_warm_index_reads_only_the_buckets_of_its_terms(spark, tmp_path):
+    w = warm.WarmIndex(spark, str(tmp_path / "w"))
+    assert w.count().first().n == 0
+    t = dt.datetime(2024, 1, 1)
+    row = lambda k, text: (k, f"u{k}", "d", "LIVE", t, t, text, "a", "m", "p", "s", "p")
+    kind = "listing_key long, canonical_url string, content_digest string, availability string, first_seen_at timestamp, updated_at timestamp, text string, adapter_version string, model_version string, parameters string, schema_version string, policy_version string"
+    w.put(spark.createDataFrame([row(1, "red boot"), row(2, "blue boot boot")], kind), {"text": "text"}, 1)
+    w.put(spark.createDataFrame([row(1, "green coat")], kind), {"text": "text"}, 2)
+    assert [(r.listing_key, r.term_score) for r in w.search(["boot", "red"]).collect()] == [(2, 2)]
+    plan = w.postings(["boot"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,boot)" in plan
