@@ -130,3 +130,14 @@ def contradictions(ref: Column, cand: Column, footwear: Column, exact: Column, c
     )
     soft = codes((footwear & (eyelets == 1), "eyelet-count-soft"), (footwear & (outsole >= 0.04) & (outsole < 0.07), "outsole-geometry-soft"), (footwear & heel & ~differ, "heel-angle-soft"), (footwear & kinds, "logo-kind-soft"))
     return F.struct(hard.alias("hard"), soft.alias("soft"))
+
+
+# fixed values: which profile a category is judged by; others are generic
+PROFILES = {"footwear": "footwear", "designer_footwear": "footwear", "sneaker": "footwear", "trainer": "footwear", "shoe": "footwear", "garment": "garment", "designer_garment": "garment", "clothing": "garment", "outerwear": "garment", "top": "garment", "bottom": "garment", "shirt": "garment", "shirts": "garment", "long-sleeve": "garment", "longsleeve": "garment", "long_sleeve": "garment", "cutsew": "garment"}
+
+
+def profile_of(category: Column) -> Column:
+    """Name of a category's profile, generic:<category> for those without one, generic:unknown for none."""
+    key = F.regexp_replace(F.lower(F.trim(category)), "^generic:", "")
+    table = F.create_map(*(F.lit(x) for kv in PROFILES.items() for x in kv))
+    return F.when(F.coalesce(category, F.lit("")) == "", "generic:unknown").otherwise(F.coalesce(F.try_element_at(table, key), F.concat(F.lit("generic:"), key)))

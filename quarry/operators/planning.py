@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType, _parse_datatype_string
 
 from quarry.functions import scores as S
 from quarry.functions import text as T
@@ -226,3 +227,26 @@ def seed_portfolio(requests: DataFrame, ceiling: int = 8) -> DataFrame:
     w = Window.partitionBy("search_id")
     top = one.withColumn("n", F.row_number().over(w.orderBy(F.desc("prior"), "id"))).where(F.col("n") <= ceiling)
     return top.withColumn("posterior", F.bround(F.col("prior") / F.sum("prior").over(w), 4)).drop("n", "prior")
+
+
+def replanned(gaps: DataFrame, ran: DataFrame, most: int) -> DataFrame:
+    """One turn of the loop from gaps to queries: gaps(search_id, view, gain) that no query has asked for yet, the `most` best of each search.
+
+    ran(search_id, view). A caller goes on while a turn gives rows and its budget lasts.
+    """
+    w = Window.partitionBy("search_id").orderBy(F.desc("gain"), "view")
+    fresh = gaps.join(ran.select("search_id", "view").distinct(), ["search_id", "view"], "left_anti")
+    return fresh.groupBy("search_id", "view").agg(F.max("gain").alias("gain")).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= most)
+
+
+def map_by_host(rows: DataFrame, host: str, order: str, make: Callable[[], Callable[[dict], object]], result: str, kind: str) -> DataFrame:
+    """`rows` with column `result`: a host's rows lie together and are taken in order; `make` gives each task a function of a row."""
+    schema = StructType([*rows.schema.fields, *_parse_datatype_string(f"{result} {kind}").fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = make()
+        for pdf in batches:
+            yield pdf.assign(**{result: [f(r) for r in pdf.to_dict("records")]})
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, host).sortWithinPartitions(host, order).mapInPandas(run, schema)

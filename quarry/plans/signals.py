@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import authenticity as A
 from quarry.functions import images as I
+from quarry.functions import records as R
 from quarry.functions import scores as S
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import campaign, cluster, matching, planning, ranking
+from quarry.operators import campaign, cluster, matching, metrics, planning, ranking
 from quarry.plans.campaigns import JUDGED_SQL, judged
 from quarry.plans.registry import query, table
 
@@ -189,3 +193,58 @@ def scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cheap = S.cheap_visual(F.lit("0000"), _one_of(k, "0000", "0f0f", "ffff"), F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.5), F.lit(0.5)))
     rows = table(spark, sf_dir, "embeddings").select(k.alias("k"), cheap.alias("cheap"), S.scorer(F.when(k % 2 == 0, 0.9), cheap).alias("s"))
     return rows.select("k", F.round("cheap", 6).alias("cheap"), F.col("s.scorer").alias("scorer"), F.round("s.score", 6).alias("score"))
+
+
+@query("""SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'footwear' WHEN 1 THEN 'garment' WHEN 2 THEN 'generic:bag' WHEN 3 THEN 'generic:unknown' ELSE 'footwear' END AS profile FROM part""")
+def category_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile that a category is judged by."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("k"), A.profile_of(_one_of(k, " Sneaker ", "long-sleeve", "Bag", "", "generic:shoe")).alias("profile"))
+
+
+@query("""WITH g AS (SELECT l_orderkey AS search_id, 'v' || (l_partkey % 9) AS view, max(l_discount) AS gain FROM lineitem WHERE l_linenumber > 1 AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = lineitem.l_orderkey AND r.l_linenumber = 1 AND r.l_partkey % 9 = lineitem.l_partkey % 9) GROUP BY ALL),
+  t AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY gain DESC, view)::INTEGER AS turn FROM g) SELECT * FROM t WHERE turn <= 2""")
+def replanned_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views still missing become the next queries, two a search."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("search_id"), F.concat(F.lit("v"), (F.col("l_partkey") % 9).cast("string")).alias("view"), F.col("l_discount").alias("gain"), "l_linenumber")
+    return planning.replanned(li.where(F.col("l_linenumber") > 1), li.where(F.col("l_linenumber") == 1), 2).select("search_id", "view", "gain", "turn")
+
+
+@query(f"""WITH {JUDGED_SQL}, t AS (SELECT CASE WHEN id % 3 = 0 THEN 'HIDDEN' ELSE bucket END AS truth, bucket AS predicted FROM b),
+  g AS (SELECT x AS truth, y AS predicted FROM (VALUES ('REAL'), ('POSSIBLY_REAL'), ('REPLICA'), ('HIDDEN')) a(x), (VALUES ('REAL'), ('POSSIBLY_REAL'), ('REPLICA'), ('HIDDEN')) b(y))
+  SELECT g.truth, g.predicted, count(t.truth) AS n FROM g LEFT JOIN t USING (truth, predicted) GROUP BY ALL""")
+def bucket_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: candidates judged end to end against labels, as a confusion over the tabs."""
+    rows = judged(spark, sf_dir).select(F.when(F.col("candidate_id") % 3 == 0, "HIDDEN").otherwise(F.col("bucket")).alias("truth"), F.col("bucket").alias("predicted"))
+    return metrics.confusion(rows, "truth", "predicted", ["REAL", "POSSIBLY_REAL", "REPLICA", "HIDDEN"])
+
+
+@query("SELECT count(*) AS written, 0::BIGINT AS broken, 1::BIGINT AS tampered FROM (SELECT DISTINCT p_brand FROM part)")
+def written_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of a run written as JSON, read back and verified; one is changed and found."""
+    path = f"{cluster.checkpoint_dir(spark)}/receipts-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("case")).agg(F.count(F.lit(1)).cast("string").alias("n")).withColumn("receipt_type", F.lit("BenchmarkReceipt"))
+    columns = ["case", "n", "receipt_type"]
+    R.sealed(rows, columns).write.json(path)
+    back = spark.read.schema("case string, n string, receipt_type string, digest string").json(path)
+    first = back.agg(F.min("case").alias("least"))
+    changed = back.join(F.broadcast(first)).withColumn("n", F.when(F.col("case") == F.col("least"), "0").otherwise(F.col("n")))  # one row
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(back, "written").join(F.broadcast(count(R.broken(back, columns), "broken"))).join(F.broadcast(count(R.broken(changed, columns), "tampered")))  # one row each
+
+
+@query("SELECT page_id, length(html) AS chars, row_number() OVER (PARTITION BY split_part(split_part(url, '/', 3), '?', 1) ORDER BY page_id) AS nth FROM pages")
+def paged_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host's pages taken in order, in one place."""
+
+    def make() -> object:
+        seen: dict[str, int] = {}
+
+        def f(row: dict) -> int:
+            seen[row["host"]] = seen.get(row["host"], 0) + 1
+            return seen[row["host"]]
+
+        return f
+
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.char_length("html").cast("long").alias("chars"))
+    return planning.map_by_host(p, "host", "page_id", make, "nth", "long").select("page_id", "chars", "nth")
