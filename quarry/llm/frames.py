@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.cluster import checkpoint_dir
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _roots: dict[str, str] = {}
@@ -24,13 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="quarry-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        _roots[app] = f"{base.rstrip('/')}/quarry-{app}"
+        _roots[app] = f"{checkpoint_dir(spark)}/quarry-{app}"
         atexit.register(_forget, spark, _roots[app])
     return _roots[app]
 

@@ -9,7 +9,8 @@ the order, as many as the root of the leaf's rows, so that no task sees a whole
 A token here is a run of characters other than space, tab and line breaks.
 
 Defined results: null or empty text has no tokens; a null domain, language or source is a child of its own named "".
-Equal rows are chosen together or not at all. A tree without tokens, or an empty table, gives an empty result. Columns
+Equal rows are chosen together or not at all, so a leaf may stay short of its budget by less than the tokens of one row
+with its repeats; that is not handed on. A tree without tokens, or an empty table, gives an empty result. Columns
 named like the result's own (domain, epoch, tokens) are replaced.
 """
 

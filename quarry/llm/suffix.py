@@ -217,7 +217,7 @@ def runs_of(lows: list[int], highs: list[int], length: int) -> list[tuple[int, i
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 150) -> DataFrame:
     """doc_id, data (bytes kept), spans (removed ranges: start, end), n_bytes, one row per row of docs."""
-    found = repeats(docs, length, gram).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    found = repeats(docs, length, gram).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("low", "high")).alias("runs"))  # rows that repeat give their runs once
     base = docs.select("doc_id", F.xxhash64(whole_text("text")).alias("tag"), whole_text("text").alias("data"))
     joined = base.join(found, base.doc_id.eqNullSafe(found.doc_id) & (base.tag == found.tag), "left").select(base.doc_id, "data", F.col("runs.low").alias("lows"), F.col("runs.high").alias("highs"))
 

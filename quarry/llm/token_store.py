@@ -14,6 +14,7 @@ first in order. Columns other than doc_id and text are left out.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,13 +31,15 @@ from quarry.llm.frames import delete_path, free_shuffles, map_rows, small_batche
 from quarry.llm.ranges import with_running_start
 
 END = 0
+#: What an entry of a dictionary of short strings takes besides its characters, about.
+ENTRY = 200
 LEAST, MOST, MASK = 128, 2048, np.uint64((1 << 9) - 1 << 40)  # a cut every 512 ids or so
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ANY_GAP, _RARE_GAP = re.compile(r"\s"), re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD = ("  ", "\n ", "\n\n", " \n", "\t", "\r", "\x0b", "\x0c", "\x01")
 _MARKS = (".", ",", ";", ":", "!", "?")
 _GAPS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
-# fixed value: the pattern by which this family of byte-level tokenizers splits a text
+# fixed value: the pattern by which byte-level tokenizers of the library split a text, where their file asks for it
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -56,20 +59,24 @@ class Encoder:
 
     The tokenizer first splits a text by a pattern and then works on each split apart. A space after a non-space always
     starts a split, so texts are cut there; pieces not met before are split by the same pattern, and splits not met
-    before go to the library together, a newline after each.
+    before go to the library together, a newline after each. This holds for tokenizers whose file asks for that pattern
+    and nothing else before it; texts go to any other as they are. What is kept is forgotten once it holds `most` bytes.
     """
 
-    def __init__(self, path: str, known: int = 1_200_000):
+    def __init__(self, path: str, most: int = 96 << 20):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), known
+        self.tokenizer, self.most, self.held = Tokenizer.from_file(path), most, 0
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.by_pattern = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PATTERN)
         self.splits: dict[str, bytes] = {}
-        (self.newline,) = self._whole("\n").tolist()
+        self.newline = self._whole("\n").tolist()[0]
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
@@ -87,8 +94,10 @@ class Encoder:
             for x, end in zip(plain, ends, strict=True):
                 out[x] = ids[start:end].tobytes()
                 start = end + 1
-        if len(self.splits) + len(out) <= self.limit:
-            self.splits.update(out)
+        if self.held > self.most:
+            self.splits, self.held = {}, 0
+        self.splits.update(out)
+        self.held += sum(2 * len(x) + len(ids) + ENTRY for x, ids in out.items())
         return out
 
     def _parts(self, piece: str) -> list[str]:
@@ -109,13 +118,13 @@ class Encoder:
             parts = [self._parts(pieces[k]) if pieces[k] else [] for k in open_]
             missing = list(dict.fromkeys(x for own in parts for x in own if x not in splits))
             fresh = self._learn(missing) if missing else {}
-            for k, own in zip(open_, parts, strict=True):
+            for k, own in zip(open_, parts, strict=True):  # of what was known before, also if it was forgotten meanwhile
                 out[k] = b"".join([splits[x] if x in splits else fresh[x] for x in own])
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of one text as little-endian 16-bit integers."""
-        if any(s in text for s in self.special):
+        if not self.by_pattern or any(s in text for s in self.special):
             return self._whole(text).tobytes()
         return b"".join(self.look_up(_CUT.split(text))) if text else b""
 
@@ -126,7 +135,7 @@ class Encoder:
     def encode_many(self, texts: pa.StringArray) -> list[bytes]:
         """Ids of each text. Pieces are cut, and equal ones found, in Arrow; each is looked up once."""
         rows = texts.to_pylist()
-        plain = np.array([self._is_plain(t) for t in rows], bool)
+        plain = np.array([self.by_pattern and self._is_plain(t) for t in rows], bool)
         out: list[bytes] = [b""] * len(rows)
         for k in np.nonzero(~plain)[0]:
             out[k] = self.encode(rows[k])

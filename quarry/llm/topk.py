@@ -187,7 +187,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, pivots: int = 64)
     spark = embeddings.sparkSession
     parts = spark.createDataFrame([(r["dim"], r["pivot"], -(-r["n"] // CELL)) for r in extents], "dim int, pivot int, parts long")
     parts = F.broadcast(parts)
-    cells = index.join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    # a place in the stored index parts rows that repeat an id or a whole vector without end
+    cells = index.withColumn("_at", F.monotonically_increasing_id()).join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "_at"), "parts").cast("int"))
     queries = index.where(F.coalesce(is_query, F.lit(False))).dropDuplicates(["vec_id", "vec"])
     home = queries.join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).withColumn("floor", F.lit(float("-inf")))
     first = _ranked(_search(cells, home, k), k).where(F.col("rank") == k)

@@ -30,6 +30,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"\s")
 PLACES = 1 << 20
 SLAB = 1 << 20
+#: Words whose places a task remembers, none longer than this; and the least gain of information of an input.
+KNOWN, LONGEST = 200_000, 64
+LEAST_GAIN = 4.0
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -102,7 +105,7 @@ class Machine:
 
 
 def choose(rows: list[np.ndarray], labels: np.ndarray, inputs: int) -> np.ndarray:
-    """The places with the largest gain of information on the class, of those in two rows at least."""
+    """The places with the largest gain of information on the class, of those in two rows at least and with `LEAST_GAIN`."""
     every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     marks = np.repeat(labels, [len(r) for r in rows])
     n, pos = len(rows), labels.sum()
@@ -117,12 +120,16 @@ def choose(rows: list[np.ndarray], labels: np.ndarray, inputs: int) -> np.ndarra
 
     gain = part(a, a + b, pos) + part(b, a + b, n - pos) + part(c, c + d, pos) + part(d, c + d, n - pos)
     best = np.lexsort((seen, -gain))[:inputs]
-    strong = best[gain[best] > 4.0]
+    strong = best[gain[best] > LEAST_GAIN]
     return np.sort(seen[strong])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12000, inputs: int = 2048, factors: int = 8, epochs: int = 12, rate: float = 0.2, decay: float = 0.02, seed: int = 7) -> Machine:
-    """Learn from labelled documents outside the held-out fold; at most `train_rows` of them reach the driver."""
+    """Learn from labelled documents outside the held-out fold.
+
+    The bound on what reaches the driver: the term places of documents of `train_rows` ids, chosen by hash, and should
+    ids repeat in docs, of 2 * train_rows rows, by id and content.
+    """
     marked = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select("doc_id", whole_text("text").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")  # train_rows at most
@@ -135,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12000, inputs: i
             for w in words(row[2]):
                 if (own := known.get(w)) is None:
                     own = places(w)
-                    if len(known) < 200_000:
+                    if len(known) < KNOWN and len(w) <= LONGEST:
                         known[w] = own
                 found.update(own)
             yield row[0], row[1], np.sort(np.fromiter(found, np.int32, len(found))).tobytes()
@@ -158,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12000, inputs: i
 class Scorer:
     """Scores texts; what a word adds is worked out once for as long as memory allows."""
 
-    def __init__(self, machine: Machine, known: int = 300_000):
-        self.machine, self.most = machine, known
+    def __init__(self, machine: Machine):
+        self.machine = machine
         self.at = {int(p): i for i, p in enumerate(machine.chosen)}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -169,7 +176,7 @@ class Scorer:
             own = self.known.get(w)
             if own is None:
                 own = tuple(self.at[p] for p in places(w) if p in self.at)
-                if len(self.known) < self.most:
+                if len(self.known) < KNOWN and len(w) <= LONGEST:
                     self.known[w] = own
             if own:
                 found.update(own)
