@@ -35,8 +35,8 @@ def test_set_similarities(spark):
 
 
 @pytest.mark.parametrize(("url", "want"), [
-    ("HTTPS://Shop.Example.com:443/A/b/?utm_source=x&b=2&a=1&REF=z#top", "https://shop.example.com/A/b?a=1&b=2"), ("http://x.example:80", "http://x.example"),
-    ("http://x.example:8080/?gclid=1", "http://x.example:8080"), (" not a url ", "not a url"), ("https://x.example/p?id=", "https://x.example/p?id="),
+    ("HTTPS://Shop.Example.com:443/A/b/?utm_source=x&b=2&a=1&REF=z#top", "https://shop.example.com/A/b?a=1&b=2"), ("http://x.example:80", "http://x.example/"),
+    ("http://x.example:8080/?gclid=1", "http://x.example:8080/"), ("http://u:p@x.example/a%20b/?b&a=1+2", "http://x.example/a%20b?a=1+2&b="), (" not a url ", "not a url"), ("https://x.example/p?id=", "https://x.example/p?id="),
 ])
 def test_canonical_url(spark, url, want):
     assert one(spark, u=U.canonical_url(F.lit(url))) == want
