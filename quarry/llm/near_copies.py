@@ -1,16 +1,18 @@
 """Near copies by the Jaccard similarity of word shingles: every pair at 4/5 or more is found, and its sets are compared.
 
-A text is the set of its shingles of `width` words (XXH64 hashes). First the Gray-order index of `hamming` links texts
-whose SimHash fingerprints over that set are within `radius` bits. Fingerprints that near miss many pairs at 4/5, so a
-prefix filter finds the rest: in any order that holds for all texts, two sets of Jaccard 4/5 share a shingle among the
-first n - ceil(4n/5) + 1 of each, and texts meet on those only. Common shingles come last in that order; which are
-listed as common decides the work, never the result. Groups of texts at one shingle up to `SMALL` give all their pairs.
-From larger ones each text is first compared with two of its group; then all pairs whose texts are not in one component
-yet are compared.
-
-No pair is linked unseen. A pair already in one component is left. For others odd sketches are compared: a set's
-shingles fall on a power of two of bits, and a bit says whether an odd number did. Two sketches cannot differ in more
-bits than the sets differ in shingles, so what is dropped here is never a link. What remains has its sets compared.
+A text is the set of its shingles of `width` words (XXH64 hashes). The Gray-order index of `hamming` finds texts whose
+SimHash fingerprints over that set are within `radius` bits. Fingerprints that near miss many pairs at 4/5, so a prefix
+filter finds the rest: in any order that holds for all texts, two sets of Jaccard 4/5 share a shingle among the first
+n - ceil(4n/5) + 1 of each, and texts meet on those only. Common shingles come last in that order; which are listed as
+common decides the work, never the result.
+
+Pairs are compared in three rounds, so that a group of copies costs work for its texts and not for its pairs. First each
+text is compared with what its fingerprint found and with the smallest text it meets. Then each with the likeliest of
+those it meets outside its component. Last all pairs that meet and are in different components still.
+
+No pair is linked unseen. Odd sketches are compared first: a set's shingles fall on a power of two of bits, and a bit
+says whether an odd number did. Two sketches cannot differ in more bits than the sets differ in shingles, so what is
+dropped here is never a link. What remains has its sets compared.
 
 Defined results: texts without words are copies of each other; fewer words than a shingle make one shingle.
 """
@@ -30,7 +32,9 @@ from quarry.llm.frames import Stored, small_batches, stored, whole_text
 from quarry.llm.hamming import hamming_links
 from quarry.llm.simhash import word_slabs
 
-SMALL, COMMON = 32, 100_000
+COMMON = 100_000
+#: Bits of the sketch that travels with every place where texts meet.
+FOLD = 512
 
 
 def shingles(data: bytes, width: int = 5) -> np.ndarray:
@@ -68,9 +72,9 @@ def set_print(own: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big", signed=True)
 
 
-def odd_sketch(own: np.ndarray) -> bytes:
-    """One bit for each place of 2^k >= n: whether an odd number of shingles falls there."""
-    m = 1 << max(6, (len(own) - 1).bit_length())
+def odd_sketch(own: np.ndarray, bits: int | None = None) -> bytes:
+    """One bit for each of `bits` places (a power of two, the first that is n or more): whether an odd number of shingles falls there."""
+    m = bits or 1 << max(6, (len(own) - 1).bit_length())
     return np.packbits(np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
 
 
@@ -116,12 +120,13 @@ def _postings(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, digests, hs, own_n, seen, at, size, sketches, prints = b.column(0).to_pylist(), [], [], [], {}, [], [], [], []
+            docs, digests, hs, own_n, seen, at, size, sketches, folds, prints = b.column(0).to_pylist(), [], [], [], {}, [], [], [], [], []
             for t in b.column(1).to_pylist():
                 own = shingles(t.encode(), width)
                 digests.append(d := set_digest(own))
                 own_n.append(len(own))
                 sketches.append(None if d in seen else odd_sketch(own))
+                folds.append(None if d in seen else odd_sketch(own, FOLD))
                 prints.append(None if d in seen else set_print(own))
                 if d not in seen:
                     first = in_order(own, common)[: len(own) - -(-4 * len(own) // 5) + 1] if len(own) else own
@@ -134,11 +139,11 @@ def _postings(docs: DataFrame, width: int) -> DataFrame:
             keyed = np.repeat(np.array(list(seen), np.int64), np.array(list(seen.values()), np.int64))
             cols = [pa.array(docs + [None] * m, pa.int64()), pa.array(np.concatenate([np.array(digests, np.int64), keyed]))]
             cols += [pa.array(np.concatenate([np.zeros(n, np.int64), *(h.view(np.int64) for h in hs)])), pa.array(np.concatenate([none, *at])), pa.array(np.concatenate([np.array(own_n, np.int32), *size]))]
-            cols += [pa.array(sketches + [None] * m, pa.binary()), pa.array(prints + [None] * m, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "h", "at", "n", "sketch", "print"])
+            cols += [pa.array(x + [None] * m, kind) for x, kind in ((sketches, pa.binary()), (folds, pa.binary()), (prints, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "h", "at", "n", "sketch", "fold", "print"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", whole_text("text")).mapInArrow(run, "doc_id long, digest long, h long, at int, n int, sketch binary, print long")
+    return docs.select("doc_id", whole_text("text")).mapInArrow(run, "doc_id long, digest long, h long, at int, n int, sketch binary, fold binary, print long")
 
 
 def _near(at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -146,90 +151,94 @@ def _near(at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return 9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], whole: bool, small: int) -> Iterator[pa.RecordBatch]:
-    """Rows by (h, digest) to pairs a < b. Large groups: with two texts each, their rows given back with h; if `whole`, all pairs of different roots."""
-    kind = np.dtype([(c, "i8") for c in ("h", "digest", "at", "n", "root")])
+def _groups(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """Rows sorted by (h, digest), repeats left out, in pieces that end with a whole group."""
     held = np.empty(0, kind)
 
-    def out(i: list, j: list, back: list) -> pa.RecordBatch:
-        none = np.empty(0, kind)
-        a, b, rows = np.concatenate([none["h"], *i]), np.concatenate([none["h"], *j]), np.concatenate([none, *back])
-        zero = np.zeros(len(a), np.int64)
-        cols = [np.concatenate([x, y]) for x, y in ((zero, rows["h"]), (np.minimum(a, b), rows["digest"]), (np.maximum(a, b), rows["digest"]), (zero, rows["at"]), (zero, rows["n"]))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([zero > 0, np.ones(len(rows), bool)])), *map(pa.array, cols)], names=["again", "h", "a", "b", "at", "n"])
-
-    def groups(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.concatenate([[True], (rows["h"][1:] != rows["h"][:-1]) | (rows["digest"][1:] != rows["digest"][:-1])])]
-        edge = np.concatenate([[0], np.nonzero(rows["h"][1:] != rows["h"][:-1])[0] + 1, [len(rows)]])
-        size, d, at, n, root = np.diff(edge), rows["digest"], rows["at"], rows["n"], rows["root"]
-        left, right, back, held = [], [], [], 0
-
-        def pairs(i: np.ndarray, j: np.ndarray) -> int:
-            ok = _near(at, n, i, j)
-            left.append(d[i[ok]])
-            right.append(d[j[ok]])
-            return int(np.count_nonzero(ok))
-
-        for m in np.unique(size).tolist():
-            if m < 2:
-                continue
-            start = edge[:-1][size == m]
-            if m <= small:
-                i, j = np.triu_indices(m, 1)
-                for k in range(0, len(start), 4096):
-                    own = start[k : k + 4096, None]
-                    held += pairs((own + i).ravel(), (own + j).ravel())
-                    if held > 200_000:
-                        yield out(left, right, back)
-                        left, right, back, held = [], [], [], 0
-                continue
-            for s in start.tolist():
-                every = np.arange(s, s + m)
-                if not whole:
-                    held += pairs(np.full(m - 1, s), every[1:]) + pairs(np.full(m - 2, s + 1), every[2:]) + m
-                    back.append(rows[s : s + m])
-                else:
-                    every = every[np.argsort(root[every], kind="stable")]
-                    own = root[every]
-                    ends = np.searchsorted(own, own, "right")
-                    for x, end in zip(every.tolist(), ends.tolist(), strict=True):
-                        held += pairs(np.full(m - end, x), every[end:])
-                        if held > 200_000:
-                            yield out(left, right, back)
-                            left, right, back, held = [], [], [], 0
-                if held > 200_000:
-                    yield out(left, right, back)
-                    left, right, back, held = [], [], [], 0
-        if left or back:
-            yield out(left, right, back)
+    def single(rows: np.ndarray) -> np.ndarray:
+        return rows[np.concatenate([[True], (rows["h"][1:] != rows["h"][:-1]) | (rows["digest"][1:] != rows["digest"][:-1])])]
 
     for b in batches:
         if not b.num_rows:
             continue
         rows = np.empty(b.num_rows, kind)
         for c in kind.names:
-            rows[c] = b.column(c).to_numpy()
+            rows[c] = np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(len(rows), -1) if c == "fold" else b.column(c).to_numpy()
         rows = np.concatenate([held, rows])
         last = np.searchsorted(rows["h"], rows["h"][-1])
         if last:
-            yield from groups(rows[:last])
+            yield single(rows[:last])
         held = rows[last:]
     if len(held):
-        yield from groups(held)
+        yield single(held)
+
+
+_PLACE = np.dtype([(c, "i8") for c in ("h", "digest", "at", "n")])
+
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every group of two or more: each row again, with the smallest digest of its group as `first` if the two are near."""
+    for rows in _groups(batches, _PLACE):
+        start = np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])
+        own = np.cumsum(start) - 1
+        size, head = np.bincount(own)[own], np.nonzero(start)[0][own]
+        every = np.arange(len(rows))
+        first = _near(rows["at"], rows["n"], head, every) & (head != every)
+        kept = size > 1
+        yield pa.RecordBatch.from_arrays([pa.array(rows[c][kept]) for c in _PLACE.names] + [pa.array(rows["digest"][head][kept], mask=~first[kept])], names=[*_PLACE.names, "first"])
 
-def _pairs(rows: DataFrame, whole: bool, small: int) -> DataFrame:
+
+def _differing(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group in different components whose sketches allow a link, with their cost; if `best`, of each row the cheapest."""
+    kind = np.dtype([*((c, "i8") for c in ("h", "digest", "at", "n", "root")), ("fold", "u8", (FOLD // 64,))])
+
+    def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        own, a, b, cost = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cost)], names=["own", "a", "b", "cost"])
+
+    found, held = [], 0
+    for rows in _groups(batches, kind):
+        edge = np.concatenate([[0], np.nonzero(rows["h"][1:] != rows["h"][:-1])[0] + 1, [len(rows)]])
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            g = rows[s:e]
+            roots, code, size = np.unique(g["root"], return_inverse=True, return_counts=True)
+            if len(roots) < 2:
+                continue
+            most = int(size.argmax())
+            every, rest = np.arange(len(g)), np.nonzero(code != most)[0]
+            step = max(1, 2_000_000 // len(g))
+            for k in range(0, len(rest), step):
+                i = rest[k : k + step]
+                ok = (code[i][:, None] != code[None, :]) & ((code == most)[None, :] | (every[None, :] > i[:, None]))
+                p, j = np.nonzero(ok)
+                good = _near(g["at"], g["n"], i[p], j)
+                p, j = p[good], j[good]
+                far = np.zeros(len(p), np.int64)
+                for w in range(FOLD // 64):
+                    far += np.bitwise_count(g["fold"][i[p], w] ^ g["fold"][j, w])
+                whole = g["n"][i[p]] + g["n"][j]
+                good = 9 * far <= whole
+                p, j, cost = p[good], j[good], (far / np.maximum(whole, 1))[good]
+                if best and len(p):
+                    order = np.lexsort((j, cost, p))
+                    order = order[np.concatenate([[True], p[order][1:] != p[order][:-1]])]
+                    p, j, cost = p[order], j[order], cost[order]
+                found.append((g["digest"][i[p]], g["digest"][i[p]], g["digest"][j], cost))
+                held += len(p)
+                if held > 200_000:
+                    yield out(found)
+                    found, held = [], 0
+    if found:
+        yield out(found)
+
+
+def _by_shingle(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.select("h", "digest", F.col("at").cast("long"), F.col("n").cast("long"), "root").repartition(n, "h").sortWithinPartitions("h", "digest")
-    return met.mapInArrow(lambda it: _meet(it, whole, small), "again boolean, h long, a long, b long, at long, n long")
+    return rows.repartition(n, "h").sortWithinPartitions("h", "digest")
 
 
-def _possible(pairs: DataFrame, each: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Of pairs (a, b) those not in one component of `roots` yet whose sketches allow a Jaccard of 4/5."""
-    if roots is not None:
-        left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-        named = pairs.join(left, "a", "left").join(right, "b", "left")
-        pairs = named.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+def _possible(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose sketches allow a Jaccard of 4/5."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,30 +283,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, each: DataFrame, width: int) ->
     return links.df
 
 
-def near_copies(docs: DataFrame, width: int = 5, small: int = SMALL, radius: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs of Jaccard 4/5 or more); doc_id must not be null."""
     small_batches(docs.sparkSession)
     made = stored(_postings(docs, width), "postings")
     rows = made.where(F.col("doc_id").isNotNull())
     prints = rows.select("doc_id", "digest")
-    each = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"), F.first("print", True).alias("print")), "distinct")
-    links = _verified(stored(_possible(_printed(each, radius), each), "printed"), docs, each, width)
+    each = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(c, True).alias(c) for c in ("sketch", "fold", "print"))), "distinct")
+    places = made.where(F.col("doc_id").isNull()).select("h", "digest", *(F.col(c).cast("long").alias(c) for c in ("at", "n")))
+    met = Stored(_by_shingle(places).mapInArrow(_stars, "h long, digest long, at long, n long, first long"), "met")
+
+    def compared(pairs: DataFrame) -> tuple[Stored, DataFrame]:
+        tried = Stored(pairs.select("a", "b").distinct(), "pairs")
+        return tried, _verified(stored(_possible(tried.df, each), "possible"), docs, each, width)
+
+    def named(roots: DataFrame) -> DataFrame:
+        placed = met.df.drop("first").join(each.select("digest", "fold"), "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+        return _by_shingle(placed.select("h", "digest", "at", "n", F.coalesce("root", "digest").alias("root"), "fold"))
+
+    kind = "own long, a long, b long, cost double"
+    stars = met.df.where("first IS NOT NULL").groupBy("digest").agg(F.min("first").alias("first")).select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    first, links = compared(stars.unionByName(_printed(each, radius)))
     roots = stored(components(links), "roots")
-    met = Stored(_pairs(made.where(F.col("doc_id").isNull()).select("h", "digest", "at", "n", F.lit(0).cast("long").alias("root")), False, small), "met")
-    pairs = Stored(met.df.where(~F.col("again")).select("a", "b").distinct(), "pairs")
-    links = links.unionByName(_verified(stored(_possible(pairs.df, each, roots), "possible"), docs, each, width))
+    likely = named(roots).mapInArrow(lambda it: _differing(it, True), kind).groupBy("own").agg(F.min(F.struct("cost", "a", "b")).alias("p")).select("p.a", "p.b")
+    second, more = compared(likely.join(first.df, ["a", "b"], "left_anti"))
+    links = links.unionByName(more)
     roots = stored(components(links), "roots")
-    large = met.df.where("again").select("h", F.col("a").alias("digest"), "at", "n")
-    if large.limit(1).count():
-        named = large.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        more = _pairs(named, True, small).select("a", "b").distinct().join(pairs.df, ["a", "b"], "left_anti")
-        links = links.unionByName(_verified(stored(_possible(more, each), "possible"), docs, each, width))
-        roots = stored(components(links), "roots")
-    met.drop()
-    pairs.drop()
-    named = each.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    rest = named(roots).mapInArrow(lambda it: _differing(it, False), kind).select("a", "b").distinct()
+    third, more = compared(rest.join(first.df.unionByName(second.df), ["a", "b"], "left_anti"))
+    if more.limit(1).count():
+        roots = stored(components(links.unionByName(more)), "roots")
+    for done in (met, first, second, third):
+        done.drop()
+    named_each = each.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = named_each.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named_each.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
