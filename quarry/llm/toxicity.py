@@ -106,11 +106,13 @@ class Machine:
 
 def choose(rows: list[np.ndarray], labels: np.ndarray, inputs: int) -> np.ndarray:
     """The places with the largest gain of information on the class, of those in two rows at least and with `LEAST_GAIN`."""
-    every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    marks = np.repeat(labels, [len(r) for r in rows])
     n, pos = len(rows), labels.sum()
-    both = np.bincount(every, minlength=PLACES).astype(float)
-    hit = np.bincount(every, marks, PLACES)
+    both, hit = np.zeros(PLACES), np.zeros(PLACES)
+    for k in range(0, n, 500):  # the driver holds the rows already; what is made of them is bounded
+        own = rows[k : k + 500]
+        every = np.concatenate(own)
+        both += np.bincount(every, minlength=PLACES)
+        hit += np.bincount(every, np.repeat(labels[k : k + 500], list(map(len, own))), PLACES)
     seen = np.nonzero(both >= 2)[0]
     a, b = hit[seen], both[seen] - hit[seen]
     c, d = pos - a, n - pos - b
