@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quarry.llm.frames import shared_dir, stored, whole_text
 
 SLOTS = 4096
-MAP_SCHEMA = "version int, slot int, shard int, rows long, bytes long"
+MAP_SCHEMA = "version int, slot int, shard int, shards int, rows long, bytes long"
 
 
 def records(docs: DataFrame, slots: int = SLOTS, overhead: int = 16) -> DataFrame:
@@ -90,7 +90,7 @@ class SlotMap:
         return SlotMap(deal(found, shards, len(self.shard), self.shard), shards, self.version + 1, found)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, s, h, *self.totals.get(s, (0, 0))) for s, h in sorted(self.shard.items())]
+        rows = [(self.version, s, h, self.shards, *self.totals.get(s, (0, 0))) for s, h in sorted(self.shard.items())]
         return spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1)
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -103,7 +103,7 @@ class SlotMap:
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
         rows = cls.stored_frame(spark, path, version).collect()
-        return cls({r["slot"]: r["shard"] for r in rows}, 1 + max(r["shard"] for r in rows), version, {r["slot"]: (r["rows"], r["bytes"]) for r in rows if r["rows"]})
+        return cls({r["slot"]: r["shard"] for r in rows}, rows[0]["shards"], version, {r["slot"]: (r["rows"], r["bytes"]) for r in rows if r["rows"]})
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
