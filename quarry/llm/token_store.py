@@ -63,7 +63,7 @@ class Encoder:
     and nothing else before it; texts go to any other as they are. What is kept is forgotten once it holds `most` bytes.
     """
 
-    def __init__(self, path: str, most: int = 96 << 20):
+    def __init__(self, path: str, most: int = 192 << 20):
         import regex
         from tokenizers import Tokenizer
 
