@@ -87,37 +87,43 @@ def small_batches(spark: SparkSession, most: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], Iterable[tuple]]], flush_rows: int = 2048, flush_bytes: int = 8 << 20, weigh: int | None = None) -> DataFrame:
-    """Flat-map rows in Arrow batches. `make` runs once a task and returns the function of a row.
+def map_stream(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterator[tuple]], Iterable[tuple]]], flush_rows: int = 2048, flush_bytes: int = 8 << 20, weigh: Iterable[int] = ()) -> DataFrame:
+    """The rows of a partition, in their order, through a generator in Arrow batches. `make` runs once a task.
 
-    A batch leaves when it holds `flush_rows` rows or, counting bytes or text in output column `weigh`, `flush_bytes`.
+    A batch leaves when it holds `flush_rows` rows or, counting bytes, text or lists in output columns `weigh`, `flush_bytes`.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     small_batches(df.sparkSession)
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target, weighed = to_arrow_schema(_parse_datatype_string(schema)), tuple(weigh)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, rows, held = make(), [], 0
+        rows, held = [], 0
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(columns, target, strict=True)], schema=target)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for out in f(row):
-                        rows.append(out)
-                        if weigh is not None and out[weigh] is not None:
-                            held += len(out[weigh])
-                        if len(rows) >= flush_rows or held >= flush_bytes:
-                            yield batch()
-                            rows.clear()
-                            held = 0
+        given = (row for b in batches for at in range(0, b.num_rows, 256) for row in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True))
+        for out in make()(given):
+            rows.append(out)
+            held += sum(len(out[k]) for k in weighed if out[k] is not None)
+            if len(rows) >= flush_rows or held >= flush_bytes:
+                yield batch()
+                rows.clear()
+                held = 0
         if rows:
             yield batch()
 
     return df.mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], Iterable[tuple]]], flush_rows: int = 2048, flush_bytes: int = 8 << 20, weigh: int | None = None) -> DataFrame:
+    """Flat-map rows: `make` runs once a task and returns the function of a row."""
+
+    def stream() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+        f = make()
+        return lambda rows: (out for row in rows for out in f(row))
+
+    return map_stream(df, schema, stream, flush_rows, flush_bytes, () if weigh is None else (weigh,))

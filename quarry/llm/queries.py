@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, mixing, pieces, sharding, simhash, suffix, tiff, token_store, topk, toxicity
+from quarry.llm import conversations, line_dedup, mixing, pieces, sharding, simhash, suffix, tiff, token_store, topk, toxicity
 from quarry.llm.frames import shared_dir
 
 
@@ -77,7 +77,17 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.page_digests(tiff.media_pages(tiff.store_media(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_suffix, op3_sharding, op4_token_store, op5_mixing, op6_pieces, op7_topk, op8_line_dedup, op9_toxicity, op10_tiff)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    done = conversations.repair(conversations.damaged(rows))
+    counts, same = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"], lambda b: F.col("conv_id").eqNullSafe(b)
+    ids = rows.select("conv_id").distinct()
+    summary, lines = done.summary.withColumnRenamed("conv_id", "s"), conversations.digests(done.turns).withColumnRenamed("conv_id", "t")
+    out = ids.join(summary, same(F.col("s")), "left").join(lines, same(F.col("t")), "left")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_suffix, op3_sharding, op4_token_store, op5_mixing, op6_pieces, op7_topk, op8_line_dedup, op9_toxicity, op10_tiff, op11_conversation_repair)}
 
 ORACLE_SQL = {
     "op7_topk": """
@@ -104,4 +114,55 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE t AS (
+          SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: if(c % 2 = 1, xor(c >> 1, 3988292384), c >> 1), b)) AS tab),
+        keyed AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS codes
+          FROM conversations),
+        cased AS (
+          SELECT conv_id, turn, role, text,
+                 xor(list_reduce(codes, lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 20 AS which
+          FROM keyed, t),
+        d AS (
+          SELECT conv_id, turn, if(which = 4, 'user', role) AS role,
+                 CASE which WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+          FROM (SELECT *, unnest(range(CASE which WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS time FROM cased)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role || ':' || text, 64), text) AS i FROM d),
+        judged AS (
+          SELECT *, left(role, 1) AS ini, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS later FROM placed),
+        f AS (
+          SELECT *, body = '' AS is_blank, body <> '' AND later AS is_dup, body <> '' AND NOT later AND right(body, 1) NOT IN ('.', '!', '?') AS is_cut,
+                 lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM judged),
+        facts AS (
+          SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank,
+                 count(*) FILTER (is_dup) AS duplicate, count(*) FILTER (is_cut) AS truncated,
+                 count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        w AS (
+          SELECT conv_id, 0::BIGINT AS i, {'c': 0, 'a': ''} AS o, {'c': 1000000000, 'a': ''} AS s, {'c': 1000000000, 'a': ''} AS u, {'c': 1000000000, 'a': ''} AS a FROM facts
+          UNION ALL
+          SELECT w.conv_id, f.i, {'c': o.c + 4, 'a': o.a || 'D'},
+            list_sort([{'c': s.c + 4, 'a': s.a || 'D'}, {'c': o.c + if(f.is_blank OR f.is_dup OR f.ini <> 's', 1000000000, 0) + if(f.is_cut, 3, 0), 'a': o.a || 'K'}])[1],
+            list_sort([{'c': u.c + 4, 'a': u.a || 'D'}] || list_transform([{'c': o.c, 'a': o.a}, {'c': s.c, 'a': s.a}, {'c': a.c, 'a': a.a}, {'c': u.c + 3, 'a': u.a || 'I'}],
+              lambda x: {'c': x.c + if(f.is_blank OR f.is_dup, 1000000000, 0) + if(f.ini = 'u', 0, 3) + if(f.is_cut, 3, 0), 'a': x.a || if(f.ini = 'u', 'K', 'R')}))[1],
+            list_sort([{'c': a.c + 4, 'a': a.a || 'D'}] || list_transform([{'c': u.c, 'a': u.a}, {'c': o.c + 3, 'a': o.a || 'I'}, {'c': s.c + 3, 'a': s.a || 'I'}, {'c': a.c + 3, 'a': a.a || 'I'}],
+              lambda x: {'c': x.c + if(f.is_blank OR f.is_dup, 1000000000, 0) + if(f.ini = 'a', 0, 3) + if(f.is_cut, 3, 0), 'a': x.a || if(f.ini = 'a', 'K', 'R')}))[1]
+          FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1),
+        won AS (
+          SELECT facts.*, list_sort([{'c': o.c, 'a': o.a}, {'c': s.c + 6, 'a': s.a || 'II'}, {'c': u.c + 3, 'a': u.a || 'I'}, {'c': a.c, 'a': a.a}])[1] AS best
+          FROM facts JOIN w ON facts.conv_id IS NOT DISTINCT FROM w.conv_id AND facts.n = w.i),
+        letters AS (SELECT conv_id, best.a AS audit, unnest(range(1, length(best.a) + 1)) AS p FROM won),
+        spread AS (
+          SELECT conv_id, p, audit[p] AS e, length(replace(left(audit, p), 'I', '')) AS i, length(replace(left(audit, p), 'D', '')) AS k FROM letters),
+        turned AS (
+          SELECT x.conv_id, x.p, x.e, x.k, if(x.e = 'I', '', f.text) AS text, f.role, max(if(x.k = 1 AND x.e = 'K' AND f.ini = 's', 1, 0)) OVER (PARTITION BY x.conv_id) AS led
+          FROM spread x LEFT JOIN f ON x.e <> 'I' AND x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.i = f.i WHERE x.e <> 'D'),
+        said AS (
+          SELECT conv_id, string_agg(if(e = 'K', role, if((k - led) % 2 = 1, 'user', 'assistant')) || ':' || text, chr(10) ORDER BY p) AS body FROM turned GROUP BY conv_id)
+        SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN won ON ids.conv_id IS NOT DISTINCT FROM won.conv_id LEFT JOIN said ON ids.conv_id IS NOT DISTINCT FROM said.conv_id
+    """,
 }
