@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import conversations, line_dedup, mixing, pieces, sharding, simhash, suffix, tiff, token_store, topk, toxicity
+from quarry.llm import alignment, conversations, line_dedup, mixing, pieces, sharding, simhash, suffix, tiff, token_store, topk, toxicity
 from quarry.llm.frames import shared_dir
 
 
@@ -87,7 +87,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_suffix, op3_sharding, op4_token_store, op5_mixing, op6_pieces, op7_topk, op8_line_dedup, op9_toxicity, op10_tiff, op11_conversation_repair)}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_suffix, op3_sharding, op4_token_store, op5_mixing, op6_pieces, op7_topk, op8_line_dedup, op9_toxicity, op10_tiff, op11_conversation_repair, op12_alignment)}
 
 ORACLE_SQL = {
     "op7_topk": """
