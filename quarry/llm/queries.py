@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import alignment, conversations, line_dedup, mixing, pieces, sharding, simhash, suffix, tiff, token_store, topk, toxicity
+from quarry.llm import alignment, conversations, language_model, line_dedup, mixing, pieces, sharding, simhash, suffix, tiff, token_store, topk, toxicity
 from quarry.llm.frames import shared_dir
 
 
@@ -93,7 +93,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_suffix, op3_sharding, op4_token_store, op5_mixing, op6_pieces, op7_topk, op8_line_dedup, op9_toxicity, op10_tiff, op11_conversation_repair, op12_alignment)}
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return language_model.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_suffix, op3_sharding, op4_token_store, op5_mixing, op6_pieces, op7_topk, op8_line_dedup, op9_toxicity, op10_tiff, op11_conversation_repair, op12_alignment, op13_language_model)}
 
 ORACLE_SQL = {
     "op7_topk": """
