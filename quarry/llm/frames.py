@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,17 @@ def carried(df: DataFrame, keep: Iterable[str], produced: Iterable[str]) -> list
     return [F.col(f"`{c}`") for c in keep if c.lower() not in own]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as a plane of low and a plane of high halves: the second compresses to almost nothing."""
+    halves = numbers.astype("<u4").view("<u2").reshape(-1, 2)
+    return halves[:, 0].tobytes() + halves[:, 1].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, "<u2").reshape(2, -1).astype(np.int32)
+    return planes[0] | planes[1] << 16
+
+
 def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """Arrow batches are cut by bytes: ten thousand long texts at once would not fit an executor's overhead."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

@@ -34,9 +34,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quarry.llm.frames import Stored, ascii_lower, map_rows, map_stream, stored, whole_text
+from quarry.llm.frames import Stored, ascii_lower, map_rows, map_stream, packed, stored, unpacked, whole_text
 
-SLICE, BLOCK = 1 << 20, 16 << 20
+SLICE, BLOCK = 1 << 20, 6 << 20
 LONG_WORD = 40
 PROBES = 5
 #: Weights that are tried.
@@ -117,16 +117,14 @@ class Segments:
     def __init__(self, power: int, parts: Iterable[tuple[int, bytes]]):
         self.power = power
         self.first, self.nbits = np.zeros(1 << power, np.uint64), np.zeros(1 << power, np.uint64)
-        kept, total = [], 0
+        self.data = bytearray()
         for number, data in parts:
-            self.first[number], self.nbits[number] = total, 8 * len(data)
-            total += 8 * len(data)
-            kept.append(data)
-        self.data = np.frombuffer(b"".join(kept), np.uint8)
+            self.first[number], self.nbits[number] = 8 * len(self.data), 8 * len(data)
+            self.data += data
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Level of each n-gram, 0 where it is not held: membership probes for one level more until one fails."""
-        out = np.zeros(len(grams), np.int8)
+        out, data = np.zeros(len(grams), np.int8), np.frombuffer(self.data, np.uint8)
         number = segment_of(grams, self.power)
         alive = np.nonzero(self.nbits[number])[0]
         level = 0
@@ -136,7 +134,7 @@ class Segments:
             there = np.ones(len(alive), bool)
             for at in _bits(own, level, nbits):
                 bit = first + at
-                there &= (self.data[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                there &= (data[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             alive = alive[there]
             out[alive] = level
         return out
@@ -146,7 +144,7 @@ def segment_of(grams: np.ndarray, power: int) -> np.ndarray:
     return (grams >> np.uint64(64 - power)).astype(np.int64)
 
 
-BLOCKS = "block long, doc_ids array<long>, held array<boolean>, seqs array<binary>, words array<binary>, times array<long>, tokens long"
+BLOCKS = "block long, doc_ids array<long>, held array<boolean>, seqs array<binary>, hashes binary, words array<binary>, times array<int>, tokens long"
 
 
 def _blocks(rows: Iterator[tuple], block_bytes: int) -> Iterator[tuple]:
@@ -156,12 +154,12 @@ def _blocks(rows: Iterator[tuple], block_bytes: int) -> Iterator[tuple]:
     docs, taken = [], 0
 
     def block() -> tuple:
-        times = np.zeros(len(at), np.int64)
+        times = np.zeros(len(at), np.int32)
         for _, held, seq in docs:
             if not held:
-                times += np.bincount(seq, minlength=len(at))
+                times += np.bincount(seq, minlength=len(at)).astype(np.int32)
         words = [END, *map(word_key, list(at)[1:])]
-        return number, [d for d, _, _ in docs], [h for _, h, _ in docs], [s.tobytes() for _, _, s in docs], words, times.tolist(), int(times.sum())
+        return number, [d for d, _, _ in docs], [h for _, h, _ in docs], [packed(s) for _, _, s in docs], np.array([xxh64_intdigest(w, 29) for w in words], np.uint64).tobytes(), words, times.tolist(), int(times.sum(dtype=np.int64))
 
     for doc_id, held, text in rows:
         parts = []
@@ -179,12 +177,12 @@ def _blocks(rows: Iterator[tuple], block_bytes: int) -> Iterator[tuple]:
         yield block()
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxh64_intdigest(w, 29) for w in words], np.uint64)
+def _hashes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
 
 
 def _seqs(raw: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(s, np.int32) for s in raw]
+    return [unpacked(s) for s in raw]
 
 
 def _sliced(block: int, grams: np.ndarray, power: int, *more: np.ndarray) -> Iterator[tuple]:
@@ -202,20 +200,20 @@ def filter_segments(blocks: DataFrame, order: int, power: int, bits: int) -> Dat
     """
 
     def slices(row: tuple) -> Iterator[tuple]:
-        block, held, seqs, words = row
-        own, taught = _hashes(words), [s for s, h in zip(_seqs(seqs), held, strict=True) if not h]
+        block, held, seqs, hashes = row
+        own, taught = _hashes(hashes), [s for s, h in zip(_seqs(seqs), held, strict=True) if not h]
         for n in range(2, order + 1):
             grams, times = np.unique(gram_hashes(own, taught, n), return_counts=True)
-            yield from _sliced(block, grams, power, times)
+            yield from _sliced(block, grams, power, times.astype(np.int32))
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         grams = np.frombuffer(b"".join(table["grams"].to_pylist()), np.uint64)
-        times = np.frombuffer(b"".join(table["times"].to_pylist()), np.int64)
+        times = np.frombuffer(b"".join(table["times"].to_pylist()), np.int32)
         distinct, back = np.unique(grams, return_inverse=True)
         held = segment_bits(distinct, np.bincount(back, times, len(distinct)), bits)
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([held], pa.binary())})
 
-    rows = map_rows(blocks.select("block", "held", "seqs", "words"), "segment long, block long, grams binary, times binary", lambda: slices, weigh=2)
+    rows = map_rows(blocks.select("block", "held", "seqs", "hashes"), "segment long, block long, grams binary, times binary", lambda: slices, weigh=2)
     return rows.groupBy("segment").applyInArrow(one, "segment long, bits binary")
 
 
@@ -223,8 +221,8 @@ def _levels_by_segment(blocks: DataFrame, segments: DataFrame, order: int, power
     """block, levels (one array for each order, an entry a token): n-grams go to their segments and levels come back."""
 
     def asked(row: tuple) -> Iterator[tuple]:
-        block, seqs, words = row
-        own = _hashes(words)
+        block, seqs, hashes = row
+        own = _hashes(hashes)
         for n in range(2, order + 1):
             for part in _sliced(block, np.unique(gram_hashes(own, _seqs(seqs), n)), power):
                 yield n, *part
@@ -235,19 +233,19 @@ def _levels_by_segment(blocks: DataFrame, segments: DataFrame, order: int, power
         yield block, n, number, raw, (Segments(power, [(number, bits)]).levels(grams) if bits else np.zeros(len(grams), np.int8)).tobytes()
 
     def spread(row: tuple) -> Iterator[tuple]:
-        block, seqs, words, parts = row
-        own, out = _hashes(words), []
+        block, seqs, hashes, parts = row
+        own, out = _hashes(hashes), []
         for n in range(2, order + 1):
             mine = [p for p in parts if p["n"] == n]
             grams, levels = np.frombuffer(b"".join(p["grams"] for p in mine), np.uint64), np.frombuffer(b"".join(p["levels"] for p in mine), np.int8)
             out.append(levels[np.searchsorted(grams, gram_hashes(own, _seqs(seqs), n))].tobytes())
         yield block, out
 
-    rows = map_rows(blocks.select("block", "seqs", "words"), "n int, segment long, block long, grams binary", lambda: asked, weigh=3)
+    rows = map_rows(blocks.select("block", "seqs", "hashes"), "n int, segment long, block long, grams binary", lambda: asked, weigh=3)
     met = rows.join(segments, "segment", "left").select("n", "block", "segment", "grams", "bits")
     told = map_rows(met, "block long, n int, segment long, grams binary, levels binary", lambda: probed, flush_rows=64, weigh=3)
     back = told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("n", "segment", "grams", "levels"))).alias("parts"))
-    return map_rows(blocks.select("block", "seqs", "words").join(back, "block"), "block long, levels array<binary>", lambda: spread, flush_rows=1)
+    return map_rows(blocks.select("block", "seqs", "hashes").join(back, "block"), "block long, levels array<binary>", lambda: spread, flush_rows=1)
 
 
 @dataclass
@@ -302,7 +300,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
     counted = Stored(asked.select("block", "pos", F.sum("x.times").over(each).alias("count"), (F.col("block") == F.min("block").over(each)).alias("once")), "counts")
     corpus = Corpus(first.df.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0], counted.df.where("once and count > 0").count())
     back = counted.df.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "count"))).alias("found"))
-    blocks = stored(first.df.join(back.select("block", F.col("found.count").alias("counts")), "block"), "counted")
+    blocks = stored(first.df.drop("words", "times", "tokens").join(back.select("block", F.col("found.count").alias("counts")), "block"), "counted")
     first.drop()
     counted.drop()
 
@@ -310,19 +308,19 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
     segments = stored(filter_segments(blocks, order, power, bits), "filter")
     size = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        sent: Broadcast | None = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in segments.toLocalIterator()])
-        given = blocks.select("doc_ids", "held", "seqs", "words", "counts", F.lit(None).cast("array<binary>").alias("levels"))
+        sent: Broadcast | None = spark.sparkContext.broadcast(Segments(power, segments.toLocalIterator()))
+        given = blocks.select("doc_ids", "held", "seqs", "hashes", "counts", F.lit(None).cast("array<binary>").alias("levels"))
     else:
         sent = None
         levels = _levels_by_segment(blocks, segments, order, power)
-        given = stored(blocks.join(levels, "block").select("doc_ids", "held", "seqs", F.lit(None).cast("array<binary>").alias("words"), "counts", "levels"), "probed")
+        given = stored(blocks.join(levels, "block").select("doc_ids", "held", "seqs", F.lit(None).cast("binary").alias("hashes"), "counts", "levels"), "probed")
 
     def reader() -> Callable[[tuple], tuple]:
-        held_filter = Segments(power, sent.value) if sent is not None else None
+        held_filter = sent.value if sent is not None else None
 
         def f(row: tuple) -> tuple:
-            doc_ids, held, raw, words, counts, levels = row
-            seqs, own = _seqs(raw), _hashes(words) if held_filter else None
+            doc_ids, held, raw, hashes, counts, levels = row
+            seqs, own = _seqs(raw), _hashes(hashes) if held_filter else None
             found = [held_filter.levels(gram_hashes(own, seqs, n)) for n in range(2, order + 1)] if held_filter else [np.frombuffer(x, np.int8) for x in levels]
             return doc_ids, np.array(held, bool), seqs, np.array(counts, np.int64), found
 
@@ -342,9 +340,12 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
                     if w is None:
                         use = taught & (at >= 0)
                         p, share, at = p[use], share[use], at[use]
+                        new, some = share == 0, share > 0
+                        alone, many = np.bincount(at[new], np.log10(p[new]), POWERS), np.bincount(at[new], minlength=POWERS)
+                        p, share, own = p[some], share[some], at[some]
                         for k, g in enumerate(GRID.tolist()):
-                            sums = np.bincount(at, np.log10(g * share + (1 - g) * p), POWERS)
-                            yield from ((int(b), k, float(sums[b])) for b in np.nonzero(sums)[0])
+                            sums = alone + many * np.log10(1 - g) + np.bincount(own, np.log10(g * share + (1 - g) * p), POWERS)
+                            yield from ((int(b), k, float(sums[b])) for b in np.unique(at))
                         return
                     p = _mixed(p, share, at, w)
 

@@ -30,7 +30,7 @@ def corpus():
     shared = text(50)
     texts = [None, "", " \n", "One", "ONE one", "É é", "\x1c\x85 \xa0x", "w" * 5000, "w" * 5000, "unheard-of " + "v" * 41]
     texts += [text(rng.randint(1, 60)) + shared for _ in range(60)] + [text(4000)] + [shared] * 9
-    return [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "no id at all", "", 0), (3, "again", "", 0)]
+    return [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "no id at all", "", 0), (3, "again and again", "", 0)]
 
 
 def tokens(text):
