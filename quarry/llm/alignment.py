@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -31,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import map_rows, map_stream, stored
+from quarry.llm.frames import map_rows, map_stream, packed, stored, unpacked
 
 NO_ONE, LEFT, RIGHT = range(3)
 MARK = "▁"
-SLICE, BLOCK = 1 << 20, 8 << 20
+SLICE, BLOCK = 1 << 20, 4 << 20
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _GAP_AT_END = re.compile(r"\s[ \n]|\x01")
+_GAP = re.compile(r"[\s\x1c-\x1f]")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -59,14 +61,23 @@ class ByteSide:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         letters, added = byte_letters(), self.tokenizer.get_added_tokens_decoder()
-        names = {i: x for x, i in self.tokenizer.get_vocab().items()}
-        self.raw = {i: x.encode() if i in added else bytes(letters[c] for c in x) for i, x in names.items()}
+        self.raw = {i: x.encode() if i in added else bytes(letters[c] for c in x) for x, i in self.tokenizer.get_vocab().items()}
         kind = json.loads(self.tokenizer.to_str())
         before = kind["pre_tokenizer"] or {}
         self.breaks = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def encode(self, unit: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([unit], add_special_tokens=False)[0].ids
+
+    def encode_words(self, words: list[str]) -> list[list[int]] | None:
+        """Ids of words with a space before each: one text, a newline after each word."""
+        (newline,) = self.encode("\n")
+        return _cut_after(self.encode("\n".join(words) + "\n"), newline, len(words))
+
+
+def _cut_after(ids: list[int], end: int, parts: int) -> list[list[int]] | None:
+    at = [k for k, x in enumerate(ids) if x == end]
+    return [ids[a + 1 : b] for a, b in zip([-1, *at], at, strict=False)] if len(at) == parts else None
 
 
 class PieceSide:
@@ -84,82 +95,118 @@ class PieceSide:
             else:
                 self.raw[i] = piece.replace(MARK, " ").encode()
                 self.breaks &= MARK not in piece.lstrip(MARK) and ("\n" not in piece or piece == "\n")
+        self.led = {i for i, x in self.raw.items() if x.startswith(b" ")}
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        """Ids of units; of the space that the model puts first, a unit that begins with one takes it, and others lose it.
+    def encode(self, unit: str) -> list[int]:
+        """Ids of a unit: one that begins with a space takes the model's own, another loses it.
 
         The model puts none before an empty text, so that a space alone is looked up.
         """
-        out = self.model.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        alone = [self.model.piece_to_id(MARK)]
-        return [alone if u == " " else ids if u[0] == " " else ids[1:] if ids and self.raw[ids[0]] == b" " else [] for u, ids in zip(units, out, strict=True)]
+        if unit == " ":
+            return [self.model.piece_to_id(MARK)]
+        if unit[0] == " ":
+            return self.model.encode(unit[1:])
+        ids = self.model.encode(unit)
+        return ids[1:] if ids and self.raw[ids[0]] == b" " else []
+
+    def encode_words(self, words: list[str]) -> list[list[int]] | None:
+        """Ids of words with a space before each: one text, cut where a piece begins with a space."""
+        ids = self.model.encode("".join(words)[1:])
+        at = [k for k, x in enumerate(ids) if x in self.led]
+        return [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)] if len(at) == len(words) else None
 
 
 class Aligner:
     """Walks units, and remembers moves and units until they hold `most` bytes or so."""
 
-    def __init__(self, left: ByteSide | PieceSide, right: ByteSide | PieceSide, most: int = 96 << 20):
+    def __init__(self, left: ByteSide | PieceSide, right: ByteSide | PieceSide, most: int = 48 << 20):
         self.left, self.right, self.most = left, right, most
         self.breaks = left.breaks and right.breaks
-        self.moves: dict[tuple[int, bytes, int], tuple[int, bytes] | None] = {}
+        self.states: list[tuple[int, bytes]] = [(NO_ONE, b"")]
+        self.number = {self.states[0]: 0}
+        self.leads = [NO_ONE]
+        self.moves: dict[int, int] = {}
         self.units: dict[str, tuple | None] = {}
         self.held = 0
 
-    def move(self, state: tuple[int, bytes], token: int) -> tuple[int, bytes] | None:
-        """The state after the next token of the side behind (the left one where none leads); None where bytes differ."""
-        key = (*state, token)
-        if key in self.moves:
-            return self.moves[key]
-        side, rest = state
+    def move(self, state: int, token: int) -> int:
+        """The state after the next token of the side behind (the left one where none leads); -1 where bytes differ."""
+        side, rest = self.states[state]
         raw = (self.right if side == LEFT else self.left).raw[token]
         if len(raw) < len(rest):
-            out = (side, rest[len(raw) :]) if rest.startswith(raw) else None
+            new = (side, rest[len(raw) :]) if rest.startswith(raw) else None
         elif not raw.startswith(rest):
-            out = None
+            new = None
         elif len(raw) == len(rest):
-            out = NO_ONE, b""
+            new = NO_ONE, b""
+        else:
+            new = RIGHT if side == LEFT else LEFT, raw[len(rest) :]
+        if new is None:
+            out = -1
         else:
-            out = RIGHT if side == LEFT else LEFT, raw[len(rest) :]
-        if len(rest) + len(raw) < 64:
-            if len(self.moves) >= 1 << 18:
-                self.moves.clear()
-            self.moves[key] = out
+            if new not in self.number:
+                self.number[new] = len(self.states)
+                self.states.append(new)
+                self.leads.append(new[0])
+            out = self.number[new]
+        self.moves[state << 20 | token] = out
         return out
 
-    def walk(self, left: list[int], right: list[int]) -> tuple[str, int, list[tuple[int, int]]] | None:
-        """Groups as text, how many, and the links in order; None where the bytes of both sides differ."""
-        state, i, j, start_i, start_j, groups, links = (NO_ONE, b""), 0, 0, 0, 0, [], []
-        while i < len(left) or j < len(right):
-            behind = RIGHT if state[0] == LEFT else LEFT
-            if behind == LEFT:
-                if i == len(left):
-                    return None
-                token, i = left[i], i + 1
+    def walk(self, left: list[int], right: list[int]) -> tuple[str, int, array] | None:
+        """Groups as text, how many, and the links in order as packed ids; None where the bytes of both sides differ."""
+        moves, leads = self.moves, self.leads
+        state = i = j = start_i = start_j = 0
+        groups, links = [], array("q")
+        try:
+            while i < len(left) or j < len(right):
+                if leads[state] == LEFT:
+                    token = right[j]
+                    j += 1
+                else:
+                    token = left[i]
+                    i += 1
+                if state:
+                    links.append(left[i - 1] << 32 | right[j - 1])
+                key = state << 20 | token
+                state = moves[key] if key in moves else self.move(state, token)
+                if state <= 0:
+                    if state:
+                        return None
+                    groups.append(f"{','.join(map(str, left[start_i:i]))}|{','.join(map(str, right[start_j:j]))}")
+                    start_i, start_j = i, j
+        except IndexError:  # the side behind has no token left
+            return None
+        return None if state else (";".join(groups), len(groups), links)
+
+    def _encoded(self, units: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+        """Words, of which most units are, go to the tokenizers many at once."""
+        words, rest = [], []
+        for u in units:
+            (words if self.breaks and u[0] == " " and len(u) > 1 and MARK not in u and not _GAP.search(u, 1) else rest).append(u)
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            a, b = self.left.encode_words(some), self.right.encode_words(some)
+            if a is None or b is None:
+                rest += some
             else:
-                if j == len(right):
-                    return None
-                token, j = right[j], j + 1
-            if state[0] != NO_ONE:
-                links.append((left[i - 1], right[j - 1]))
-            state = self.move(state, token)
-            if state is None:
-                return None
-            if state[0] == NO_ONE:
-                groups.append(f"{','.join(map(str, left[start_i:i]))}|{','.join(map(str, right[start_j:j]))}")
-                start_i, start_j = i, j
-        return (";".join(groups), len(groups), links) if state[0] == NO_ONE else None
+                yield from zip(some, a, b, strict=True)
+        for u in rest:
+            yield u, self.left.encode(u), self.right.encode(u)
 
     def learn(self, units: list[str]) -> dict[str, tuple | None]:
-        """Units to (groups, left tokens, right tokens, number of groups, pairs as packed integers)."""
+        """Units to (groups, left tokens, right tokens, number of groups, links as packed ids)."""
         out: dict[str, tuple | None] = {}
-        for unit, a, b in zip(units, self.left.encode(units), self.right.encode(units), strict=True):
-            done = self.walk(a, b) if b"".join(map(self.left.raw.__getitem__, a)) == unit.encode() else None
-            out[unit] = done and (done[0], len(a), len(b), done[1], np.array([x << 32 | y for x, y in done[2]], np.int64))
+        if len(self.moves) > 1 << 19:
+            self.__init__(self.left, self.right, self.most)
+        raw = self.left.raw
+        for unit, a, b in self._encoded(units):
+            done = self.walk(a, b) if b"".join([raw[x] for x in a]) == unit.encode() else None
+            out[unit] = done and (done[0], len(a), len(b), done[1], done[2].tobytes())
         if self.held > self.most:
             self.units, self.held = {}, 0
         short = {u: x for u, x in out.items() if len(u) <= 64}
         self.units.update(short)
-        self.held += sum(400 + 2 * len(u) + (len(x[0]) + 8 * len(x[4]) if x else 0) for u, x in short.items())
+        self.held += sum(400 + len(u) + (len(x[0]) + len(x[4]) if x else 0) for u, x in short.items())
         return out
 
     def slices(self, text: str) -> Iterator[list[str]]:
@@ -213,22 +260,21 @@ class _Block:
         self.chars += len(text)
 
     def row(self, number: int) -> tuple:
-        none = ("", 0, 0, 0, np.zeros(0, np.int64))
+        none = ("", 0, 0, 0, b"")
         known = [x or none for x in self.known]
-        size = np.array([len(x[4]) for x in known], np.int32)
-        flat = np.concatenate([x[4] for x in known]) if known else np.zeros(0, np.int64)
-        pairs, index = np.unique(flat, return_inverse=True)
+        size = np.array([len(x[4]) // 8 for x in known], np.int32)
+        pairs, index = np.unique(np.frombuffer(b"".join([x[4] for x in known]), np.int64), return_inverse=True)
         ends, index = np.cumsum(size), index.astype(np.int32)
         met = np.zeros(len(pairs), np.int64)
         for _, seq in self.docs:
             used = np.unique(seq)
-            own = [index[ends[k] - size[k] : ends[k]] for k in used.tolist()]
-            if own:
-                met[np.unique(np.concatenate(own))] += 1
+            n = size[used]
+            before = np.cumsum(n) - n
+            met[np.unique(index[np.repeat(ends[used] - n - before, n) + np.arange(n.sum())])] += 1
         stats = np.array([[x[1], x[2], x[3]] for x in known], np.int64).reshape(-1, 3)
         return (
-            number, [d for d, _ in self.docs], [s.tobytes() for _, s in self.docs], [x[0] for x in known], stats.tobytes(),
-            size.tobytes(), index.tobytes(), pairs.tolist(), met.tolist(),
+            number, [d for d, _ in self.docs], [packed(s) for _, s in self.docs], [x[0] for x in known], stats.tobytes(),
+            size.tobytes(), packed(index), pairs.tolist(), met.tolist(),
         )
 
 
@@ -266,11 +312,11 @@ def align(docs: DataFrame, left: str, right: str, block_chars: int = BLOCK) -> D
     def told() -> Callable[[tuple], Iterable[tuple]]:
         def f(row: tuple) -> Iterator[tuple]:
             _, doc_ids, seqs, groups, stats, sizes, indexes, counts, best = row
-            size, index = np.frombuffer(sizes, np.int32), np.frombuffer(indexes, np.int32)
+            size, index = np.frombuffer(sizes, np.int32), unpacked(indexes)
             ends = np.cumsum(size)
             known = np.array([*np.frombuffer(stats, np.int64).reshape(-1, 3).T, size, *(_sums(np.array(x or [], np.int64), index, ends, size) for x in (best, counts))]).reshape(6, -1)
             for doc_id, seq in zip(doc_ids, seqs, strict=True):
-                units = np.frombuffer(seq, np.int32)
+                units = unpacked(seq)
                 yield doc_id, *(int(x[units].sum()) for x in known), ";".join(map(groups.__getitem__, units.tolist()))
 
         return f
