@@ -100,6 +100,16 @@ def dropped_lines(docs: DataFrame, runs: LineRuns, min_chars: int = 10) -> DataF
     return out
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """`lines` without the places in `gone`, ascending: the stretches between them, each copied once.
+
+    `lines` has to be a bound variable; an expression would be worked out again for every stretch.
+    """
+    before, after = F.array_insert(gone, 1, F.lit(-1)), F.array_append(gone, F.size(lines))
+    stretches = F.zip_with(before, after, lambda a, b: F.struct((a + 2).alias("first"), (b - a - 1).alias("n")))
+    return F.flatten(F.transform(stretches, lambda x: F.slice(lines, x["first"], x["n"])))
+
+
 def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """Each row of docs(doc_id, text, ...) as doc_id, text (lines kept), n_lines, n_dropped and the columns in `keep`.
 
@@ -124,6 +134,5 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), min_chars: int = 10
     gone = drops.distinct().groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("gone"))
     lined = base.withColumn("tag", F.xxhash64("text")).join(gone, ["doc_id", "tag"], "left")
     lines = F.split("text", "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    kept = F.get(F.transform(F.array(lines), lambda own: F.array_join(_without(own, F.sort_array("gone")), "\n")), 0)
     return lined.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), *carried(docs, keep, own))
