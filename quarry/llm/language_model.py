@@ -36,7 +36,9 @@ from xxhash import xxh64_intdigest
 
 from quarry.llm.frames import Stored, ascii_lower, map_rows, map_stream, packed, stored, unpacked, whole_text
 
-SLICE, BLOCK = 1 << 20, 6 << 20
+SLICE, BLOCK = 1 << 20, 24 << 20
+#: Tokens whose n-grams are worked on at once.
+STEP = 1 << 19
 LONG_WORD = 40
 PROBES = 5
 #: Weights that are tried.
@@ -68,6 +70,18 @@ def word_key(word: bytes) -> bytes:
 END = b"e"
 
 
+def steps(seqs: list[np.ndarray]) -> Iterator[slice]:
+    """Documents in stretches of `STEP` tokens or one document."""
+    first = taken = 0
+    for k, s in enumerate(seqs):
+        taken += len(s)
+        if taken >= STEP:
+            yield slice(first, k + 1)
+            first, taken = k + 1, 0
+    if first < len(seqs):
+        yield slice(first, len(seqs))
+
+
 def gram_hashes(words: np.ndarray, seqs: list[np.ndarray], order: int) -> np.ndarray:
     """A hash for the n-gram that ends at each token; before a text there are start marks."""
     if not seqs:
@@ -203,8 +217,11 @@ def filter_segments(blocks: DataFrame, order: int, power: int, bits: int) -> Dat
         block, held, seqs, hashes = row
         own, taught = _hashes(hashes), [s for s, h in zip(_seqs(seqs), held, strict=True) if not h]
         for n in range(2, order + 1):
-            grams, times = np.unique(gram_hashes(own, taught, n), return_counts=True)
-            yield from _sliced(block, grams, power, times.astype(np.int32))
+            parts = [np.unique(gram_hashes(own, taught[part], n), return_counts=True) for part in steps(taught)]
+            if parts:
+                grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                times = np.bincount(back, np.concatenate([c for _, c in parts]), len(grams))
+                yield from _sliced(block, grams, power, times.astype(np.int32))
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         grams = np.frombuffer(b"".join(table["grams"].to_pylist()), np.uint64)
@@ -224,7 +241,9 @@ def _levels_by_segment(blocks: DataFrame, segments: DataFrame, order: int, power
         block, seqs, hashes = row
         own = _hashes(hashes)
         for n in range(2, order + 1):
-            for part in _sliced(block, np.unique(gram_hashes(own, _seqs(seqs), n)), power):
+            given = _seqs(seqs)
+            grams = np.unique(np.concatenate([np.unique(gram_hashes(own, given[part], n)) for part in steps(given)]))
+            for part in _sliced(block, grams, power):
                 yield n, *part
 
     def probed(row: tuple) -> Iterator[tuple]:
@@ -238,7 +257,8 @@ def _levels_by_segment(blocks: DataFrame, segments: DataFrame, order: int, power
         for n in range(2, order + 1):
             mine = [p for p in parts if p["n"] == n]
             grams, levels = np.frombuffer(b"".join(p["grams"] for p in mine), np.uint64), np.frombuffer(b"".join(p["levels"] for p in mine), np.int8)
-            out.append(levels[np.searchsorted(grams, gram_hashes(own, _seqs(seqs), n))].tobytes())
+            given = _seqs(seqs)
+            out.append(b"".join(levels[np.searchsorted(grams, gram_hashes(own, given[part], n))].tobytes() for part in steps(given)))
         yield block, out
 
     rows = map_rows(blocks.select("block", "seqs", "hashes"), "n int, segment long, block long, grams binary", lambda: asked, weigh=3)
@@ -315,14 +335,19 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
         levels = _levels_by_segment(blocks, segments, order, power)
         given = stored(blocks.join(levels, "block").select("doc_ids", "held", "seqs", F.lit(None).cast("binary").alias("hashes"), "counts", "levels"), "probed")
 
-    def reader() -> Callable[[tuple], tuple]:
+    def reader() -> Callable[[tuple], Iterator[tuple]]:
         held_filter = sent.value if sent is not None else None
 
-        def f(row: tuple) -> tuple:
+        def f(row: tuple) -> Iterator[tuple]:
             doc_ids, held, raw, hashes, counts, levels = row
-            seqs, own = _seqs(raw), _hashes(hashes) if held_filter else None
-            found = [held_filter.levels(gram_hashes(own, seqs, n)) for n in range(2, order + 1)] if held_filter else [np.frombuffer(x, np.int8) for x in levels]
-            return doc_ids, np.array(held, bool), seqs, np.array(counts, np.int64), found
+            counts, own, at = np.array(counts, np.int64), _hashes(hashes) if held_filter else None, 0
+            whole = _seqs(raw)
+            for part in steps(whole):
+                seqs = whole[part]
+                end = at + sum(map(len, seqs))
+                found = [held_filter.levels(gram_hashes(own, seqs, n)) for n in range(2, order + 1)] if held_filter else [np.frombuffer(x, np.int8)[at:end] for x in levels]
+                yield doc_ids[part], np.array(held[part], bool), seqs, counts, found
+                at = end
 
         return f
 
@@ -332,8 +357,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
         def make() -> Callable[[tuple], Iterable[tuple]]:
             read = reader()
 
-            def f(row: tuple) -> Iterator[tuple]:
-                _, held, seqs, counts, levels = read(row)
+            def stretch(held: np.ndarray, seqs: list[np.ndarray], counts: np.ndarray, levels: list[np.ndarray]) -> Iterator[tuple]:
                 taught = np.repeat(~held, [len(s) for s in seqs])
                 p = np.maximum(counts[np.concatenate(seqs)], 1) / (corpus.tokens + corpus.types)
                 for w, (share, at) in zip([*weights, None], _ratios(counts, seqs, levels, 1), strict=False):
@@ -349,7 +373,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
                         return
                     p = _mixed(p, share, at, w)
 
-            return f
+            return lambda row: (out for _, *part in read(row) for out in stretch(*part))
 
         sums = map_rows(given, "power int, choice int, total double", make).groupBy("power", "choice").agg(F.sum("total").alias("total")).collect()  # POWERS times the grid at most
         out, best = np.zeros(POWERS), np.full(POWERS, -np.inf)
@@ -365,8 +389,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
     def scored() -> Callable[[tuple], Iterable[tuple]]:
         read = reader()
 
-        def f(row: tuple) -> Iterator[tuple]:
-            doc_ids, held, seqs, counts, levels = read(row)
+        def stretch(doc_ids: list[int | None], held: np.ndarray, seqs: list[np.ndarray], counts: np.ndarray, levels: list[np.ndarray]) -> Iterator[tuple]:
             p = (counts[np.concatenate(seqs)] + 1) / (corpus.tokens + corpus.types + 1)
             base = np.log10(p)
             for w, (share, at) in zip(weights, _ratios(counts, seqs, levels, 0), strict=True):
@@ -377,6 +400,6 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
                 yield doc_id, h, len(seq), int((counts[seq] > 0).sum()), corpus.tokens, float(base[at:end].sum()), float(logs[at:end].sum())
                 at = end
 
-        return f
+        return lambda row: (out for part in read(row) for out in stretch(*part))
 
     return map_rows(given, SCORES, scored)

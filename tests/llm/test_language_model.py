@@ -142,6 +142,18 @@ def test_filter_never_underrates():
     assert M.Segments(power, []).levels(new).sum() == 0
 
 
+def test_stretches_of_documents(monkeypatch):
+    seqs = [np.zeros(n, np.int32) for n in (1, 700, 3, 2, 900, 1)]
+    monkeypatch.setattr(M, "STEP", 500)
+    parts = list(M.steps(seqs))
+    assert [k for p in parts for k in range(p.start, p.stop)] == list(range(6)) and len(parts) == 3 and list(M.steps([])) == []
+    words = np.arange(5, dtype=np.uint64)
+    seqs = [np.array(x, np.int32) for x in ([1, 2, 0], [2, 0], [0])]
+    for n in (2, 3):
+        whole = M.gram_hashes(words, seqs, n)
+        assert (whole == np.concatenate([M.gram_hashes(words, [q], n) for q in seqs])).all()
+
+
 def test_words_of_slices(monkeypatch):
     text = ("one two\n" * 500 + "x" * 900 + " three").encode()
     want = text.split()
