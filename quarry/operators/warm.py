@@ -1,14 +1,25 @@
-"""The warm index as stored tables: listings by version, postings by bucket of the term, descriptors, evidence, queries run.
+"""The warm index as stored tables: listings by version, postings in order of impact, descriptors, evidence, queries run.
 
-Postings lie in folders by a hash of the term and are sorted by term inside, so that a search reads the buckets of its
-terms only and Parquet skips what does not hold them. A put appends a batch under its own number; readers take the
-newest row of each key, and `compact` rewrites the tables without what was replaced.
+A put writes a batch's tables into a folder of its own and then commits them at once (see `commits`): readers follow the
+log, so a put that was killed between tables is not seen, one that is run again changes nothing, and of two writers of
+one batch one is refused. A batch that puts a listing again lists the rows it replaces, and a reader leaves those out;
+`compact` writes all that lives as one batch and drops the rest.
+
+Postings of one version and term lie in blocks of up to `BLOCK` listings, highest counts first, each with its highest
+count. A document with a score of x has, for each of its terms, its block's highest count plus the highest counts of the
+query's other terms at x or more. So a search takes the first block of each term, has a lower bound of its last place
+from them, and then reads only blocks that can reach it. Rows are dealt by ranges of version, term and count: a term that
+most listings hold is many blocks in several files.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +28,40 @@ from quarry.functions import vectors as V
 from quarry.functions.records import VERSIONS
 from quarry.operators import index
 from quarry.operators.cluster import checkpoint_dir
+from quarry.operators.commits import CommitLog, Conflict
 
-BUCKETS = 64
-POSTINGS = "batch long, listing_key long, field string, term string, tf long, bucket int"
+BLOCK = 512
+ENTRY = "struct<listing_key:long,batch:long,tf:long,fields:map<string,long>>"
+#: `first` and `first_batch` are those of a block's first entry and name it within its tag and term.
+POSTINGS = f"tag long, term string, most long, n int, first long, first_batch long, entries array<{ENTRY}>"
 LISTINGS = "batch long, listing_key long, canonical_url string, content_digest string, availability string, first_seen_at timestamp, updated_at timestamp, " + ", ".join(f"{v} string" for v in VERSIONS)
 DESCRIPTORS = "batch long, listing_key long, kind string, dim int, descriptor array<double>"
+REPLACED = "batch long, listing_key long, old long"
 EVIDENCE = "batch long, listing_key long, hypothesis_digest string, item_match double, authenticity double, completeness double"
 QUERIES = "batch long, ior_key string, source_id string, query_norm string, pages long"
-TABLES = {"postings": POSTINGS, "listings": LISTINGS, "descriptors": DESCRIPTORS, "evidence": EVIDENCE, "queries": QUERIES}
+TABLES = {"postings": POSTINGS, "listings": LISTINGS, "descriptors": DESCRIPTORS, "replaced": REPLACED, "evidence": EVIDENCE, "queries": QUERIES}
+
 
+def version_tag(*versions: Column) -> Column:
+    """One number for the exact versions under which a listing was read."""
+    return F.xxhash64(*(F.coalesce(v, F.lit("")) for v in versions))
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tag, term and falling tf as blocks; a block holds one term of one tag and ends with its Arrow batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        tag = b.column("tag").to_numpy()
+        term = b.column("term").dictionary_encode().indices.to_numpy()
+        run = np.concatenate([[0], np.nonzero((tag[1:] != tag[:-1]) | (term[1:] != term[:-1]))[0] + 1, [b.num_rows]])
+        first = np.concatenate([np.arange(s, e, BLOCK) for s, e in zip(run[:-1], run[1:], strict=True)])
+        offsets = pa.array(np.concatenate([first, [b.num_rows]]).astype(np.int32))
+        names = ["listing_key", "batch", "tf", "fields"]
+        entries, at = pa.StructArray.from_arrays([b.column(c) for c in names], names), pa.array(first)
+        heads = [b.column(c).take(at) for c in ("tag", "term", "tf")]
+        size = pa.array(np.diff(np.concatenate([first, [b.num_rows]])).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*heads, size, b.column("listing_key").take(at), b.column("batch").take(at), pa.ListArray.from_arrays(offsets, entries)], ["tag", "term", "most", "n", "first", "first_batch", "entries"])
 
 
 class WarmIndex:
@@ -36,43 +69,139 @@ class WarmIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{checkpoint_dir(spark)}/warm-{uuid.uuid4().hex}"
+        self.log = CommitLog(spark, f"{self.path}/_log")
+
+    def _live(self) -> list[dict]:
+        """Commits whose rows count: those that no later one has taken in."""
+        entries = self.log.entries()
+        gone = {v for e in entries for v in e.get("takes_in", [])}
+        return [e for e in entries if e["version"] not in gone]
 
-    def _read(self, name: str) -> DataFrame:
-        there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there):
+    def _read(self, name: str, entries: list[dict] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{e['tables'][name]}" for e in (self._live() if entries is None else entries) if name in e["tables"]]
+        if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(*folders)
 
-    def _append(self, name: str, rows: DataFrame, batch: int) -> None:
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        rows = rows.withColumn("batch", F.lit(batch).cast("long")).select(*columns)
-        if name == "postings":
-            rows.repartition("bucket").sortWithinPartitions("bucket", "term", "listing_key").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
-        else:
-            rows.write.mode("append").parquet(f"{self.path}/{name}")
+    def _write(self, name: str, rows: DataFrame, folder: str) -> str:
+        where = f"data/{folder}/{name}"
+        rows.select(*(c.split()[0] for c in TABLES[name].split(", "))).write.parquet(f"{self.path}/{where}")
+        return where
 
-    def put(self, listings: DataFrame, fields: dict[str, str], batch: int, vectors: DataFrame | None = None) -> None:
+    def _known(self, batch: int, token: str) -> bool:
+        """Whether this batch is committed; by another writer it is a conflict."""
+        for e in self.log.entries():
+            if batch in e.get("batches", []):
+                if e["tokens"][str(batch)] != token:
+                    raise Conflict(f"batch {batch} was committed by another writer")
+                return True
+        return False
+
+    def _blocks(self, posted: DataFrame) -> DataFrame:
+        """posted(tag, term, listing_key, batch, tf, fields) as blocks."""
+        order = [F.col("tag"), F.col("term"), F.desc("tf"), F.col("listing_key"), F.col("batch")]
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return posted.repartitionByRange(n, *order).sortWithinPartitions(*order).select("tag", "term", "listing_key", "batch", "tf", "fields").mapInArrow(_packed, POSTINGS)
+
+    def put(self, listings: DataFrame, fields: dict[str, str], batch: int, vectors: DataFrame | None = None, token: str | None = None) -> bool:
         """listings(listing_key, canonical_url, content_digest, availability, first_seen_at, updated_at, the versions, the text
-        columns named in `fields`), with descriptors of photographs in vectors(listing_key, descriptor) and a hashed vector of the terms."""
-        posted = index.postings(listings, "listing_key", fields).withColumn("bucket", bucket_of(F.col("term")))
-        self._append("postings", posted, batch)
-        hashed = posted.groupBy("listing_key", V.term_bucket(F.col("term")).alias("at")).agg(F.sum("tf").cast("double").alias("n"))
+        columns named in `fields`), with descriptors of photographs in vectors(listing_key, descriptor) and a hashed vector of the terms.
+
+        False, and nothing changes, if the batch is there by the same `token` (the writer's; the batch itself if none is
+        given). Raises Conflict if another token has put it. Of rows for one listing those of the highest batch live,
+        whichever was committed last.
+        """
+        token, number = token or str(batch), F.lit(batch).cast("long")
+        if self._known(batch, token):
+            return False
+        tag, rows = version_tag(*(F.col(v) for v in VERSIONS)), None
+        for field, column in fields.items():
+            part = T.token_rows(listings.select("listing_key", tag.alias("tag"), F.lit(field).alias("field"), F.col(column).alias("_text")), ["listing_key", "tag", "field"], "_text")
+            rows = part if rows is None else rows.unionByName(part)
+        times = F.map_from_arrays(F.array(*(F.lit(f) for f in fields)), F.array(*(F.count_if(F.col("field") == f) for f in fields)))
+        whole = rows.groupBy("tag", "term", "listing_key").agg(F.count(F.lit(1)).alias("tf"), F.map_filter(times, lambda _, n: n > 0).alias("fields"))
+        folder = f"{batch}-{uuid.uuid4().hex}"
+        tables = {"postings": self._write("postings", self._blocks(whole.withColumn("batch", number)), folder)}
+        mine = self._read("postings", [{"tables": tables}])
+        terms = mine.select("term", F.explode("entries").alias("e")).select(F.col("e.listing_key").alias("listing_key"), V.term_bucket(F.col("term")).alias("at"), F.col("e.tf").alias("tf"))
+        hashed = terms.groupBy("listing_key", "at").agg(F.sum("tf").cast("double").alias("n"))
         dense = hashed.groupBy("listing_key").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("z"))  # V.DIM entries at most
         text = dense.select("listing_key", F.lit("hashed_text").alias("kind"), F.lit(V.DIM).alias("dim"), F.transform(F.sequence(F.lit(0), F.lit(V.DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("z")).alias("descriptor"))
         if vectors is not None:
             text = text.unionByName(vectors.select("listing_key", F.lit("image").alias("kind"), F.size("descriptor").alias("dim"), F.col("descriptor").cast("array<double>").alias("descriptor")))
-        self._append("descriptors", text, batch)
-        self._append("listings", listings, batch)
+        tables["descriptors"] = self._write("descriptors", text.withColumn("batch", number), folder)
+        tables["listings"] = self._write("listings", listings.withColumn("batch", number), folder)
+        while True:  # once more if another writer commits meanwhile: what this batch replaces has to be seen then
+            if self._known(batch, token):
+                self.log.delete(f"{self.path}/data/{folder}")
+                return False
+            version, now = self._next(), self._live()
+            if any("listings" in e["tables"] for e in now):
+                there = self.listings_of(now).select("listing_key", "batch").join(listings.select("listing_key").distinct(), "listing_key", "left_semi")
+                older = there.select("listing_key", F.least("batch", number).alias("old"))
+                tables["replaced"] = self._write("replaced", older.withColumn("batch", number), f"{folder}/{version}")
+            if self.log.put(version, {"batches": [batch], "tokens": {str(batch): token}, "tables": tables}):
+                return True
 
-    def _newest(self, name: str, *keys: str) -> DataFrame:
-        rows = self._read(name)
+    def _next(self) -> int:
+        return max(self.log.versions(), default=0) + 1
+
+    def _replaced(self, entries: list[dict]) -> DataFrame | None:
+        """(listing_key, batch) of rows that a later batch put again; None if there are none."""
+        if not any("replaced" in e["tables"] for e in entries):
+            return None
+        return self._read("replaced", entries).select("listing_key", F.col("old").alias("batch")).distinct()
+
+    def _current(self, rows: DataFrame, entries: list[dict]) -> DataFrame:
+        """Of rows(listing_key, batch, ...) those that no later batch replaced."""
+        gone = self._replaced(entries)
+        return rows if gone is None else rows.join(gone, ["listing_key", "batch"], "left_anti")
+
+    def compact(self) -> bool:
+        """All that lives as one commit, without what was replaced; data that no commit names goes. False if another writer came first."""
+        entries = self._live()
+        if not entries:
+            return False
+        folder, version = f"compact-{uuid.uuid4().hex}", max(e["version"] for e in entries) + 1
+        live = self._current(self._read("postings", entries).select("tag", "term", F.inline("entries")), entries)
+        tables = {"postings": self._write("postings", self._blocks(live), folder)}
+        tables["listings"] = self._write("listings", self.listings_of(entries), folder)
+        tables["descriptors"] = self._write("descriptors", self._current(self._read("descriptors", entries), entries), folder)
+        for name, keys in (("evidence", ["listing_key", "hypothesis_digest"]), ("queries", ["ior_key"])):
+            tables[name] = self._write(name, self._newest(self._read(name, entries), *keys), folder)
+        batches = sorted({b for e in entries for b in e["batches"]})
+        tokens = {k: t for e in entries for k, t in e["tokens"].items()}
+        if not self.log.put(version, {"batches": batches, "tokens": tokens, "tables": tables, "takes_in": [e["version"] for e in entries]}):
+            self.log.delete(f"{self.path}/data/{folder}")
+            return False
+        return True
+
+    def vacuum(self) -> list[str]:
+        """Delete folders that no live commit names: what was compacted away or never committed. No put may be running."""
+        named = {where.split("/")[1] for e in self._live() for where in e["tables"].values()}
+        gone = [f for f in self.log.folders(f"{self.path}/data") if f not in named]
+        for f in gone:
+            self.log.delete(f"{self.path}/data/{f}")
+        return gone
+
+    def drop(self) -> None:
+        self.log.delete(self.path)
+
+    def _newest(self, rows: DataFrame, *keys: str) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-        return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n", "batch")
+        return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+
+    def listings_of(self, entries: list[dict]) -> DataFrame:
+        """The newest row of each listing, first sight kept, with its batch."""
+        rows = self._read("listings", entries)
+        gone = self._replaced(entries)
+        if gone is None:
+            return rows
+        first = rows.groupBy("listing_key").agg(F.min("first_seen_at").alias("first_seen_at"))
+        return self._current(rows, entries).drop("first_seen_at").join(first, "listing_key")
 
     def listings(self) -> DataFrame:
-        """The newest row of each listing, first sight kept."""
-        first = self._read("listings").groupBy("listing_key").agg(F.min("first_seen_at").alias("first_seen_at"))
-        return self._newest("listings", "listing_key").drop("first_seen_at").join(first, "listing_key")
+        return self.listings_of(self._live()).drop("batch")
 
     def count(self) -> DataFrame:
         return self._read("listings").agg(F.count_distinct("listing_key").alias("n"))
@@ -86,46 +215,107 @@ class WarmIndex:
     def point(self, listing_key: int) -> DataFrame:
         return self.listings().where(F.col("listing_key") == listing_key)
 
-    def _live(self, name: str) -> DataFrame:
-        """Children of each listing's newest batch: a put replaces all that an earlier one wrote."""
-        last = self._read("listings").groupBy("listing_key").agg(F.max("batch").alias("batch"))
-        return self._read(name).join(last, ["listing_key", "batch"], "left_semi")
-
-    def descriptors(self, keys: DataFrame) -> DataFrame:
-        return self._live("descriptors").join(keys.select("listing_key").distinct(), "listing_key", "left_semi").drop("batch")
+    def descriptors(self, keys: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+        entries = self._live()
+        rows = self._current(self._read("descriptors", entries), entries)
+        rows = rows if kind is None else rows.where(F.col("kind") == kind)
+        return (rows if keys is None else rows.join(keys.select("listing_key").distinct(), "listing_key", "left_semi")).drop("batch")
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
-        """Postings, of the given terms if there are any: buckets are pruned and terms pushed into the scan."""
-        rows = self._read("postings")
-        if terms is not None:
-            asked = self.spark.createDataFrame([(t,) for t in terms] or [("",)], "t string").select(bucket_of(F.col("t"))).distinct()
-            rows = rows.where(F.col("bucket").isin([r[0] for r in asked.collect()]) & F.col("term").isin(terms))  # a query's terms
-        last = self._read("listings").groupBy("listing_key").agg(F.max("batch").alias("batch"))
-        return rows.join(last, ["listing_key", "batch"], "left_semi")
+        """listing_key, field, term, tf; with `terms` only of those, which Parquet looks up."""
+        entries = self._live()
+        rows = self._read("postings", entries)
+        rows = rows if terms is None else rows.where(F.col("term").isin(terms))
+        each = rows.select("term", F.inline("entries"))
+        return self._current(each, entries).select("listing_key", "term", F.explode("fields").alias("field", "tf")).select("listing_key", "field", "term", "tf")
+
+    def _scores(self, blocks: DataFrame, entries: list[dict]) -> DataFrame:
+        """blocks(query_id, entries) to query_id, listing_key, term_score."""
+        each = blocks.select("query_id", F.explode("entries").alias("e")).select("query_id", F.col("e.listing_key").alias("listing_key"), F.col("e.batch").alias("batch"), F.col("e.tf").alias("tf"))
+        return self._current(each, entries).groupBy("query_id", "listing_key").agg(F.sum("tf").cast("long").alias("term_score"))
+
+    def search_many(self, asked: DataFrame, limit: int = 50, versions: dict[str, str] | None = None) -> DataFrame:
+        """asked(query_id, term) to query_id, listing_key, term_score: the first `limit` of each query, exactly.
+
+        Blocks that cannot reach a query's last place are not exploded.
+        """
+        entries = self._live()
+        blocks = self._tagged(self._read("postings", entries), versions)
+        asked = asked.select("query_id", "term").distinct()
+        bounds = self._bounds(blocks, asked, limit, entries)
+        met = blocks.join(bounds, "term").where(F.col("most") >= F.col("cut"))
+        return index.best_of(self._scores(met, entries), "query_id", limit, F.desc("term_score"), F.col("listing_key"))
+
+    def _tagged(self, blocks: DataFrame, versions: dict[str, str] | None) -> DataFrame:
+        return blocks if versions is None else blocks.where(F.col("tag") == version_tag(*(F.lit(versions[v]) for v in VERSIONS)))
+
+    def _bounds(self, blocks: DataFrame, asked: DataFrame, limit: int, entries: list[dict]) -> DataFrame:
+        """query_id, term, cut: the least highest count with which a block of the term can reach the query's last place.
+
+        The last place is at least that among the listings of each term's highest blocks, by the counts in those.
+        """
+        name = ["most", "n", "tag", "first", "first_batch"]
+        tops = blocks.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max(F.struct(*name)).alias("head"))
+        heads = asked.join(tops, "term").select("query_id", "term", "head.*", F.col("head.most").alias("top"))
+        first = index.best_of(self._scores(blocks.join(heads, ["term", *name]).select("query_id", "entries"), entries), "query_id", limit, F.desc("term_score"), F.col("listing_key"))
+        last = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= limit, F.min("term_score")).otherwise(0).alias("reach"))
+        total = heads.groupBy("query_id").agg(F.sum("top").alias("total"))
+        return heads.select("query_id", "term", "top").join(last, "query_id", "left").join(total, "query_id").select("query_id", "term", (F.coalesce("reach", F.lit(0)) - F.col("total") + F.col("top")).alias("cut"))
 
     def search(self, terms: list[str], limit: int = 50, versions: dict[str, str] | None = None) -> DataFrame:
-        """listing_key, term_score of one query's terms; with `versions` only of listings read under them."""
-        found = self.postings(list(dict.fromkeys(terms)))
-        if versions is not None:
-            same = self.listings().where(F.forall(F.array(*(F.col(v) == F.lit(versions[v]) for v in VERSIONS)), lambda x: x))
-            found = found.join(same.select("listing_key"), "listing_key", "left_semi")
-        scores = found.groupBy("listing_key").agg(F.sum("tf").cast("long").alias("term_score"))
+        """listing_key, term_score of one query's terms; with `versions` only of listings read under them.
+
+        The bounds of the terms are known before the scan, so that terms and highest counts are pushed into Parquet.
+        """
+        entries = self._live()
+        blocks = self._tagged(self._read("postings", entries), versions).where(F.col("term").isin(terms))
+        asked = self.spark.createDataFrame([(0, t) for t in dict.fromkeys(terms)], "query_id long, term string")
+        can = F.lit(False)
+        for r in self._bounds(blocks, asked, limit, entries).collect():  # a row a term
+            can = can | ((F.col("term") == r.term) & (F.col("most") >= r.cut))
+        scores = self._scores(blocks.where(can).withColumn("query_id", F.lit(0)), entries).drop("query_id")
         return scores.orderBy(F.desc("term_score"), "listing_key").limit(limit)
 
-    def search_many(self, asked: DataFrame, limit: int = 50) -> DataFrame:
-        """asked(query_id, term) to query_id, listing_key, term_score."""
-        return index.text_search(self.postings().select("listing_key", "term", "tf"), asked.select("query_id", "term").distinct(), limit)
+    def hybrid_many(self, asked: DataFrame, vectors: DataFrame, limit: int = 50) -> DataFrame:
+        """Both lanes of asked(query_id, term) and vectors(listing_key, descriptor), the queries' own descriptors."""
+        hits = index.vector_search(vectors, self.descriptors(kind="image"), "listing_key", "descriptor", limit)
+        return index.hybrid(self.search_many(asked, limit), hits)
 
-    def remember(self, evidence: DataFrame, queries: DataFrame, batch: int) -> None:
+    def remember(self, evidence: DataFrame, queries: DataFrame, batch: int, token: str | None = None) -> bool:
         """What a campaign learnt: evidence(listing_key, hypothesis_digest, bounds) and queries(ior_key, source_id, query_norm, pages)."""
-        self._append("evidence", evidence, batch)
-        self._append("queries", queries, batch)
+        token, folder, number = token or str(batch), f"{batch}-{uuid.uuid4().hex}", F.lit(batch).cast("long")
+        if self._known(batch, token):
+            return False
+        tables = {name: self._write(name, rows.withColumn("batch", number), folder) for name, rows in (("evidence", evidence), ("queries", queries))}
+        while not self.log.put(self._next(), {"batches": [batch], "tokens": {str(batch): token}, "tables": tables}):
+            if self._known(batch, token):
+                return False
+        return True
 
     def evidence(self) -> DataFrame:
-        return self._newest("evidence", "listing_key", "hypothesis_digest")
+        return self._newest(self._read("evidence"), "listing_key", "hypothesis_digest").drop("batch")
 
     def queries_run(self) -> DataFrame:
-        return self._newest("queries", "ior_key")
+        return self._newest(self._read("queries"), "ior_key").drop("batch")
+
+
+_kept: dict[tuple[str, str, str], WarmIndex] = {}
+
+
+def prepared(spark: SparkSession, source: str, name: str) -> WarmIndex:
+    """The index of this session that is kept for an input under a name; empty the first time. It goes with the session."""
+    key = spark.sparkContext.applicationId, source, name
+    if key not in _kept:
+        _kept[key] = WarmIndex(spark)
+        atexit.register(_forget, _kept[key])
+    return _kept[key]
+
+
+def _forget(warm: WarmIndex) -> None:
+    try:
+        warm.drop()
+    except Exception:  # the JVM may have ended before the interpreter
+        return
 
 
 def descriptor_of(embedding: Column, histogram: Column, fingerprint: Column) -> Column:

@@ -70,14 +70,6 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_hits(spark, sf_dir)
 
 
-@query(f"""WITH {TOKENS_SQL}, {ASKED_SQL}, {VECTOR_SQL}
-  SELECT coalesce(t.query_id, h.query_id) AS query_id, coalesce(t.listing_key, h.listing_key) AS listing_key, coalesce(t.term_score, 0) AS term_score, coalesce(h.descriptor_score, 0) AS descriptor_score
-  FROM txt t FULL JOIN hits h ON t.query_id = h.query_id AND t.listing_key = h.listing_key""")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both lanes of every query that asks, met by listing."""
-    return index.hybrid(_text_hits(spark, sf_dir), _vector_hits(spark, sf_dir))
-
-
 @query(f"""WITH {TOKENS_SQL},
   b AS (SELECT doc_id, ('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS bucket FROM tok),
   c AS (SELECT doc_id, bucket, count(*) AS n FROM b GROUP BY ALL),
