@@ -21,11 +21,12 @@ that end at breaks; a word of any length is one unit. Columns other than doc_id
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -36,7 +37,9 @@ from quarry.llm.frames import map_rows, map_stream, packed, stored, unpacked
 
 NO_ONE, LEFT, RIGHT = range(3)
 MARK = "▁"
-SLICE, BLOCK = 1 << 20, 4 << 20
+SLICE, BLOCK = 1 << 20, 8 << 20
+#: Tokens of both sides up to which units are walked together.
+TOGETHER = 40
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _GAP_AT_END = re.compile(r"\s[ \n]|\x01")
 _GAP = re.compile(r"[\s\x1c-\x1f]")
@@ -62,6 +65,7 @@ class ByteSide:
         self.tokenizer.no_truncation()
         letters, added = byte_letters(), self.tokenizer.get_added_tokens_decoder()
         self.raw = {i: x.encode() if i in added else bytes(letters[c] for c in x) for x, i in self.tokenizer.get_vocab().items()}
+        self.names = {i: str(i) for i in self.raw}
         kind = json.loads(self.tokenizer.to_str())
         before = kind["pre_tokenizer"] or {}
         self.breaks = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
@@ -95,6 +99,7 @@ class PieceSide:
             else:
                 self.raw[i] = piece.replace(MARK, " ").encode()
                 self.breaks &= MARK not in piece.lstrip(MARK) and ("\n" not in piece or piece == "\n")
+        self.names = {i: str(i) for i in self.raw}
         self.led = {i for i, x in self.raw.items() if x.startswith(b" ")}
 
     def encode(self, unit: str) -> list[int]:
@@ -122,12 +127,16 @@ class Aligner:
     def __init__(self, left: ByteSide | PieceSide, right: ByteSide | PieceSide, most: int = 48 << 20):
         self.left, self.right, self.most = left, right, most
         self.breaks = left.breaks and right.breaks
-        self.states: list[tuple[int, bytes]] = [(NO_ONE, b"")]
-        self.number = {self.states[0]: 0}
-        self.leads = [NO_ONE]
-        self.moves: dict[int, int] = {}
         self.units: dict[str, tuple | None] = {}
         self.held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the state in which nothing dangles is known; moves lie as sorted keys (state and token) with the state after."""
+        self.states: list[tuple[int, bytes]] = [(NO_ONE, b"")]
+        self.number = {self.states[0]: 0}
+        self.leads, self.leading = [NO_ONE], np.array([NO_ONE])
+        self.keys, self.to = np.array([-1]), np.array([0])
 
     def move(self, state: int, token: int) -> int:
         """The state after the next token of the side behind (the left one where none leads); -1 where bytes differ."""
@@ -149,36 +158,90 @@ class Aligner:
                 self.states.append(new)
                 self.leads.append(new[0])
             out = self.number[new]
-        self.moves[state << 20 | token] = out
         return out
 
-    def walk(self, left: list[int], right: list[int]) -> tuple[str, int, array] | None:
-        """Groups as text, how many, and the links in order as packed ids; None where the bytes of both sides differ."""
-        moves, leads = self.moves, self.leads
-        state = i = j = start_i = start_j = 0
-        groups, links = [], array("q")
-        try:
-            while i < len(left) or j < len(right):
-                if leads[state] == LEFT:
-                    token = right[j]
-                    j += 1
-                else:
-                    token = left[i]
-                    i += 1
-                if state:
-                    links.append(left[i - 1] << 32 | right[j - 1])
-                key = state << 20 | token
-                state = moves[key] if key in moves else self.move(state, token)
-                if state <= 0:
-                    if state:
-                        return None
-                    groups.append(f"{','.join(map(str, left[start_i:i]))}|{','.join(map(str, right[start_j:j]))}")
-                    start_i, start_j = i, j
-        except IndexError:  # the side behind has no token left
-            return None
-        return None if state else (";".join(groups), len(groups), links)
-
-    def _encoded(self, units: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+    def _next(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The state after each move; moves not met before are worked out once and remembered."""
+        keys = states << 20 | tokens
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        new = np.unique(keys[self.keys[at] != keys])
+        if len(new):
+            found = [self.move(k >> 20, k & (1 << 20) - 1) for k in new.tolist()]
+            self.leading = np.array(self.leads)
+            keys_now, to_now = np.concatenate([self.keys, new]), np.concatenate([self.to, found])
+            order = np.argsort(keys_now)
+            self.keys, self.to = keys_now[order], to_now[order]
+            at = np.searchsorted(self.keys, keys)
+        return self.to[at]
+
+    def walk_one(self, left: list[int], right: list[int]) -> tuple[list[tuple[int, int]], np.ndarray] | None:
+        """`walk` for one unit."""
+        moves: dict[tuple[int, int], int] = {}
+        state, i, j, groups, links = 0, 0, 0, [], []
+        while i < len(left) or j < len(right):
+            right_turn = self.leads[state] == LEFT
+            if (j == len(right)) if right_turn else (i == len(left)):
+                return None
+            token = right[j] if right_turn else left[i]
+            i, j = i + (not right_turn), j + right_turn
+            if state:
+                links.append(left[i - 1] << 32 | right[j - 1])
+            if (state, token) not in moves:
+                moves[state, token] = self.move(state, token)
+            state = moves[state, token]
+            if state < 0:
+                return None
+            if not state:
+                groups.append((i, j))
+        self.leading = np.array(self.leads)
+        return None if state else (groups, np.array(links, np.int64))
+
+    def walk(self, left: list[list[int]], right: list[list[int]]) -> list[tuple[list[tuple[int, int]], np.ndarray] | None]:
+        """For each unit the ends of its groups on either side and its links in order as packed ids; None where bytes differ.
+
+        The transducers of all units go on together, a token each at a time; those of long units alone.
+        """
+        if len(left) > 1 and max(map(len, left)) + max(map(len, right)) > TOGETHER:
+            long = [len(x) + len(y) > TOGETHER for x, y in zip(left, right, strict=True)]
+            short = iter(self.walk([x for x, z in zip(left, long, strict=True) if not z], [y for y, z in zip(right, long, strict=True) if not z]))
+            return [self.walk_one(x, y) if z else next(short) for x, y, z in zip(left, right, long, strict=True)]
+        if len(left) == 1:
+            return [self.walk_one(left[0], right[0])]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (left, right))
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right)]
+        (first_i, end_i), (first_j, end_j) = ((np.cumsum(n) - n, np.cumsum(n)) for n in sizes)
+        a, b = np.append(a, 0), np.append(b, 0)
+        i, j, state = first_i.copy(), first_j.copy(), np.zeros(len(left), np.int64)
+        failed, live = np.zeros(len(left), bool), np.arange(len(left))
+        links, closed = [], []
+        while True:
+            own = state[live]
+            right_turn = self.leading[own] == LEFT
+            over = np.where(right_turn, j[live] == end_j[live], i[live] == end_i[live])
+            failed[live[over & ((own > 0) | (j[live] < end_j[live]))]] = True
+            live, own, right_turn = live[~over], own[~over], right_turn[~over]
+            if not len(live):
+                break
+            token = np.where(right_turn, b[j[live]], a[i[live]])
+            j[live] += right_turn
+            i[live] += ~right_turn
+            met = live[own > 0]
+            links.append((met, a[i[met] - 1] << 32 | b[j[met] - 1]))
+            state[live] = now = self._next(own, token)
+            failed[live[now < 0]] = True
+            ended = live[now == 0]
+            closed.append((ended, i[ended] - first_i[ended], j[ended] - first_j[ended]))
+            live = live[now >= 0]
+        groups: list[list[tuple[int, int]]] = [[] for _ in left]
+        for units, ends_i, ends_j in closed:
+            for u, x, y in zip(units.tolist(), ends_i.tolist(), ends_j.tolist(), strict=True):
+                groups[u].append((x, y))
+        owner, packed_ids = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(owner, kind="stable")
+        each = np.split(packed_ids[order], np.cumsum(np.bincount(owner, minlength=len(left)))[:-1]) if len(left) else []
+        return [None if bad else (g, x) for bad, g, x in zip(failed.tolist(), groups, each, strict=True)]
+
+    def _encoded(self, units: list[str]) -> Iterator[tuple[list[str], list[list[int]], list[list[int]]]]:
         """Words, of which most units are, go to the tokenizers many at once."""
         words, rest = [], []
         for u in units:
@@ -189,19 +252,27 @@ class Aligner:
             if a is None or b is None:
                 rest += some
             else:
-                yield from zip(some, a, b, strict=True)
-        for u in rest:
-            yield u, self.left.encode(u), self.right.encode(u)
+                yield some, a, b
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            yield some, [self.left.encode(u) for u in some], [self.right.encode(u) for u in some]
 
     def learn(self, units: list[str]) -> dict[str, tuple | None]:
         """Units to (groups, left tokens, right tokens, number of groups, links as packed ids)."""
         out: dict[str, tuple | None] = {}
-        if len(self.moves) > 1 << 19:
-            self.__init__(self.left, self.right, self.most)
-        raw = self.left.raw
-        for unit, a, b in self._encoded(units):
-            done = self.walk(a, b) if b"".join([raw[x] for x in a]) == unit.encode() else None
-            out[unit] = done and (done[0], len(a), len(b), done[1], done[2].tobytes())
+        if len(self.keys) > 1 << 19:
+            self._forget()
+        raw, names_a, names_b = self.left.raw, self.left.names, self.right.names
+        for some, left, right in self._encoded(units):
+            for unit, a, b, done in zip(some, left, right, self.walk(left, right), strict=True):
+                if done is None or b"".join([raw[x] for x in a]) != unit.encode():
+                    out[unit] = None
+                    continue
+                text, x, y = [], 0, 0
+                for p, q in done[0]:
+                    text.append(f"{','.join([names_a[k] for k in a[x:p]])}|{','.join([names_b[k] for k in b[y:q]])}")
+                    x, y = p, q
+                out[unit] = ";".join(text), len(a), len(b), len(text), done[1].tobytes()
         if self.held > self.most:
             self.units, self.held = {}, 0
         short = {u: x for u, x in out.items() if len(u) <= 64}
@@ -236,28 +307,54 @@ def aligner_of(left: str, right: str) -> Aligner:
 class _Block:
     """Documents, distinct units and distinct pairs of a block, by their numbers in it."""
 
-    def __init__(self) -> None:
+    def __init__(self, as_text: bool):
         self.at: dict[str, int] = {}
         self.known: list[tuple | None] = []
-        self.docs: list[tuple[int | None, np.ndarray]] = []
-        self.chars = 0
+        self.docs: list[tuple[int | None, np.ndarray, str]] = []
+        self.as_text, self.chars = as_text, 0
+
+    def add(self, aligner: Aligner, rows: list[tuple[int | None, str]]) -> None:
+        """Documents; units that are new in the block are learnt for many documents at once."""
+        seqs: list[list[np.ndarray]] = [[] for _ in rows]
+        waiting: list[tuple[int, list[str]]] = []
 
-    def add(self, aligner: Aligner, doc_id: int | None, text: str) -> None:
-        seq: list[np.ndarray] = []
-        for units in aligner.slices(" " + text) if text else ():
-            missing = {u: aligner.units.get(u, False) for u in dict.fromkeys(units) if u not in self.at}
+        def settle() -> None:
+            missing = {u: aligner.units.get(u, False) for _, units in waiting for u in units if u not in self.at}
             fresh = [u for u, x in missing.items() if x is False]
             missing |= aligner.learn(fresh) if fresh else {}
             for u, x in missing.items():
                 self.at[u] = len(self.known)
                 self.known.append(x)
-            seq.append(np.fromiter(map(self.at.__getitem__, units), np.int32, len(units)))
             self.chars += sum(map(len, missing))
-        whole = np.concatenate(seq) if seq else np.zeros(0, np.int32)
-        if any(self.known[k] is None for k in np.unique(whole).tolist()):
-            whole = whole[:0]
-        self.docs.append((doc_id, whole))
-        self.chars += len(text)
+            for k, units in waiting:
+                seqs[k].append(np.fromiter(map(self.at.__getitem__, units), np.int32, len(units)))
+            waiting.clear()
+
+        held = 0
+        for k, (_, text) in enumerate(rows):
+            for units in aligner.slices(" " + text) if text else ():
+                waiting.append((k, units))
+                held += len(units)
+                if held >= 1 << 17:
+                    settle()
+                    held = 0
+        settle()
+        for (doc_id, text), parts in zip(rows, seqs, strict=True):
+            whole = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            if any(self.known[k] is None for k in np.unique(whole).tolist()):
+                whole = whole[:0]
+            self.docs.append((doc_id, whole, self._groups(whole)))
+            self.chars += len(text)
+
+    def _groups(self, seq: np.ndarray) -> str:
+        """The groups of a document, or the digest of that text, which is put together in pieces."""
+        parts = (";".join([self.known[k][0] for k in seq[at : at + 65536].tolist()]) for at in range(0, len(seq), 65536))
+        if self.as_text:
+            return ";".join(parts)
+        chain_ = hashlib.sha256()
+        for k, part in enumerate(parts):
+            chain_.update((";" + part if k else part).encode())
+        return chain_.hexdigest() if len(seq) else ""
 
     def row(self, number: int) -> tuple:
         none = ("", 0, 0, 0, b"")
@@ -266,36 +363,43 @@ class _Block:
         pairs, index = np.unique(np.frombuffer(b"".join([x[4] for x in known]), np.int64), return_inverse=True)
         ends, index = np.cumsum(size), index.astype(np.int32)
         met = np.zeros(len(pairs), np.int64)
-        for _, seq in self.docs:
+        for _, seq, _ in self.docs:
             used = np.unique(seq)
             n = size[used]
             before = np.cumsum(n) - n
             met[np.unique(index[np.repeat(ends[used] - n - before, n) + np.arange(n.sum())])] += 1
         stats = np.array([[x[1], x[2], x[3]] for x in known], np.int64).reshape(-1, 3)
         return (
-            number, [d for d, _ in self.docs], [packed(s) for _, s in self.docs], [x[0] for x in known], stats.tobytes(),
-            size.tobytes(), packed(index), pairs.tolist(), met.tolist(),
+            number, [d for d, _, _ in self.docs], [packed(s) for _, s, _ in self.docs], [g for _, _, g in self.docs],
+            [stats[s].sum(axis=0).tolist() for _, s, _ in self.docs], size.astype(np.int32).tobytes(), packed(index), pairs.tolist(), met.tolist(),
         )
 
 
-BLOCKS = "block long, doc_ids array<long>, seqs array<binary>, groups array<string>, stats binary, sizes binary, indexes binary, pairs array<long>, met array<long>"
-ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+BLOCKS = "block long, doc_ids array<long>, seqs array<binary>, groups array<string>, stats array<array<long>>, sizes binary, indexes binary, pairs array<long>, met array<long>"
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
 
 
-def align(docs: DataFrame, left: str, right: str, block_chars: int = BLOCK) -> DataFrame:
+def align(docs: DataFrame, left: str, right: str, as_text: bool = False, block_chars: int = BLOCK) -> DataFrame:
     """docs(doc_id, text, ...) under the byte-level tokenizer `left` and the SentencePiece model `right`, over space + text.
 
     n_links counts pairs of tokens that overlap, n_best those whose count is the highest of their left id, count_sum is
-    the sum of their counts; groups reads `a1,a2|b1;a3|b2,b3`. The result does not depend on `block_chars`.
+    the sum of their counts. groups_sha256 is the digest of the groups, written `a1,a2|b1;a3|b2,b3` ('' without tokens);
+    with `as_text` they come whole, as groups. The result does not depend on `block_chars`.
     """
 
     def blocks(rows: Iterator[tuple]) -> Iterator[tuple]:
-        aligner, number, block = aligner_of(left, right), TaskContext.get().partitionId() << 32, _Block()
-        for doc_id, text in rows:
-            block.add(aligner, doc_id, text)
-            if block.chars >= block_chars:
-                yield block.row(number)
-                number, block = number + 1, _Block()
+        aligner, number, block = aligner_of(left, right), TaskContext.get().partitionId() << 32, _Block(as_text)
+        waiting, held = [], 0
+        for row in rows:
+            waiting.append(row)
+            held += len(row[1])
+            if held >= min(SLICE, block_chars):
+                block.add(aligner, waiting)
+                waiting, held = [], 0
+                if block.chars >= block_chars:
+                    yield block.row(number)
+                    number, block = number + 1, _Block(as_text)
+        block.add(aligner, waiting)
         if block.docs:
             yield block.row(number)
 
@@ -314,14 +418,14 @@ def align(docs: DataFrame, left: str, right: str, block_chars: int = BLOCK) -> D
             _, doc_ids, seqs, groups, stats, sizes, indexes, counts, best = row
             size, index = np.frombuffer(sizes, np.int32), unpacked(indexes)
             ends = np.cumsum(size)
-            known = np.array([*np.frombuffer(stats, np.int64).reshape(-1, 3).T, size, *(_sums(np.array(x or [], np.int64), index, ends, size) for x in (best, counts))]).reshape(6, -1)
-            for doc_id, seq in zip(doc_ids, seqs, strict=True):
+            known = [size, *(_sums(np.array(x or [], np.int64), index, ends, size) for x in (best, counts))]
+            for doc_id, seq, own, text in zip(doc_ids, seqs, stats, groups, strict=True):
                 units = unpacked(seq)
-                yield doc_id, *(int(x[units].sum()) for x in known), ";".join(map(groups.__getitem__, units.tolist()))
+                yield doc_id, *own, *(int(x[units].sum()) for x in known), text
 
         return f
 
-    return map_rows(met, ALIGNED, told, flush_rows=512, weigh=7)
+    return map_rows(met, f"{ALIGNED}, {'groups' if as_text else 'groups_sha256'} string", told, flush_rows=512, weigh=7)
 
 
 def _sums(values: np.ndarray, index: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -88,9 +88,7 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
-    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def want():
 @pytest.mark.parametrize("block", [1, 5000, 1 << 23])
 def test_against_byte_ranges(spark, want, block):
     docs = spark.createDataFrame(corpus(), SCHEMA).repartition(3)
-    got = sorted((r.doc_id or -1, tuple(r)[1:]) for r in L.align(docs, A, B, block_chars=block).collect())
+    got = sorted((r.doc_id or -1, tuple(r)[1:]) for r in L.align(docs, A, B, as_text=True, block_chars=block).collect())
     assert got == want
     assert any(n == 0 and t for (_, (n, *_)), t in zip(want, sorted(corpus(), key=lambda r: r[0] or -1), strict=True))
 
@@ -93,9 +93,9 @@ def test_slices_and_forgetting(monkeypatch):
     monkeypatch.setattr(L, "SLICE", 100)
     cut = L.Aligner(L.ByteSide(A), L.PieceSide(B), most=10_000)
     assert [u for part in cut.slices(" " + text) for u in part] == units
-    one, two = L._Block(), L._Block()
-    one.add(whole, 1, text)
-    two.add(cut, 1, text)
+    one, two = L._Block(True), L._Block(True)
+    one.add(whole, [(1, text)])
+    two.add(cut, [(1, text)])
     for a, b in zip(one.row(0)[3:], two.row(0)[3:], strict=True):
         assert a == b
 
