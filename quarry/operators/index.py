@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -64,11 +65,25 @@ class Block:
     c_more: np.ndarray
 
 
+def gridded(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks dealt over the cells of a square grid, about as many as there are shuffle partitions.
+
+    A left block goes to one row of the grid, in every column; a right one to one column, in every row. Each pair meets
+    in one cell, each block is sent as often as the grid is wide, and a cell holds its share of either side only.
+    """
+    side = max(2, math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1)
+    whole, share = F.explode(F.sequence(F.lit(0), F.lit(side - 1))), lambda name: F.pmod(F.xxhash64(name), F.lit(side)).cast("int")
+    return (
+        left.withColumn("q_row", share(left_name)).withColumn("q_column", whole),
+        right.withColumn("c_column", share(right_name)).withColumn("c_row", whole),
+    )
+
+
 def cosine_blocks(queries: DataFrame, vectors: DataFrame, key: str, vector: str, score: Callable[[Block], pa.RecordBatch], schema: str, q_more: tuple[str, ...] = (), c_more: tuple[str, ...] = (), rows: int = 2048, most_queries: int = 50_000) -> DataFrame:
     """Every query against every vector in blocks: `score` says what leaves a pair of blocks.
 
     Vectors of other lengths, and null ones, do not meet. Blocks of queries are broadcast up to `most_queries` rows, else
-    blocks meet in a shuffle, so that no task holds more than two blocks at once.
+    blocks meet in a grid: see `gridded`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +97,11 @@ def cosine_blocks(queries: DataFrame, vectors: DataFrame, key: str, vector: str,
 
     asked, every = _packed(queries, key, vector, list(q_more), rows, "q"), _packed(vectors, key, vector, list(c_more), rows, "c")
     few = queries.limit(most_queries + 1).count() <= most_queries
-    met = every.join(F.broadcast(asked) if few else asked, F.col("q_width") == F.col("c_width"))
-    if not few:
-        met = met.repartition(F.xxhash64("q_ids"), F.xxhash64("c_ids"))
+    if few:
+        met = every.join(F.broadcast(asked), F.col("q_width") == F.col("c_width"))
+    else:
+        asked, every = gridded(asked, every, "q_ids", "c_ids")
+        met = every.join(asked, (F.col("q_width") == F.col("c_width")) & (F.col("q_row") == F.col("c_row")) & (F.col("q_column") == F.col("c_column")))
     return met.select("q_width", "q_ids", "q_vectors", "q_more", "c_ids", "c_vectors", "c_more").mapInArrow(run, schema)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scores as S
 from quarry.operators import events as E
+from quarry.operators.cluster import checkpoint_dir
 from quarry.plans.registry import query, table
+from quarry.sources import eventsource
+from quarry.streaming import log
 
 ORDER = ["ts", "event_id"]
 
@@ -118,3 +123,24 @@ def conversation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G6, G7 over conversations."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce(F.lag("role").over(w) == F.col("role"), F.lit(False)).alias("repeats"))
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, epoch_us(max(ts)) AS last_us, round(sum(value), 2) AS total FROM events WHERE event_id > 150 GROUP BY 1")
+def events_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log through its own format, from an event id on."""
+    eventsource.register(spark)
+    rows = spark.read.format("quarry_events").option("path", f"{sf_dir}/events.parquet").option("after", 150).load()
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.unix_micros(F.max("ts")).alias("last_us"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT CASE WHEN event_id <= 400 THEN 1 ELSE 2 END AS run, event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events WHERE event_id > 99 GROUP BY ALL")
+def resumed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream from an event id that ends, and a second one that goes on after the last id that the first committed."""
+    eventsource.register(spark)
+    base, out = f"{checkpoint_dir(spark)}/resumed-{uuid.uuid4().hex}", None
+    for run, options in ((1, {"after": 99, "until": 400}), (2, {})):
+        rows = spark.readStream.format("quarry_events").options(path=f"{sf_dir}/events.parquet", **options).load()
+        log.append_log(rows.withColumn("run", F.lit(run)), f"{base}/{run}", f"{base}/checkpoint").awaitTermination()
+        part = spark.read.parquet(f"{base}/{run}")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("run", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
