@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import map_rows, map_stream, packed, stored, unpacked
+from quarry.llm.frames import Bucketed, map_rows, map_stream, packed, unpacked
 
 NO_ONE, LEFT, RIGHT = range(3)
 MARK = "▁"
@@ -201,12 +201,10 @@ class Aligner:
 
         The transducers of all units go on together, a token each at a time; those of long units alone.
         """
-        if len(left) > 1 and max(map(len, left)) + max(map(len, right)) > TOGETHER:
-            long = [len(x) + len(y) > TOGETHER for x, y in zip(left, right, strict=True)]
+        long = [len(x) + len(y) > TOGETHER for x, y in zip(left, right, strict=True)]
+        if any(long):
             short = iter(self.walk([x for x, z in zip(left, long, strict=True) if not z], [y for y, z in zip(right, long, strict=True) if not z]))
             return [self.walk_one(x, y) if z else next(short) for x, y, z in zip(left, right, long, strict=True)]
-        if len(left) == 1:
-            return [self.walk_one(left[0], right[0])]
         a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (left, right))
         sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right)]
         (first_i, end_i), (first_j, end_j) = ((np.cumsum(n) - n, np.cumsum(n)) for n in sizes)
@@ -404,7 +402,7 @@ def align(docs: DataFrame, left: str, right: str, as_text: bool = False, block_c
             yield block.row(number)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    kept = stored(map_stream(given, BLOCKS, lambda: blocks, flush_rows=1), "blocks")
+    kept = Bucketed(map_stream(given, BLOCKS, lambda: blocks, flush_rows=1), "block").df
     asked = kept.select("block", F.posexplode(F.arrays_zip("pairs", "met")).alias("pos", "x")).select("block", "pos", F.col("x.pairs").alias("pair"), F.col("x.met").alias("met"))
     counts = asked.groupBy("pair").agg(F.sum("met").alias("count"))
     # an id of one side has as many partners as the other's vocabulary at most

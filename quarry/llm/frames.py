@@ -67,6 +67,25 @@ def stored(df: DataFrame, name: str = "frame") -> DataFrame:
     return Stored(df, name).df
 
 
+class Bucketed:
+    """A DataFrame written to the shared folder in buckets of a key, so that joins by that key do not move it again.
+
+    It is an external table: its files lie in the shared folder, whatever the warehouse setting is.
+    """
+
+    def __init__(self, df: DataFrame, key: str):
+        self.spark, self.name = df.sparkSession, f"quarry_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(n, key).format("parquet").option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
+        free_shuffles(self.spark)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
+
+
 def whole_text(col: str | Column) -> Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -34,9 +34,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quarry.llm.frames import Stored, ascii_lower, map_rows, map_stream, packed, stored, unpacked, whole_text
+from quarry.llm.frames import Bucketed, Stored, ascii_lower, map_rows, map_stream, packed, stored, unpacked, whole_text
 
-SLICE, BLOCK = 1 << 20, 24 << 20
+SLICE, BLOCK = 1 << 20, 16 << 20
 #: Tokens whose n-grams are worked on at once.
 STEP = 1 << 19
 LONG_WORD = 40
@@ -106,23 +106,24 @@ def estimates(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (3 * low - 1) / 2, 0.0)
 
 
-def _bits(grams: np.ndarray, level: int, nbits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
+def _places(grams: np.ndarray, level: int, words: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Where an n-gram lies at a level: a word of the segment, of `words`, and `PROBES` bits of that word, so that a probe of all reads one place."""
     one = _mix(grams + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
-    two = _mix(one ^ np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-    for _ in range(PROBES):
-        yield one % nbits
-        one = one + two
+    word = (one >> np.uint64(32)) * words >> np.uint64(32)
+    two, mask = _mix(one ^ np.uint64(0xA0761D6478BD642F)), np.zeros(len(grams), np.uint64)
+    for k in range(PROBES):
+        mask |= np.uint64(1) << (two >> np.uint64(6 * k) & np.uint64(63))
+    return word, mask
 
 
 def segment_bits(grams: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     """One segment of the filter, for distinct n-grams and their counts, with so many bits for each level of each."""
     levels = levels_of(counts)
-    nbits = np.uint64(max(64, (bits * int(levels.sum()) + 7) // 8 * 8))
-    held = np.zeros(int(nbits), bool)
+    held = np.zeros(bits * int(levels.sum()) // 64 + 1, np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _bits(grams[levels >= level], level, nbits):
-            held[at] = True
-    return np.packbits(held, bitorder="little").tobytes()
+        at, mask = _places(grams[levels >= level], level, np.uint64(len(held)))
+        np.bitwise_or.at(held, at.astype(np.int64), mask)
+    return held.tobytes()
 
 
 class Segments:
@@ -130,26 +131,23 @@ class Segments:
 
     def __init__(self, power: int, parts: Iterable[tuple[int, bytes]]):
         self.power = power
-        self.first, self.nbits = np.zeros(1 << power, np.uint64), np.zeros(1 << power, np.uint64)
+        self.first, self.words = np.zeros(1 << power, np.uint64), np.zeros(1 << power, np.uint64)
         self.data = bytearray()
         for number, data in parts:
-            self.first[number], self.nbits[number] = 8 * len(self.data), 8 * len(data)
+            self.first[number], self.words[number] = len(self.data) // 8, len(data) // 8
             self.data += data
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Level of each n-gram, 0 where it is not held: membership probes for one level more until one fails."""
-        out, data = np.zeros(len(grams), np.int8), np.frombuffer(self.data, np.uint8)
+        out, data = np.zeros(len(grams), np.int8), np.frombuffer(self.data, np.uint64)
         number = segment_of(grams, self.power)
-        alive = np.nonzero(self.nbits[number])[0]
+        alive = np.nonzero(self.words[number])[0]
         level = 0
         while len(alive):
             level += 1
-            own, first, nbits = grams[alive], self.first[number[alive]], self.nbits[number[alive]]
-            there = np.ones(len(alive), bool)
-            for at in _bits(own, level, nbits):
-                bit = first + at
-                there &= (data[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            alive = alive[there]
+            segment = number[alive]
+            at, mask = _places(grams[alive], level, self.words[segment])
+            alive = alive[data[(self.first[segment] + at).astype(np.int64)] & mask == mask]
             out[alive] = level
         return out
 
@@ -161,11 +159,18 @@ def segment_of(grams: np.ndarray, power: int) -> np.ndarray:
 BLOCKS = "block long, doc_ids array<long>, held array<boolean>, seqs array<binary>, hashes binary, words array<binary>, times array<int>, tokens long"
 
 
+class _Numbers(dict):
+    """Words by their number, in order of appearance; the end stands as the empty word."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _blocks(rows: Iterator[tuple], block_bytes: int) -> Iterator[tuple]:
     """Blocks of documents as word numbers, with the distinct words and how often training documents hold them."""
     number = TaskContext.get().partitionId() << 32
-    at: dict[bytes, int] = {END: 0}
-    docs, taken = [], 0
+    at, docs, taken = _Numbers({b"": 0}), [], 0
 
     def block() -> tuple:
         times = np.zeros(len(at), np.int32)
@@ -178,15 +183,12 @@ def _blocks(rows: Iterator[tuple], block_bytes: int) -> Iterator[tuple]:
     for doc_id, held, text in rows:
         parts = []
         for words in word_lists(text.encode()):
-            for w in words:
-                if w not in at:
-                    at[w] = len(at)
             parts.append(np.fromiter(map(at.__getitem__, words), np.int32, len(words)))
         docs.append((doc_id, held, np.concatenate([*parts, np.zeros(1, np.int32)])))
         taken += len(text)
         if taken >= block_bytes:
             yield block()
-            number, at, docs, taken = number + 1, {END: 0}, [], 0
+            number, at, docs, taken = number + 1, _Numbers({b"": 0}), [], 0
     if docs:
         yield block()
 
@@ -305,7 +307,7 @@ def _mixed(p: np.ndarray, share: np.ndarray, power: np.ndarray, weights: np.ndar
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int = 8, block_bytes: int = BLOCK, broadcast_bytes: int = 128 << 20, segment_grams: int = 1 << 19) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int = 10, block_bytes: int = BLOCK, broadcast_bytes: int = 128 << 20, segment_grams: int = 1 << 19) -> DataFrame:
     """docs(doc_id, text, ...) scored by a model of the rows for which `held_out` is not true.
 
     n_tokens counts words and the end, n_known those that training documents hold; base_score is the unigram estimate's
@@ -313,26 +315,26 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, bits: int
     """
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), ascii_lower(whole_text("text")).alias("text"))
-    first = Stored(map_stream(given, BLOCKS, lambda: lambda rows: _blocks(rows, block_bytes), flush_rows=1), "blocks")
+    first = Bucketed(map_stream(given, BLOCKS, lambda: lambda rows: _blocks(rows, block_bytes), flush_rows=1), "block")
     asked = first.df.select("block", F.posexplode(F.arrays_zip("words", "times")).alias("pos", "x"))
     each = Window.partitionBy("x.words")
     # a word is in a block once
     counted = Stored(asked.select("block", "pos", F.sum("x.times").over(each).alias("count"), (F.col("block") == F.min("block").over(each)).alias("once")), "counts")
     corpus = Corpus(first.df.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0], counted.df.where("once and count > 0").count())
     back = counted.df.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "count"))).alias("found"))
-    blocks = stored(first.df.drop("words", "times", "tokens").join(back.select("block", F.col("found.count").alias("counts")), "block"), "counted")
-    first.drop()
+    counts = Bucketed(back.select("block", F.col("found.count").alias("counts")), "block")
     counted.drop()
+    blocks = first.df.drop("words", "times", "tokens").join(counts.df, "block")
 
     power = max(6, int(np.ceil(np.log2(max(1, (order - 1) * corpus.tokens / segment_grams)))))
-    segments = stored(filter_segments(blocks, order, power, bits), "filter")
+    segments = stored(filter_segments(first.df, order, power, bits), "filter")
     size = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
         sent: Broadcast | None = spark.sparkContext.broadcast(Segments(power, segments.toLocalIterator()))
         given = blocks.select("doc_ids", "held", "seqs", "hashes", "counts", F.lit(None).cast("array<binary>").alias("levels"))
     else:
         sent = None
-        levels = _levels_by_segment(blocks, segments, order, power)
+        levels = _levels_by_segment(first.df, segments, order, power)
         given = stored(blocks.join(levels, "block").select("doc_ids", "held", "seqs", F.lit(None).cast("binary").alias("hashes"), "counts", "levels"), "probed")
 
     def reader() -> Callable[[tuple], Iterator[tuple]]:

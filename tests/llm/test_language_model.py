@@ -28,7 +28,7 @@ def corpus():
     words = ["".join(rng.choices("abcdé", k=rng.randint(1, 5))) for _ in range(80)]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "\n", "\t", " \x0b", "\r\n"]) for _ in range(n))
     shared = text(50)
-    texts = [None, "", " \n", "One", "ONE one", "É é", "\x1c\x85 \xa0x", "w" * 5000, "w" * 5000, "unheard-of " + "v" * 41]
+    texts = [None, "", " \n", "One", "ONE one", "e w h E", "e", "É é", "\x1c\x85 \xa0x", "w" * 5000, "w" * 5000, "unheard-of " + "v" * 41]
     texts += [text(rng.randint(1, 60)) + shared for _ in range(60)] + [text(4000)] + [shared] * 9
     return [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "no id at all", "", 0), (3, "again and again", "", 0)]
 
@@ -111,7 +111,7 @@ def mark():
 def test_scores_equal_plain_counts(spark, order, block, most, grams):
     """Blocks, segments and the way to the filter do not matter; with 64 bits a level the filter hardly errs."""
     docs = spark.createDataFrame(corpus(), SCHEMA).repartition(3)
-    got = M.score_documents(docs, mark(), order, bits=64, block_bytes=block, broadcast_bytes=most, segment_grams=grams).collect()
+    got = M.score_documents(docs, mark(), order, bits=256, block_bytes=block, broadcast_bytes=most, segment_grams=grams).collect()
     close(got, brute(corpus(), order))
 
 
@@ -134,7 +134,7 @@ def test_filter_never_underrates():
     counts = np.minimum(rng.zipf(1.6, len(grams)), 10**6)
     power = 4
     number = M.segment_of(grams, power)
-    held = M.Segments(power, [(k, M.segment_bits(grams[number == k], counts[number == k], 8)) for k in range(16)])
+    held = M.Segments(power, [(k, M.segment_bits(grams[number == k], counts[number == k], 10)) for k in range(16)])
     exact, found = M.levels_of(counts), held.levels(grams)
     assert (found >= exact).all() and (found == exact).mean() > 0.95
     new = np.unique(rng.integers(0, 2**63, 50_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
