@@ -12,7 +12,6 @@ from quarry.operators import events as E
 from quarry.operators.cluster import checkpoint_dir
 from quarry.plans.registry import query, table
 from quarry.sources import eventsource
-from quarry.streaming import log
 
 ORDER = ["ts", "event_id"]
 
@@ -137,10 +136,13 @@ def events_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream from an event id that ends, and a second one that goes on after the last id that the first committed."""
     eventsource.register(spark)
-    base, out = f"{checkpoint_dir(spark)}/resumed-{uuid.uuid4().hex}", None
-    for run, options in ((1, {"after": 99, "until": 400}), (2, {})):
+    base = f"{checkpoint_dir(spark)}/resumed-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/runs/run={number + 1}")
+
+    for options in ({"after": 99, "until": 400}, {}):
         rows = spark.readStream.format("quarry_events").options(path=f"{sf_dir}/events.parquet", **options).load()
-        log.append_log(rows.withColumn("run", F.lit(run)), f"{base}/{run}", f"{base}/checkpoint").awaitTermination()
-        part = spark.read.parquet(f"{base}/{run}")
-        out = part if out is None else out.unionByName(part)
+        rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/runs")
     return out.groupBy("run", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
