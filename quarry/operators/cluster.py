@@ -22,7 +22,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """`df` written below spark.checkpoint.dir and read back."""
     path = f"{checkpoint_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -33,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     In a round every node hangs its larger neighbours on its smallest one, then its smaller ones too, until nothing moves.
     """
-    now = _written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -45,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") > F.col("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = _written(small.where(F.col("a") > F.col("b")).distinct())
+        now = written(small.where(F.col("a") > F.col("b")).distinct())
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 

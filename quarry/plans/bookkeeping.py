@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import money as M
@@ -10,7 +10,10 @@ from quarry.functions import records as R
 from quarry.functions import text as T
 from quarry.operators import campaign, metrics
 from quarry.operators import events as E
+from quarry.operators.cluster import written
 from quarry.plans.registry import query, table
+from quarry.streaming import campaigns as machine
+from quarry.streaming.campaigns import rocksdb
 
 VERSIONS = {"adapter_version": "a1", "model_version": "m1", "parameters": "p", "schema_version": "3", "policy_version": "matching-1", "backend_version": "none"}
 
@@ -56,14 +59,23 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(k.alias("k"), moved.alias("decision"), line.alias("l")).select("k", "decision", F.when(F.col("l").isNotNull(), F.concat_ws(":", "l.process", "l.backend_version")).alias("lineage"))
 
 
-STATE_SQL = ", ".join(f"'{s}'" for s in E.STATES)
-MOVE_SQL = ", ".join(f"('{a}', '{b}')" for a, b in E.legal_moves())
+# fixed values: states and moves as the rules name them, written out apart from the engine's own table
+STATE_SQL = """'CREATED', 'VALIDATING_INPUT', 'INGESTING_REFERENCES', 'CALIBRATING_REFERENCES', 'DECOMPOSING_REFERENCES', 'FORMING_HYPOTHESES', 'PLANNING_QUERIES', 'PLANNING_SOURCES', 'DISCOVERING', 'ACQUIRING', 'NORMALIZING', 'DEDUPLICATING',
+  'BROAD_RETRIEVAL', 'FINE_MATCHING', 'AUTHENTICITY_REVIEW', 'LIVE_CHECKING', 'RANKING', 'PUBLISHING', 'GAP_ANALYSIS', 'REPLANNING', 'COMPLETE', 'PARTIAL', 'BLOCKED', 'FAILED', 'CANCELLED'"""
+FORWARD_SQL = """'CREATED>VALIDATING_INPUT', 'VALIDATING_INPUT>INGESTING_REFERENCES', 'INGESTING_REFERENCES>CALIBRATING_REFERENCES', 'CALIBRATING_REFERENCES>DECOMPOSING_REFERENCES', 'DECOMPOSING_REFERENCES>FORMING_HYPOTHESES', 'FORMING_HYPOTHESES>PLANNING_QUERIES',
+  'PLANNING_QUERIES>PLANNING_SOURCES', 'PLANNING_SOURCES>DISCOVERING', 'DISCOVERING>ACQUIRING', 'DISCOVERING>REPLANNING', 'DISCOVERING>PARTIAL', 'ACQUIRING>NORMALIZING', 'ACQUIRING>DISCOVERING', 'ACQUIRING>PARTIAL', 'NORMALIZING>DEDUPLICATING', 'NORMALIZING>PARTIAL',
+  'DEDUPLICATING>BROAD_RETRIEVAL', 'DEDUPLICATING>PARTIAL', 'BROAD_RETRIEVAL>FINE_MATCHING', 'BROAD_RETRIEVAL>GAP_ANALYSIS', 'BROAD_RETRIEVAL>PARTIAL', 'FINE_MATCHING>AUTHENTICITY_REVIEW', 'FINE_MATCHING>GAP_ANALYSIS', 'FINE_MATCHING>PARTIAL',
+  'AUTHENTICITY_REVIEW>LIVE_CHECKING', 'AUTHENTICITY_REVIEW>PARTIAL', 'LIVE_CHECKING>RANKING', 'LIVE_CHECKING>PARTIAL', 'RANKING>PUBLISHING', 'RANKING>PARTIAL', 'PUBLISHING>GAP_ANALYSIS', 'PUBLISHING>COMPLETE', 'PUBLISHING>PARTIAL',
+  'GAP_ANALYSIS>REPLANNING', 'GAP_ANALYSIS>COMPLETE', 'GAP_ANALYSIS>PARTIAL', 'REPLANNING>PLANNING_QUERIES', 'REPLANNING>PLANNING_SOURCES', 'REPLANNING>DISCOVERING', 'REPLANNING>COMPLETE'"""
+#: The fault of a move from f to t.
+FAULT_SQL = f"""CASE WHEN f IN ('COMPLETE', 'PARTIAL', 'BLOCKED', 'FAILED', 'CANCELLED') THEN 'terminal'
+  WHEN NOT (t IN ('CANCELLED', 'FAILED') OR t = 'BLOCKED' AND f <> 'CREATED' OR f || '>' || t IN ({FORWARD_SQL})) THEN 'illegal' END"""
 
 
 @query(f"""WITH s AS (SELECT event_id, [{STATE_SQL}][event_id % 25 + 1] AS f, [{STATE_SQL}][event_id * 7 % 25 + 1] AS t FROM events)
-  SELECT event_id, f, t, CASE WHEN f IN ('COMPLETE', 'PARTIAL', 'BLOCKED', 'FAILED', 'CANCELLED') THEN 'terminal' WHEN (f, t) NOT IN ({MOVE_SQL}) THEN 'illegal' END AS fault FROM s""")
+  SELECT event_id, f, t, {FAULT_SQL} AS fault FROM s""")
 def state_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every move between the twenty-five states; what the engine's table says is checked in tests against its counts."""
+    """Every move between the twenty-five states."""
     k = F.col("event_id")
     rows = table(spark, sf_dir, "events").select("event_id", _one_of(k, *E.STATES).alias("f"), _one_of(k * 7, *E.STATES).alias("t"))
     return rows.withColumn("fault", E.move_fault(F.col("f"), F.col("t")))
@@ -194,25 +206,74 @@ def code_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("k"), code.alias("verdict"), terms.alias("terms"), T.is_instruction(text).alias("instruction"))
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (
+    SELECT user_id AS campaign, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, [{STATE_SQL}][(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + CASE WHEN event_id % 6 = 0 THEN 3 ELSE 0 END) % 25 + 1] AS t FROM events),
+  w AS (
+    SELECT campaign, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS source, NULL::VARCHAR AS target, NULL::VARCHAR AS fault, 'CREATED' AS now, 0::BIGINT AS version FROM (SELECT DISTINCT campaign FROM m)
+    UNION ALL
+    SELECT campaign, n, seq, f, t, fault, CASE WHEN fault IS NULL THEN t ELSE f END, version + CASE WHEN fault IS NULL THEN 1 ELSE 0 END
+    FROM (SELECT w.campaign, m.n, m.seq, w.version, f, t, {FAULT_SQL} AS fault FROM (SELECT *, now AS f FROM w) w JOIN m ON m.campaign = w.campaign AND m.n = w.n + 1))
+  SELECT campaign, n, source, target, fault, version FROM w WHERE n > 0""")
+def resumed_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of every user's campaign as keyed state; after twelve events all stop and go on from their checkpoints."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w))
+    target = F.element_at(F.array(*(F.lit(s) for s in E.STATES)), ((F.col("n") + F.when(F.col("event_id") % 6 == 0, 3).otherwise(0)) % 25 + 1).cast("int"))
+    asked = e.select(F.col("user_id").cast("string").alias("search_id"), F.col("ts").cast("timestamp").alias("at"), F.col("n").cast("long").alias("n"), target.alias("target"))
+    with rocksdb(spark):
+        first = written(machine.moves(asked.where(F.col("n") <= 12)))
+        # a campaign without a move has no checkpoint and begins anew
+        rest = written(machine.moves(asked.where(F.col("n") > 12), machine.last_states(first)))
+    return first.unionByName(rest).select(F.col("search_id").cast("long").alias("campaign"), "n", "source", "target", "fault", "version")
+
+
+@query("""WITH RECURSIVE m AS (
+    SELECT user_id AS campaign, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ['reserve', 'commit', 'reserve', 'release'][event_id % 4 + 1] AS move, event_id // 4 AS id, (event_id % 5)::DOUBLE AS pages, value AS money FROM events),
+  w AS (
+    SELECT campaign, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS verdict, 0::DOUBLE AS pages, 0::DOUBLE AS money, []::STRUCT(id BIGINT, pages DOUBLE, money DOUBLE)[] AS held FROM (SELECT DISTINCT campaign FROM m)
+    UNION ALL
+    SELECT campaign, n, seq, verdict,
+      pages + CASE WHEN move = 'reserve' AND verdict = 'ok' THEN asked_pages WHEN move = 'release' AND verdict = 'ok' THEN -own.pages ELSE 0 END,
+      money + CASE WHEN move = 'reserve' AND verdict = 'ok' THEN asked_money WHEN move = 'release' AND verdict = 'ok' THEN -own.money ELSE 0 END,
+      CASE WHEN verdict <> 'ok' THEN held WHEN move = 'reserve' THEN list_append(list_filter(held, lambda x: x.id <> id), {'id': id, 'pages': asked_pages, 'money': asked_money}) ELSE list_filter(held, lambda x: x.id <> id) END
+    FROM (SELECT *, CASE WHEN move = 'reserve' THEN CASE WHEN asked_pages > 0 AND pages + asked_pages > 60 THEN 'pages' WHEN asked_money <> 0 AND money + asked_money > 900 THEN 'monetary' ELSE 'ok' END WHEN own IS NULL THEN 'closed' ELSE 'ok' END AS verdict
+      FROM (SELECT w.campaign, m.n, m.seq, m.move, m.id, m.pages AS asked_pages, m.money AS asked_money, w.pages, w.money, w.held, list_filter(w.held, lambda x: x.id = m.id)[1] AS own FROM w JOIN m ON m.campaign = w.campaign AND m.n = w.n + 1)))
+  SELECT campaign, seq, verdict FROM w WHERE n > 0""")
 def budget_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reservations, commits and releases of every user's ledger; tests hold it against a plain ledger."""
+    """Reservations, commits and releases of every user's ledger."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     moves = e.select(F.col("user_id").alias("campaign"), k.alias("seq"), _one_of(k, "reserve", "commit", "reserve", "release").alias("move"), F.floor(k / 4).alias("reservation"), F.create_map(F.lit("pages"), (k % 5).cast("double"), F.lit("monetary"), F.col("value")).alias("amounts"))
     return E.budget_ledger(moves, {"pages": 60.0, "monetary": 900.0}).select("campaign", "seq", "verdict")
 
 
-@query()
+@query("""WITH RECURSIVE m AS (
+    SELECT user_id AS campaign, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS s, event_id % 40 = 7 AS finished FROM events),
+  w AS (
+    SELECT campaign, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BOOLEAN AS got, [0, 0, 0, 0, 0] AS taken, [false, false, false, false, false] AS done FROM (SELECT DISTINCT campaign FROM m)
+    UNION ALL
+    SELECT campaign, n, seq, got, list_transform(taken, lambda x, i: x + CASE WHEN i = s AND got THEN 1 ELSE 0 END), list_transform(done, lambda x, i: x OR i = s AND finished)
+    FROM (SELECT *, NOT finished AND 40 - list_sum(taken) > 0 AND (taken[s] < 2 OR 40 - list_sum(taken) > list_sum(list_transform(taken, lambda x, i: CASE WHEN i <> s AND NOT done[i] THEN greatest(0, 2 - x) ELSE 0 END))) AS got
+      FROM (SELECT w.campaign, m.n, m.seq, m.s, m.finished, w.taken, w.done FROM w JOIN m ON m.campaign = w.campaign AND m.n = w.n + 1)))
+  SELECT campaign, seq, got AS taken FROM w WHERE n > 0""")
 def exploration_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages held for every source until it is done; tests hold it against a plain reserve."""
+    """Two pages held for every source until it is done."""
     k = F.col("event_id")
     claims = table(spark, sf_dir, "events").select(F.col("user_id").alias("campaign"), k.alias("seq"), F.col("event_type").alias("source"), (k % 40 == 7).alias("finished"))
     return E.exploration(claims, ["click", "error", "purchase", "signup", "view"], 40).select("campaign", "seq", "taken")
 
 
-@query()
+@query("""WITH RECURSIVE m AS (
+    SELECT user_id AS host, event_id, epoch_us(ts) / 1e6::DOUBLE AS t0, floor(value * 1000) AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  w AS (
+    SELECT host, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0::DOUBLE AS wait, 0::DOUBLE AS beyond, NULL::DOUBLE AS last, 0::DOUBLE AS tokens, NULL::DOUBLE AS start, 0::DOUBLE AS used FROM (SELECT DISTINCT host FROM m)
+    UNION ALL
+    SELECT host, n, event_id, CASE WHEN filled >= 1 THEN now - t0 ELSE now + (1 - filled) / 0.001 - t0 END, greatest(0, (now_used - 20000) / 20000),
+      CASE WHEN filled >= 1 THEN now ELSE now + (1 - filled) / 0.001 END, CASE WHEN filled >= 1 THEN filled - 1 ELSE 0 END, now_start, now_used
+    FROM (SELECT *, least(2.0, tokens + (now - coalesce(last, now)) * 0.001) AS filled, CASE WHEN fresh THEN t0 ELSE start END AS now_start, CASE WHEN fresh THEN 0 ELSE used END + bytes AS now_used
+      FROM (SELECT w.host, m.n, m.event_id, m.t0, m.bytes, w.tokens, w.last, w.start, w.used, greatest(m.t0, coalesce(w.last, m.t0)) AS now, w.start IS NULL OR m.t0 - w.start >= 1 AS fresh FROM w JOIN m ON m.host = w.host AND m.n = w.n + 1)))
+  SELECT event_id, round(wait, 3) AS tokens_wait, round(beyond, 6) AS bytes_wait FROM w WHERE n > 0""")
 def paced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waits of a token bucket and of a bandwidth limit for each host; tests hold them against plain ones."""
+    """Waits of a token bucket and of a bandwidth limit for each host."""
     e, at = table(spark, sf_dir, "events"), F.col("ts").cast("timestamp").cast("double")
     calls = e.select(F.col("user_id").alias("host"), "event_id", at.alias("at"), (F.col("value") * 1000).cast("long").alias("bytes"))
     waits = E.token_bucket(calls.select("host", "event_id", "at"), 0.001, 2.0, order=("at", "event_id")).select("event_id", F.round("wait", 3).alias("tokens_wait"))
