@@ -76,9 +76,12 @@ class _Groups:
         return [Span(name, g, after, until) for name, g, low, high in self.all() if high > after and (until is None or low <= until)]
 
 
-def _rows(span: Span, path: str, key: str, schema: StructType) -> Iterator[pa.RecordBatch]:
+def _rows(span: Span | None, path: str, key: str, schema: StructType) -> Iterator[pa.RecordBatch]:
+    """The wanted rows of a row group; Spark reads one partition that is None where there are none."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if span is None:
+        return
     target = to_arrow_schema(schema)
     fs, _ = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(span.file) as f:
@@ -153,10 +156,10 @@ class EventSource(DataSource):
         return EVENTS
 
     def reader(self, schema: StructType) -> EventReader:
-        return EventReader(schema, dict(self.options))
+        return EventReader(schema, self.options)
 
     def streamReader(self, schema: StructType) -> EventStreamReader:
-        return EventStreamReader(schema, dict(self.options))
+        return EventStreamReader(schema, self.options)
 
 
 @dataclass
@@ -174,9 +177,9 @@ class FeedReader(DataSourceReader):
         names = _files(self.path, ".json")[1]
         return [Feeds(names[k : k + self.each]) for k in range(0, len(names), self.each)]
 
-    def read(self, partition: Feeds) -> Iterator[tuple]:
+    def read(self, partition: Feeds | None) -> Iterator[tuple]:
         fs, _ = pafs.FileSystem.from_uri(self.path)
-        for name in partition.files:
+        for name in partition.files if partition else ():
             with fs.open_input_stream(name) as f:
                 try:
                     body = json.loads(f.read())
@@ -201,7 +204,7 @@ class FeedSource(DataSource):
         return MEMBERS
 
     def reader(self, schema: StructType) -> FeedReader:  # noqa: ARG002
-        return FeedReader(dict(self.options))
+        return FeedReader(self.options)
 
 
 def register(spark: SparkSession) -> None:
