@@ -1,13 +1,14 @@
 """Exact top-k by inner product with a pivot-distance index.
 
-Every vector is keyed by its nearest pivot and its distance to it. A cell holds the vectors of one pivot (a large pivot
-has several cells, dealt by a hash of the id), sorted by distance and cut into annuli. A query meets the annuli from
-its own distance outwards. By the triangle inequality a vector in an annulus is at least `gap` away, the difference of
+Every vector is keyed by its nearest pivot and its distance to it. A cell holds vectors of one pivot, of a range of
+distances (rows are dealt by ranges of pivot and distance, and a cell closes after CELL of them), and is cut into annuli.
+A query meets the annuli from its own distance outwards. By the triangle inequality a vector in an annulus is at least `gap` away, the difference of
 the two distances to the pivot, so its inner product is at most (|query|^2 + largest |vector|^2 - gap^2) / 2; a query
 leaves a cell when no annulus left can reach its k-th score. A first round in each query's own cell gives that score,
-and a pivot whose bound is below it is never visited.
+and a query is sent to those cells only whose bound reaches it, first by pivot, then by cell.
 
-The pivots are a bounded sample (64 by default); all vectors are indexed and the result is exact.
+The pivots are a bounded sample, a quarter of the root of the number of vectors, from 64 to 4096, unless given; all
+vectors are indexed and the result is exact.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id;
 vectors of another length than the query's are no candidates; rows with the query's own vec_id are none either.
@@ -16,10 +17,12 @@ Repeated query rows are answered once. Scores must fit a long.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,8 +144,25 @@ def _search_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Re
         yield out
 
 
+def _cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by dim, pivot and distance with `part`: a number for each `size` rows of one pivot."""
+    key, base, seen, top = None, 0, 0, TaskContext.get().partitionId() << 32
+    for b in batches:
+        dim, pivot = b.column("dim").to_numpy(), b.column("pivot").to_numpy()
+        edge = np.concatenate([[0], np.nonzero((dim[1:] != dim[:-1]) | (pivot[1:] != pivot[:-1]))[0] + 1, [b.num_rows]])
+        part = np.zeros(b.num_rows, np.int64)
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if s == e:
+                continue
+            if (dim[s], pivot[s]) != key:
+                base, key, seen = base + -(-seen // size), (dim[s], pivot[s]), 0
+            part[s:e] = top + base + (seen + np.arange(e - s)) // size
+            seen += e - s
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*b.schema.names, "part"])
+
+
 def _visits(queries: DataFrame, pivots: dict[int, np.ndarray], extent: dict[tuple[int, int], tuple[float, float, float]]) -> DataFrame:
-    """Each query (vec_id, dim, vec, floor) once for every pivot whose bound reaches its floor."""
+    """Each query (vec_id, dim, vec, floor) once for every pivot whose bound reaches its floor, with its squared length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,9 +179,17 @@ def _visits(queries: DataFrame, pivots: dict[int, np.ndarray], extent: dict[tupl
                     bound = (norm + top - gap * gap) / 2
                     go = np.nonzero(bound + 1 + 1e-9 * np.abs(bound) >= floor)[0]
                     if len(go):
-                        yield pa.RecordBatch.from_arrays([pa.array([own[i]["vec_id"] for i in go], pa.int64()), pa.array(np.full(len(go), d, np.int32)), pa.array(np.full(len(go), p, np.int32)), pa.array(far[go, p]), pa.array([own[i]["vec"] for i in go], pa.binary()), pa.array(floor[go])], names=["vec_id", "dim", "pivot", "dist", "vec", "floor"])
+                        yield pa.RecordBatch.from_arrays([pa.array([own[i]["vec_id"] for i in go], pa.int64()), pa.array(np.full(len(go), d, np.int32)), pa.array(np.full(len(go), p, np.int32)), pa.array(far[go, p]), pa.array([own[i]["vec"] for i in go], pa.binary()), pa.array(floor[go]), pa.array(norm[go])], names=["vec_id", "dim", "pivot", "dist", "vec", "floor", "square"])
+
+    return queries.select("vec_id", "dim", "vec", "floor").mapInArrow(run, "vec_id long, dim int, pivot int, dist double, vec binary, floor double, square double")
+
 
-    return queries.select("vec_id", "dim", "vec", "floor").mapInArrow(run, "vec_id long, dim int, pivot int, dist double, vec binary, floor double")
+def _reached(visits: DataFrame, extents: DataFrame) -> DataFrame:
+    """Visits to the cells of their pivots whose bound reaches their floor."""
+    gap = F.greatest(F.lit(0.0), F.greatest(F.col("low") - F.col("dist"), F.col("dist") - F.col("high")) - 1e-6 * (1 + F.col("dist")))
+    bound = (F.col("square") + F.col("norm") - gap * gap) / 2
+    met = visits.join(extents.select("dim", "pivot", "part", "low", "high", "norm"), ["dim", "pivot"])
+    return met.where(bound + 1 + 1e-9 * F.abs(bound) >= F.col("floor")).drop("low", "high", "norm", "square")
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -177,31 +205,29 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, pivots: int = 64) -> DataFrame:
+def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with `is_query` the k best of all other rows, ties to smaller ids."""
-    vectors = integer_vectors(embeddings)
-    chosen = choose_pivots(vectors, pivots)
-    index = stored(keyed(vectors, chosen), "index")
-    extents = index.mapInArrow(_norms, "dim int, pivot int, low double, high double, norm double, n long").groupBy("dim", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm"), F.sum("n").alias("n")).collect()  # a row for each pivot
-    extent = {(r["dim"], r["pivot"]): (r["low"], r["high"], r["norm"]) for r in extents}
-    spark = embeddings.sparkSession
-    parts = spark.createDataFrame([(r["dim"], r["pivot"], -(-r["n"] // CELL)) for r in extents], "dim int, pivot int, parts long")
-    parts = F.broadcast(parts)
-    # a place in the stored index parts rows that repeat an id or a whole vector without end
-    cells = index.withColumn("_at", F.monotonically_increasing_id()).join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "_at"), "parts").cast("int"))
-    queries = index.where(F.coalesce(is_query, F.lit(False))).dropDuplicates(["vec_id", "vec"])
-    home = queries.join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).withColumn("floor", F.lit(float("-inf")))
-    first = _ranked(_search(cells, home, k), k).where(F.col("rank") == k)
+    vectors, size = integer_vectors(embeddings), CELL
+    chosen = choose_pivots(vectors, pivots or min(4096, max(64, math.isqrt(vectors.count()) // 4)))
+    # a place in the input parts rows that repeat an id or a whole vector without end
+    order = ["dim", "pivot", "dist", "_at"]
+    n = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed(vectors, chosen).withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_at")
+    cells = stored(ranged.mapInArrow(lambda it: _cells(it, size), f"{KEYED}, part long"), "cells")
+    extents = stored(cells.mapInArrow(_norms, "dim int, pivot int, part long, low double, high double, norm double").groupBy("dim", "pivot", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")), "extents")
+    whole = extents.groupBy("dim", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")).collect()  # a row for each pivot
+    queries = cells.where(F.coalesce(is_query, F.lit(False))).dropDuplicates(["vec_id", "vec"])
+    first = _ranked(_search(cells, queries.withColumn("floor", F.lit(float("-inf"))), k), k).where(F.col("rank") == k)
     floors = first.select(F.col("query_id").alias("vec_id"), "vec", F.col("score").cast("double").alias("floor"))
     asked = stored(queries.join(floors, ["vec_id", "vec"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "queries")
-    visits = _visits(asked, chosen, extent).join(parts, ["dim", "pivot"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    best = _ranked(_search(cells, visits, k), k)
+    visits = _visits(asked, chosen, {(r["dim"], r["pivot"]): (r["low"], r["high"], r["norm"]) for r in whole})
+    best = _ranked(_search(cells, _reached(visits, extents), k), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        dim, pivot, dist = (b.column(c).to_numpy() for c in ("dim", "pivot", "dist"))
+        dim, pivot, dist, part = (b.column(c).to_numpy() for c in ("dim", "pivot", "dist", "part"))
         vec = b.column("vec").to_pylist()
         norm = np.array([float((np.frombuffer(v, np.int64).astype(np.float64) ** 2).sum()) for v in vec])
-        yield pa.RecordBatch.from_arrays([pa.array(dim), pa.array(pivot), pa.array(dist), pa.array(dist), pa.array(norm), pa.array(np.ones(len(dim), np.int64))], names=["dim", "pivot", "low", "high", "norm", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(dim), pa.array(pivot), pa.array(part), pa.array(dist), pa.array(dist), pa.array(norm)], names=["dim", "pivot", "part", "low", "high", "norm"])
