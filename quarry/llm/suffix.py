@@ -1,7 +1,8 @@
-"""Exact substring deduplication by distributed prefix doubling.
+"""Substring deduplication by names of strings, doubled within buffers; exact but for collisions of two 64-bit hashes.
 
-Strings are given names (128 bits in two parts) instead of ranks: the name of 2h bytes at p is made from the names of
-h bytes at p and p + h, so names are equal where the bytes are. Positions leave as soon as their name is unique:
+Strings are given names (two hashes of 64 bits) instead of ranks from a distributed sort: the name of 2h bytes at p is
+made from the names of h bytes at p and p + h, so names are equal where the bytes are, and where names are equal the
+bytes are taken to be. The README says why ranks are not sorted in Spark. Positions leave as soon as their name is unique:
 
 1. Names of `gram` bytes. A window of `length` bytes is represented by the gram in it whose name is smallest (the
    leftmost of equals), its anchor; equal windows have equal anchors at the same place inside. Spark counts the anchors'
