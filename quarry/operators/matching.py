@@ -136,47 +136,6 @@ def hypothesis_graph(hypotheses: DataFrame) -> DataFrame:
     return own.unionByName(met.select("search_id", F.col("a_head").alias("a"), F.col("b_head").alias("b"), "kind", (F.col("a_members") * F.col("b_members")).alias("pairs")))
 
 
-def ratio_matches(left: np.ndarray, right: np.ndarray, ratio: float = 0.8) -> np.ndarray:
-    """Pairs of bit-string descriptors (uint8 rows) whose best partner is far better than the second."""
-    if not len(left) or len(right) < 2:
-        return np.zeros((0, 2), int)
-    d = np.bitwise_count(left[:, None, :] ^ right[None, :, :]).sum(axis=2)
-    best = np.argsort(d, axis=1, kind="stable")[:, :2]
-    rows = np.arange(len(left))
-    good = d[rows, best[:, 0]] < ratio * d[rows, best[:, 1]]
-    return np.stack([rows[good], best[good, 0]], axis=1)
-
-
-def fit_similarity(points: np.ndarray, targets: np.ndarray, rounds: int = 64, tolerance: float = 0.03) -> tuple[int, bool]:
-    """Most inliers of a turn, scale, shift and possibly mirror, from pairs tried in a fixed order; whether mirrored."""
-    best = (0, False)
-    n = len(points)
-    if n < 2:
-        return best
-    z, w = points[:, 0] + 1j * points[:, 1], targets[:, 0] + 1j * targets[:, 1]
-    picks = np.random.default_rng(n).integers(0, n, (rounds, 2))
-    for mirrored in (False, True):
-        x = z.conj() if mirrored else z
-        for i, j in picks:
-            if x[i] == x[j]:
-                continue
-            turn = (w[i] - w[j]) / (x[i] - x[j])
-            hits = int((np.abs(turn * (x - x[i]) + w[i] - w) < tolerance).sum())
-            if hits > best[0]:
-                best = (hits, mirrored)
-    return best
-
-
-def correspondences(matches: DataFrame) -> DataFrame:
-    """matches(pair_id, x, y, u, v) to pair_id, matches, inliers, ratio, mirrored; a pair has a few hundred points."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        hits, mirrored = fit_similarity(pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float))
-        return pd.DataFrame([(pdf["pair_id"].iloc[0], len(pdf), hits, hits / len(pdf), mirrored)], columns=["pair_id", "matches", "inliers", "ratio", "mirrored"])
-
-    return matches.groupBy("pair_id").applyInPandas(fit, "pair_id long, matches long, inliers long, ratio double, mirrored boolean")
-
-
 def established(items: Column, shown: Column) -> Column:
     """Claims that the category can show at all."""
     return F.filter(items, lambda i: F.array_contains(shown, i))

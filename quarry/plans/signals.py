@@ -13,7 +13,7 @@ from quarry.functions import records as R
 from quarry.functions import scores as S
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import campaign, cluster, matching, metrics, planning, ranking
+from quarry.operators import campaign, cluster, keypoints, matching, metrics, planning, ranking
 from quarry.plans.campaigns import JUDGED_SQL, judged
 from quarry.plans.registry import query, table
 
@@ -248,3 +248,29 @@ def paged_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.char_length("html").cast("long").alias("chars"))
     return planning.map_by_host(p, "host", "page_id", make, "nth", "long").select("page_id", "chars", "nth")
+
+
+@query("""WITH m AS (
+    SELECT p_partkey AS id, unnest(range(CASE WHEN p_size > 45 THEN 2 ELSE 12 END)) AS pos, p_partkey AS k FROM part),
+  g AS (
+    SELECT id, pos, ((k * 7 + pos * 13) % 64)::DOUBLE AS x, ((k * 3 + pos * 29) % 48)::DOUBLE AS y, CASE WHEN k % 11 = 0 THEN 5.0 ELSE [1.0, 0.5, 2.0][k % 3 + 1] END::DOUBLE AS s, k FROM m),
+  h AS (SELECT id, pos, x, y, (CASE WHEN k % 2 = 1 THEN -1 ELSE 1 END) * (s * x + k % 17 + CASE WHEN pos % 4 = 3 THEN 100 + pos * 17 ELSE 0 END)::DOUBLE AS u, (s * y - k % 5)::DOUBLE AS v, count(*) OVER (PARTITION BY id) AS n FROM g),
+  r AS (
+    SELECT f.flip, seed, a.id, a.n, a.x AS x1, a.y AS y1, f.flip * a.u AS u1, a.v AS v1, sqrt(((f.flip * b.u - f.flip * a.u) ** 2 + (b.v - a.v) ** 2) / ((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS scale
+    FROM (SELECT unnest([1, -1]) AS flip) f, (SELECT unnest(range(64)) AS seed) q, h a JOIN h b ON a.id = b.id
+    WHERE a.n >= 3 AND a.pos = seed % a.n AND b.pos = (seed * 3 + 1) % a.n AND a.pos <> b.pos AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 >= 4),
+  e AS (
+    SELECT r.id, r.flip, r.seed, sqrt((scale * h.x + u1 - scale * x1 - flip * h.u) ** 2 + (scale * h.y + v1 - scale * y1 - h.v) ** 2) AS err
+    FROM r JOIN h ON h.id = r.id WHERE scale BETWEEN 0.3 AND 3.2),
+  c AS (SELECT id, flip, seed, count(*) FILTER (err <= 8) AS hits, avg(err) FILTER (err <= 8) AS residual FROM e GROUP BY ALL),
+  best AS (SELECT * FROM c WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY hits DESC, flip DESC, seed) = 1)
+  SELECT i.id AS pair_id, i.n AS matches, coalesce(hits, 0) AS inliers, coalesce(round(residual, 6), 99) AS residual, coalesce(flip = -1, false) AS mirrored FROM (SELECT DISTINCT id, n FROM h) i LEFT JOIN best USING (id)""")
+def agreeing_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scale and shift that most matches of a pair agree on, by fixed rounds, within eight pixels."""
+    k = F.col("p_partkey")
+    m = table(spark, sf_dir, "part").select(k, F.explode(F.sequence(F.lit(0), F.when(F.col("p_size") > 45, 1).otherwise(11))).alias("at"))
+    x, y, at = ((k * 7 + F.col("at") * 13) % 64).cast("double"), ((k * 3 + F.col("at") * 29) % 48).cast("double"), F.col("at")
+    s = F.when(k % 11 == 0, 5.0).when(k % 3 == 0, 1.0).when(k % 3 == 1, 0.5).otherwise(2.0)
+    u = F.when(k % 2 == 1, -1).otherwise(1) * (s * x + k % 17 + F.when(at % 4 == 3, 100 + at * 17).otherwise(0))
+    out = keypoints.fitted(m.select(k.alias("pair_id"), "at", x.alias("x"), y.alias("y"), u.cast("double").alias("u"), (s * y - k % 5).alias("v")))
+    return out.select("pair_id", "matches", "inliers", F.round("residual", 6).alias("residual"), "mirrored")

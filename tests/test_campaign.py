@@ -33,18 +33,6 @@ def test_references_unify(spark):
     assert out == {"a": ("a", 3, 1), "b": ("a", 3, 1), "e": ("a", 3, 1), "c": ("c", 1, 2), "d": ("d", 1, 3), "x": ("x", 1, 1)}
 
 
-def test_correspondence_finds_a_mirrored_turn(spark):
-    rng = np.random.default_rng(3)
-    z = rng.random((40, 2))
-    w = (z[:, 0] - 1j * z[:, 1]) * np.exp(0.7j) * 1.3 + (0.2 + 0.1j)
-    w[:10] = rng.random(10) + 1j * rng.random(10)
-    rows = [(1, float(a), float(b), float(c.real), float(c.imag)) for (a, b), c in zip(z, w, strict=True)]
-    r = matching.correspondences(spark.createDataFrame(rows, "pair_id long, x double, y double, u double, v double")).first()
-    assert r.matches == 40 and r.inliers >= 30 and r.mirrored
-    left = np.array([[0], [255]], np.uint8)
-    assert matching.ratio_matches(left, np.array([[1], [254], [15]], np.uint8)).tolist() == [[0, 0], [1, 1]]
-
-
 def test_parts_and_galleries(spark):
     spec = spark.createDataFrame([("shoe", "sole", True), ("shoe", "lace", False)], "category string, part string, critical boolean")
     parts = spark.createDataFrame([("c", "shoe", "lace", True, 0.2), ("d", "shoe", "sole", False, 0.5)], "candidate_id string, category string, part string, strong boolean, confidence double")
