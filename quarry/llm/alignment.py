@@ -26,7 +26,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 from pyspark import TaskContext
@@ -42,6 +42,8 @@ SLICE, BLOCK = 1 << 20, 8 << 20
 TOGETHER = 40
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _GAP_AT_END = re.compile(r"\s[ \n]|\x01")
+#: Marks that a byte-level tokenizer breaks off after a letter; the apostrophe begins endings of its own.
+_MARKS = ".,;:!?*#$%&()[]{}<>/+=-\""
 _GAP = re.compile(r"[\s\x1c-\x1f]")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -79,6 +81,17 @@ class ByteSide:
         return _cut_after(self.encode("\n".join(words) + "\n"), newline, len(words))
 
 
+    def encode_lines(self, lines: list[str]) -> list[list[int]] | None:
+        """Ids of words with a newline before each: one text, cut before each newline."""
+        (newline,) = self.encode("\n")
+        return _cut_before(self.encode("".join(lines)), {newline}, len(lines))
+
+
+def _cut_before(ids: list[int], starts: set[int], parts: int) -> list[list[int]] | None:
+    at = [k for k, x in enumerate(ids) if x in starts]
+    return [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)] if len(at) == parts and at[0] == 0 else None
+
+
 def _cut_after(ids: list[int], end: int, parts: int) -> list[list[int]] | None:
     at = [k for k, x in enumerate(ids) if x == end]
     return [ids[a + 1 : b] for a, b in zip([-1, *at], at, strict=False)] if len(at) == parts else None
@@ -100,10 +113,13 @@ class PieceSide:
                 self.raw[i] = piece.replace(MARK, " ").encode()
                 self.breaks &= MARK not in piece.lstrip(MARK) and ("\n" not in piece or piece == "\n")
         self.names = {i: str(i) for i in self.raw}
+        met = {b for i in self.raw for a, b in pairwise(self.model.id_to_piece(i)) if a.isalpha()}
+        self.marks = "".join(m for m in _MARKS if m not in met)
         self.led = {i for i, x in self.raw.items() if x.startswith(b" ")}
+        self.lines = {i for i, x in self.raw.items() if x == b"\n"}
 
     def encode(self, unit: str) -> list[int]:
-        """Ids of a unit: one that begins with a space takes the model's own, another loses it.
+        """Ids of a unit: one that begins with a space takes the model's own, another loses it (by a newline, where it has none).
 
         The model puts none before an empty text, so that a space alone is looked up.
         """
@@ -111,26 +127,42 @@ class PieceSide:
             return [self.model.piece_to_id(MARK)]
         if unit[0] == " ":
             return self.model.encode(unit[1:])
-        ids = self.model.encode(unit)
-        return ids[1:] if ids and self.raw[ids[0]] == b" " else []
+        ids = self.model.encode(unit if unit[0] == "\n" else "\n" + unit)
+        if unit[0] == "\n":
+            return ids[1:] if ids and self.raw[ids[0]] == b" " else []
+        return ids[next((k for k, x in enumerate(ids) if self.raw[x] == b"\n"), len(ids)) + 1 :]
 
     def encode_words(self, words: list[str]) -> list[list[int]] | None:
         """Ids of words with a space before each: one text, cut where a piece begins with a space."""
-        ids = self.model.encode("".join(words)[1:])
-        at = [k for k, x in enumerate(ids) if x in self.led]
-        return [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)] if len(at) == len(words) else None
+        return _cut_before(self.model.encode("".join(words)[1:]), self.led, len(words))
+
+    def encode_lines(self, lines: list[str]) -> list[list[int]] | None:
+        """Ids of words with a newline before each: one text without the model's own space, cut before each newline."""
+        return _cut_before(self.model.encode("".join(lines))[1:], self.lines, len(lines))
 
 
 class Aligner:
     """Walks units, and remembers moves and units until they hold `most` bytes or so."""
 
-    def __init__(self, left: ByteSide | PieceSide, right: ByteSide | PieceSide, most: int = 48 << 20):
+    def __init__(self, left: ByteSide | PieceSide, right: ByteSide | PieceSide, most: int = 40 << 20):
         self.left, self.right, self.most = left, right, most
         self.breaks = left.breaks and right.breaks
+        marks = re.escape(getattr(right, "marks", ""))
+        self.tail = re.compile(rf"( [^\W\d_]+)([{marks}]+)") if marks and self.breaks else None
         self.units: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
         self.held = 0
         self._forget()
 
+    def known(self, unit: str) -> tuple | None | bool:
+        """What is remembered of a unit, False if nothing is; what was used stays when older units are forgotten."""
+        if unit in self.units:
+            return self.units[unit]
+        if unit in self.before:
+            x = self.units[unit] = self.before[unit]
+            return x
+        return False
+
     def _forget(self) -> None:
         """Only the state in which nothing dangles is known; moves lie as sorted keys (state and token) with the state after."""
         self.states: list[tuple[int, bytes]] = [(NO_ONE, b"")]
@@ -241,22 +273,42 @@ class Aligner:
 
     def _encoded(self, units: list[str]) -> Iterator[tuple[list[str], list[list[int]], list[list[int]]]]:
         """Words, of which most units are, go to the tokenizers many at once."""
-        words, rest = [], []
+        kinds: dict[str, list[str]] = {" ": [], "\n": []}
+        rest = []
         for u in units:
-            (words if self.breaks and u[0] == " " and len(u) > 1 and MARK not in u and not _GAP.search(u, 1) else rest).append(u)
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            a, b = self.left.encode_words(some), self.right.encode_words(some)
-            if a is None or b is None:
-                rest += some
-            else:
-                yield some, a, b
+            (kinds[u[0]] if self.breaks and u[0] in kinds and len(u) > 1 and MARK not in u and not _GAP.search(u, 1) else rest).append(u)
+        for first, words in kinds.items():
+            for at in range(0, len(words), 4096):
+                some = words[at : at + 4096]
+                a, b = (side.encode_words(some) if first == " " else side.encode_lines(some) for side in (self.left, self.right))
+                if a is None or b is None:
+                    rest += some
+                else:
+                    yield some, a, b
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
             yield some, [self.left.encode(u) for u in some], [self.right.encode(u) for u in some]
 
     def learn(self, units: list[str]) -> dict[str, tuple | None]:
-        """Units to (groups, left tokens, right tokens, number of groups, links as packed ids)."""
+        """Units to (groups, left tokens, right tokens, number of groups, links as packed ids).
+
+        Where both tokenizers break between a word and the marks after it, a unit is put together from the two.
+        """
+        cut = {u: m.groups() for u in units if (m := self.tail.fullmatch(u)) and m[1][-1].isalpha()} if self.tail else {}
+        parts = {p: self.known(p) for both in cut.values() for p in both}
+        parts |= self._learn([*(u for u in units if u not in cut and u not in parts), *(p for p, x in parts.items() if x is False)])
+        out = {u: parts[u] for u in units if u not in cut}
+        for u, (word, marks) in cut.items():
+            x, y = parts[word], parts[marks]
+            out[u] = x and y and (f"{x[0]};{y[0]}", x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + y[4])
+        if self.held > self.most:
+            self.units, self.before, self.held = {}, self.units, 0
+        short = {u: x for u, x in (parts | out).items() if len(u) <= 64}
+        self.units.update(short)
+        self.held += sum(400 + len(u) + (len(x[0]) + len(x[4]) if x else 0) for u, x in short.items())
+        return out
+
+    def _learn(self, units: list[str]) -> dict[str, tuple | None]:
         out: dict[str, tuple | None] = {}
         if len(self.keys) > 1 << 19:
             self._forget()
@@ -271,11 +323,6 @@ class Aligner:
                     text.append(f"{','.join([names_a[k] for k in a[x:p]])}|{','.join([names_b[k] for k in b[y:q]])}")
                     x, y = p, q
                 out[unit] = ";".join(text), len(a), len(b), len(text), done[1].tobytes()
-        if self.held > self.most:
-            self.units, self.held = {}, 0
-        short = {u: x for u, x in out.items() if len(u) <= 64}
-        self.units.update(short)
-        self.held += sum(400 + len(u) + (len(x[0]) + len(x[4]) if x else 0) for u, x in short.items())
         return out
 
     def slices(self, text: str) -> Iterator[list[str]]:
@@ -309,6 +356,7 @@ class _Block:
         self.at: dict[str, int] = {}
         self.known: list[tuple | None] = []
         self.docs: list[tuple[int | None, np.ndarray, str]] = []
+        self.unsound: set[int] = set()
         self.as_text, self.chars = as_text, 0
 
     def add(self, aligner: Aligner, rows: list[tuple[int | None, str]]) -> None:
@@ -317,10 +365,12 @@ class _Block:
         waiting: list[tuple[int, list[str]]] = []
 
         def settle() -> None:
-            missing = {u: aligner.units.get(u, False) for _, units in waiting for u in units if u not in self.at}
+            missing = {u: aligner.known(u) for u in dict.fromkeys(u for _, units in waiting for u in units if u not in self.at)}
             fresh = [u for u, x in missing.items() if x is False]
             missing |= aligner.learn(fresh) if fresh else {}
             for u, x in missing.items():
+                if x is None:
+                    self.unsound.add(len(self.known))
                 self.at[u] = len(self.known)
                 self.known.append(x)
             self.chars += sum(map(len, missing))
@@ -339,7 +389,7 @@ class _Block:
         settle()
         for (doc_id, text), parts in zip(rows, seqs, strict=True):
             whole = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            if any(self.known[k] is None for k in np.unique(whole).tolist()):
+            if self.unsound and not self.unsound.isdisjoint(whole.tolist()):
                 whole = whole[:0]
             self.docs.append((doc_id, whole, self._groups(whole)))
             self.chars += len(text)
