@@ -238,7 +238,7 @@ def test_vector_blocks_equal_all_pairs(spark, monkeypatch, many):
         assert {(r.query_id, r.listing_key, round(r.descriptor_score, 6)) for r in again.collect()} == want
 
 
-def test_warm_index_reads_only_the_buckets_of_its_terms(spark, tmp_path):
+def test_warm_index_pushes_terms_into_the_scan(spark, tmp_path):
     w = warm.WarmIndex(spark, str(tmp_path / "w"))
     assert w.count().first().n == 0
     t = dt.datetime(2024, 1, 1)
@@ -248,4 +248,4 @@ def test_warm_index_reads_only_the_buckets_of_its_terms(spark, tmp_path):
     w.put(spark.createDataFrame([row(1, "green coat")], kind), {"text": "text"}, 2)
     assert [(r.listing_key, r.term_score) for r in w.search(["boot", "red"]).collect()] == [(2, 2)]
     plan = w.postings(["boot"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,boot)" in plan
+    assert "In(term, [boot])" in plan or "EqualTo(term,boot)" in plan
