@@ -22,31 +22,46 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+class Written:
+    """A DataFrame written below spark.checkpoint.dir and read back, so that its lineage ends there."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{checkpoint_dir(self.spark)}/rounds-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` written below spark.checkpoint.dir and read back."""
-    path = f"{checkpoint_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written and read back; it stays until the shared folder is cleared."""
+    return Written(df).df
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to (node, component), the smallest node: star contraction, each round written to shared storage.
 
     In a round every node hangs its larger neighbours on its smallest one, then its smaller ones too, until nothing moves.
+    A round's table goes when the next one is there; the last stays, as the result reads it.
     """
-    now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    last = Written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
+        now = last.df
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not mark[0] or mark == seen:
             break
-        seen = mark
+        seen, before = mark, last
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") > F.col("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(small.where(F.col("a") > F.col("b")).distinct())
+        last = Written(small.where(F.col("a") > F.col("b")).distinct())
+        before.drop()
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 

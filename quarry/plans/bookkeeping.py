@@ -132,21 +132,21 @@ def compared_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH x AS (SELECT user_id, event_id AS n, ['cache', 'text_and_ocr', 'deduplication', 'local_part_extraction', 'remote_model'][event_id % 5 + 1] AS stage FROM events WHERE event_id % 3 > 0), d AS (SELECT user_id, min(n) FILTER (stage = 'deduplication') AS d FROM x GROUP BY 1)
+@query("""WITH x AS (SELECT user_id, event_id AS n, ['cache', 'text_and_ocr', 'deduplication', 'local_part_extraction', 'remote_model'][event_id % 5 + 1] AS stage FROM events), d AS (SELECT user_id, min(n) FILTER (stage = 'deduplication') AS d FROM x GROUP BY 1)
   SELECT user_id, count(*) FILTER (stage IN ('local_part_extraction', 'remote_model') AND (d IS NULL OR n < d)) = 0 AS cheap_first, count(*) FILTER (stage IN ('local_part_extraction', 'remote_model') AND (d IS NULL OR n < d)) AS refused FROM x JOIN d USING (user_id) GROUP BY 1""")
 def cost_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: heavy stages before deduplication are refused."""
     k = F.col("event_id")
-    rows = table(spark, sf_dir, "events").where(k % 3 > 0).select("user_id", k.alias("n"), _one_of(k, "cache", "text_and_ocr", "deduplication", "local_part_extraction", "remote_model").alias("stage"))
+    rows = table(spark, sf_dir, "events").select("user_id", k.alias("n"), _one_of(k, "cache", "text_and_ocr", "deduplication", "local_part_extraction", "remote_model").alias("stage"))
     return R.cost_ledger(rows, "user_id", "n", "stage")
 
 
-@query("""WITH x AS (SELECT user_id, event_id AS n, ['ITEM_MATCH', 'AUTHENTICITY_CONFIDENCE', 'LISTING_UTILITY'][event_id % 3 + 1] AS kind, event_id % 4 = 0 AS fine, value FROM events WHERE user_id % 2 = 0)
+@query("""WITH x AS (SELECT user_id, event_id AS n, ['ITEM_MATCH', 'AUTHENTICITY_CONFIDENCE', 'LISTING_UTILITY'][event_id % 3 + 1] AS kind, event_id % 4 = 0 AS fine, value FROM events)
   SELECT user_id AS candidate_id, coalesce(arg_max(value, n) FILTER (kind = 'ITEM_MATCH' AND fine), arg_min(value, n) FILTER (kind = 'ITEM_MATCH' AND NOT fine)) AS item_match, coalesce(bool_or(fine) FILTER (kind = 'ITEM_MATCH'), false) AS match_fine, arg_max(value, n) FILTER (kind = 'AUTHENTICITY_CONFIDENCE') AS authenticity, arg_max(value, n) FILTER (kind = 'LISTING_UTILITY') AS utility, arg_max(value, n) FILTER (kind = 'ITEM_MATCH' AND fine) AS remembered FROM x GROUP BY 1""")
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a candidate by kind; fine ones over broad ones, and only fine ones are remembered."""
     k = F.col("event_id")
-    rows = table(spark, sf_dir, "events").where(F.col("user_id") % 2 == 0).select(F.col("user_id").alias("candidate_id"), _one_of(k, "ITEM_MATCH", "AUTHENTICITY_CONFIDENCE", "LISTING_UTILITY").alias("kind"), k.alias("seq"), (k % 4 == 0).alias("fine"), F.col("value").alias("score"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("candidate_id"), _one_of(k, "ITEM_MATCH", "AUTHENTICITY_CONFIDENCE", "LISTING_UTILITY").alias("kind"), k.alias("seq"), (k % 4 == 0).alias("fine"), F.col("value").alias("score"))
     return campaign.score_pairs(rows)
 
 

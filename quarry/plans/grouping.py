@@ -94,14 +94,14 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.representatives(d, "c", ["source"], "doc_id").select("c.lang", "c.digest", "members", "representative")
 
 
-@query("""WITH d AS (SELECT DISTINCT doc_id, sha256(trim(l)) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE length(trim(l)) > 40),
-  b AS (SELECT DISTINCT item_id, sha256(trim(l)) AS digest FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE length(trim(l)) > 40)
+@query("""WITH d AS (SELECT DISTINCT doc_id, sha256(trim(l)) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> ''),
+  b AS (SELECT DISTINCT item_id, sha256(trim(l)) AS digest FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE trim(l) <> '')
   SELECT digest, count(DISTINCT doc_id) AS documents, count(DISTINCT item_id) AS items FROM d JOIN b USING (digest) GROUP BY 1""")
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are in both splits, met by digest; counted on each side before they meet."""
 
     def lines(name: str, key: str) -> DataFrame:
-        rows = table(spark, sf_dir, name).select(key, F.explode(F.split("text", "\n")).alias("l")).where(F.length(F.trim("l")) > 40)
+        rows = table(spark, sf_dir, name).select(key, F.explode(F.split("text", "\n")).alias("l")).where(F.trim("l") != "")
         return rows.select(key, F.sha2(F.trim("l"), 256).alias("digest")).groupBy("digest").agg(F.count_distinct(key).alias("documents" if name == "documents" else "items"))
 
     return lines("documents", "doc_id").join(lines("benchmark", "item_id"), "digest")

@@ -350,13 +350,13 @@ def not_run_yet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.already_run(q, sources, ran).select("search_id", "text", "source_id")
 
 
-@query("""WITH b AS (SELECT user_id AS key, min(event_id) AS k FROM events GROUP BY 1), n AS (SELECT user_id AS key, max(value / 100) AS c, arg_max(event_type, (value / 100, event_type)) AS v FROM events WHERE event_id % 5 = 0 GROUP BY 1)
+@query("""WITH b AS (SELECT user_id AS key, min(event_id) AS k FROM events GROUP BY 1), n AS (SELECT user_id AS key, max(value / 100) AS c, arg_max(event_type, (value / 100, event_type)) AS v FROM events GROUP BY 1)
   SELECT b.key, CASE WHEN n.c > 0.5 THEN n.v ELSE 'first' END AS value, round(CASE WHEN n.c > 0.5 THEN n.c ELSE 0.5 END, 6) AS confidence, coalesce(n.c > 0.5, false)::INTEGER AS history FROM b LEFT JOIN n USING (key)""")
 def updated_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest news of each belief; what was believed before goes to its history."""
     e = table(spark, sf_dir, "events")
     beliefs = e.select(F.col("user_id").alias("key")).distinct().select("key", F.lit("first").alias("value"), F.lit(0.5).alias("confidence"), F.array().cast("array<struct<value:string,confidence:double>>").alias("history"))
-    news = e.where(F.col("event_id") % 5 == 0).select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), (F.col("value") / 100).alias("confidence"))
+    news = e.select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), (F.col("value") / 100).alias("confidence"))
     return planning.update_belief(beliefs, news).select("key", "value", F.round("confidence", 6).alias("confidence"), F.size("history").alias("history"))
 
 
