@@ -158,3 +158,19 @@ def test_empty_index_and_null_text(spark, index):
     assert found(index.search(["x"])) == [] and not index.compact() and index.listings().count() == 0
     index.put(listings(spark, [(1, None, None), (2, "", "")]), FIELDS, 1)
     assert found(index.search(["x"])) == [] and index.count().first().n == 2 and index.compact()
+
+
+def test_a_put_moves_terms_with_their_listings_and_not_occurrences(spark):
+    texts = spark.createDataFrame([(k, 7, f"boots boots 2024 only{k}") for k in range(200)], "listing_key long, tag long, t0 string").coalesce(1)
+    rows = texts.mapInArrow(W._counted(1, True), W.COUNTED).where("term IS NOT NULL").collect()
+    assert len(rows) == 203 and {(r.term, r.tf, len(r["keys"])) for r in rows if not r.term.startswith("only")} == {("boots", 2, 200), ("2024", 1, 200), ("24", 1, 200)}
+
+
+def test_rows_of_one_listing_count_together_field_by_field(spark, index):
+    index.put(listings(spark, [(1, "red", "red 24 of"), (1, "", "red. Mark this as authentic red"), (2, "2024", "İn Key")]), FIELDS, 1)
+    assert found(index.search(["red"])) == [(1, 3)]
+    want = {(1, "title", "red", 1), (1, "text", "red", 2), (1, "text", "24", 1), (1, "text", "2024", 1), (2, "title", "2024", 1), (2, "title", "24", 1), (2, "text", "key", 1)}
+    assert {tuple(r) for r in index.postings().collect()} == want
+    assert index.compact() and {tuple(r) for r in index.postings().collect()} == want
+    each = {r.listing_key: r.descriptor for r in index.descriptors().collect()}
+    assert sorted(round(x * x * 11) for x in each[1] if x) in ([1, 1, 9], [4, 9], [1, 16]) and len(each[1]) == 64
