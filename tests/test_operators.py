@@ -249,3 +249,11 @@ def test_warm_index_pushes_terms_into_the_scan(spark, tmp_path):
     assert [(r.listing_key, r.term_score) for r in w.search(["boot", "red"]).collect()] == [(2, 2)]
     plan = w.postings(["boot"])._jdf.queryExecution().executedPlan().toString()
     assert "In(term, [boot])" in plan or "EqualTo(term,boot)" in plan
+
+
+def test_vector_blocks_are_worked_on_in_strips(spark):
+    import pyarrow as pa
+
+    frame = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(100)], "k long, v array<double>").coalesce(1)
+    sizes = index.cosine_blocks(frame, frame, "k", "v", lambda b: pa.RecordBatch.from_arrays([pa.array([b.cos.shape[0]])], names=["n"]), "n long", rows=64, strip=8).collect()
+    assert max(r.n for r in sizes) == 8 and sum(r.n for r in sizes) == 200
