@@ -138,7 +138,7 @@ def view_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = table(spark, sf_dir, "lineitem").select((k % 5).alias("search_id"), F.col("l_orderkey").alias("candidate_id"), F.col("l_linenumber").alias("image_id"), _one_of(k, "front", "lateral", "top", "sole").alias("view"))
     refs = spark.createDataFrame([(s, f"r{s}{i + 1}", v) for s in range(5) for i, v in enumerate(["lateral", "medial", "front", "sole"])], "search_id long, reference_id string, ref_view string")
     order = F.create_map(*(F.lit(x) for i, v in enumerate(matching.VIEW_ORDER) for x in (v, i + 1)))
-    p = matching.view_pairs(refs, cand)
+    p = matching.view_pairs(F.broadcast(refs), cand)  # 20 rows
     return p.groupBy("search_id", "candidate_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("view") == F.col("ref_view")).alias("same"), F.sum(F.col("pair").cast("long") * F.col("image_id") * F.element_at(order, F.col("ref_view"))).alias("mark"))
 
 

@@ -131,3 +131,10 @@ def test_image_kernels(spark):
     assert flat["box"] is None and flat["edge_mean"] == 0.0
     row = spark.createDataFrame([(bytearray(image.astype(np.uint8).tobytes()), 16, 16)], "d binary, w int, h int").select(I.hash_of("d", "w", "h").alias("a"), I.histogram_of("d", "w", "h").alias("b"), I.statistics_of("d", "w", "h").alias("c")).first()
     assert row.a == I.average_hash(image) and row.b == h and row.c.box == s["box"]
+
+
+def test_view_pairs_do_not_shuffle_candidates_by_search(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["view_pairs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
