@@ -93,3 +93,10 @@ def test_matches_need_a_clear_winner():
     near[0, 0] = 7
     assert K.matched(zero, np.concatenate([one, near])).tolist() == [[0, 1]]
     assert K.matched(zero, np.concatenate([near, near])).tolist() == [] and K.matched(zero, one).tolist() == [] and K.matched(zero, zero[:0]).tolist() == []
+
+
+def test_pairs_are_fitted_in_batches_and_not_one_call_each(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["agreeing_matches"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
