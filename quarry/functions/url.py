@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +34,18 @@ def is_url(value: Column) -> Column:
     return value.rlike("(?i)^https?://[^/?#]+")
 
 
+def _place(authority: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(authority), "^.*@", ""), ":[0-9]*$", "")
+
+
 def host(url: Column) -> Column:
     """Lower-cased host without user and port; empty if there is none."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, PARTS, 2)), "^.*@", ""), ":[0-9]*$", "")
+    return _place(F.regexp_extract(url, PARTS, 2))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of the value, which is made once however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _decoded(part: Column) -> Column:
@@ -52,20 +63,27 @@ def canonical_url(url: Column) -> Column:
     A path ends without slash but for the root; parameters are decoded, sorted and encoded again, empty ones keep "=".
     Text without host stays as it is, trimmed.
     """
-    plain = F.trim(url)
-    full = F.when(plain.startswith("//"), F.concat(F.lit("https:"), plain)).otherwise(plain)
-    scheme, name = F.lower(F.regexp_extract(full, PARTS, 1)), host(full)
-    port = F.nullif(F.regexp_extract(F.regexp_extract(full, PARTS, 2), ":([0-9]+)$", 1).try_cast("int"), F.lit(0))
-    usual = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
-    place = F.when(port.isNull() | usual, name).otherwise(F.concat(name, F.lit(":"), port.cast("string")))
-    path = F.regexp_replace(F.regexp_extract(full, PARTS, 3), ";[^/]*$", "")
-    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
-    pieces = F.filter(F.split(F.regexp_extract(full, PARTS, 4), "&"), lambda p: p != "")
+    full = lambda p: F.struct(p.alias("plain"), F.when(p.startswith("//"), F.concat(F.lit("https:"), p)).otherwise(p).alias("full"))
+    cut = lambda x: F.struct(x["plain"].alias("plain"), *(F.regexp_extract(x["full"], PARTS, k).alias(n) for k, n in enumerate(("scheme", "authority", "path", "query"), 1)))
+    return bound(bound(bound(bound(F.trim(url), full), cut), _parts), _tidy)
+
+
+def _parts(x: Column) -> Column:
+    port = F.nullif(F.regexp_extract(x["authority"], ":([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return F.struct(x["plain"].alias("plain"), F.lower(x["scheme"]).alias("scheme"), _place(x["authority"]).alias("name"), port.alias("port"), F.regexp_replace(x["path"], ";[^/]*$", "").alias("path"), x["query"].alias("query"))
+
+
+def _tidy(x: Column) -> Column:
+    usual = ((x["scheme"] == "http") & (x["port"] == 80)) | ((x["scheme"] == "https") & (x["port"] == 443))
+    place = F.when(x["port"].isNull() | usual, x["name"]).otherwise(F.concat(x["name"], F.lit(":"), x["port"].cast("string")))
+    path = F.when(x["path"].isin("", "/"), "/").otherwise(F.regexp_replace(x["path"], "/+$", ""))
+    pieces = F.filter(F.split(x["query"], "&"), lambda p: p != "")
     pairs = F.transform(pieces, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(p.contains("="), F.substr(p, F.locate("=", p) + 1)).otherwise("")).alias("v")))
     kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING)))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
-    tidy = F.concat(scheme, F.lit("://"), place, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(full.rlike(PARTS) & (name != ""), tidy).otherwise(plain)
+    joined = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    query = bound(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    # a scheme is there where the whole fits
+    return F.when((x["scheme"] != "") & (x["name"] != ""), F.concat(x["scheme"], F.lit("://"), place, path, query)).otherwise(x["plain"])
 
 
 def listing_id(url: Column) -> Column:

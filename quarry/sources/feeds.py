@@ -26,19 +26,22 @@ def feed_members(bodies: DataFrame, body: str, origin: str) -> DataFrame:
 
 def members(pages: DataFrame, body: str, url: str, prefixes: list[str], hosts: list[str]) -> DataFrame:
     """url, member: from JSON-LD lists, else sitemap locations, else links; prefix and host must fit."""
-    b = F.col(body)
-    some = lambda a: F.when(F.size(a) > 0, a)
+    rows, b = pages.select(F.col(url).alias("url"), F.col(body).alias("body")), F.col("body")
+    some = lambda found: U.bound(found, lambda a: F.when(F.size(a) > 0, a))
     found = F.coalesce(some(H.json_ld_items(b)), some(H.sitemap_locations(b)), H.links(b))
-    rows = pages.select(F.col(url).alias("url"), F.explode(found).alias("member"))
     root = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
-    full = F.when(F.col("member").startswith("/"), F.concat(root, "member")).otherwise(F.col("member"))
-    rows = rows.select("url", U.canonical_url(full).alias("member"))
-    fits = U.host(F.col("member")).isin(hosts) if hosts else F.lit(True)
-    path = F.regexp_extract("member", "^[a-z]+://[^/]+([^?]*)", 1)
-    listed = F.lit(False)
-    for p in prefixes:
-        listed = listed | path.startswith(p)
-    return rows.where(fits & (listed if prefixes else F.lit(True))).distinct()
+    full = lambda m: F.when(m.startswith("/"), F.concat(root, m)).otherwise(m)
+
+    def fits(m: Column) -> Column:
+        path = F.regexp_extract(m, "^[a-z]+://[^/]+([^?]*)", 1)
+        listed = F.lit(not prefixes)
+        for p in prefixes:
+            listed = listed | path.startswith(p)
+        return (U.host(m).isin(hosts) if hosts else F.lit(True)) & listed
+
+    # made and judged within the array: a filter of rows would make each member again
+    kept = F.filter(F.transform(found, lambda m: U.canonical_url(full(m))), fits)
+    return rows.select("url", F.explode(kept).alias("member")).distinct()
 
 
 def expand(rows: DataFrame, queries: list[list[str]], seen: DataFrame, per_index: int, depth: Column, most_depth: int = 3) -> DataFrame:
