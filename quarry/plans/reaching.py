@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import reach
-from quarry.plans.registry import query, table
+from quarry.plans.registry import query, spread, table
 
 PLANNED_SQL = r"""
   src AS (
@@ -66,7 +66,8 @@ def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = lambda when, prefix, allow: F.when(when, F.struct(F.lit(prefix).alias("prefix"), F.lit(allow).alias("allow")))
     stated = F.array_compact(F.array(rule(k % 3 == 1, "/search", False), rule(k % 5 == 2, "/collections", False), rule(k % 5 == 2, "/collections/b", True), rule(k % 7 == 3, "/products", False), rule(k % 9 == 4, "/sitemap*", False), rule(k % 2 == 0, "/p", True)))
     rules = nation.select(F.lower("n_name").alias("source_id"), F.inline(stated))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 25).alias("k"), F.when(F.col("p_size") % 9 == 0, "  ").otherwise(F.col("p_name")).alias("text"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")
+    p = parts.select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 25).alias("k"), F.when(F.col("p_size") % 9 == 0, "  ").otherwise(F.col("p_name")).alias("text"))
     asked = p.join(F.broadcast(nation.select(F.col("n_nationkey").cast("long").alias("k"), F.lower("n_name").alias("source_id"))), "k").drop("k")  # 25 nations
     return reach.plan(asked, sources, rules)
 

@@ -24,3 +24,7 @@ def test_members_makes_each_url_once(spark):
 
 def test_listed_members_deals_parts_before_pages(spark, sf_dir):
     assert "RepartitionByExpression [p_partkey" in plan_of(QUERIES["listed_members"](spark, sf_dir))
+
+
+def test_reach_strategies_deals_parts_before_urls(spark, sf_dir):
+    assert "RepartitionByExpression [p_partkey" in plan_of(QUERIES["reach_strategies"](spark, sf_dir))
