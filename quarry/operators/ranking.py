@@ -6,16 +6,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.cluster import written
+
 #: Cuts of the escalation cascade, cheap to dear.
 CASCADE = [("broad", 500), ("normalised", 250), ("download", 100), ("parts", 50), ("deliberative", 15), ("deep", 10)]
 #: Least gain a round of queries must promise, by its number.
 ROUND_FLOORS = [0.0, 0.04, 0.06, 0.08, 0.10, 0.12]
 
 
+def _starts(counts: DataFrame, tab: str, chunk: str, *counted: str) -> DataFrame:
+    """counts(tab, chunk, n...) with the sums of the chunks before and, as `_all`, of all: a row for each chunk of a tab."""
+    every = Window.partitionBy(tab)
+    before = every.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [x for c in counted for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before"), F.sum(c).over(every).alias(f"{c}_all"))]
+    return counts.select(F.col(tab).alias("_tab"), F.col(chunk).alias("_chunk_of"), *sums)
+
+
+def _with_starts(rows: DataFrame, starts: DataFrame, tab: str, chunk: str) -> DataFrame:
+    return rows.join(starts, F.col(tab).eqNullSafe(F.col("_tab")) & (F.col(chunk) == F.col("_chunk_of"))).drop("_tab", "_chunk_of")
+
+
 def rank_tab(rows: DataFrame, tab: str, keys: list[Column], tie: str) -> DataFrame:
-    """rank: place in the tab by the keys, all descending, ties by `tie`."""
-    w = Window.partitionBy(tab).orderBy(*(k.desc() for k in keys), F.col(tie))
-    return rows.withColumn("rank", F.row_number().over(w))
+    """rank: place in the tab by the keys, all descending, ties by `tie`.
+
+    Rows are dealt by ranges of tab, keys and tie, written, and numbered within their range from where it starts in its
+    tab, so that no task holds a tab; rows alike in all of these share a range. Hand over only the columns that are needed.
+    """
+    order = [*(k.desc() for k in keys), F.col(tie)]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, F.col(tab), *order).withColumn("_range", F.spark_partition_id()))
+    starts = _starts(dealt.groupBy(tab, "_range").agg(F.count(F.lit(1)).alias("_n")), tab, "_range", "_n")
+    place = F.col("_n_before") + F.row_number().over(Window.partitionBy(tab, "_range").orderBy(*order))
+    return _with_starts(dealt, starts, tab, "_range").withColumn("rank", place.cast("int")).drop("_range", "_n_before", "_n_all")
 
 
 def real_keys() -> list[Column]:
@@ -26,11 +48,24 @@ def possibly_keys() -> list[Column]:
     return [F.col("item_lower"), 1 - F.col("completeness"), *(F.col(c) for c in ("auth_lower", "live", "size_match", "coverage"))]
 
 
+#: Ranks of a tab that one task numbers anew.
+STRETCH = 65_536
+
+
 def diversify(ranked: DataFrame, tab: str, family: str) -> DataFrame:
-    """place: the first of every family keeps its order, repeats follow after all firsts."""
-    nth = F.row_number().over(Window.partitionBy(tab, family).orderBy("rank"))
-    rows = ranked.withColumn("_repeat", nth > 1)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(tab).orderBy("_repeat", "rank"))).drop("_repeat")
+    """place: the first of every family keeps its order, repeats follow after all firsts. Ranks are each once in a tab.
+
+    Firsts meet their rows by rank, so a family that many rows share is one partial minimum a task; places are counted
+    within stretches of ranks, from where each starts.
+    """
+    firsts = ranked.groupBy(tab, family).agg(F.min("rank").alias("_first")).select(F.col(tab).alias("_tab"), "_first")
+    marked = ranked.join(firsts, F.col(tab).eqNullSafe(F.col("_tab")) & (F.col("rank") == F.col("_first")), "left")
+    marked = written(marked.withColumn("_repeat", F.col("_first").isNull()).withColumn("_stretch", F.floor(F.col("rank") / STRETCH)).drop("_tab", "_first"))
+    counts = marked.groupBy(tab, "_stretch").agg(F.count_if(~F.col("_repeat")).alias("_f"), F.count_if(F.col("_repeat")).alias("_r"))
+    nth = F.row_number().over(Window.partitionBy(tab, "_stretch", "_repeat").orderBy("rank"))
+    place = F.when(F.col("_repeat"), F.col("_f_all") + F.col("_r_before")).otherwise(F.col("_f_before")) + nth
+    rows = _with_starts(marked, _starts(counts, tab, "_stretch", "_f", "_r"), tab, "_stretch")
+    return rows.withColumn("place", place.cast("int")).select(*ranked.columns, "place")
 
 
 def cascade(rows: DataFrame, score: Column, tie: str) -> DataFrame:

@@ -90,7 +90,7 @@ def item_match_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_and_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred places of each tab."""
     keys = [F.col(c) for c in ("item_lower", "auth_lower", "completeness", "live")]
-    ranked = ranking.rank_tab(candidates(spark, sf_dir), "status", keys, "id")
+    ranked = ranking.rank_tab(candidates(spark, sf_dir).select("id", "status", "family", *keys), "status", keys, "id")
     return ranking.diversify(ranked, "status", "family").select("id", "status", "rank", "place").where(F.col("place") <= 100)
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from quarry.functions import url as U
+from quarry.operators import ranking
 from quarry.sources import feeds
 
 QUERIES = entry.queries()
@@ -28,3 +33,27 @@ def test_listed_members_deals_parts_before_pages(spark, sf_dir):
 
 def test_reach_strategies_deals_parts_before_urls(spark, sf_dir):
     assert "RepartitionByExpression [p_partkey" in plan_of(QUERIES["reach_strategies"](spark, sf_dir))
+
+
+def test_ranks_and_places_without_a_task_for_a_tab(spark, monkeypatch):
+    """Tabs in order, also a null one; a family with half of a tab; stretches of seven ranks. No window goes over a tab's rows."""
+    monkeypatch.setattr(ranking, "STRETCH", 7)
+    n = F.col("id")
+    rows = spark.range(200).select("id", F.when(n % 10 > 0, F.when(n % 3 > 0, "a").otherwise("b")).alias("tab"), F.when(n % 2 > 0, n % 17).alias("family"), (n * 7 % 5).alias("k"))
+    ranked = ranking.rank_tab(rows, "tab", [F.col("k")], "id")
+    placed = ranking.diversify(ranked, "tab", "family")
+    got = {r.id: (r["rank"], r.place) for r in placed.collect()}
+    want = {}
+    data = rows.collect()
+    for tab in ("a", "b", None):
+        own = sorted((r for r in data if r.tab == tab), key=lambda r: (-r.k, r.id))
+        seen, firsts, repeats = set(), [], []
+        for r in own:
+            (repeats if r.family in seen else firsts).append(r.id)
+            seen.add(r.family)
+        place = {x: p for p, x in enumerate(firsts + repeats, 1)}
+        want |= {r.id: (k, place[r.id]) for k, r in enumerate(own, 1)}
+    assert got == want and [t for c, t in placed.dtypes if c in ("rank", "place")] == ["int", "int"]
+    for frame in (ranked, placed):
+        numbered = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*?) (?:ASC|DESC)", plan_of(frame))
+        assert numbered and all("_range" in x or "_stretch" in x for x in numbered)
