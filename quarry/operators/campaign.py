@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +80,9 @@ def consult(hits: DataFrame, listings: DataFrame, known_urls: DataFrame, now: Co
 def publish(decisions: DataFrame) -> DataFrame:
     """bucket, rank, place: ranked by each tab's keys, first of each family before repeats."""
     real, maybe = F.col("bucket") == "REAL", F.col("bucket") == "POSSIBLY_REAL"
-    parts = []
-    for tab, keys in ((real, ranking.real_keys()), (maybe, ranking.possibly_keys()), (~real & ~maybe, [F.col("item_lower")])):
-        parts.append(ranking.rank_tab(decisions.where(tab), "bucket", keys, "candidate_id"))
-    return ranking.diversify(parts[0].unionByName(parts[1]).unionByName(parts[2]), "bucket", "family")
+    # each tab's n-th key in one column: decisions are made once, and dealt by all tabs at once
+    keys = [F.when(real, r).when(maybe, m).otherwise(o) for r, m, o in zip_longest(ranking.real_keys(), ranking.possibly_keys(), [F.col("item_lower")], fillvalue=F.lit(None))]
+    return ranking.diversify(ranking.rank_tab(decisions.where(F.col("bucket").isNotNull()), "bucket", keys, "candidate_id"), "bucket", "family")
 
 
 # fixed values: outcomes of a source that leave the search open

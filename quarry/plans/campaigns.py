@@ -58,7 +58,8 @@ def judged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id AS candidate_id, bucket, rank, row_number() OVER (PARTITION BY bucket ORDER BY again, rank)::INTEGER AS place FROM n""")
 def published_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9, H10, G1, G2, G8, O4."""
-    return campaign.publish(judged(spark, sf_dir)).select("candidate_id", "bucket", "rank", "place")
+    keys = ["item_lower", "auth_lower", "completeness", "live", "size_match", "coverage", "price_fit"]
+    return campaign.publish(judged(spark, sf_dir).select("candidate_id", "bucket", "family", *keys)).select("candidate_id", "bucket", "rank", "place")
 
 
 @query(f"""WITH {CANDIDATE_SQL}, k AS (SELECT *, id % 7 <> 0 AS fresh FROM cand WHERE id % 3 <> 0)
