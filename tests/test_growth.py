@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quarry.functions import udfs
 from quarry.functions import url as U
 from quarry.operators import ranking
 from quarry.sources import feeds
@@ -57,3 +58,25 @@ def test_ranks_and_places_without_a_task_for_a_tab(spark, monkeypatch):
     for frame in (ranked, placed):
         numbered = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*?) (?:ASC|DESC)", plan_of(frame))
         assert numbered and all("_range" in x or "_stretch" in x for x in numbered)
+
+
+def test_phrases_are_searched_for_only_where_their_stems_are(monkeypatch):
+    """A text with one stem is searched for that stem's phrases alone; every phrase spells a stem and is in one pattern."""
+    assert all(udfs._stems(p) for p in udfs.REPLICA)
+    assert sum(p.pattern.count("|".join(x for x in udfs.REPLICA if udfs._stems(x) == k)) for k, p in udfs._BY_STEMS.items()) == len(udfs._BY_STEMS)
+    searched = []
+
+    class Noted:
+        def __init__(self, stems):
+            self.stems = stems
+
+        def search(self, text):
+            searched.append(self.stems)
+
+    monkeypatch.setattr(udfs, "_BY_STEMS", {k: Noted(k) for k in udfs._BY_STEMS})
+    assert not udfs._phrase("a bootleg") and searched and all("bootleg" in s for s in searched)
+
+
+def test_ascii_folds_as_all_texts_do():
+    every = "".join(map(chr, range(128)))
+    assert udfs.fold(every) == udfs.fold(every + "é")[:-1]
