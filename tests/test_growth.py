@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarry.functions import udfs
 from quarry.functions import url as U
-from quarry.operators import ranking
+from quarry.operators import index, ranking
 from quarry.sources import feeds
 
 QUERIES = entry.queries()
@@ -80,3 +81,35 @@ def test_phrases_are_searched_for_only_where_their_stems_are(monkeypatch):
 def test_ascii_folds_as_all_texts_do():
     every = "".join(map(chr, range(128)))
     assert udfs.fold(every) == udfs.fold(every + "é")[:-1]
+
+
+def test_a_task_gives_out_its_best_vectors_once_however_few_files_hold_them(spark, monkeypatch):
+    """Every block of eight holds better ones than the block before: no more than five of a query leave a task, and one file's blocks go to all tasks."""
+    frame = spark.createDataFrame([(k, [1.0, 10.0 - k / 200]) for k in range(2000)], "k long, v array<double>").coalesce(1)
+    asked, blocks, found = spark.createDataFrame([(-1, [1.0, 0.0]), (-2, [2.0, 0.0])], "k long, v array<double>"), index.cosine_blocks, []
+
+    def noted(*a, **k):
+        found.append(blocks(*a, **k | {"rows": 8}))
+        return found[-1]
+
+    monkeypatch.setattr(index, "cosine_blocks", noted)
+    hits = index.vector_search(asked, frame, "k", "v", limit=5)
+    assert {(r.query_id, r.listing_key) for r in hits.collect()} == {(q, k) for q in (-1, -2) for k in range(1995, 2000)}
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert found[0].rdd.getNumPartitions() == tasks and found[0].count() <= tasks * 2 * 5
+    assert found[0].select(F.spark_partition_id().alias("p")).distinct().count() > tasks / 2
+
+
+def test_tops_keep_the_first_of_equal_ones():
+    rng = np.random.default_rng(3)
+    for limit, least in ((5, 0.0), (1, -2.0), (400, 0.0)):
+        every, cos = rng.permutation(300), np.round(rng.normal(0, 0.3, (7, 300)), 1)
+        cos[:, rng.permutation(300)[:60]] = 0.9
+        cos[2, ::3] = np.nan
+        cos[4] = -1.0
+        tops = index.Tops(np.arange(7) * 20, limit, least)
+        for at in range(0, 300, 23):
+            tops.add(every[at : at + 23], cos[:, at : at + 23])
+        got = [tuple(r.values()) for r in tops.batch().to_pylist()]
+        want = [(q * 20, int(c), -s) for q in range(7) for s, c in sorted((-s, c) for s, c in zip(cos[q].tolist(), every.tolist(), strict=True) if s >= least)[:limit]]
+        assert got == want

@@ -174,3 +174,17 @@ def test_rows_of_one_listing_count_together_field_by_field(spark, index):
     assert index.compact() and {tuple(r) for r in index.postings().collect()} == want
     each = {r.listing_key: r.descriptor for r in index.descriptors().collect()}
     assert sorted(round(x * x * 11) for x in each[1] if x) in ([1, 1, 9], [4, 9], [1, 16]) and len(each[1]) == 64
+
+
+@pytest.mark.parametrize("few", [1, 50_000])
+def test_many_searches_read_the_postings_once(spark, index, monkeypatch, few):
+    """What is asked for is written and read back, so that nothing after it goes over all postings; terms are broadcast or meet in a shuffle."""
+    monkeypatch.setattr(W, "FEW", few)
+    rows = catalogue(120)
+    index.put(listings(spark, rows), FIELDS, 1)
+    index.put(listings(spark, rows[:40]), FIELDS, 2)
+    asked = spark.createDataFrame([(0, "word0"), (1, "word3"), (1, "word17"), (2, "none")], "query_id long, term string")
+    hits = index.search_many(asked, 9)
+    assert not [f for f in hits.inputFiles() if "/postings/" in f]
+    for q, terms in enumerate((["word0"], ["word3", "word17"], ["none"])):
+        assert sorted(found(hits.where(F.col("query_id") == q)), key=lambda x: (-x[1], x[0])) == plain(rows, terms, 9)
