@@ -257,3 +257,29 @@ def test_vector_blocks_are_worked_on_in_strips(spark):
     frame = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(100)], "k long, v array<double>").coalesce(1)
     sizes = index.cosine_blocks(frame, frame, "k", "v", lambda b: pa.RecordBatch.from_arrays([pa.array([b.cos.shape[0]])], names=["n"]), "n long", rows=64, strip=8).collect()
     assert max(r.n for r in sizes) == 8 and sum(r.n for r in sizes) == 200
+
+
+@pytest.mark.parametrize("cut", [{}, {"rows": 7, "most_queries": 1}, {"rows": 64, "strip": 8}])
+@pytest.mark.parametrize("odd", [False, True])
+def test_every_vector_has_a_rank(spark, tmp_path, monkeypatch, odd, cut):
+    """No id but 0 can be divided by 20; equal vectors, equal scores, a label without a partner and vectors without a label; odd: vectors of zeros and of no numbers."""
+    import duckdb
+
+    from quarry.plans import evaluation
+    from quarry.plans.registry import ORACLE_SQL
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1, (80, 6)), rng.integers(-1, 2, (60, 6)) + [4.0, 0, 0, 0, 0, 0]])
+    x[5:30] = x[5]
+    if odd:
+        x[[3, 90]], x[40, 2], x[41, 0] = 0.0, np.nan, np.inf
+    rows = [(20 * i + i % 19 + 1 if i else 0, v.tolist(), None if i % 31 == 2 else 9 if i == 77 else i * i % 5) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    monkeypatch.setattr(index, "cosine_blocks", lambda *a, f=index.cosine_blocks, **k: f(*a, **k | cut))
+    ranks = {tuple(r) for r in evaluation.first_correct(spark, str(tmp_path)).collect()}
+    assert ranks == set(con.execute(f"WITH {evaluation.RANKS_SQL} SELECT query, qlabel, rank FROM ranks").fetchall()) and len(ranks) == 140
+    if not cut:
+        got = evaluation.recall_mrr(spark, str(tmp_path))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(ORACLE_SQL["recall_mrr"]).fetchall()))
